@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import struct
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +38,14 @@ def block_count(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BY
     return max(1, math.ceil(((total or 0) + 64 * rows) / block_bytes))
 
 
-def in_blocks(docs: DataFrame, blocks: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(block, id, text): a document's block follows from its id alone, so each phase finds the same blocks."""
+def in_blocks(docs: DataFrame, blocks: int, doc_id: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
+    """(block, id, text): a document's block follows from its id alone, so each phase finds the same blocks.
+
+    whole: with all other columns in a struct `row`, so that no name clashes.
+    """
     key = F.pmod(F.xxhash64(F.col(doc_id)), F.lit(blocks)).cast("int")
-    return docs.select(key.alias("block"), F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    rest = [F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text)).alias("row")] if whole else []
+    return docs.select(key.alias("block"), F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), *rest)
 
 
 def ordered(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
@@ -113,3 +118,24 @@ def is_in(values: np.ndarray, among: np.ndarray) -> np.ndarray:
         return np.zeros(len(values), dtype=bool)
     at = np.minimum(np.searchsorted(among, values), len(among) - 1)
     return among[at] == values
+
+
+def kept_texts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, firsts: np.ndarray, keep: np.ndarray, gap: int = 0x20) -> Iterator[bytes]:
+    """Each document's kept units (words or lines, each followed by a byte that is none), joined by the byte `gap`."""
+    data = data.copy()
+    mark = np.zeros(len(data) + 1, dtype=np.int32)
+    np.add.at(mark, starts[keep], 1)
+    np.subtract.at(mark, ends[keep], 1)
+    mask = np.cumsum(mark)[:-1] > 0
+    kept = np.flatnonzero(keep)
+    bounds = np.searchsorted(kept, firsts)  # kept units before each document
+    last = np.zeros(len(kept), dtype=bool)
+    last[bounds[1:][np.diff(bounds) > 0] - 1] = True
+    gaps = ends[kept[~last]]
+    mask[gaps] = True
+    data[gaps] = gap
+    out = data[mask].tobytes()
+    sizes = np.concatenate(([0], np.cumsum((ends - starts)[kept])))
+    lengths = np.concatenate(([0], np.cumsum(np.diff(sizes[bounds]) + np.maximum(np.diff(bounds) - 1, 0))))
+    for a, z in zip(lengths[:-1], lengths[1:], strict=True):
+        yield out[a:z]

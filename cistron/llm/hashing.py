@@ -109,15 +109,20 @@ def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def owners(keys: np.ndarray, valid: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each valid place i: i and the leftmost place of the smallest of the n keys from i on."""
-    places = np.flatnonzero(valid)
+    """For each valid place i: i and the leftmost place of the smallest (in the upper 32 bits) of the n keys from i on."""
+    places, out = np.flatnonzero(valid), []
+    count = max(0, len(keys) - n + 1)
+    for a in range(0, count, _SLICE):
+        b = min(count, a + _SLICE)
+        part = (keys[a : b + n - 1] & np.uint64(0xFFFFFFFF00000000)) | np.arange(b - a + n - 1, dtype=np.uint64)
+        out.append((sliding_min(part, n) & np.uint64(0xFFFFFFFF)).astype(np.int64)[valid[a:b]] + a)
+    return places, np.concatenate(out) if out else places[:0]
+
+
+def runs(places: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owner, first and last place of each run of consecutive places with one owner."""
     if not len(places):
-        return places, places
-    least = np.full(len(valid), 0, dtype=keys.dtype)
-    low = sliding_min(keys, n)
-    least[: len(low)] = low[: len(least)]
-    own = np.zeros(len(places), dtype=np.int64)
-    target = least[places]
-    for j in range(n - 1, -1, -1):
-        own[keys[places + j] == target] = j
-    return places, places + own
+        return owner, places, places
+    head = np.insert((np.diff(owner) != 0) | (np.diff(places) != 1), 0, True)
+    first = np.flatnonzero(head)
+    return owner[first], places[first], places[np.append(first[1:], len(places)) - 1]

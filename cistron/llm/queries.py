@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, rendezvous, rlz_dedup
+from . import decontaminate, line_chunks, rendezvous, rlz_dedup, suffix_dedup
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,12 +20,22 @@ def op5_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendezvous.assign(read(spark, sf_dir, "documents"), [1.0] * 40, [1.0] * 41)
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(read(spark, sf_dir, "documents"), length=100)
+
+
+def op8_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's text without repeated chunks of lines."""
+    out = line_chunks.deduplicate(read(spark, sf_dir, "documents"))
+    return out.select("row.doc_id", "text", "n_lines", "n_removed_lines", "n_removed_chunks", "kept_sha256")
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), size=10)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_rlz_substring_dedup, op5_rendezvous_sharding, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op4_rlz_substring_dedup, op5_rendezvous_sharding, op6_suffix_array_dedup, op8_line_chunk_dedup, op10_benchmark_decontamination)}
 
 
 SQL = {

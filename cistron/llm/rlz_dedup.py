@@ -17,14 +17,13 @@ all documents hold costs one record for each block, not one for each document.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, block_count, deltas, in_blocks, is_in, ordered, pack, split_by, summed, unpack, unsigned
+from .common import BLOCK_BYTES, block_count, deltas, in_blocks, is_in, kept_texts, ordered, pack, split_by, summed, unpack, unsigned
 from .hashing import grams, inner, owners, span_hashes, spans
 
 _ROUTED = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
@@ -168,26 +167,6 @@ def _boundaries(key: tuple, table: pa.Table) -> pa.Table:
     return _rows(_REPLY, rows)
 
 
-def kept_texts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, firsts: np.ndarray, keep: np.ndarray) -> Iterator[bytes]:
-    """Each document's kept words, joined by one space."""
-    data = data.copy()
-    mark = np.zeros(len(data) + 1, dtype=np.int8)
-    mark[starts[keep]] += 1
-    np.subtract.at(mark, ends[keep], 1)
-    mask = np.cumsum(mark, dtype=np.int8)[:-1].astype(bool)
-    kept = np.flatnonzero(keep)
-    bounds = np.searchsorted(kept, firsts)  # kept words before each document
-    last = np.zeros(len(kept), dtype=bool)
-    last[bounds[1:][np.diff(bounds) > 0] - 1] = True
-    gaps = ends[kept[~last]]
-    mask[gaps] = True
-    data[gaps] = 0x20
-    out = data[mask].tobytes()
-    lengths = np.concatenate(([0], np.cumsum(np.bincount(np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))[kept], weights=(ends - starts)[kept], minlength=len(firsts) - 1).astype(np.int64) + np.maximum(np.diff(bounds) - 1, 0))))
-    for a, z in zip(lengths[:-1], lengths[1:], strict=True):
-        yield out[a:z]
-
-
 def _remove(window: int, gram: int, with_text: bool):
     def run(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
         b = _Block(table, window, gram)
