@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_chunks, rendezvous, rlz_dedup, suffix_dedup
+from . import decontaminate, line_chunks, ngram_join, rendezvous, rlz_dedup, spotsigs, suffix_dedup
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,18 +24,35 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduplicate(read(spark, sf_dir, "documents"), length=100)
 
 
+def op7_spotsigs_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.compare_with_next(read(spark, sf_dir, "documents"))
+
+
 def op8_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's text without repeated chunks of lines."""
     out = line_chunks.deduplicate(read(spark, sf_dir, "documents"))
     return out.select("row.doc_id", "text", "n_lines", "n_removed_lines", "n_removed_chunks", "kept_sha256")
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.cluster(read(spark, sf_dir, "documents"), size=4, share=(85, 100))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), size=10)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_rlz_substring_dedup, op5_rendezvous_sharding, op6_suffix_array_dedup, op8_line_chunk_dedup, op10_benchmark_decontamination)}
+    own = (
+        op4_rlz_substring_dedup,
+        op5_rendezvous_sharding,
+        op6_suffix_array_dedup,
+        op7_spotsigs_fingerprints,
+        op8_line_chunk_dedup,
+        op9_ngram_jaccard_join,
+        op10_benchmark_decontamination,
+    )
+    return {f.__name__: f for f in own}
 
 
 SQL = {
