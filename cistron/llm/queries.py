@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_chunks, ngram_join, rendezvous, rlz_dedup, spotsigs, suffix_dedup
+from . import decontaminate, line_chunks, ngram_join, pii_surrogates, rendezvous, rlz_dedup, spotsigs, suffix_dedup
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's text with surrogates, and the number of entities in it."""
+    return pii_surrogates.replace(read(spark, sf_dir, "documents").select("doc_id", "text"), key="surrogate key 1")
+
+
 def op4_rlz_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rlz_dedup.deduplicate(read(spark, sf_dir, "documents"), window=13)
 
@@ -44,6 +49,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 def queries() -> dict[str, Query]:
     own = (
+        op2_pii_surrogates,
         op4_rlz_substring_dedup,
         op5_rendezvous_sharding,
         op6_suffix_array_dedup,
