@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_chunks, ngram_join, pii_surrogates, rendezvous, rlz_dedup, spotsigs, suffix_dedup
+from . import decontaminate, line_chunks, ngram_join, pii_surrogates, rendezvous, rlz_dedup, sentencepiece_sampling, spotsigs, suffix_dedup
 from .common import read
 
+#: Public vocabulary file, on each machine.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two different sampled segmentations of each document."""
+    return sentencepiece_sampling.encode(read(spark, sf_dir, "documents"), MODEL, k=2).withColumnRenamed("id", "doc_id")
+
+
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's text with surrogates, and the number of entities in it."""
     return pii_surrogates.replace(read(spark, sf_dir, "documents").select("doc_id", "text"), key="surrogate key 1")
@@ -49,6 +56,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 def queries() -> dict[str, Query]:
     own = (
+        op1_sentencepiece_sampling,
         op2_pii_surrogates,
         op4_rlz_substring_dedup,
         op5_rendezvous_sharding,
