@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_chunks, ngram_join, pii_surrogates, rendezvous, rlz_dedup, sentencepiece_sampling, spotsigs, suffix_dedup
+from . import cotraining, decontaminate, line_chunks, ngram_join, pii_surrogates, rendezvous, rlz_dedup, sentencepiece_sampling, spotsigs, suffix_dedup
 from .common import read
 
 #: Public vocabulary file, on each machine.
@@ -24,6 +24,12 @@ def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_surrogates.replace(read(spark, sf_dir, "documents").select("doc_id", "text"), key="surrogate key 1")
 
 
+def op3_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated probabilities of good quality of each document, by either view and by both."""
+    out = cotraining.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return out.select("doc_id", "quality.*", "keep")
+
+
 def op4_rlz_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rlz_dedup.deduplicate(read(spark, sf_dir, "documents"), window=13)
 
@@ -58,6 +64,7 @@ def queries() -> dict[str, Query]:
     own = (
         op1_sentencepiece_sampling,
         op2_pii_surrogates,
+        op3_cotrained_quality,
         op4_rlz_substring_dedup,
         op5_rendezvous_sharding,
         op6_suffix_array_dedup,

@@ -339,7 +339,7 @@ def log_inclusion(log_prob: float, bound: float) -> float:
     return x if x < -30 else float(np.log(-np.expm1(-np.exp(min(x, 700.0)))))
 
 
-def _encode(vocabulary, k: int, alpha: float, id_type: pa.DataType):
+def _encode(vocabulary, k: int, alpha: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(vocabulary.value, alpha)
         for batch in batches:
@@ -393,7 +393,7 @@ def encode(docs: DataFrame, model_file: str, k: int = 2, alpha: float = 0.3, see
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model_file))  # of the model's size, read on the driver
     rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.lit(seed), F.col(doc_id)).alias("key"), F.col(text).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(_encode(vocabulary, k, alpha, None), RESULT_DDL.format(id=kind))
+    return rows.mapInArrow(_encode(vocabulary, k, alpha), RESULT_DDL.format(id=kind))
 
 
 def decode_ids(pieces: list[bytes], ids) -> str:
@@ -408,7 +408,7 @@ def piece_bytes(v: Vocabulary) -> list[bytes]:
     return out
 
 
-def _decode(vocabulary, column: int, schema: pa.Schema | None = None):
+def _decode(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = piece_bytes(vocabulary.value)
         for batch in batches:
@@ -425,4 +425,4 @@ def decode(encoded: DataFrame, model_file: str) -> DataFrame:
     names = [c for c in encoded.columns if c != "decoded"]
     encoded = encoded.select(*names)
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
-    return encoded.mapInArrow(_decode(vocabulary, 0), f"{ddl}, decoded string")
+    return encoded.mapInArrow(_decode(vocabulary), f"{ddl}, decoded string")
