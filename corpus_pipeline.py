@@ -1,12 +1,68 @@
-"""Five stages from raw documents to sampled token sequences."""
+"""Raw documents to sampled token sequences in five stages.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cistron.llm import cotraining, decontaminate, line_chunks, ngram_join, sentencepiece_sampling
+from cistron.llm.common import checkpoint, read
+from cistron.llm.queries import MODEL
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier keeps."""
+    return cotraining.score(docs, read(spark, sf_dir, "labels")).where("keep").select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without chunks of lines that occur earlier; n_chars is that of the text that is left."""
+    out = line_chunks.deduplicate(docs)
+    columns = {"text": F.col("text"), "n_chars": F.coalesce(F.length("text").cast("long"), F.col("row.n_chars").cast("long"))}
+    return out.select(*(columns.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents that links of 0.8 join (five-word shingles), the one with the smallest id.
+
+    A document without words or without id stays; of equal rows one stays.
+    """
+    groups = checkpoint(ngram_join.cluster(docs, size=5, share=(80, 100)))
+    late = checkpoint(groups.where("doc_id <> component_id").select("doc_id").distinct())
+    few = late.count() <= ngram_join.WANTED
+    out = docs.join(F.broadcast(late) if few else late, "doc_id", "left_anti").select(*docs.columns)
+    if groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return out
+    return out.where("doc_id is null").unionByName(out.where("doc_id is not null").dropDuplicates(["doc_id", "text"]))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    return decontaminate.remove_documents(docs, read(spark, sf_dir, "benchmark"), size=10).select(*docs.columns)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Two different sampled segmentations of each document."""
+    return sentencepiece_sampling.encode(docs, MODEL, k=2).withColumnRenamed("id", "doc_id")
+
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", quality),
+    ("line dedup", lines),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("SentencePiece encoding", encoding),
+]
+#: SQL can't express the classifier and the sampling.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over documents; each stage's result is cut off in the shared folder."""
+    docs = read(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = checkpoint(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
