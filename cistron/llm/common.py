@@ -69,6 +69,17 @@ def utf8(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about `most` bytes of one column, one row at least."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
+    ends = np.cumsum(sizes)
+    a = 0
+    while a < batch.num_rows:
+        z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, side="right")))
+        yield batch.slice(a, z - a)
+        a = z
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays of non-negative integers, each in the narrowest type that holds it."""
     out = []

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, block_count, checkpoint, pack, split_by, unpack, utf8
+from .common import LAST_ID, block_count, checkpoint, pack, slices, split_by, unpack, utf8
 from .components import components
 from .hashing import ASCII_LOWER, grams, mix, span_hashes, spans
 
@@ -70,7 +70,7 @@ def _facts(size: int, seed: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters, salt = np.zeros(COUNTERS, dtype=np.int64), 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             b = _Batch(batch.column("text"), size, seed)
             for a in range(0, len(b.all), 1 << 20):
                 counters += np.bincount((b.all[a : a + (1 << 20)] >> np.uint64(44)).astype(np.int64), minlength=COUNTERS)
@@ -109,9 +109,9 @@ def _prefixes(size: int, seed: int, share: tuple[int, int], buckets: int, estima
         counts = estimate.value
         usual = int(np.median(counts))
         seen: set[int] = set()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             b = _Batch(batch.column("text"), size, seed)
-            token, node, n_of, level, asked = [], [], [], [], []
+            token, node, n_of, place, asked = [], [], [], [], []
             for s, n, key in zip(b.sets, b.n.tolist(), b.key.tolist(), strict=True):
                 if not n or key in seen:
                     continue
@@ -126,41 +126,43 @@ def _prefixes(size: int, seed: int, share: tuple[int, int], buckets: int, estima
                 token.append(s[take])
                 node.append(np.full(len(take), key, dtype=np.int64))
                 n_of.append(np.full(len(take), n, dtype=np.int64))
-                level.append(np.maximum(np.arange(len(take)) - plain + 2, 1))
+                place.append(np.arange(len(take)))
                 asked.append(np.full(len(take), ask, dtype=np.int64))
             if token:
-                token, node, n_of, level, asked = (np.concatenate(x) for x in (token, node, n_of, level, asked))
+                token, node, n_of, place, asked = (np.concatenate(x) for x in (token, node, n_of, place, asked))
                 cut = split_by((token >> np.uint64(4)) % np.uint64(buckets), buckets)
-                rows = [pack(token[i], node[i].view(np.uint64), n_of[i], level[i], asked[i]) for _, i in cut]
+                rows = [pack(token[i], node[i].view(np.uint64), n_of[i], place[i], asked[i]) for _, i in cut]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in cut], pa.int32()), pa.array(rows, pa.binary())], names=["bucket", "payload"])
 
     return run
 
 
-_PAIRS = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int64()), ("need", pa.int64()), ("token", pa.int64()), ("n", pa.int64()), ("level", pa.int64())])
-_PAIRS_DDL = "kind int, a long, b long, shared long, need long, token long, n long, level long"
+_PAIRS = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int64()), ("need", pa.int64()), ("strict", pa.int64()), ("lead", pa.int64()), ("token", pa.int64()), ("n", pa.int64()), ("place", pa.int64())])
+_PAIRS_DDL = "kind int, a long, b long, shared long, need long, strict long, lead long, token long, n long, place long"
 
 
 def _candidates(share: tuple[int, int]):
-    """Pairs of nodes and how many prefix shingles of this bucket they share (kind 0); members of large groups (kind 1)."""
+    """Pairs of nodes and how many prefix shingles of this bucket they share, of those how many strictly first ones, and of
+    these how many of large groups (kind 0); members of large groups by their strictly first shingles (1) and by any (2)."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         parts = [unpack(p) for p in table.column("payload").to_pylist()]
         token, node = (np.concatenate([p[j].astype(np.uint64) for p in parts]) for j in (0, 1))
-        n, level, asked = (np.concatenate([p[j] for p in parts]) for j in (2, 3, 4))
+        n, place, asked = (np.concatenate([p[j] for p in parts]) for j in (2, 3, 4))
         order = np.argsort(token, kind="stable")
         same = token[order][1:] == token[order][:-1]
         order = order[np.append(same, False) | np.insert(same, 0, False)]
-        order = order[np.lexsort((node[order], token[order]))]
+        order = order[np.lexsort((node[order], place[order], token[order]))]
         fresh = np.insert((token[order][1:] != token[order][:-1]) | (node[order][1:] != node[order][:-1]), 0, True)[: len(order)]
         order = order[fresh]  # one set met by several tasks
-        token, node, n, level, asked = (x[order] for x in (token, node, n, level, asked))
+        token, node, n, place, asked = (x[order] for x in (token, node, n, place, asked))
         head = np.flatnonzero(np.insert(token[1:] != token[:-1], 0, True)[: len(token)])
         count = np.diff(np.append(head, len(token)))
         left, right = [], []
         rank = np.arange(len(token)) - np.repeat(head, count)
         of = np.repeat(count, count)
-        # all pairs of small groups, pairs with the leaders of large ones: by distance, or by leader
+        # all pairs of small groups, by distance; in large ones pairs with the leaders, which have the shingle earliest:
+        # those have the fewest rarer ones, so they are nearest to what the group was copied from
         for d in range(1, SMALL):
             i = np.flatnonzero((of <= SMALL) & (rank + d < of))
             left.append(i)
@@ -170,21 +172,34 @@ def _candidates(share: tuple[int, int]):
             left.append(i - rank[i] + leader)
             right.append(i)
         left, right = np.concatenate(left), np.concatenate(right)
+        swap = node[left].view(np.int64) > node[right].view(np.int64)
+        left, right = np.where(swap, right, left), np.where(swap, left, right)
         need = np.minimum(asked[left], asked[right])
         low, high = np.minimum(n[left], n[right]), np.maximum(n[left], n[right])
-        ok = (low * share[1] >= high * share[0]) & (np.maximum(level[left], level[right]) <= need)
-        left, right, need = left[ok], right[ok], need[ok]
+        # for sets of these sizes, `inter` are in common; the first n - inter + l of each then share l, for any l
+        inter = ceil_share(n[left] + n[right], (share[0], share[0] + share[1]))
+        ok = (low * share[1] >= high * share[0]) & (place[left] < n[left] - inter + need) & (place[right] < n[right] - inter + need)
+        left, right, need, inter = left[ok], right[ok], need[ok], inter[ok]
         by = np.lexsort((node[right], node[left]))
-        left, right, need = left[by], right[by], need[by]
+        left, right, need, inter = left[by], right[by], need[by], inter[by]
         fresh = np.insert((node[left][1:] != node[left][:-1]) | (node[right][1:] != node[right][:-1]), 0, True)[: len(left)]
         at = np.flatnonzero(fresh)
         shared = np.diff(np.append(at, len(left)))
+        strict = (place[left] <= n[left] - inter) & (place[right] <= n[right] - inter)
+        strict, lead = (np.add.reduceat(x.astype(np.int64), at) if len(at) else at for x in (strict, strict & (of[left] > SMALL)))
         a, b = (node[x[at]].view(np.int64) for x in (left, right))
-        big = np.flatnonzero(of > SMALL)
-        zero, none = np.zeros(len(big), dtype=np.int64), np.zeros(len(at), dtype=np.int64)
+        big = np.flatnonzero((of > SMALL) & (place <= n - ceil_share(n, share)))
+        within = np.unique(node[of > SMALL]).view(np.int64)
+        zero, none, other = (np.zeros(len(x), dtype=np.int64) for x in (big, at, within))
         columns = [
             np.concatenate(x)
-            for x in ((none, zero + 1), (a, node[big].view(np.int64)), (b, zero), (shared, zero), (need[at], asked[big]), (none, token[big].view(np.int64)), (none, n[big]), (none, level[big]))
+            for x in (
+                (none, zero + 1, other + 2),
+                (a, node[big].view(np.int64), within),
+                (b, zero, other),
+                *((c, zero, other) for c in (shared, need[at], strict, lead)),
+                *((none, c, other) for c in (token[big].view(np.int64), n[big], place[big])),
+            )
         ]
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, _PAIRS, strict=True)], schema=_PAIRS)
 
@@ -193,7 +208,7 @@ def _candidates(share: tuple[int, int]):
 
 def _sets(size: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             b = _Batch(batch.column("text"), size, seed)
             yield pa.RecordBatch.from_arrays([pa.array(b.key), pa.array([s.tobytes() for s in b.sets], pa.binary())], names=["node", "members"])
 
@@ -252,24 +267,33 @@ def cluster(docs: DataFrame, size: int = 5, share: tuple[int, int] = (80, 100),
     buckets = block_count(docs)
     prefixes = docs.select("text").mapInArrow(_prefixes(size, seed, share, buckets, estimate), "bucket int, payload binary")
     found = checkpoint(prefixes.groupBy("bucket").applyInArrow(_candidates(share), _PAIRS_DDL))
-    pairs = found.where("kind = 0").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).where("shared >= need").select("a", "b")
-    links = _links(docs, homes, pairs, size, seed, share)
+    sums = found.where("kind = 0").groupBy("a", "b").agg(*(f(c).alias(c) for f, c in ((F.sum, "shared"), (F.min, "need"), (F.sum, "strict"), (F.sum, "lead"))))
+    sums = checkpoint(sums)
+    # enough in common, or one of the strictly first shingles with the leader of a large group
+    tried = F.expr("shared >= need or lead > 0")
+    links = _links(docs, homes, sums.where(tried).select("a", "b"), size, seed, share)
     roots = components(links)
-    # what large groups have left: pairs in different components that share enough of the groups' shingles
-    large = found.where("kind = 1").select("token", F.col("a").alias("node"), "n", "level", F.col("need").alias("asked"))
+    # A link that was not tried has a shingle among the strictly first ones of both in common, and at least one of a large
+    # group further on. Either the former is of a large group as well, or it is of a small one and both are in large ones.
+    large = found.where("kind = 1").select("token", F.col("a").alias("node"), "n", "place")
+    members = found.where("kind = 2").select(F.col("a").alias("node")).distinct()
     large = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = large.groupBy("token").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("token")
-    large = checkpoint(large.join(split, "token", "left_semi"))
-    if not large.isEmpty():
-        x, y = (large.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "level", "asked", "root"))) for s in "xy")
-        rest = x.join(y, "token").where(f"node_x < node_y and root_x <> root_y and least(n_x, n_y) * {share[1]} >= greatest(n_x, n_y) * {share[0]} and greatest(level_x, level_y) <= least(asked_x, asked_y)")
-        rest = rest.groupBy(F.col("node_x").alias("a"), F.col("node_y").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("asked_x", "asked_y")).alias("need"))
-        # a pair may share more in small groups: any pair in reach is verified once its large groups and the others' share together could do
-        rest = rest.join(found.where("kind = 0").groupBy("a", "b").agg(F.sum("shared").alias("more")), ["a", "b"], "left")
-        rest = checkpoint(rest.where("shared + coalesce(more, 0) >= need").select("a", "b"))
-        if not rest.isEmpty():
-            links = links.union(_links(docs, homes, rest, size, seed, share))
-            roots = components(links)
+    large = large.join(split, "token", "left_semi")
+    x, y = (large.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "place", "root"))) for s in "xy")
+    inter = f"ceil((n_x + n_y) * {share[0]} / {sum(share)})"
+    rest = x.join(y, "token").where(
+        f"node_x < node_y and root_x <> root_y and least(n_x, n_y) * {share[1]} >= greatest(n_x, n_y) * {share[0]} and place_x <= n_x - {inter} and place_y <= n_y - {inter}"
+    )
+    rest = rest.select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
+    both = sums.where(~tried & (F.col("strict") > 0)).select("a", "b")
+    for side in "ab":
+        both = both.join(members.select(F.col("node").alias(side)), side, "left_semi").join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
+    both = both.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    rest = checkpoint(rest.union(both).distinct())
+    if not rest.isEmpty():
+        links = links.union(_links(docs, homes, rest, size, seed, share))
+        roots = components(links)
     reach = roots.join(homes.withColumnRenamed("key", "node"), "node")
     least = reach.groupBy("root").agg(F.min("home").alias("component_id"))
     named = reach.join(least, "root").select(F.col("node").alias("key"), "component_id")
