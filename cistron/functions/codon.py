@@ -126,16 +126,19 @@ def _enc_of(joined: Column) -> Column:
 
         return let(F.aggregate(k, F.lit(0.0), lambda a, x: a + x), of)
 
-    sizes: dict[int, list[Column]] = {2: [], 3: [], 4: [], 6: []}
-    for codes in K.SYNONYMS.values():
-        if len(codes) > 1:
-            counts = F.array(*((F.length(joined) - F.length(F.translate(joined, chr(48 + ALL.index(x)), ""))).cast("double") for x in codes))
-            sizes[len(codes)].append(let(counts, homozygosity))
-    total = F.lit(2.0)
-    for size, weight in ((2, 9.0), (3, 1.0), (4, 5.0), (6, 3.0)):
-        there = F.filter(F.array(*sizes[size]), lambda v: v.isNotNull())
-        total = total + F.lit(weight) / F.greatest(F.coalesce(_mean(there), F.lit(1.0)), F.lit(1e-6))
-    return F.least(total, F.lit(61.0))
+    families = [v for v in K.SYNONYMS.values() if len(v) > 1]
+    letters = F.array(*(F.array(*(F.lit(chr(48 + ALL.index(c))) for c in v)) for v in families))
+    counts = lambda v: F.transform(v, lambda x: (F.length(joined) - F.length(F.replace(joined, x, F.lit("")))).cast("double"))
+    values = F.transform(letters, lambda v: F.struct(F.size(v).alias("size"), let(counts(v), homozygosity).alias("f")))
+
+    def number_of(all_values: Column) -> Column:
+        total = F.lit(2.0)
+        for size, weight in ((2, 9.0), (3, 1.0), (4, 5.0), (6, 3.0)):
+            there = F.transform(F.filter(all_values, lambda x, size=size: (x["size"] == size) & x["f"].isNotNull()), lambda x: x["f"])
+            total = total + F.lit(weight) / F.greatest(F.coalesce(_mean(there), F.lit(1.0)), F.lit(1e-6))
+        return F.least(total, F.lit(61.0))
+
+    return let(values, number_of)
 
 
 def codon_features(s: Column) -> dict[str, Column]:

@@ -73,6 +73,36 @@ def seeds(codes: np.ndarray, k: int = K.SEED, gap: int = K.GAP) -> Iterator[tupl
         a = z
 
 
+def telling(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the seeds within one run of matching bases the first, the middle and the last.
+
+    How much of the budget a seed's walk spends towards the loop only grows from the first to the last seed of a run, and
+    from a seed in the middle one mismatch goes to either side; so these three reach whatever the others do.
+    """
+    order = np.lexsort((i, i + j))
+    i, j = i[order], j[order]
+    head = np.flatnonzero(np.insert((np.diff(i + j) != 0) | (np.diff(i) != 1), 0, True)) if len(i) else i
+    last = np.append(head[1:], len(i)) - 1 if len(i) else i
+    pick = np.unique(np.concatenate([head, last, (head + last) // 2]))
+    return i[pick], j[pick]
+
+
+def seeds_on(codes: np.ndarray, sums: np.ndarray, k: int, gap: int = K.GAP) -> tuple[np.ndarray, np.ndarray]:
+    """All seeds whose places add up, with those of their last bases, to one of `sums` (of i + j)."""
+    n, out = len(codes), []
+    for s in sums.tolist():
+        # bases p and s + k - 1 - p are opposite; seeds start at p where k in a row match
+        low, high = max(0, s + k - n), (s - k - gap) // 2
+        if high < low:
+            continue
+        p = np.arange(low, high + k)
+        match = np.concatenate(([0], np.cumsum((codes[p] < 4) & (codes[p] + codes[s + k - 1 - p] == 3))))
+        at = low + np.flatnonzero(match[k:] - match[:-k] == k)
+        out.append(np.stack([at, s - at]))
+    i, j = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+    return i, j
+
+
 def extend(codes: np.ndarray, i: np.ndarray, j: np.ndarray, k: int = K.SEED, budget: int = K.MISMATCHES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Arms (x1, x2, y1, y2) that each seed grows into."""
     n = len(codes)
@@ -110,6 +140,7 @@ def longest(codes: np.ndarray, k: int = K.SEED, budget: int = K.MISMATCHES) -> t
     count = exact = near = 0
     for i, j in seeds(codes, k):
         count += len(i)
+        i, j = telling(i, j)
         x1, x2, _, _ = extend(codes, i, j, k, 0)
         exact = max(exact, int((x2 - x1).max()) + 1)
         x1, x2, _, _ = extend(codes, i, j, k, budget)
@@ -121,13 +152,67 @@ def spans(codes: np.ndarray, k: int = K.SEED, budget: int = K.MISMATCHES, near:
     """Longest duplex, and the different arms (x1, x2, y1, y2) of those at most `near` shorter."""
     best, kept = 0, np.zeros((0, 4), dtype=np.int64)
     for i, j in seeds(codes, k):
-        arms = np.stack(extend(codes, i, j, k, budget), axis=1)
+        arms = np.stack(extend(codes, *telling(i, j), k, budget), axis=1)
         length = arms[:, 1] - arms[:, 0] + 1
         best = max(best, int(length.max()))
         kept = np.unique(np.concatenate([kept, arms[length >= max(k, best - near)]]), axis=0)
     return best, kept[kept[:, 1] - kept[:, 0] + 1 >= max(k, best - near)]
 
 
+class Scan:
+    """All duplexes of a sequence, kept so that the effect of a swap costs what it touches."""
+
+    def __init__(self, codes: np.ndarray, k: int = K.SEED, budget: int = K.MISMATCHES) -> None:
+        self.codes, self.k, self.budget = codes, k, budget
+        found = [telling(i, j) for i, j in seeds(codes, k)]
+        self.i, self.j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*found, strict=True)) if found else np.zeros((2, 0), np.int64)
+        self.arms = np.stack(extend(codes, self.i, self.j, k, budget), axis=1)
+        self.length = self.arms[:, 1] - self.arms[:, 0] + 1
+        self.best = int(self.length.max()) if len(self.length) else 0
+
+    def near_best(self, near: int = K.REPAIR_NEAR) -> np.ndarray:
+        """The different arms of duplexes at most `near` shorter than the longest."""
+        return np.unique(self.arms[self.length >= max(self.k, self.best - near)], axis=0)
+
+    def after(self, p: int, bases: np.ndarray) -> int:
+        """Longest duplex with other bases at the places from p on.
+
+        A seed's walk reads one base beyond each end of its arms; seeds that read none of the places stay as they are.
+        """
+        q, k = p + len(bases) - 1, self.k
+        x1, x2, y1, y2 = self.arms.T
+        read = ((x1 - 1 <= q) & (x2 + 1 >= p)) | ((y1 - 1 <= q) & (y2 + 1 >= p))
+        best = int(self.length[~read].max()) if not read.all() else 0
+        if best >= self.best:
+            return best
+        codes = self.codes.copy()
+        codes[p : q + 1] = bases
+        sums = [(self.i + self.j)[read]]
+        n = len(codes) - k + 1
+        windows = np.lib.stride_tricks.sliding_window_view(codes, k) if n > 0 else np.zeros((0, k), np.int64)
+        for at in range(max(0, p - k + 1), min(n - 1, q) + 1):
+            if (windows[at] > 3).any():
+                continue
+            other = np.arange(n)
+            for d in range(k):  # narrowed base by base
+                other = other[codes[other + d] == 3 - codes[at + k - 1 - d]]
+            sums.append(other[np.abs(other - at) >= k + K.GAP] + at)
+        # the longest so far first, until one is no shorter than before
+        order = np.argsort(-self.length[read], kind="stable")
+        sums[0] = sums[0][order]
+        every = np.concatenate(sums)
+        _, first = np.unique(every, return_index=True)
+        every = every[np.sort(first)]
+        for a in range(0, len(every), 16):
+            i, j = telling(*seeds_on(codes, every[a : a + 16], k))
+            if len(i):
+                x1, x2, _, _ = extend(codes, i, j, k, self.budget)
+                best = max(best, int((x2 - x1).max()) + 1)
+                if best >= self.best:
+                    break
+        return best
+
+
 def selfcomp_scan(seqs: DataFrame, seq: str = "raw", k: int = K.SEED, budget: int = K.MISMATCHES) -> DataFrame:
     """(seq_id, n_seed_pairs, exact, near): a null or short sequence has none."""
 

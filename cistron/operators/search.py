@@ -220,22 +220,26 @@ def refine(seqs: DataFrame, scorer: Scorer, rounds: int = K.REFINE_ROUNDS, seq:
 def breaks_any_pair(codes: np.ndarray, arms: np.ndarray, at: int, alt: int) -> bool:
     """Whether the swap leaves a base of some duplex without its complement (or finds it so)."""
     p = at * 3 + np.arange(3)
-    for x1, x2, y1, y2 in arms.tolist():
-        q = x1 + y2 - p
-        inside = ((x1 <= p) & (p <= x2) & (y1 <= q) & (q <= y2)) | ((y1 <= p) & (p <= y2) & (x1 <= q) & (q <= x2))
-        if (codes[q[inside]] + _BASES[alt][inside] != 3).any():
-            return True
-    return False
+    x1, x2, y1, y2 = (arms[:, k, None] for k in range(4))
+    q = x1 + y2 - p
+    inside = ((x1 <= p) & (p <= x2) & (y1 <= q) & (q <= y2)) | ((y1 <= p) & (p <= y2) & (x1 <= q) & (q <= x2))
+    partner = codes[np.where(inside, q, 0)]
+    return bool((inside & (partner + _BASES[alt] != 3)).any())
 
 
-def variants_breaking(c: np.ndarray, arms: np.ndarray) -> list[tuple[int, int]]:
-    """Swaps of codons at the arms that break a pair. The codon of an arm's last base counts unless it starts there."""
+def variants_breaking(c: np.ndarray, arms: np.ndarray, only: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Swaps of codons at the arms that break a pair. The codon of an arm's last base counts unless it starts there.
+
+    only: whether each codon is of interest.
+    """
     codes = _BASES[c].ravel()
-    places: set[int] = set()
-    for x1, x2, y1, y2 in arms.tolist():
-        for a, b in ((x1, x2), (y1, y2)):
-            places.update(range(max(0, a // 3), min(len(c) - 1, (b - 1) // 3) + 1))
-    return [(i, alt) for i in sorted(places) for alt in _ALT[c[i]] if breaks_any_pair(codes, arms, i, alt)]
+    edge = np.zeros(len(c) + 2, dtype=np.int64)
+    for a, b in ((arms[:, 0], arms[:, 1]), (arms[:, 2], arms[:, 3])):
+        np.add.at(edge, np.maximum(a // 3, 0), 1)
+        np.add.at(edge, np.minimum((b - 1) // 3, len(c) - 1) + 1, -1)
+    touched = np.cumsum(edge)[: len(c)] > 0
+    places = np.flatnonzero(touched & only if only is not None else touched).tolist()
+    return [(i, alt) for i in places for alt in _ALT[c[i]] if breaks_any_pair(codes, arms, i, alt)]
 
 
 def _metrics(c: np.ndarray, scorer: Scorer) -> tuple[float, float, float, int, int, float]:
@@ -251,7 +255,8 @@ def repair_one(c: np.ndarray, scorer: Scorer, rounds: int = K.REPAIR_ROUNDS) ->
     Codons, swaps, longest duplex before and after, score before and after.
     """
     base = _metrics(c, scorer)
-    before, arms = duplex.spans(_BASES[c].ravel())
+    scan = duplex.Scan(_BASES[c].ravel())
+    before, arms = scan.best, scan.near_best()
     if before < K.REPAIR_LEAST:
         return c, 0, before, before, base[0], base[0]
     now, swaps = before, 0
@@ -259,25 +264,29 @@ def repair_one(c: np.ndarray, scorer: Scorer, rounds: int = K.REPAIR_ROUNDS) ->
         best = None
         # a duplex of the greatest length that a swap doesn't touch stays as long
         top = arms[arms[:, 1] - arms[:, 0] + 1 >= now]
-        for i, alt in variants_breaking(c, arms):
-            p, q = i * 3, i * 3 + 2
-            if not (((top[:, 0] <= q) & (top[:, 1] >= p)) | ((top[:, 2] <= q) & (top[:, 3] >= p))).all():
+        first = np.arange(len(c)) * 3
+        useful = np.ones(len(c), dtype=bool)
+        for x1, x2, y1, y2 in top.tolist():
+            useful &= ((first + 2 >= x1) & (first <= x2)) | ((first + 2 >= y1) & (first <= y2))
+            if not useful.any():
+                break
+        for i, alt in variants_breaking(c, arms, useful):
+            length = scan.after(i * 3, _BASES[alt])
+            if length >= now or (best is not None and length > best[0][0]):
                 continue
             d = c.copy()
             d[i] = alt
             m = _metrics(d, scorer)
             ok = m[0] >= base[0] - K.GATE_SCORE and m[1] >= base[1] - K.GATE_NAT and m[2] >= base[2] - K.GATE_CAI and m[3] <= base[3] and m[4] <= base[4] and K.GC_LO <= m[5] <= K.GC_HI
-            if not ok:
-                continue
-            length, _ = duplex.spans(_BASES[d].ravel())
-            if length < now and (best is None or (length, -m[0]) < best[0]):
+            if ok and (best is None or (length, -m[0]) < best[0]):
                 best = ((length, -m[0]), d, length)
         if best is None:
             break
         c, now, swaps = best[1], best[2], swaps + 1
         if now <= K.REPAIR_AIM:
             break
-        _, arms = duplex.spans(_BASES[c].ravel())
+        scan = duplex.Scan(_BASES[c].ravel())
+        arms = scan.near_best()
     return c, swaps, before, now, base[0], score(c, scorer)
 
 
