@@ -132,11 +132,12 @@ def _enc_of(joined: Column) -> Column:
     values = F.transform(letters, lambda v: F.struct(F.size(v).alias("size"), let(counts(v), homozygosity).alias("f")))
 
     def number_of(all_values: Column) -> Column:
-        total = F.lit(2.0)
-        for size, weight in ((2, 9.0), (3, 1.0), (4, 5.0), (6, 3.0)):
-            there = F.transform(F.filter(all_values, lambda x, size=size: (x["size"] == size) & x["f"].isNotNull()), lambda x: x["f"])
-            total = total + F.lit(weight) / F.greatest(F.coalesce(_mean(there), F.lit(1.0)), F.lit(1e-6))
-        return F.least(total, F.lit(61.0))
+        def of_size(size: int) -> Column:
+            there = F.filter(all_values, lambda x: (x["size"] == size) & x["f"].isNotNull())
+            return F.greatest(F.coalesce(_mean(F.transform(there, lambda x: x["f"])), F.lit(1.0)), F.lit(1e-6))
+
+        terms = (F.lit(weight) / of_size(size) for size, weight in ((2, 9.0), (3, 1.0), (4, 5.0), (6, 3.0)))
+        return F.least(sum(terms, F.lit(2.0)), F.lit(61.0))
 
     return let(values, number_of)
 
