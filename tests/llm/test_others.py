@@ -1,0 +1,258 @@
+import collections
+import hashlib
+import math
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+import corpus_pipeline
+from cistron.llm import cotraining, decontaminate, pii_surrogates, rendezvous, spotsigs
+from cistron.llm import sentencepiece_sampling as sp
+from cistron.llm.hashing import mix
+from cistron.llm.queries import MODEL
+
+from .conftest import LOWER, by
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_registered():
+    names = entry.queries()
+    assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if re.match(r"op\d", n)} == set(range(1, 11))
+
+
+# --- 1
+
+
+def segmentations(v, lattice, text, alpha):
+    ids = {p: i for i, p in enumerate(v.pieces) if v.plain[i]}
+    done = []
+
+    def grow(at, path, weight):
+        if at == len(text):
+            done.append((tuple(path), weight))
+        elif text[at] not in ids:
+            grow(at + 1, path + [v.byte_ids[b] for b in text[at].encode()], weight)
+        else:
+            for z in range(at + 1, min(len(text), at + lattice.longest) + 1):
+                if text[at:z] in ids:
+                    grow(z, path + [ids[text[at:z]]], weight + alpha * v.weights[ids[text[at:z]]])
+
+    grow(0, [], 0.0)
+    total = np.logaddexp.reduce([w for _, w in done])
+    return {p: w - total for p, w in done}
+
+
+def test_sampling_is_the_distribution():
+    v = sp.Vocabulary.load(MODEL)
+    lattice, n = sp.Lattice(v, 0.3), 8000
+    exact = segmentations(v, lattice, sp.SPACE_MARK + "the" + sp.SPACE_MARK + "cat\nis", 0.3)
+    s = sp._Search(lattice, ["the cat\nis"] * n, mix(np.arange(n, dtype=np.uint64)), 3)
+    s.run_all()
+    samples = [s.ids(k) for k in range(3)]
+    first, pairs, total = collections.Counter(), collections.Counter(), []
+    for i in range(n):
+        paths = [tuple(ids[b[i] : b[i + 1]].tolist()) for ids, b in samples]
+        assert len(set(paths)) == 3
+        assert all(exact[p] == pytest.approx(w, abs=1e-9) for p, (w, _) in zip(paths, s.found[i], strict=True))
+        values = [g for _, g in s.found[i]] + [s.bound[i]]
+        assert values == sorted(values, reverse=True)
+        first[paths[0]] += 1
+        pairs[paths[0], paths[1]] += 1
+        total.append(sum(math.exp(w - sp.log_inclusion(w, s.found[i][2][1])) for w, _ in s.found[i][:2]))
+    assert max(abs(first[p] / n - math.exp(w)) for p, w in exact.items()) < 0.02
+    for (a, b), k in pairs.most_common(3):
+        assert k / n == pytest.approx(math.exp(exact[a] + exact[b]) / (1 - math.exp(exact[a])), abs=0.02)
+    assert np.mean(total) == pytest.approx(1, abs=0.05)  # inclusion scores make sums unbiased
+
+
+def test_encode_and_decode(spark):
+    rows = [(1, "Hello  wörld\n\t☃𝄞 ok"), (2, None), (3, ""), (None, "a"), (1, "Hello  wörld\n\t☃𝄞 ok"), (5, " "), (6, "x" * 3000)]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, ids int")
+    out = sp.decode(sp.encode(docs, MODEL, k=3), MODEL).collect()
+    assert all(r.decoded == dict(rows)[r.id] for r in out)
+    assert {r.id: r.n_pieces for r in out}[3] == 0 and not any(r.id == 2 for r in out)
+    assert sum(r.id == 1 for r in out) == 6 and len({tuple(r.ids) for r in out if r.id == 1}) == 3
+    again = sp.encode(docs.repartition(5), MODEL, k=3).collect()
+    assert by((r.id, r["sample"], r.perturbed, r.ids) for r in again) == by((r.id, r["sample"], r.perturbed, r.ids) for r in out)
+    assert sp.encode(docs.limit(0), MODEL).collect() == []
+
+
+# --- 2
+
+
+def test_surrogates(spark):
+    rows = [
+        (1, "Call Mr. John Smith at +1 (743) 555-3824, or Mrs Smith, mail HEIN.19@MAIL5.EXAMPLE.COM or hein.19@mail5.example.com."),
+        (2, None),
+        (3, ""),
+        (4, "ip 10.2.33.255. card 4111 1111 1111 1111 vs 4111111111111111 and 4111-1111-1111-1112; Version 2.0.1"),
+        (5, 'госпожа Анна Каренина; token = "f33e61083db5dbdf4bd2369d2f80176e57f7fda2" SSN 123-45-6789 tel +17435553824'),
+        (6, "clean text. The end"),
+        (6, "clean text. The end"),
+    ]
+    docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, row string, n_entities string")
+    out = pii_surrogates.replace(docs, "key")
+    assert out.columns == ["doc_id", "text", "row", "n_entities"]
+    got = {r.doc_id: r.text for r in out.collect()}
+    assert got[2] is None and got[3] == "" and got[6] == rows[5][1] and out.where("doc_id = 6").count() == 2
+    for secret in ("John", "Smith", "743", "hein", "HEIN", "4111", "10.2.33.255", "Каренина", "f33e61", "123-45"):
+        assert not any(secret in (t or "") for t in got.values()), secret
+    one = re.fullmatch(r"Call Mr\. (\S+) (\S+) at \+(\d) \((\d{3})\) (\d{3})-(\d{4}), or Mrs (\S+), mail ([A-Z.0-9@]+) or ([a-z.0-9@]+)\.", got[1])
+    assert one[2] == one[7] and one[8].lower() == one[9]
+    male = set(pii_surrogates.GIVEN["latin", "m"].split())
+    assert set(one[1].split("-")) <= male
+    assert f"+{one[3]}{one[4]}{one[5]}{one[6]}" in got[5]
+    four = re.fullmatch(r"ip ([\d.]+)\. card (\d{4} \d{4} \d{4} \d{4}) vs (\d{16}) and (\d{4}-\d{4}-\d{4}-\d{4}); Version 2\.0\.1", got[4])
+    assert four[2].replace(" ", "") == four[3] != four[4].replace("-", "")
+    assert re.match(r"госпожа \w+ \w+; token", got[5]) and pii_surrogates.replace(docs.limit(0), "key").collect() == []
+    assert by(out.collect()) != by(pii_surrogates.replace(docs, "other").collect())
+
+
+def test_surrogates_stay_distinct(spark):
+    rows = [(i, f"Mr {chr(65 + i % 26)}{'abcdefgh'[i // 26]}no Bauer") for i in range(150)]
+    out = pii_surrogates.replace(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()
+    assert len({r.text for r in out}) == 150
+
+
+def test_no_entity_is_left(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    pattern = re.compile(r"\S+@\S+\.\w+|\b\d{16}\b|\b\d{1,3}(?:\.\d{1,3}){3}\b|\b[0-9a-f]{40}\b|\+\d \(\d{3}\) \d{3}-\d{4}")
+    for r in pii_surrogates.replace(docs.select("doc_id", "text"), "key").collect():
+        found = pattern.findall(texts[r.doc_id])
+        assert not any(f in r.text for f in found)
+        assert r.n_entities > 0 or r.text == texts[r.doc_id]
+
+
+# --- 3
+
+
+def test_quality(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    scored = cotraining.score(docs, labels.where("doc_id % 2 = 0")).where("doc_id % 2 = 1").select("doc_id", "quality.p_quality", "keep")
+    held = scored.join(labels.withColumnRenamed("quality", "y"), "doc_id").collect()
+    assert np.mean([r.keep == (r.y == 1) for r in held]) > 0.95
+    assert np.mean([r.keep for r in held if r.y == 1]) > 0.99
+    rows = spark.createDataFrame([(1, None, None, None, None, "q"), (2, "", "a", "b", 3, "q"), (None, "x" * 9, "en", "s", 5, "q")], "doc_id long, text string, lang string, source string, n_chars long, quality string")
+    assert all(r.keep for r in cotraining.score(rows, labels.limit(0)).collect())
+    assert cotraining.score(rows.limit(0), labels.limit(20)).collect() == []
+
+
+# --- 5
+
+
+def test_rendezvous(docs, rows, empty):
+    out = rendezvous.assign(docs, [1.0] * 7, [1.0] * 8).collect()
+    assert by((r.doc_id, r.size, r.text_crc32) for r in out) == by((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in rows)
+    assert all(r.grown_shard in (r.shard, 7) for r in out)
+    for s in {r.shard for r in out}:
+        slots = [r.slot for r in out if r.shard == s]
+        assert sorted(slots) == list(range(len(slots)))
+    assert len({(r.doc_id, r.shard, r.grown_shard) for r in out}) == len({i for i, _ in rows})
+    assert rendezvous.assign(empty, [1.0]).collect() == []
+    with pytest.raises(ValueError):
+        rendezvous.assign(docs, [1.0, 0.0])
+
+
+def test_rendezvous_weights(spark):
+    ids = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))
+    sizes = collections.Counter(r.shard for r in rendezvous.assign(ids, [1.0, 2.0, 5.0]).collect())
+    assert [sizes[s] / 20000 for s in range(3)] == pytest.approx([1 / 8, 2 / 8, 5 / 8], abs=0.02)
+
+
+# --- 7
+
+
+def plain_signatures(text):
+    breaks = "".join(re.escape(chr(b)) for b in range(128) if not chr(b).isalnum())
+    w = re.findall(f"[^{breaks}]+", text.translate(LOWER))
+    anchors = {x for line in spotsigs.ANCHORS for x in line.split()}
+    out = set()
+    for i, x in enumerate(w):
+        if x in anchors and (chain := [y for y in w[i + 1 :] if y not in anchors][:3]):
+            out.add((x, *chain))
+    return out or {tuple(w[i : i + 4]) for i in range(len(w))}
+
+
+@pytest.mark.parametrize("block_bytes", [300, 1 << 20])
+def test_spotsigs(docs, rows, block_bytes):
+    order = sorted(((2**63 - 1 if i is None else i), t or "") for i, t in rows)
+    likeness = lambda a, b: round(len(a & b) / len(a | b), 9) if a | b else 1.0
+    want = []
+    for k, (i, t) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        changed = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        own, other = plain_signatures(t), plain_signatures(changed)
+        want.append((None if i == 2**63 - 1 else i, len(t), hashlib.sha256(changed.encode()).hexdigest(), len(own), len(other), likeness(own, other), likeness(own, plain_signatures(after))))
+    out = spotsigs.compare_with_next(docs, block_bytes=block_bytes).collect()
+    size = lambda f: int(f.split(":")[0], 16)
+    got = [(r.doc_id, r.n_chars, r.edited_sha256, size(r.fingerprint), size(r.edited_fingerprint), round(r.near_edited, 9), round(r.near_next, 9)) for r in out]
+    assert by(got) == by(want)
+
+
+def test_likeness_prunes():
+    a, b = np.arange(100, dtype=np.uint32), np.arange(50, 150, dtype=np.uint32)
+    assert spotsigs.likeness(a, b) == pytest.approx(1 / 3)
+    assert spotsigs.likeness(a, b, 0.5) == 0 == spotsigs.likeness(a, a[:30], 0.5) and spotsigs.likeness(a, a, 1.0) == 1
+
+
+def test_spotsigs_empty(empty):
+    assert spotsigs.compare_with_next(empty).collect() == []
+
+
+# --- 10
+
+
+def plain_hits(rows, items, size=10):
+    word = re.compile(decontaminate.WORD)
+    windows = collections.defaultdict(set)
+    for i, t in items:
+        w = word.findall((t or "").translate(LOWER))
+        for k in range(max(1, len(w) - size + 1) if w else 0):
+            windows[tuple(w[k : k + size])].add("" if i is None else str(i))
+    for i, t in rows:
+        w = word.findall((t or "").translate(LOWER))
+        hit, found = set(), set()
+        for n in {len(x) for x in windows}:
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) in windows:
+                    hit.update(range(k, k + n))
+                    found |= windows[tuple(w[k : k + n])]
+        yield i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
+
+
+def test_decontaminate(spark, docs, rows, empty, monkeypatch):
+    text = dict(rows)[306].split(" ")
+    items = [(10, " ".join(text[40:60]).upper()), (9, "A-a"), (2, None), (3, " ... "), (None, " ".join(text[70:82])), (10, "xyz unseen")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = by(plain_hits(rows, items))
+    assert by(map(tuple, decontaminate.report(docs, bench).collect())) == want and sum(w[5] for w in want) >= 2
+    monkeypatch.setattr(decontaminate, "WINDOWS_AT_ONCE", 3)  # several passes
+    assert by(map(tuple, decontaminate.report(docs, bench).collect())) == want
+    clean = decontaminate.remove_documents(docs, bench)
+    assert clean.columns == docs.columns and clean.count() == sum(not w[5] for w in want)
+    cut = decontaminate.remove_spans(docs, bench)
+    assert cut.count() == len(rows) and cut.columns == docs.columns
+    assert decontaminate.report(empty, bench).collect() == []
+    assert not any(r.contaminated for r in decontaminate.report(docs, bench.limit(0)).collect())
+
+
+# --- pipeline
+
+
+def test_pipeline(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs
+        docs = spark.createDataFrame(stage(spark, docs, SF).toPandas(), before.schema)
+        assert docs.columns == before.columns and docs.count() <= before.count()
+    left = {r.doc_id for r in docs.collect()}
+    out = corpus_pipeline.run(spark, SF).collect()
+    assert {r.doc_id for r in out} == left and len(left) > 100
+    groups = collections.Counter((r.doc_id, tuple(r.ids)) for r in out)
+    assert max(groups.values()) == 1
