@@ -28,7 +28,7 @@ from .hashing import mix, powers
 
 SPACE_MARK = "▁"
 #: Characters in one batch (one document at least).
-BATCH_CHARS = 1 << 19
+BATCH_CHARS = 1 << 20
 RESULT_DDL = "id {id}, sample int, n_pieces int, log_prob double, perturbed double, log_inclusion double, ids array<int>"
 
 
@@ -98,6 +98,8 @@ class Lattice:
         slot = self.slot(self.hashes)
         self.first[slot[::-1]] = np.arange(len(ids))[::-1]
         left = np.flatnonzero(self.first[slot] != np.arange(len(ids)))
+        self.crowded = np.zeros(1 << self.bits, dtype=bool)  # slots that hold one of several
+        self.crowded[slot[left]] = True
         order = np.argsort(self.hashes[left])
         self.more, self.more_at = self.hashes[left][order], left[order]
         self.weights = np.array(v.weights) * alpha
@@ -108,19 +110,20 @@ class Lattice:
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Place in the tables of each hash, -1 if it is none of a prefix."""
-        at = self.first[self.slot(h)]
+        slot = self.slot(h)
+        at = self.first[slot]
         miss = (at < 0) | (self.hashes[at] != h)
         at[miss] = -1
-        if len(self.more) and miss.any():
-            j = np.flatnonzero(miss)
+        j = np.flatnonzero(miss & self.crowded[slot])
+        if len(j):
             k = np.minimum(np.searchsorted(self.more, h[j]), len(self.more) - 1)
             hit = self.more[k] == h[j]
             at[j[hit]] = self.more_at[k[hit]]
         return at
 
     def edges(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Edges of the words' lattices by node (a character's place), best first: first edge of each node, length, id,
-        cumulative probability, log-probability, log of the probability of the node's other edges."""
+        """Edges of the words' lattices by node (a character's place), longest first: first edge of each node, length, id,
+        cumulative probability, probability."""
         n = len(text)
         sums, down = prefix_sums(text)
         end_of = np.repeat(ends, ends - starts)
@@ -128,7 +131,7 @@ class Lattice:
         nodes, lengths, ids = [], [], []
         strange = ~self.known[text]
         nodes.append(np.flatnonzero(strange))
-        lengths.append(np.ones(len(nodes[0]), dtype=np.int64))
+        lengths.append(1)
         ids.append(np.full(len(nodes[0]), -1, dtype=np.int32))
         alive = alive[~strange]
         for width in range(1, self.longest + 1):
@@ -137,55 +140,87 @@ class Lattice:
             alive, at = alive[at >= 0], at[at >= 0]
             real = self.ids[at] >= 0
             nodes.append(alive[real])
-            lengths.append(np.full(int(real.sum()), width, dtype=np.int64))
+            lengths.append(width)
             ids.append(self.ids[at[real]])
             if not len(alive):
                 break
-        node, length, piece = (np.concatenate(x) for x in (nodes, lengths, ids))
+        # edges by node, longer pieces first, without sorting: each width's edges take the next free places of their nodes
+        count = np.zeros(n + 1, dtype=np.int64)
+        for at in nodes:
+            count[at] += 1
+        first = np.concatenate(([0], np.cumsum(count[:n])))
+        free = first[:-1].copy()
+        length, piece = np.empty(first[-1], dtype=np.int32), np.empty(first[-1], dtype=np.int32)
+        for at, width, ident in zip(nodes[::-1], lengths[::-1], ids[::-1], strict=True):
+            place = free[at]
+            length[place], piece[place] = width, ident
+            free[at] += 1
+        count = count[:n]
+        node = np.repeat(np.arange(n, dtype=np.int32), count)
         score = np.where(piece >= 0, self.weights[piece], 0.0)
         # backward sums, by distance from the end of the word
-        by = np.lexsort((node, (end_of - np.arange(n))[node]))
-        node, length, piece, score = node[by], length[by], piece[by], score[by]
-        left = (end_of - np.arange(n))[node]
+        left = end_of - np.arange(n)
+        by_node = np.argsort(left.astype(np.uint16) if n and left.max() < 1 << 16 else left, kind="stable")
+        count_by, head_by = count[by_node], np.concatenate(([0], np.cumsum(count[by_node])))
+        edge_by = np.arange(first[-1]) + np.repeat(first[:-1][by_node] - head_by[:-1], count_by)
+        target = (node + length)[edge_by]
+        score_by = score[edge_by]
         total = np.zeros(n + 1)
         is_end = np.zeros(n + 1, dtype=bool)
         is_end[ends] = True
-        bounds = np.flatnonzero(np.append(np.diff(left, prepend=0) != 0, True))
-        value = np.empty(len(node))
-        for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            target = node[a:z] + length[a:z]
-            v = score[a:z] + np.where(is_end[target], 0.0, total[target])
-            head = np.flatnonzero(np.diff(node[a:z], prepend=-1) != 0)
+        open_ = ~is_end[target]
+        steps = np.flatnonzero(np.append(np.diff(left[by_node], prepend=0) != 0, True)) if n else np.zeros(1, np.int64)
+        p_by = np.empty(len(score_by))
+        for a, z in zip(steps[:-1].tolist(), steps[1:].tolist(), strict=True):
+            lo, hi = head_by[a], head_by[z]
+            v = score_by[lo:hi] + np.where(open_[lo:hi], total[target[lo:hi]], 0.0)
+            head = head_by[a:z] - lo
             top = np.maximum.reduceat(v, head)
-            count = np.diff(np.append(head, z - a))
-            total[node[a:z][head]] = sums_ = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, count)), head))
-            value[a:z] = v - np.repeat(sums_, count)
-        by = np.lexsort((-value, node))
-        node, length, piece, value = node[by], length[by], piece[by], np.minimum(value[by], 0.0)
-        first = np.searchsorted(node, np.arange(n + 1))
-        p = np.exp(value)
-        run = np.cumsum(p)
-        run -= np.repeat(np.concatenate(([0.0], run))[first[:-1]], np.diff(first))
-        last = first[1:] - 1
-        other = np.maximum(np.repeat(run[last], np.diff(first)) - p, 1e-18)
-        single = np.repeat(np.diff(first) == 1, np.diff(first))
-        with np.errstate(divide="ignore"):
-            rest = np.where(single, -np.inf, np.log(other))
-        run[last] = 2.0  # a uniform number always stops there
-        return first, length, piece, run, value, rest
+            e = np.exp(v - np.repeat(top, count_by[a:z]))
+            mass = np.add.reduceat(e, head)
+            total[by_node[a:z]] = top + np.log(mass)
+            p_by[lo:hi] = e / np.repeat(mass, count_by[a:z])
+        p = np.empty(len(p_by))
+        p[edge_by] = p_by
+        # in whole numbers of 2**-40, so that other words of the batch leave no rounding
+        run = np.cumsum((p * 2.0**40).astype(np.int64))
+        run -= np.repeat(np.concatenate(([0], run))[first[:-1]], count)
+        run = run * 2.0**-40
+        run[first[1:] - 1] = 2.0  # a uniform number always stops there
+        sure = np.flatnonzero(p == 1.0)
+        p[sure[count[node[sure]] > 1]] = 1 - 2.0**-53  # only a lone edge has no siblings
+        return first, length, piece, run, p
+
+
+#: Codes of the characters below 2**16; those of others are computed.
+CODES = mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
+#: Least log of an exponential number that uniform() can give: its greatest number is 1 - 2**-54.
+LEAST_NOISE = float(np.log(-np.log1p(-(2.0**-54))))
 
 
 def prefix_sums(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     up, down = powers(len(text) + 1)
     sums = np.zeros(len(text) + 1, dtype=np.uint64)
-    np.cumsum(mix(text.astype(np.uint64) + np.uint64(1)) * up[: len(text)], out=sums[1:])
+    codes = CODES[text] if not len(text) or int(text.max()) < len(CODES) else mix(text.astype(np.uint64) + np.uint64(1))
+    np.cumsum(codes * up[: len(text)], out=sums[1:])
     return sums, down
 
 
+PLACE = np.uint64(0xD6E8FEB86659FD93)
+
+
+def place_key(sample: int, place: np.ndarray, salt: int) -> np.ndarray:
+    """What sample and place add to a row key; linear in the place."""
+    return np.uint64((sample * 4 + salt + 1) * 0x9E3779B97F4A7C15 % 2**64) + place.astype(np.uint64) * PLACE
+
+
+def uniform_of(h: np.ndarray) -> np.ndarray:
+    return ((mix(h) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+
+
 def uniform(key: np.ndarray, sample: int, place: np.ndarray, salt: int) -> np.ndarray:
     """Numbers in (0, 1) by row key, sample and place."""
-    h = mix(key + np.uint64((sample * 4 + salt + 1) * 0x9E3779B97F4A7C15 % 2**64) + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return ((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+    return uniform_of(key + place_key(sample, place, salt))
 
 
 class _Search:
@@ -210,15 +245,14 @@ class _Search:
         self.word_end = np.cumsum(width)
         self.node_of = (self.word_end - width)[word]  # of the first character of each word
         within = np.arange(int(width.sum())) - np.repeat(self.word_end - width, width)
-        self.first, self.length, self.piece, self.run, self.value, self.rest = lattice.edges(self.text[np.repeat(self.starts[one], width) + within], self.word_end - width, self.word_end)
+        self.first, self.length, self.piece, self.run, self.p = lattice.edges(self.text[np.repeat(self.starts[one], width) + within], self.word_end - width, self.word_end)
         self.doc = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(self.starts, self.offsets)))
 
     def walk(self, edge: np.ndarray, at: np.ndarray, node: np.ndarray, end: np.ndarray, doc: np.ndarray, sample: int) -> None:
         """Draw edges from the given places to the ends of their words; edge: by character, the edge taken there."""
-        base = self.offsets[doc]
-        key = self.keys[doc]
+        key = self.keys[doc] + place_key(sample, -self.offsets[doc], 0)
         while len(at):
-            u = uniform(key, sample, at - base, 0)
+            u = uniform_of(key + at.astype(np.uint64) * PLACE)
             e = self.first[node]
             over = np.flatnonzero(u > self.run[e])
             while len(over):
@@ -229,12 +263,31 @@ class _Search:
             at, node = at + step, node + step
             more = at < end
             if not more.all():
-                at, node, end, base, key = at[more], node[more], end[more], base[more], key[more]
+                at, node, end, key = at[more], node[more], end[more], key[more]
+
+    def noise(self, doc: int, sample: int, places: np.ndarray) -> np.ndarray:
+        """Logs of exponential numbers."""
+        key = self.keys[doc : doc + 1]
+        return np.log(-np.log(uniform(key, sample, places - self.offsets[doc], 1)))
+
+    def rest(self, edges: np.ndarray) -> np.ndarray:
+        """Logs of the probabilities of the edges' siblings together."""
+        with np.errstate(divide="ignore"):
+            return np.log1p(-self.p[edges])
+
+    def queue(self, heap: list, doc: int, sample: int, g: float, places: np.ndarray, edges: np.ndarray, before: np.ndarray) -> None:
+        """Queue the groups of siblings left behind at these places; only as many as can still come off.
 
-    def queue(self, heap: list, doc: int, sample: int, g: float, places: np.ndarray, edges: np.ndarray, before: np.ndarray, noise: np.ndarray) -> None:
-        """Queue the groups of siblings left behind at these places; only as many as can still come off."""
-        v = noise - before - self.rest[edges]  # log of an exponential number over the group's probability
-        room = self.k
+        A group's log of an exponential number over its probability is LEAST_NOISE - before at least, which only grows,
+        so places from which on this is beyond the best ones so far need no noise.
+        """
+        room, n = self.k, len(places)
+        if n > 64 + room:
+            v = self.noise(doc, sample, places[:64]) - before[:64] - self.rest(edges[:64])
+            worst = np.partition(v, room - 1)[room - 1]
+            n = max(64, int(np.searchsorted(-before, worst - LEAST_NOISE, side="right"))) if worst < np.inf else n
+        places, edges, before = places[:n], edges[:n], before[:n]
+        v = self.noise(doc, sample, places) - before - self.rest(edges)
         keep = np.argpartition(v, room)[:room] if len(v) > room else np.arange(len(v))
         for j in keep:
             if v[j] < np.inf:
@@ -249,7 +302,7 @@ class _Search:
         self.taken: list[np.ndarray] = []
         self.found: list[list[tuple[float, float]]] = [[] for _ in range(docs)]
         for sample in range(self.k):
-            edge = np.full(n, -1, dtype=np.int64)
+            edge = np.full(n, -1, dtype=np.int32)
             if sample == 0:
                 self.walk(edge, self.starts.copy(), self.node_of.copy(), self.ends, self.doc, 0)
                 tasks = [(d, float(gumbel[d]), int(self.offsets[d]), 0.0, ()) for d in range(docs)]
@@ -282,11 +335,8 @@ class _Search:
             self.taken.append(edge)
             places = np.flatnonzero(edge >= 0)
             edges = edge[places]
-            doc_of = np.searchsorted(self.offsets, places, side="right") - 1
-            noise = np.log(-np.log(uniform(self.keys[doc_of], sample, places - self.offsets[doc_of], 1)))
-            value = self.value[edges]
+            value = np.log(self.p[edges])
             bounds = np.searchsorted(places, self.offsets)
-            sums = np.concatenate(([0.0], np.cumsum(value)))
             for d, g, place, before, out in tasks:
                 a, z = int(bounds[d]), int(bounds[d + 1])
                 total = float(value[a:z].sum())
@@ -294,7 +344,7 @@ class _Search:
                 if a == z:
                     continue
                 p = a if not out else a + int(np.searchsorted(places[a:z], place))
-                ahead = sums[p:z] - sums[p] + before
+                ahead = before + np.concatenate(([0.0], np.cumsum(value[p : z - 1])))
                 if out:
                     # what is left at the place where this sample parted from its source
                     gone = (*out, int(edges[p]))
@@ -302,16 +352,17 @@ class _Search:
                     here = int(self.node_of[w] + place - self.starts[w])
                     left = [e for e in range(int(self.first[here]), int(self.first[here + 1])) if e not in gone]
                     if left:
-                        mass = before + float(np.log(np.exp(self.value[left]).sum() + 1e-300))
-                        heapq.heappush(heaps[d], (float(np.logaddexp(-g, noise[p] - mass)), sample, place, gone, before))
+                        mass = before + float(np.log(self.p[left].sum() + 1e-300))
+                        noise = float(self.noise(d, sample, places[p : p + 1])[0])
+                        heapq.heappush(heaps[d], (float(np.logaddexp(-g, noise - mass)), sample, place, gone, before))
                     p, ahead = p + 1, ahead[1:]
-                self.queue(heaps[d], d, sample, g, places[p:z], edges[p:z], ahead, noise[p:z])
+                self.queue(heaps[d], d, sample, g, places[p:z], edges[p:z], ahead)
         self.bound = np.array([-h[0][0] if h else -np.inf for h in heaps])
 
     def other(self, node: int, out: tuple[int, ...], u: float) -> int:
         """An edge of the node that is not among `out`, in proportion to probability."""
         left = [e for e in range(int(self.first[node]), int(self.first[node + 1])) if e not in out]
-        p = np.cumsum(np.exp(self.value[left] - self.value[left].max()))
+        p = np.cumsum(self.p[left])
         return left[int(np.searchsorted(p, u * p[-1]).clip(0, len(left) - 1))]
 
     def ids(self, sample: int) -> tuple[np.ndarray, np.ndarray]:
