@@ -23,7 +23,7 @@ from .common import utf8
 from .hashing import span_hashes, spans
 
 #: Rows from which the models are fitted, at most; the share of labelled ones held out for calibration.
-MOST_LABELLED, MOST_UNLABELLED, HELD_OUT = 6000, 6000, 0.25
+MOST_LABELLED, MOST_UNLABELLED, HELD_OUT = 4000, 4000, 0.25
 ROUNDS, SURE, EACH = 4, 0.95, 0.05
 PAIRS, SLOTS, SIZES = 512, 32, 24
 N_STATS = 9
@@ -112,17 +112,20 @@ class Logistic:
 
     @staticmethod
     def fit(x: np.ndarray, y: np.ndarray, ridge: float, weight: np.ndarray | None = None) -> Logistic:
-        mean, scale = x.mean(axis=0), x.std(axis=0)
+        mean, scale = x.mean(axis=0, dtype=np.float64), x.std(axis=0, dtype=np.float64)
         scale[scale < 1e-9] = np.inf
-        z = np.concatenate([(x - mean) / scale, np.ones((len(x), 1))], axis=1)
         weight = np.ones(len(x)) if weight is None else weight
-        penalty = np.full(z.shape[1], ridge)
+        penalty = np.full(x.shape[1] + 1, ridge)
         penalty[-1] = 1e-6
-        b = np.zeros(z.shape[1])
+        b = np.zeros(x.shape[1] + 1)
         for _ in range(12):
-            p = _sigmoid(z @ b)
-            gradient = z.T @ (weight * (p - y)) + penalty * b
-            curve = (z.T * (weight * np.maximum(p * (1 - p), 1e-4))) @ z + np.diag(penalty)
+            gradient, curve = penalty * b, np.diag(penalty)
+            for i in range(0, len(x), 512):  # no copy of all rows
+                part = slice(i, i + 512)
+                z = np.concatenate([(x[part] - mean) / scale, np.ones((len(x[part]), 1))], axis=1)
+                p = _sigmoid(z @ b)
+                gradient += z.T @ (weight[part] * (p - y[part]))
+                curve += (z.T * (weight[part] * np.maximum(p * (1 - p), 1e-4))) @ z
             step = np.linalg.solve(curve, gradient)
             b -= step * min(1.0, 10.0 / max(1e-12, float(np.abs(step).max())))
             if np.abs(step).max() < 1e-5:
@@ -218,7 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, lang: str, s
     parts = []
     for ids in (some, rest):
         t = _sampled(rows, ids, text).sort_by("order")
-        x = np.array([np.frombuffer(b, dtype=np.float32) for b in t.column("x").to_pylist()], dtype=np.float64).reshape(-1, N_TEXT)
+        x = np.frombuffer(utf8(t.column("x"))[0].tobytes(), dtype=np.float32).reshape(-1, N_TEXT)
         meta = meta_features(*(t.column(c).combine_chunks() for c in ("lang", "source", "size")))
         y = np.array([v if v is not None else -1 for v in t.column("label").to_pylist()], dtype=np.float64)
         parts.append((x, meta, y))
