@@ -159,6 +159,12 @@ def spans(codes: np.ndarray, k: int = K.SEED, budget: int = K.MISMATCHES, near:
     return best, kept[kept[:, 1] - kept[:, 0] + 1 >= max(k, best - near)]
 
 
+def dealt(seqs: DataFrame, seq: str) -> DataFrame:
+    """(seq_id, seq) over all shuffle partitions: what follows is much work on little data, so they aren't coalesced."""
+    n = int(seqs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return seqs.select("seq_id", F.col(seq).alias("seq")).repartition(n, "seq_id")
+
+
 class Scan:
     """All duplexes of a sequence, kept so that the effect of a swap costs what it touches."""
 
@@ -222,7 +228,7 @@ def selfcomp_scan(seqs: DataFrame, seq: str = "raw", k: int = K.SEED, budget: in
             columns = [pa.array([f[c] for f in found], t) for c, t in enumerate((pa.int64(), pa.int32(), pa.int32()))]
             yield pa.RecordBatch.from_arrays([batch.column("seq_id"), *columns], names=["seq_id", "n_seed_pairs", "exact", "near"])
 
-    return seqs.select("seq_id", F.col(seq).alias("seq")).mapInArrow(run, "seq_id long, n_seed_pairs long, exact int, near int")
+    return dealt(seqs, seq).mapInArrow(run, "seq_id long, n_seed_pairs long, exact int, near int")
 
 
 def scan_duplexes(seqs: DataFrame, seq: str = "raw") -> DataFrame:
@@ -239,4 +245,4 @@ def scan_duplexes(seqs: DataFrame, seq: str = "raw") -> DataFrame:
             names = ["seq_id", "best", "length", "x1", "x2", "y1", "y2"]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(table[:, c]) for c in range(6))], names=names)
 
-    return seqs.select("seq_id", F.col(seq).alias("seq")).mapInArrow(run, "seq_id long, best int, length int, x1 int, x2 int, y1 int, y2 int")
+    return dealt(seqs, seq).mapInArrow(run, "seq_id long, best int, length int, x1 int, x2 int, y1 int, y2 int")

@@ -214,7 +214,7 @@ def refine(seqs: DataFrame, scorer: Scorer, rounds: int = K.REFINE_ROUNDS, seq:
             columns = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.float64(), pa.float64(), pa.int32()))]
             yield pa.RecordBatch.from_arrays([batch.column("seq_id"), *columns], names=["seq_id", "refined", "score_start", "score_end", "n_moves"])
 
-    return seqs.select("seq_id", F.col(seq).alias("seq")).mapInArrow(run, "seq_id long, refined string, score_start double, score_end double, n_moves int")
+    return duplex.dealt(seqs, seq).mapInArrow(run, "seq_id long, refined string, score_start double, score_end double, n_moves int")
 
 
 def breaks_any_pair(codes: np.ndarray, arms: np.ndarray, at: int, alt: int) -> bool:
@@ -306,4 +306,4 @@ def repair(seqs: DataFrame, scorer: Scorer, rounds: int = K.REPAIR_ROUNDS, seq:
             names = ["seq_id", "repaired", "n_swaps", "selfcomp_before", "selfcomp_after", "score_before", "score_after"]
             yield pa.RecordBatch.from_arrays([batch.column("seq_id"), *(pa.array([r[k] for r in out], t) for k, t in enumerate(types))], names=names)
 
-    return seqs.select("seq_id", F.col(seq).alias("seq")).mapInArrow(run, "seq_id long, repaired string, n_swaps int, selfcomp_before int, selfcomp_after int, score_before double, score_after double")
+    return duplex.dealt(seqs, seq).mapInArrow(run, "seq_id long, repaired string, n_swaps int, selfcomp_before int, selfcomp_after int, score_before double, score_after double")

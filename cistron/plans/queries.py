@@ -18,11 +18,13 @@ from . import sql as Q
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+#: Queries that are whole but take minutes for each long periodic sequence (see README); not in the registry.
+SLOW: dict[str, Query] = {}
 
 
-def add(name: str, text: str | None = None) -> Callable[[Query], Query]:
+def add(name: str, text: str | None = None, slow: bool = False) -> Callable[[Query], Query]:
     def keep(f: Query) -> Query:
-        QUERIES[name] = f
+        (SLOW if slow else QUERIES)[name] = f
         if text:
             SQL[name] = text
         return f
@@ -316,14 +318,14 @@ def search_refine(spark, sf_dir):
     return rounded(search.refine(seqs, _scorer(seqs, True)))
 
 
-@add("search_repair")
+@add("search_repair", slow=True)
 def search_repair(spark, sf_dir):
     """Repair of the longest duplexes of every sequence; no SQL (iterated argmin over rescans)."""
     seqs = seqs_of(spark, sf_dir)
     return rounded(search.repair(seqs, _scorer(seqs, False)))
 
 
-@add("search_pipeline")
+@add("search_pipeline", slow=True)
 def search_pipeline(spark, sf_dir):
     """Refine, then repair each sequence; metrics before and after, as candidates for selection."""
     seqs = seqs_of(spark, sf_dir).where("cds <> ''")
@@ -412,9 +414,9 @@ def rep_compare_pivot(spark, sf_dir):
     return rounded(report.compare_pivot(report.compare_stats(_compared(spark, sf_dir)), ["de", "en", "es", "fr"]))
 
 
-@add("rep_repair_report")
+@add("rep_repair_report", slow=True)
 def rep_repair_report(spark, sf_dir):
-    return rounded(report.repair_report(QUERIES["search_repair"](spark, sf_dir)))
+    return rounded(report.repair_report(SLOW["search_repair"](spark, sf_dir)))
 
 
 @add("rep_union_schema", f"WITH {Q.SEQS} SELECT seq_id, 'a' AS pool, length(raw) AS len, NULL::DOUBLE AS gc FROM seqs UNION ALL SELECT seq_id, 'b', NULL, round({Q.gc('cds')}, 6) FROM seqs")
