@@ -24,14 +24,23 @@ SLOW: dict[str, Query] = {}
 
 def add(name: str, text: str | None = None, slow: bool = False) -> Callable[[Query], Query]:
     def keep(f: Query) -> Query:
-        (SLOW if slow else QUERIES)[name] = f
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return widened(f(spark, sf_dir))
+
+        run.__doc__ = f.__doc__
+        (SLOW if slow else QUERIES)[name] = run
         if text:
-            SQL[name] = text
+            SQL[name] = text.replace("::INT ", "::BIGINT ").replace("::INT)", "::BIGINT)").replace("::INT,", "::BIGINT,")
         return f
 
     return keep
 
 
+def widened(df: DataFrame) -> DataFrame:
+    """Whole numbers as long, as the SQL gives them."""
+    return df.select(*(F.col(c).cast("long").alias(c) if t in ("int", "decimal(20,0)") else F.col(c) for c, t in df.dtypes))
+
+
 def rounded(df: DataFrame) -> DataFrame:
     """Doubles to six decimals, in which the engines agree."""
     return df.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
@@ -42,10 +51,10 @@ def scalar(name: str, columns: Callable[[Column, Column], dict[str, Column]], te
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         made = columns(F.col("raw"), F.col("cds"))
-        return rounded(from_documents(spark, sf_dir).select("seq_id", *(c.alias(n) for n, c in made.items())))
+        return widened(rounded(from_documents(spark, sf_dir).select("seq_id", *(c.alias(n) for n, c in made.items()))))
 
     numbers = {n: f"round({t}, 6)" if t.endswith("::DOUBLE") else t for n, t in texts.items()}
-    body = ", ".join(f"{t} AS {n}" for n, t in numbers.items())
+    body = ", ".join(f"{t.removesuffix('::INT') + '::BIGINT' if t.endswith('::INT') else t} AS {n}" for n, t in numbers.items())
     QUERIES[name] = run
     SQL[name] = f"WITH {Q.SEQS}{', ' + more if more else ''} SELECT seqs.seq_id, {body} FROM seqs {joins}"
 
@@ -255,7 +264,7 @@ def _topk_sql() -> str:
         f"WITH {Q.SCORED}, {Q.CDS_CODONS.replace('cc AS', 'rc AS')}, {Q.ENC}, "
         f"pool AS MATERIALIZED (SELECT seq_id, grp, score_v2, hp4, cai, gc, sites, enc, {Q.odds('cds', 'T', 'A')} AS upa, {Q.max_run('cds', 'ACGT')} AS hp_max FROM scored JOIN enc USING (seq_id) WHERE cds <> ''), "
         f"zz AS MATERIALIZED (SELECT seq_id, grp, hp4, score_v2 >= max(score_v2) OVER w - {K.TIE_BAND} AS close, (score_v2 - avg(score_v2) OVER w) / greatest(stddev_pop(score_v2) OVER w, {K.LEAST_STD}) AS z, [{z}] AS v FROM pool WINDOW w AS (PARTITION BY grp)), "
-        "p1 AS MATERIALIZED (SELECT grp, arg_min(seq_id, (hp4, seq_id)) AS seq_id FROM zz WHERE close GROUP BY grp), s1 AS MATERIALIZED (SELECT grp, seq_id, 1 AS rank FROM p1)"
+        "p1 AS MATERIALIZED (SELECT grp, arg_min(seq_id, (hp4, seq_id)) AS seq_id FROM zz WHERE close GROUP BY grp), s1 AS MATERIALIZED (SELECT grp, seq_id, 1::BIGINT AS rank FROM p1)"
     )
     for k in range(2, K.TOP_K + 1):
         text += (
@@ -289,7 +298,7 @@ def join_synonyms(spark, sf_dir):
     return dim.join(dim.select(F.col("codon").alias("alt"), "aa"), "aa").where("codon <> alt").select("codon", "alt")
 
 
-@add("join_wobble", f"WITH {Q.CODON}, {Q.values('trna', 'anticodon, copies', sorted(K.COPIES.items()))}, {Q.values('wobble', 'a, b, s', [(a, b, s) for (a, b), s in K.PENALTY.items()])} SELECT codon.codon, round(sum((1 - s) * copies), 6) AS weight FROM codon JOIN trna ON reverse(translate(right(anticodon, 2), 'ACGT', 'TGCA')) = left(codon.codon, 2) JOIN wobble ON a = CASE WHEN left(anticodon, 1) = 'A' THEN 'I' ELSE left(anticodon, 1) END AND b = right(codon.codon, 1) WHERE aa <> '*' AND s < 1 GROUP BY codon.codon")
+@add("join_wobble", f"WITH {Q.CODON}, {Q.values('trna', 'anticodon, copies', sorted(K.COPIES.items()))}, {Q.values('wobble', 'a, b, s', [(a, b, s) for (a, b), s in K.PENALTY.items()])} SELECT codon.codon, round(sum((1 - s) * copies)::DOUBLE, 6) AS weight FROM codon JOIN trna ON reverse(translate(right(anticodon, 2), 'ACGT', 'TGCA')) = left(codon.codon, 2) JOIN wobble ON a = CASE WHEN left(anticodon, 1) = 'A' THEN 'I' ELSE left(anticodon, 1) END AND b = right(codon.codon, 1) WHERE aa <> '*' AND s < 1 GROUP BY codon.codon")
 def join_wobble(spark, sf_dir):
     """Supply of tRNAs by sense codon, from the gene copies and the wobble table."""
     trna = spark.createDataFrame(sorted(K.COPIES.items()), "anticodon string, copies double")
@@ -374,7 +383,7 @@ def rep_scorecard(spark, sf_dir):
 
 
 _IMMUNE = f"((urich * 1000.0 / greatest(length(cds), 1) >= {K.URICH_PER_KB})::INT + ({Q.odds('cds', 'C', 'G')} >= {K.CPG_HIGH})::INT)"
-scalar("rep_immune_flag", lambda raw, cds: {"flag": score.immune_flag(F.lit(0), S.urich_count(cds), F.length(cds), S.dinuc_odds(cds, "C", "G"))}, {"flag": _IMMUNE}, Q.urich("cds"), "JOIN urich USING (seq_id)")
+scalar("rep_immune_flag", lambda raw, cds: {"flag": score.immune_flag(F.lit(0), S.urich_count(cds), F.length(cds), S.dinuc_odds(cds, "C", "G"))}, {"flag": f"{_IMMUNE}::BIGINT"}, Q.urich("cds"), "JOIN urich USING (seq_id)")
 scalar("rep_te_comp", lambda raw, cds: {"te_comp": score.te_composite(C.cai(cds), C.tai(cds))}, {"te_comp": "round(0.6 * cai + 0.4 * coalesce(tai, 0), 3)"}, f"{Q.CODON}, {Q.WEIGHT}, {Q.CDS_CODONS}, {Q.CAI}, {Q.TAI}", "JOIN cai USING (seq_id) JOIN tai USING (seq_id)")
 scalar("rep_init_comp", lambda raw, cds: {"init_comp": score.initiation_composite(cds, S.gc_content(cds), -20.0 * S.gc_content(raw))}, {"init_comp": f"round(0.5 * {Q.gc('cds')} + 0.4 * (1 - {Q.gc('raw')}) + 0.1 * (substr(cds, 7, 1) = 'G')::INT, 3)"})
 
@@ -464,12 +473,12 @@ def io_ld_dump(spark, sf_dir):
     return ld_dump.parse(files).select("protein", "seq", "lam", "mfe_reported", "cai_reported")
 
 
-@add("scan_codon_table", f"WITH {Q.CODON} SELECT * FROM codon")
+@add("scan_codon_table", f"WITH {Q.CODON} SELECT codon, aa, freq::DOUBLE AS freq, aa_max::DOUBLE AS aa_max FROM codon")
 def scan_codon_table(spark, sf_dir):
     return codon_dimension(spark)
 
 
-@add("scan_trna", f"WITH {Q.values('trna', 'anticodon, copies', sorted(K.COPIES.items()))} SELECT * FROM trna")
+@add("scan_trna", f"WITH {Q.values('trna', 'anticodon, copies', sorted(K.COPIES.items()))} SELECT anticodon, copies::DOUBLE AS copies FROM trna")
 def scan_trna(spark, sf_dir):
     return spark.createDataFrame(sorted(K.COPIES.items()), "anticodon string, copies double")
 
