@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import struct
 import tempfile
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +52,7 @@ def in_blocks(docs: DataFrame, blocks: int, doc_id: str = "doc_id", text: str =
 
 def ordered(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     """A block's rows by (id, text): ids as given, ids with nulls as LAST_ID, the texts' bytes, their offsets."""
+    release()
     order = pc.sort_indices(table, sort_keys=[("id", "ascending"), ("text", "ascending")])
     table = table.take(order)
     given = table.column("id").combine_chunks()
@@ -69,8 +72,24 @@ def utf8(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return None
+
+
+def release() -> None:
+    """Give freed memory back to the system: Python workers stay between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """A batch in parts of about `most` bytes of one column, one row at least."""
+    release()
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
     ends = np.cumsum(sizes)
     a = 0

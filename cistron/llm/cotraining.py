@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import utf8
+from .common import release, utf8
 from .hashing import span_hashes, spans
 
 #: Rows from which the models are fitted, at most; the share of labelled ones held out for calibration.
@@ -240,6 +240,7 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     @F.arrow_udf(SCORE)
     def scored(t: pa.Array, a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
+        release()
         parts, step = [], 1 << 9
         for i in range(0, len(t), step):
             data, offsets = utf8(t.slice(i, step))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, block_count, checkpoint, pack, slices, split_by, unpack, utf8
+from .common import LAST_ID, block_count, checkpoint, pack, release, slices, split_by, unpack, utf8
 from .components import components
 from .hashing import ASCII_LOWER, grams, mix, span_hashes, spans
 
@@ -146,6 +146,7 @@ def _candidates(share: tuple[int, int]):
     these how many of large groups (kind 0); members of large groups by their strictly first shingles (1) and by any (2)."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
+        release()
         parts = [unpack(p) for p in table.column("payload").to_pylist()]
         token, node = (np.concatenate([p[j].astype(np.uint64) for p in parts]) for j in (0, 1))
         n, place, asked = (np.concatenate([p[j] for p in parts]) for j in (2, 3, 4))
@@ -218,6 +219,7 @@ def _sets(size: int, seed: int):
 def _verify(share: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            release()
             ok = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
