@@ -1,14 +1,20 @@
-"""Line deduplication by content-defined chunks of lines.
+"""Line deduplication by runs of lines, or by content-defined chunks of lines.
 
-A rolling hash over the hashes of two consecutive lines ends a chunk where it hits a residue, so that lines put in or
-taken out move boundaries only near by. A chunk of two lines or more that also occurs earlier (in a smaller id, or
-before in its document) is removed, after its bytes were compared with the first ones. Blocks exchange chunk hashes;
-bytes move only for chunks that several blocks hold, once for each block.
+deduplicate_runs() removes every run of two lines or more that also occurs earlier. Such a run consists of pairs of
+neighbouring lines that occur earlier, so all pairs are looked up and a match extends as far as its pairs do.
+
+deduplicate() looks up chunks only: a rolling hash over the hashes of two consecutive lines ends a chunk where it hits a
+residue, so that lines put in or taken out move boundaries only near by. It misses runs that hold no whole chunk.
+
+Either way a unit (pair or chunk) that also occurs earlier (in a smaller id, or before in its document) is removed, after
+its bytes were compared with the first ones. Blocks exchange the units' hashes; bytes move only for units that several
+blocks hold, once for each block.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -16,70 +22,105 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import BLOCK_BYTES, block_count, deltas, in_blocks, is_in, kept_texts, ordered, pack, split_by, summed, unpack, unsigned
-from .hashing import grams, mix, span_hashes
+from .hashing import grams, inner, mix, span_hashes
 from .suffix_dedup import _REPLY, _REPLY_DDL, _ROUTED, _ROUTED_DDL, _rows, _shared
 
 NEWLINE = 0x0A
 
 
-class _Block:
-    def __init__(self, table: pa.Table, lines: int, most: int) -> None:
+class _Lines:
+    """Lines of a block's documents. Subclasses set the units: first and last line, bytes, document, places with a hash."""
+
+    def __init__(self, table: pa.Table) -> None:
         self.given, self.ids, self.data, self.offsets = ordered(table)
         newline = np.flatnonzero(self.data == NEWLINE)
-        count = np.diff(np.searchsorted(newline, self.offsets)) + 1  # an empty text is one empty line
-        self.firsts = np.concatenate(([0], np.cumsum(count)))
+        self.count = np.diff(np.searchsorted(newline, self.offsets)) + 1  # an empty text is one empty line
+        self.firsts = np.concatenate(([0], np.cumsum(self.count)))
         self.starts, self.ends = np.empty((2, int(self.firsts[-1])), dtype=np.int64)
-        head, tail = np.zeros((2, len(self.starts)), dtype=bool)
-        head[self.firsts[:-1]] = True
+        self.head, tail = np.zeros((2, len(self.starts)), dtype=bool)
+        self.head[self.firsts[:-1]] = True
         tail[self.firsts[1:] - 1] = True
-        self.starts[head], self.starts[~head] = self.offsets[:-1], newline + 1
+        self.starts[self.head], self.starts[~self.head] = self.offsets[:-1], newline + 1
         self.ends[tail], self.ends[~tail] = self.offsets[1:], newline
-        codes = span_hashes(self.data, self.starts, self.ends)
+        self.codes = span_hashes(self.data, self.starts, self.ends)
+
+    def place(self) -> None:
+        # order of lines matters: a unit's bytes include line ends
+        self.begin, self.end = self.starts[self.first], self.ends[self.last]
+        self.doc = np.searchsorted(self.firsts, self.first, side="right") - 1
+        self.many = np.flatnonzero(self.last > self.first)
+
+    def bytes_of(self, unit: int) -> bytes:
+        return self.data[self.begin[unit] : self.end[unit]].tobytes()
+
+    def leaders(self, among: np.ndarray) -> np.ndarray:
+        """For each of the units with these places in `many`: the first unit of the block with the same bytes."""
+        seen: dict[bytes, int] = {}
+        return np.array([seen.setdefault(self.bytes_of(c), c) for c in self.many[among]], dtype=np.int64)
+
+
+class _Chunks(_Lines):
+    def __init__(self, table: pa.Table, lines: int, most: int) -> None:
+        super().__init__(table)
+        codes, head = self.codes, self.head
         # a line ends a chunk if the hash of it and the one before hits, and that of the line before doesn't
         hit = np.zeros(len(codes), dtype=bool)
         hit[1:] = (grams(codes, 2) >> np.uint64(16)) % np.uint64(lines) == 0
         hit[head] = False
         final = hit & ~np.insert(hit[:-1], 0, False) if len(hit) else hit
-        since = np.arange(len(codes)) - np.repeat(self.firsts[:-1], count)
+        since = np.arange(len(codes)) - np.repeat(self.firsts[:-1], self.count)
         begin = head | np.insert(final[:-1], 0, True)[: len(codes)]
         chunk_first = np.maximum.accumulate(np.where(begin, np.arange(len(codes)), 0)) if len(codes) else since
         begin |= (np.arange(len(codes)) - chunk_first) % most == 0
         self.first = np.flatnonzero(begin)
         self.last = np.append(self.first[1:], len(codes)) - 1 if len(codes) else self.first
-        # order of lines matters: a chunk's hash is taken over its bytes, line ends included
-        self.begin, self.end = self.starts[self.first], self.ends[self.last]
-        self.doc = np.searchsorted(self.firsts, self.first, side="right") - 1
-        self.many = np.flatnonzero(self.last > self.first)
+        self.place()
         self.hashes = mix(span_hashes(self.data, self.begin[self.many], self.end[self.many]))
 
-    def bytes_of(self, chunk: int) -> bytes:
-        return self.data[self.begin[chunk] : self.end[chunk]].tobytes()
+    def removed(self, gone: np.ndarray, keep: np.ndarray) -> np.ndarray:
+        """Number of removed chunks of each document."""
+        return np.bincount(self.doc, weights=gone, minlength=len(self.ids)).astype(np.int64)
 
-    def leaders(self, among: np.ndarray) -> np.ndarray:
-        """For each of the chunks with these places in `many`: the first chunk of the block with the same bytes."""
-        seen: dict[bytes, int] = {}
-        return np.array([seen.setdefault(self.bytes_of(c), c) for c in self.many[among]], dtype=np.int64)
 
+class _Pairs(_Lines):
+    """All pairs of neighbouring lines; pairs overlap."""
 
-def _index(lines: int, most: int, buckets: int):
+    def __init__(self, table: pa.Table) -> None:
+        super().__init__(table)
+        self.first = np.flatnonzero(inner(self.firsts, 2))
+        self.last = self.first + 1
+        self.place()
+        self.hashes = grams(self.codes, 2)[self.first]
+
+    def removed(self, gone: np.ndarray, keep: np.ndarray) -> np.ndarray:
+        """Number of removed runs of each document."""
+        run = ~keep & (self.head | np.insert(keep[:-1], 0, True)[: len(keep)])
+        return np.bincount(np.repeat(np.arange(len(self.ids)), self.count), weights=run, minlength=len(self.ids)).astype(np.int64)
+
+
+#: A block's units.
+Cut = Callable[[pa.Table], _Lines]
+
+
+def _index(cut: Cut, buckets: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        hashes = np.unique(_Block(table, lines, most).hashes)
-        cut = split_by((hashes >> np.uint64(20)) % np.uint64(buckets), buckets)
-        return _rows(_ROUTED, [(b, key[0].as_py(), 0, pack(hashes[i])) for b, i in cut])
+        hashes = np.unique(cut(table).hashes)
+        parts = split_by((hashes >> np.uint64(20)) % np.uint64(buckets), buckets)
+        return _rows(_ROUTED, [(b, key[0].as_py(), 0, pack(hashes[i])) for b, i in parts])
 
     return run
 
 
-def _shared_places(b: _Block, shared: list[bytes]) -> np.ndarray:
+def _shared_places(b: _Lines, shared: list[bytes]) -> np.ndarray:
     parts = [unpack(x)[0].astype(np.uint64) for x in shared]
     return is_in(b.hashes, np.sort(np.concatenate(parts))) if parts else np.zeros(len(b.hashes), dtype=bool)
 
 
-def _send(lines: int, most: int, buckets: int):
-    """The bytes of chunks that other blocks may hold too, different ones once, by bucket."""
+def _send(cut: Cut, buckets: int):
+    """The bytes of units that other blocks may hold too, different ones once, by bucket."""
 
     def run(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
-        b = _Block(table, lines, most)
+        b = cut(table)
         places = np.flatnonzero(_shared_places(b, replies.column("payload").to_pylist()))
         first = np.unique(b.leaders(places))
         at = np.searchsorted(b.many, first)
@@ -93,7 +134,7 @@ def _send(lines: int, most: int, buckets: int):
 
 
 def _compare(key: tuple, table: pa.Table) -> pa.Table:
-    """Of chunks with the same bytes the one in the smallest document stays; to the other blocks, which chunks go."""
+    """Of units with the same bytes the one in the smallest document stays; to the other blocks, which units go."""
     parts = [unpack(x) for x in table.column("payload").to_pylist()]
     least: dict[bytes, int] = {}
     held = []
@@ -112,9 +153,9 @@ def _compare(key: tuple, table: pa.Table) -> pa.Table:
     return _rows(_REPLY, rows)
 
 
-def _remove(lines: int, most: int):
+def _remove(cut: Cut):
     def run(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
-        b = _Block(table, lines, most)
+        b = cut(table)
         leader = np.arange(len(b.first))
         _, group, count = np.unique(b.hashes, return_inverse=True, return_counts=True)
         places = np.flatnonzero(count[group] > 1)
@@ -122,23 +163,24 @@ def _remove(lines: int, most: int):
         late = np.zeros(len(b.first), dtype=bool)
         for p in map(unpack, replies.column("payload").to_pylist()):
             late[summed(*p).astype(np.int64)] = True
-        gone = (leader != np.arange(len(leader))) | late[leader]
-        per_chunk = b.last - b.first + 1
-        keep = ~np.repeat(gone, per_chunk)
+        gone = (b.last[leader] < b.first) | late[leader]  # a unit that overlaps its leader stays
+        cover = np.zeros(len(b.starts) + 1, dtype=np.int64)
+        np.add.at(cover, b.first[gone], 1)
+        np.subtract.at(cover, b.last[gone] + 1, 1)
+        keep = np.cumsum(cover[:-1]) == 0
         texts = list(kept_texts(b.data, b.starts, b.ends, b.firsts, keep, NEWLINE))
         order = pc.sort_indices(table, sort_keys=[("id", "ascending"), ("text", "ascending")])
         table = table.take(order)
         nulls = np.asarray(table.column("text").combine_chunks().is_null())
         n = len(b.ids)
-        count = lambda what, of: np.bincount(of, weights=what, minlength=n).astype(np.int64)
-        of_line = np.repeat(np.arange(n), np.diff(b.firsts))
+        of_line = np.repeat(np.arange(n), b.count)
         return pa.table(
             {
                 "row": table.column("row"),
                 "text": pa.array([t.decode() for t in texts], pa.string(), mask=nulls),
-                "n_lines": pa.array(np.where(nulls, 0, np.diff(b.firsts)), pa.int64()),
-                "n_removed_lines": pa.array(count(~keep, of_line), pa.int64()),
-                "n_removed_chunks": pa.array(count(gone, b.doc), pa.int64()),
+                "n_lines": pa.array(np.where(nulls, 0, b.count), pa.int64()),
+                "n_removed_lines": pa.array(np.bincount(of_line, weights=~keep, minlength=n).astype(np.int64), pa.int64()),
+                "n_removed_chunks": pa.array(b.removed(gone, keep), pa.int64()),
                 "kept_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()),
             }
         )
@@ -146,6 +188,27 @@ def _remove(lines: int, most: int):
     return run
 
 
+def _deduplicate(docs: DataFrame, cut: Cut, doc_id: str, text: str, block_bytes: int) -> DataFrame:
+    n = block_count(docs, text, block_bytes)
+    whole = in_blocks(docs, n, doc_id, text, whole=True)
+    blocks = whole.groupBy("block")
+    units = blocks.applyInArrow(_index(cut, n), _ROUTED_DDL)
+    shared = units.groupBy("bucket").applyInArrow(_shared, _REPLY_DDL)
+    sent = blocks.cogroup(shared.groupBy("block")).applyInArrow(_send(cut, n), _ROUTED_DDL)
+    late = sent.groupBy("bucket").applyInArrow(_compare, _REPLY_DDL)
+    result = f"row {whole.schema['row'].dataType.simpleString()}, text string, n_lines long, n_removed_lines long, n_removed_chunks long, kept_sha256 string"
+    return blocks.cogroup(late.groupBy("block")).applyInArrow(_remove(cut), result)
+
+
+def deduplicate_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Remove all lines of pairs of neighbouring lines whose bytes occur earlier in the corpus.
+
+    So every run of two lines or more that occurs earlier goes, and the first occurrence of each line stays. A pair that
+    overlaps its only earlier occurrence stays. n_removed_chunks counts runs of removed lines; else as deduplicate().
+    """
+    return _deduplicate(docs, _Pairs, doc_id, text, block_bytes)
+
+
 def deduplicate(docs: DataFrame, lines: int = 4, most: int = 64, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Remove multi-line chunks (`lines` lines on average, `most` at most) whose bytes occur earlier in the corpus.
 
@@ -153,12 +216,4 @@ def deduplicate(docs: DataFrame, lines: int = 4, most: int = 64, doc_id: str = "
     as they were. A null text stays null and has no lines; an empty one has one. Single lines are never removed. A null
     id comes after all others; rows of one id are ordered by text. All chunks of a repeated row but a single last line go.
     """
-    n = block_count(docs, text, block_bytes)
-    whole = in_blocks(docs, n, doc_id, text, whole=True)
-    blocks = whole.groupBy("block")
-    chunks = blocks.applyInArrow(_index(lines, most, n), _ROUTED_DDL)
-    shared = chunks.groupBy("bucket").applyInArrow(_shared, _REPLY_DDL)
-    sent = blocks.cogroup(shared.groupBy("block")).applyInArrow(_send(lines, most, n), _ROUTED_DDL)
-    late = sent.groupBy("bucket").applyInArrow(_compare, _REPLY_DDL)
-    result = f"row {whole.schema['row'].dataType.simpleString()}, text string, n_lines long, n_removed_lines long, n_removed_chunks long, kept_sha256 string"
-    return blocks.cogroup(late.groupBy("block")).applyInArrow(_remove(lines, most), result)
+    return _deduplicate(docs, lambda table: _Chunks(table, lines, most), doc_id, text, block_bytes)

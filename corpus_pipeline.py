@@ -19,8 +19,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without chunks of lines that occur earlier; n_chars is that of the text that is left."""
-    out = line_chunks.deduplicate(docs)
+    """Every document, without runs of lines that occur earlier; n_chars is that of the text that is left."""
+    out = line_chunks.deduplicate_runs(docs)
     columns = {"text": F.col("text"), "n_chars": F.coalesce(F.length("text").cast("long"), F.col("row.n_chars").cast("long"))}
     return out.select(*(columns.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns))
 

@@ -3,7 +3,7 @@ import hashlib
 import numpy as np
 import pytest
 
-from cistron.llm import line_chunks, ngram_join, rlz_dedup, suffix_dedup
+from cistron.llm import line_chunks, ngram_join, queries, rlz_dedup, suffix_dedup
 from cistron.llm.hashing import grams, span_hashes
 
 from .conftest import LAST, LOWER, by, words
@@ -103,6 +103,42 @@ def test_lines(docs, rows, block_bytes):
     assert by(got) == by(want) and sum(w[3] for w in want) > 0
 
 
+@pytest.mark.parametrize("block_bytes", [400, 1 << 20])
+def test_line_runs(docs, rows, block_bytes):
+    """Every line of a run of two or more that occurs earlier goes, wherever chunk boundaries would be."""
+    order = sorted(ided(rows), key=lambda r: (r[0], r[1] is None, (r[1] or "").encode()))
+    texts = [[] if t is None else t.split("\n") for _, t in order]
+    want = []
+    for d, (i, t) in enumerate(order):
+        lines, gone = texts[d], set()
+        for k in range(len(lines) - 1):
+            pair = lines[k : k + 2]
+            before = any(x[j : j + 2] == pair for x in texts[:d] for j in range(len(x) - 1))
+            if before or any(lines[j : j + 2] == pair for j in range(k - 1)):
+                gone |= {k, k + 1}
+        kept = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+        want.append((i, t if t is None else kept, len(lines), len(gone), sum(k - 1 not in gone for k in gone), hashlib.sha256(kept.encode()).hexdigest()))
+    out = line_chunks.deduplicate_runs(docs, block_bytes=block_bytes).collect()
+    got = [(back(r.row.doc_id), r.text, r.n_lines, r.n_removed_lines, r.n_removed_chunks, r.kept_sha256) for r in out]
+    assert by(got) == by(want) and sum(w[3] for w in want) > 0
+
+
+def test_lines_of_a_passage(spark):
+    """Passages of two to four lines in foreign text, which hold no whole chunk as a rule."""
+    passages = {n: [f"passage {n} line {k}" for k in range(n)] for n in (2, 3, 4)}
+    rows = [(10 * n + d, "\n".join([f"own {n} {d} a", *passages[n], f"own {n} {d} b"])) for n in passages for d in range(9)]
+    op8 = queries.op8_line_chunk_dedup
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(queries, "read", lambda *_: frame)
+        got = {r.doc_id: r.n_removed_lines for r in op8(spark, "").collect()}
+    assert got == {10 * n + d: n if d else 0 for n in passages for d in range(9)}
+
+
+def test_line_runs_empty(empty):
+    assert line_chunks.deduplicate_runs(empty).collect() == []
+
+
 def test_lines_empty(empty):
     assert line_chunks.deduplicate(empty).collect() == []
 
