@@ -5,12 +5,16 @@ is known about a document apart from its text (language, source, recorded size).
 from the labelled rows; over the rounds each gives the documents of which it is surest, with its guess as label, to the
 other's training rows. Held-out labelled rows then calibrate either view and the combination, which scores all documents.
 
-Training takes place on the driver from bounded samples (MOST_LABELLED and MOST_UNLABELLED rows, the least hashes of
-their ids); scoring reads every whole text, with no shuffle.
+Labelled rows are a bounded sample on the driver (MOST_LABELLED, the least hashes of their ids). Unlabelled ones are all
+of the table: their features are counted once and kept packed, each round scores them all, the surest are found by counts
+over the whole table, and models are fitted from sums of moments, gradients and curvatures of the rows given so far.
 """
 
 from __future__ import annotations
 
+import math
+import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,12 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import release, utf8
+from .common import checkpoint, pack, release, unpack, utf8
 from .hashing import span_hashes, spans
 
-#: Rows from which the models are fitted, at most; the share of labelled ones held out for calibration.
-MOST_LABELLED, MOST_UNLABELLED, HELD_OUT = 4000, 4000, 0.25
-ROUNDS, SURE, EACH = 4, 0.95, 0.05
+#: Labelled rows from which the models are fitted, at most; the share of them held out for calibration.
+MOST_LABELLED, HELD_OUT = 6000, 0.25
+#: Weight of a row that the other view labelled; tasks over such rows, each of which sends its sums to the driver.
+GIVEN_WEIGHT, PARTS = 0.3, 24
+#: Steps of one fit, at most.
+MOST_STEPS = 30
+ROUNDS, SURE, EACH, RIDGE = 4, 0.95, 0.05, 5.0
 PAIRS, SLOTS, SIZES = 512, 32, 24
 N_STATS = 9
 N_TEXT, N_META = 256 + PAIRS + N_STATS, 2 * SLOTS + SIZES
@@ -79,30 +87,43 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     )
 
 
-def text_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    n = np.maximum(np.diff(offsets), 1)[:, None]
-    rows = []
+def counts(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+    """For each text: how often each byte and each slot of pairs occurs."""
     for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
         part = data[a:z].astype(np.int64)
-        rows.append(np.concatenate([np.bincount(part, minlength=256), np.bincount(_SLOT_OF[part[:-1] * 256 + part[1:]], minlength=PAIRS)]))
-    shares = np.array(rows, dtype=np.float64).reshape(len(rows), 256 + PAIRS) / n
+        yield np.concatenate([np.bincount(part, minlength=256), np.bincount(_SLOT_OF[part[:-1] * 256 + part[1:]], minlength=PAIRS)])
+
+
+def text_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    n = np.maximum(np.diff(offsets), 1)[:, None]
+    shares = np.array(list(counts(data, offsets)), dtype=np.float64).reshape(len(n), 256 + PAIRS) / n
     return np.concatenate([shares, statistics(data, offsets)], axis=1)
 
 
-def meta_features(lang: pa.Array, source: pa.Array, size: pa.Array) -> np.ndarray:
+def meta_slots(lang: pa.Array, source: pa.Array, size: pa.Array) -> np.ndarray:
     """One of SLOTS for each of language and source (by a hash of the value; null has its own), one of SIZES for the size."""
-    out = np.zeros((len(size), N_META))
+    out = np.zeros((len(size), 3), dtype=np.uint8)
     for k, column in enumerate((lang, source)):
         data, offsets = utf8(column)
         empty = np.asarray(column.is_null())
         slot = (span_hashes(data, offsets[:-1], offsets[1:]) % np.uint64(SLOTS - 1)).astype(np.int64) if len(data) else np.zeros(len(column), np.int64)
-        out[np.arange(len(slot)), k * SLOTS + np.where(empty, SLOTS - 1, slot)] = 1
+        out[:, k] = k * SLOTS + np.where(empty, SLOTS - 1, slot)
     values = np.asarray(size.fill_null(-1), dtype=np.float64)
     slot = np.where(values < 0, SIZES - 1, np.minimum(np.log2(np.maximum(values, 0) + 1), SIZES - 2)).astype(np.int64)
-    out[np.arange(len(slot)), 2 * SLOTS + slot] = 1
+    out[:, 2] = 2 * SLOTS + slot
+    return out
+
+
+def one_hot(slots: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(slots), N_META))
+    out[np.arange(len(slots))[:, None], slots] = 1
     return out
 
 
+def meta_features(lang: pa.Array, source: pa.Array, size: pa.Array) -> np.ndarray:
+    return one_hot(meta_slots(lang, source, size))
+
+
 @dataclass
 class Logistic:
     """Ridge logistic regression on standardised features."""
@@ -172,8 +193,217 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(f.weights[0]), 0.0), f.bias
 
 
-def train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, more_text: np.ndarray, more_meta: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """Fit both views in turns. y: 0 or 1; the other rows have no label."""
+def _moments(x: np.ndarray) -> np.ndarray:
+    """Sums and sums of squares, and the number of rows."""
+    x = x.astype(np.float64)
+    return np.concatenate([x.sum(axis=0), (x * x).sum(axis=0), [len(x)]])
+
+
+def _sums(x: np.ndarray, y: np.ndarray, weight: float, mean: np.ndarray, scale: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient of the loss over these rows with the loss at its end, and curvature."""
+    gradient, curve = np.zeros(len(b) + 1), np.zeros((len(b), len(b)))
+    for i in range(0, len(x), 512):  # no copy of all rows
+        z = np.concatenate([(x[i : i + 512] - mean) / scale, np.ones((len(x[i : i + 512]), 1))], axis=1)
+        t, labels = z @ b, y[i : i + 512]
+        p = _sigmoid(t)
+        gradient[:-1] += weight * (z.T @ (p - labels))
+        gradient[-1] += weight * float((np.logaddexp(0, t) - labels * t).sum())
+        z = z.astype(np.float32)  # only steers the steps
+        curve += (z.T * (weight * np.maximum(p * (1 - p), 1e-4)).astype(np.float32)) @ z
+    return gradient, curve
+
+
+def _decoded(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Features of both views of packed rows."""
+    fixed = 4 * N_STATS + 3
+    stats = np.frombuffer(b"".join(p[: 4 * N_STATS] for p in payloads), dtype=np.float32).reshape(-1, N_STATS)
+    slots = np.frombuffer(b"".join(p[4 * N_STATS : fixed] for p in payloads), dtype=np.uint8).reshape(-1, 3)
+    some = np.array([unpack(zlib.decompress(p[fixed:]))[0] for p in payloads], dtype=np.float32).reshape(-1, 256 + PAIRS)
+    return np.concatenate([some / np.maximum(some[:, :256].sum(axis=1), 1)[:, None], stats], axis=1), one_hot(slots)
+
+
+@F.arrow_udf(T.BinaryType())
+def _packed(text: pa.Array, lang: pa.Array, source: pa.Array, size: pa.Array) -> pa.Array:
+    release()
+    out, step = [], 1 << 9
+    for i in range(0, len(text), step):
+        data, offsets = utf8(text.slice(i, step))
+        stats = statistics(data, offsets).astype(np.float32)
+        slots = meta_slots(lang.slice(i, step), source.slice(i, step), size.slice(i, step))
+        out += [s.tobytes() + m.tobytes() + zlib.compress(pack(c), 1) for s, m, c in zip(stats, slots, counts(data, offsets), strict=True)]
+    return pa.array(out, pa.binary())
+
+
+def _sortable(z: np.ndarray) -> np.ndarray:
+    """Numbers in single precision as integers of 32 bits in the same order."""
+    bits = z.astype(np.float32).view(np.uint32)
+    return np.where(bits >> np.uint32(31), ~bits, bits | np.uint32(1 << 31)).astype(np.int64)
+
+
+def _keys(z: np.ndarray, order: np.ndarray, c: int) -> np.ndarray:
+    """Ascending from the surest of class c, among equals by `order`; -1 where not sure."""
+    z = np.where(z == 0, 0.0, z if c == 0 else -z)
+    return np.where(_sigmoid(-z) >= SURE, (_sortable(z) << 31) | ((order >> 33) & 0x7FFFFFFF), -1)
+
+
+#: Either view's model and by (view, class) the last key that counts as surest, of one round.
+Round = tuple[list[Logistic], list[list[int]]]
+
+
+def _scored(models: list[Logistic]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2048):
+                part = batch.slice(i, 2048)
+                order = np.asarray(part.column("order"))
+                for k, x in enumerate(_decoded(part.column("x").to_pylist())):
+                    z = models[k].logit(x.astype(np.float64))
+                    for c in (0, 1):
+                        keys = _keys(z, order, c)
+                        keys = keys[keys >= 0]
+                        yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(keys), 2 * k + c), pa.int32()), "key": pa.array(keys, pa.int64())})
+
+    return run
+
+
+def _given(history: list[Round]):
+    """The rows that either view has given to the other so far; what a row was given first stays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2048):
+                part = batch.slice(i, 2048)
+                order = np.asarray(part.column("order"))
+                views = [x.astype(np.float64) for x in _decoded(part.column("x").to_pylist())]
+                labels = np.full((2, part.num_rows), -1, dtype=np.int32)
+                for models, last in history:
+                    for k in (0, 1):
+                        z, to = models[k].logit(views[k]), labels[1 - k]
+                        for c in (1, 0):
+                            keys = _keys(z, order, c)
+                            to[(keys >= 0) & (keys <= last[k][c]) & (to < 0)] = c
+                some = np.flatnonzero((labels >= 0).any(axis=0))
+                yield pa.RecordBatch.from_pydict({"x": part.column("x").take(pa.array(some)), "text": pa.array(labels[0][some]), "meta": pa.array(labels[1][some])})
+
+    return run
+
+
+@dataclass
+class Pool:
+    """All unlabelled rows: (order, x), counted."""
+
+    rows: DataFrame
+    size: int
+
+    def surest(self, models: list[Logistic], most: list[list[int]]) -> list[list[int]]:
+        """By view and class the key of the last of the `most` surest rows (-1: none), by counts of digits of the keys."""
+        keys = checkpoint(self.rows.mapInArrow(_scored(models), "kind int, key long"))
+        prefix, left, done = [0] * 4, [most[k][c] for k in (0, 1) for c in (0, 1)], {}
+        for shift in (48, 32, 16, 0):
+            todo = [i for i in range(4) if i not in done]
+            if not todo:
+                break
+            match = [(F.col("kind") == i) & ((F.shiftright("key", shift + 16) == prefix[i]) if shift < 48 else F.lit(True)) for i in todo]
+            wanted = match[0]
+            for m in match[1:]:
+                wanted = wanted | m
+            bins = keys.where(wanted).groupBy("kind", F.shiftright("key", shift).alias("bin")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+            kind, place, n = (np.asarray(bins.column(c)) for c in ("kind", "bin", "n"))
+            for i in todo:
+                at = np.flatnonzero(kind == i)
+                at = at[np.argsort(place[at])]
+                total = np.cumsum(n[at])
+                k = int(np.searchsorted(total, left[i]))
+                if left[i] <= 0 or not len(at):
+                    done[i] = -1
+                elif k >= len(at) or total[k] == left[i] or not shift:  # whole digits; equal keys stay together
+                    done[i] = (int(place[at[min(k, len(at) - 1)]]) + 1 << shift) - 1
+                else:
+                    prefix[i], left[i] = int(place[at[k]]), left[i] - (int(total[k - 1]) if k else 0)
+        return [[done[2 * k + c] for c in (0, 1)] for k in (0, 1)]
+
+    def given(self, history: list[Round]) -> DataFrame:
+        return checkpoint(self.rows.mapInArrow(_given(history), "x binary, text int, meta int").repartition(PARTS))
+
+
+def _added(given: DataFrame, add: Callable[[int, np.ndarray, np.ndarray], tuple[np.ndarray, ...]]) -> list[list[np.ndarray]]:
+    """By view the sums of what add(view, features, labels) returns for parts of the given rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: list[list[np.ndarray] | None] = [None, None]
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2048):
+                part = batch.slice(i, 2048)
+                views = _decoded(part.column("x").to_pylist())
+                for k, name in enumerate(("text", "meta")):
+                    y = np.asarray(part.column(name))
+                    more = add(k, views[k][y >= 0], y[y >= 0].astype(np.float64))
+                    sums[k] = [a + b for a, b in zip(sums[k], more, strict=True)] if sums[k] else list(more)
+        for k, some in enumerate(sums):
+            for j, a in enumerate(some or []):
+                half = a[np.triu_indices(len(a))].astype(np.float32) if a.ndim == 2 else a  # symmetric
+                yield pa.RecordBatch.from_pydict({"view": pa.array([k], pa.int32()), "at": pa.array([j], pa.int32()), "sums": pa.array([half.tobytes()], pa.binary())})
+
+    out: list[dict[int, np.ndarray]] = [{}, {}]
+    rows = given.mapInArrow(run, "view int, at int, sums binary").toArrow()
+    for k, j, sums in zip(*(rows.column(c) for c in ("view", "at", "sums")), strict=True):
+        a = np.frombuffer(sums.as_buffer(), dtype=np.float32 if j.as_py() else np.float64).astype(np.float64)
+        out[k.as_py()][j.as_py()] = out[k.as_py()].get(j.as_py(), 0) + a
+    for view in out:
+        if 1 in view:
+            n = (math.isqrt(8 * len(view[1]) + 1) - 1) // 2
+            full = np.zeros((n, n))
+            full[np.triu_indices(n)] = view[1]
+            view[1] = full + np.triu(full, 1).T
+    return [[view[j] for j in sorted(view)] for view in out]
+
+
+def _fit_views(views: list[np.ndarray], y: np.ndarray, ridge: float, given: DataFrame | None, start: list[Logistic]) -> list[Logistic]:
+    """Both views' regressions, on labelled rows here and given ones there, from `start` on."""
+
+    def total(add) -> list[list[np.ndarray]]:
+        more = _added(given, lambda k, x, labels: add(k, x, labels, GIVEN_WEIGHT)) if given is not None else [[], []]
+        own = [add(k, x, y, 1.0) for k, x in enumerate(views)]
+        return [[a + b for a, b in zip(o, m, strict=True)] if m else list(o) for o, m in zip(own, more, strict=True)]
+
+    mean, scale, b, penalty, going = [], [], [], [], [True, True]
+    for k, (moments,) in enumerate(total(lambda k, x, labels, weight: (_moments(x),))):
+        n, at = views[k].shape[1], moments[-1]
+        mean.append(moments[:n] / at)
+        deviation = np.sqrt(np.maximum(moments[n : 2 * n] / at - mean[k] ** 2, 0))
+        varies = deviation >= 1e-9
+        scale.append(np.where(varies, deviation, np.inf))
+        w = np.where(varies, start[k].weights, 0.0)
+        b.append(np.append(w * np.where(varies, deviation, 0.0), start[k].bias + mean[k] @ w))
+        penalty.append(np.append(np.full(n, ridge), 1e-6))
+    best: list[tuple[float, np.ndarray]] = [(np.inf, v) for v in b]
+    for _ in range(MOST_STEPS):
+        now = list(going)
+
+        def add(k, x, labels, weight, now=now):
+            return _sums(x, labels, weight, mean[k], scale[k], b[k]) if now[k] else (np.zeros(1), np.zeros((1, 1)))
+
+        for k, (gradient, curve) in enumerate(total(add)):
+            if not now[k]:
+                continue
+            loss = gradient[-1] + 0.5 * float(penalty[k] @ (b[k] * b[k]))
+            least, at = best[k]
+            if loss > least + 1e-9 * abs(least):  # too far
+                step = (b[k] - at) / 2
+                b[k] = at + step
+            else:
+                best[k] = (loss, b[k])
+                step = -np.linalg.solve(curve + np.diag(penalty[k]), gradient[:-1] + penalty[k] * b[k])
+                b[k] = b[k] + step * min(1.0, 10.0 / max(1e-12, float(np.abs(step).max())))
+            going[k] = np.abs(step).max() >= 1e-4
+        if not any(going):
+            break
+    weights = [v[:-1] / s for v, s in zip(b, scale, strict=True)]
+    return [Logistic(w, float(v[-1] - m @ w)) for w, v, m in zip(weights, b, mean, strict=True)]
+
+
+def train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool: Callable[[], Pool], rounds: int = ROUNDS) -> Model:
+    """Fit both views in turns. y: 0 or 1; the rows of the pool have no label."""
     if len(y) < 8 or len(set(y.tolist())) < 2:
         share = (float(y.sum()) + 1) / (len(y) + 1)  # no two classes to tell apart: all get the prior
         flat = float(np.log(share / max(1 - share, 1e-3)))
@@ -181,21 +411,14 @@ def train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, more_text: np.ndarr
     held = np.zeros(len(y), dtype=bool)
     for c in (0, 1):  # of either class; rows come in order of a hash
         held[np.flatnonzero(y == c)[:: round(1 / HELD_OUT)]] = True
-    views = ((text, more_text, 5.0), (meta, more_meta, 5.0))
-    given: list[dict[int, float]] = [{}, {}]
-    models: list[Logistic] = []
-    for _ in range(rounds + 1):
-        models = []
-        for (x, more, ridge), extra in zip(views, given, strict=True):
-            rows = np.array(sorted(extra), dtype=np.int64)
-            xs, ys = np.concatenate([x[~held], more[rows]]), np.concatenate([y[~held], [extra[r] for r in rows]])
-            models.append(Logistic.fit(xs, ys, ridge, np.concatenate([np.ones(int((~held).sum())), np.full(len(rows), 0.3)])))
-        for k, (model, (_, more, _)) in enumerate(zip(models, views, strict=True)):
-            p = _sigmoid(model.logit(more)) if len(more) else np.zeros(0)
-            for c, sure, share in ((1.0, p, y.mean()), (0.0, 1 - p, 1 - y.mean())):
-                best = np.argsort(-sure, kind="stable")[: int(np.ceil(EACH * share * len(p)))]
-                given[1 - k].update({int(i): c for i in best[sure[best] >= SURE] if int(i) not in given[1 - k]})
-    logits = [m.logit(x[held]) for m, (x, _, _) in zip(models, views, strict=True)]
+    views, more = [text[~held], meta[~held]], pool()
+    models = _fit_views(views, y[~held], RIDGE, None, [Logistic(np.zeros(N_TEXT), 0.0), Logistic(np.zeros(N_META), 0.0)])
+    most = [math.ceil(EACH * share * more.size) for share in (1 - y.mean(), y.mean())]
+    history: list[Round] = []
+    for _ in range(rounds):
+        history.append((models, more.surest(models, [most, most])))
+        models = _fit_views(views, y[~held], RIDGE, more.given(history), models)
+    logits = [m.logit(x[held]) for m, x in zip(models, (text, meta), strict=True)]
     scales = [_platt(z, y[held]) for z in logits]
     both = np.stack([a * z + b for (a, b), z in zip(scales, logits, strict=True)], axis=1)
     mix = Logistic.fit(both, y[held], 1.0)
@@ -217,16 +440,22 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, lang: str, s
     known = labels.select(F.col(doc_id).alias("id"), F.col(label).alias("label")).where("id is not null and label in (0, 1)").groupBy("id").agg(F.min("label").alias("label"))
     order = F.xxhash64("id", F.lit("order")).alias("order")
     some = known.select("id", "label", order).orderBy("order", "id").limit(MOST_LABELLED)
-    rest = rows.where("id is not null").select("id").join(known, "id", "left_anti").select("id", F.lit(None).cast("int").alias("label"), order).orderBy("order", "id").limit(MOST_UNLABELLED)
-    parts = []
-    for ids in (some, rest):
-        t = _sampled(rows, ids, text).sort_by("order")
-        x = np.frombuffer(utf8(t.column("x"))[0].tobytes(), dtype=np.float32).reshape(-1, N_TEXT)
-        meta = meta_features(*(t.column(c).combine_chunks() for c in ("lang", "source", "size")))
-        y = np.array([v if v is not None else -1 for v in t.column("label").to_pylist()], dtype=np.float64)
-        parts.append((x, meta, y))
-    (x, meta, y), (more_x, more_meta, _) = parts
-    return train(x, meta, y, more_x, more_meta, rounds)
+    t = _sampled(rows, some, text).sort_by("order")
+    x = np.frombuffer(utf8(t.column("x"))[0].tobytes(), dtype=np.float32).reshape(-1, N_TEXT)
+    meta = meta_features(*(t.column(c).combine_chunks() for c in ("lang", "source", "size")))
+    y = np.array(t.column("label").to_pylist(), dtype=np.float64)
+
+    def pool() -> Pool:
+        # rows without id, which no label can have, are dealt by their order; packed before the join, so that no text moves
+        order = F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("id", F.lit("order")))
+        packed = rows.select("id", order.alias("order"), _packed("text", F.col("lang").cast("string"), F.col("source").cast("string"), "size").alias("x"))
+        packed = packed.mapInArrow(lambda batches: batches, "id long, order long, x binary").withColumn("key", F.coalesce("id", "order"))
+        mine = known.select(F.col("id").cast("long").alias("key"), F.lit(True).alias("has_id"))
+        out = packed.select("key", F.col("id").isNotNull().alias("has_id"), "order", "x").join(mine, ["key", "has_id"], "left_anti").select("order", "x")
+        out = checkpoint(out)
+        return Pool(out, out.count())
+
+    return train(x, meta, y, pool, rounds)
 
 
 def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", size: str = "n_chars", label: str = "quality", rounds: int = ROUNDS, threshold: float = 0.5) -> DataFrame:

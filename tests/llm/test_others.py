@@ -143,6 +143,41 @@ def test_quality(spark):
     assert cotraining.score(rows.limit(0), labels.limit(20)).collect() == []
 
 
+def test_all_unlabelled_documents_are_exchanged(spark, monkeypatch):
+    """More than any sample: the pool is all rows without label, its surest are those of a sort, the sums those of all rows."""
+    n = 5200
+    docs = spark.range(n).selectExpr("if(id = 7, null, id) doc_id", "concat(repeat('ab c', int(id % 9)), char(97 + int(id % 23)), ' ', id) text", "'en' lang", "concat('s', id % 3) source", "id % 50 n_chars")
+    labels = spark.range(100).selectExpr("id doc_id", "int(id % 2) quality")
+    caught = {}
+    monkeypatch.setattr(cotraining, "train", lambda x, meta, y, pool, rounds: caught.update(x=x, meta=meta, y=y, pool=pool()))
+    cotraining.fit(docs, labels, "doc_id", "text", "lang", "source", "n_chars", "quality")
+    pool, y = caught["pool"], caught["y"]
+    assert pool.size == n - 99 and len(y) == 99  # the row without id has no label
+    rows = pool.rows.toArrow()
+    views, order = cotraining._decoded(rows.column("x").to_pylist()), np.asarray(rows.column("order"))
+    rng = np.random.default_rng(3)
+    weights = [rng.normal(size=x.shape[1]) * 20 for x in views]
+    models = [cotraining.Logistic(w, -float(np.median(x @ w))) for w, x in zip(weights, views, strict=True)]
+    last, given = pool.surest(models, [[150, 400], [60, 9999]]), {}
+    for k in (0, 1):
+        for c, most in zip((1, 0), ((400, 150), (9999, 60))[k], strict=True):
+            z = models[k].logit(views[k].astype(np.float64))
+            keys = cotraining._keys(z, order, c)
+            sure = np.sort(keys[keys >= 0])
+            assert len(sure) and ((keys >= 0) & (keys <= last[k][c])).sum() == np.searchsorted(sure, sure[min(most, len(sure)) - 1], side="right")
+            for i in np.flatnonzero((keys >= 0) & (keys <= last[k][c])):
+                given.setdefault((1 - k, i), c)
+    frame = pool.given([(models, last)])
+    assert frame.where("text >= 0").count() == sum(k == 0 for k, _ in given) and frame.where("meta >= 0").count() == sum(k == 1 for k, _ in given)
+    start = [cotraining.Logistic(np.zeros(x.shape[1]), 0.0) for x in views]
+    got = cotraining._fit_views([caught["x"], caught["meta"]], y, 5.0, frame, start)
+    for k, own in enumerate((caught["x"], caught["meta"])):
+        at = [i for v, i in given if v == k]
+        xs, ys = np.concatenate([own, views[k][at]]), np.concatenate([y, [given[k, i] for i in at]])
+        want = cotraining.Logistic.fit(xs, ys, 5.0, np.concatenate([np.ones(len(y)), np.full(len(at), 0.3)]))
+        assert got[k].logit(xs) == pytest.approx(want.logit(xs), abs=0.02)
+
+
 # --- 5
 
 
