@@ -18,17 +18,17 @@ from . import sql as Q
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-#: Queries that are whole but take minutes for each long periodic sequence (see README); not in the registry.
-SLOW: dict[str, Query] = {}
+#: Rounds of refinement before repair.
+PIPELINE_ROUNDS = 25
 
 
-def add(name: str, text: str | None = None, slow: bool = False) -> Callable[[Query], Query]:
+def add(name: str, text: str | None = None) -> Callable[[Query], Query]:
     def keep(f: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return widened(f(spark, sf_dir))
 
         run.__doc__ = f.__doc__
-        (SLOW if slow else QUERIES)[name] = run
+        QUERIES[name] = run
         if text:
             SQL[name] = text.replace("::INT ", "::BIGINT ").replace("::INT)", "::BIGINT)").replace("::INT,", "::BIGINT,")
         return f
@@ -327,18 +327,18 @@ def search_refine(spark, sf_dir):
     return rounded(search.refine(seqs, _scorer(seqs, True)))
 
 
-@add("search_repair", slow=True)
+@add("search_repair")
 def search_repair(spark, sf_dir):
     """Repair of the longest duplexes of every sequence; no SQL (iterated argmin over rescans)."""
     seqs = seqs_of(spark, sf_dir)
     return rounded(search.repair(seqs, _scorer(seqs, False)))
 
 
-@add("search_pipeline", slow=True)
+@add("search_pipeline")
 def search_pipeline(spark, sf_dir):
     """Refine, then repair each sequence; metrics before and after, as candidates for selection."""
     seqs = seqs_of(spark, sf_dir).where("cds <> ''")
-    refined = search.refine(seqs, _scorer(seqs, True)).select("seq_id", F.col("refined").alias("cds"), "score_start", F.col("score_end").alias("refined_score"), "n_moves")
+    refined = search.refine(seqs, _scorer(seqs, True), PIPELINE_ROUNDS).select("seq_id", F.col("refined").alias("cds"), "score_start", F.col("score_end").alias("refined_score"), "n_moves")
     repaired = search.repair(refined, _scorer(seqs, False)).drop("score_before").withColumnRenamed("score_after", "repair_score")
     out = refined.join(repaired, "seq_id").select("seq_id", "score_start", "refined_score", "n_moves", "n_swaps", "selfcomp_before", "selfcomp_after", "repair_score", C.cai(F.col("cds")).alias("cai_pre"), S.motif_count(F.col("cds")).alias("sites_pre"), S.n_hp4(F.col("cds")).alias("hp4_pre"), S.n_hp5(F.col("cds")).alias("hp5_pre"), S.gc_content(F.col("cds")).alias("gc_pre"), F.col("repaired").alias("seq"))
     return rounded(out)
@@ -423,9 +423,9 @@ def rep_compare_pivot(spark, sf_dir):
     return rounded(report.compare_pivot(report.compare_stats(_compared(spark, sf_dir)), ["de", "en", "es", "fr"]))
 
 
-@add("rep_repair_report", slow=True)
+@add("rep_repair_report")
 def rep_repair_report(spark, sf_dir):
-    return rounded(report.repair_report(SLOW["search_repair"](spark, sf_dir)))
+    return rounded(report.repair_report(QUERIES["search_repair"](spark, sf_dir)))
 
 
 @add("rep_union_schema", f"WITH {Q.SEQS} SELECT seq_id, 'a' AS pool, length(raw) AS len, NULL::DOUBLE AS gc FROM seqs UNION ALL SELECT seq_id, 'b', NULL, round({Q.gc('cds')}, 6) FROM seqs")

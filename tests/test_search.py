@@ -5,8 +5,10 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from cistron import catalog
 from cistron.functions import constants as K
 from cistron.operators import duplex, search
+from cistron.plans import queries
 
 RNG = np.random.default_rng(5)
 SCORER = search.Scorer(np.log(RNG.random((64, 64)) / 4096), (-9.0, 0.3), (0.7, 0.05), (0.3, 0.05))
@@ -84,3 +86,14 @@ def test_refine_frame(spark):
     df = spark.createDataFrame([(1, "ATGAAACCC"), (2, None), (3, "ATGNNN"), (4, "")], "seq_id long, cds string")
     got = {r.seq_id: r for r in search.refine(df, SCORER).collect()}
     assert got[1].n_moves >= 0 and got[2].refined is None and got[3].refined is None and got[4].refined == ""
+
+
+def test_repair_is_registered_and_refines_to_the_end(spark, monkeypatch):
+    """The three queries on repair are in the registry; the pipeline refines for up to 25 rounds."""
+    assert {"search_repair", "search_pipeline", "rep_repair_report"} <= set(catalog.queries())
+    seqs = spark.createDataFrame([(1, "g", "s", "ATGGCTGCTGCTTAA", "ATGGCTGCTGCT")], "seq_id long, grp string, source string, raw string, cds string")
+    seen = []
+    refine = search.refine
+    monkeypatch.setattr(queries, "seqs_of", lambda *_: seqs)
+    monkeypatch.setattr(search, "refine", lambda s, scorer, rounds=8, seq="cds": seen.append(rounds) or refine(s, scorer, rounds, seq))
+    assert catalog.queries()["search_pipeline"](spark, "").count() == 1 and seen == [25]
