@@ -5,14 +5,13 @@ from __future__ import annotations
 import ctypes
 import math
 import struct
-import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Stands for a null document id inside the operators: such rows come after all others.
@@ -26,14 +25,60 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that spark.checkpoint.dir names; an own folder only where none is set."""
+    """Cut the lineage in the folder that spark.checkpoint.dir names.
+
+    Without that setting an own folder serves where executors share the driver's machine; elsewhere it is an error.
+    """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+        if not folder:
+            if not sc.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            import tempfile
+
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint()
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """All columns, whatever their names hold."""
+    return [F.col(quoted(c)) for c in df.columns]
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, lengthened until `df` has no column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def grouped(run: Callable) -> Callable:
+    """A function on groups that gives its freed memory back when it ends."""
+
+    def f(key, table):
+        out = run(key, table)
+        release()
+        return out
+
+    return f
+
+
+def cogrouped(run: Callable) -> Callable:
+    def f(key, left, right):
+        out = run(key, left, right)
+        release()
+        return out
+
+    return f
+
+
 def block_count(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> int:
     """Number of blocks so that one holds about `block_bytes` of text, from the exact size of the whole table."""
     total, rows = docs.agg(F.sum(F.octet_length(text)), F.count(F.lit(1))).first()
@@ -46,7 +91,7 @@ def in_blocks(docs: DataFrame, blocks: int, doc_id: str = "doc_id", text: str =
     whole: with all other columns in a struct `row`, so that no name clashes.
     """
     key = F.pmod(F.xxhash64(F.col(doc_id)), F.lit(blocks)).cast("int")
-    rest = [F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text)).alias("row")] if whole else []
+    rest = [F.struct(*(F.col(quoted(c)) for c in docs.columns if c != text)).alias("row")] if whole else []
     return docs.select(key.alias("block"), F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), *rest)
 
 
@@ -142,6 +187,32 @@ def split_by(bucket: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
     return [(b, order[bounds[b] : bounds[b + 1]]) for b in np.flatnonzero(np.diff(bounds))]
 
 
+def alike(hashes: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First place, group and size of equal pairs (hash, check), as np.unique gives them; groups in order of the hash."""
+    _, first, group, count = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+    if len(hashes) and (checks != checks[first][group]).any():  # different ones with one hash
+        order = np.lexsort((checks, hashes))
+        fresh = (hashes[order][1:] != hashes[order][:-1]) | (checks[order][1:] != checks[order][:-1])
+        rank = np.empty(len(hashes), dtype=np.int64)
+        rank[order] = np.cumsum(np.insert(fresh, 0, False))
+        _, first, group, count = np.unique(rank, return_index=True, return_inverse=True, return_counts=True)
+    return first, group, count
+
+
+def find(hashes: np.ndarray, checks: np.ndarray, known: np.ndarray, known_checks: np.ndarray) -> np.ndarray:
+    """Place of each pair (hash, check) in a table with ascending hashes, -1 if it has none."""
+    at, out = np.searchsorted(known, hashes), np.full(len(hashes), -1, dtype=np.int64)
+    left = np.flatnonzero(at < len(known))
+    while len(left):
+        left = left[known[at[left]] == hashes[left]]
+        hit = known_checks[at[left]] == checks[left]
+        out[left[hit]] = at[left[hit]]
+        left = left[~hit]
+        at[left] += 1
+        left = left[at[left] < len(known)]
+    return out
+
+
 def is_in(values: np.ndarray, among: np.ndarray) -> np.ndarray:
     """values in the ascending array `among`, without sorting `values`."""
     if not len(among):

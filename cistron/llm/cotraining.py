@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, pack, release, unpack, utf8
+from .common import checkpoint, pack, quoted, release, unpack, utf8
 from .hashing import span_hashes, spans
 
 #: Labelled rows from which the models are fitted, at most; the share of them held out for calibration.
@@ -431,8 +431,14 @@ def _features(text: pa.Array) -> pa.Array:
 
 
 def _sampled(docs: DataFrame, ids: DataFrame, text: str) -> pa.Table:
-    """Features and what is known of the documents with these ids (a bounded number)."""
-    return docs.join(F.broadcast(ids), "id").select("order", "label", _features("text").alias("x"), "lang", "source", "size").toArrow()
+    """Features and what is known of the documents with these ids (a bounded number), one row for each id.
+
+    Of several rows of one id that with the least hash of its text counts, so that no repeated id reaches the driver.
+    """
+    own = [F.col(c) for c in ("lang", "source", "size")]
+    least = F.min_by(F.struct("text", *own), F.xxhash64("text", *own))
+    rows = docs.join(F.broadcast(ids.select("id")), "id", "left_semi").groupBy("id").agg(least.alias("row")).join(F.broadcast(ids), "id")
+    return rows.select("order", "label", _features("row.text").alias("x"), "row.lang", "row.source", "row.size").limit(MOST_LABELLED).toArrow()
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, lang: str, source: str, size: str, label: str, rounds: int = ROUNDS) -> Model:
@@ -458,12 +464,15 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, lang: str, s
     return train(x, meta, y, pool, rounds)
 
 
-def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", size: str = "n_chars", label: str = "quality", rounds: int = ROUNDS, threshold: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", size: str = "n_chars", label: str = "quality", rounds: int = ROUNDS, threshold: float = 0.5, into: str = "quality", keep: str = "keep") -> DataFrame:
     """`docs` and a struct column `quality` (p_text, p_meta, p_quality) and `keep`; own columns of these names are replaced.
 
     A document is kept if its probability of good quality is `threshold` or more. A null text counts as empty, nulls of
     the other view are values of their own. Labels other than 0 and 1 and without id don't count, of several for one id
-    the least does. Without labels of both classes all documents get the labels' share. Repeated rows get equal scores.
+    the least does; of several rows with one labelled id one counts, that with the least hash. Of documents of which a
+    view is equally sure the one with the smaller hash of its id is handed over first. Without labels of both classes all
+    documents get the labels' share. Repeated rows get equal scores. A text of any length is read whole. No rows give no
+    rows. `into` and `keep` name the new columns.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, doc_id, text, lang, source, size, label, rounds))
 
@@ -477,5 +486,5 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         p = [np.concatenate([x[k] for x in parts]) if parts else np.zeros(0) for k in range(3)]
         return pa.StructArray.from_arrays([pa.array(x, pa.float64()) for x in p], names=["p_text", "p_meta", "p_quality"])
 
-    out = docs.drop("quality", "keep").withColumn("quality", scored(F.col(text), F.col(lang).cast("string"), F.col(source).cast("string"), F.col(size).cast("long")))
-    return out.withColumn("keep", F.col("quality.p_quality") >= threshold)
+    out = docs.drop(into, keep).withColumn(into, scored(F.col(text), F.col(lang).cast("string"), F.col(source).cast("string"), F.col(size).cast("long")))
+    return out.withColumn(keep, F.col(quoted(into))["p_quality"] >= threshold)

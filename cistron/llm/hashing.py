@@ -1,7 +1,9 @@
 """Words, n-grams and minimizers of whole blocks of documents, as numpy arrays.
 
-A word is a run of bytes other than 0x20 and 0x09-0x0D. Hashes are 64-bit polynomials over random byte or word
-codes, taken from prefix sums, so that a gram of any length costs a few operations.
+A word is a run of bytes other than 0x20 and 0x09-0x0D. Hashes of short words are 64-bit polynomials over random byte
+codes, those of grams polynomials over the words' hashes, taken from prefix sums, so that a gram of any length costs a few
+operations. Polynomials modulo 2**64 are weak on long periodic strings whatever their codes; longer spans are hashed by XXH3.
+What decides by hashes alone takes a second one, over other codes, besides.
 """
 
 from __future__ import annotations
@@ -9,6 +11,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import xxhash
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -17,6 +20,8 @@ ASCII_LOWER = np.arange(256, dtype=np.uint8)
 ASCII_LOWER[0x41:0x5B] += 32
 _ODD = 0x9E3779B97F4A7C15
 _SLICE = 1 << 17
+#: Bytes of a span that a polynomial serves.
+SHORT = 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,6 +35,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+OTHER_CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x8CB92BA72F3D8DD7))
 
 
 @lru_cache(maxsize=4)
@@ -59,20 +65,28 @@ def spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SPACE)
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of the bytes of each span; spans are ascending and don't overlap."""
-    out = np.empty(len(starts), dtype=np.uint64)
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: bool = False, quick: bool = False) -> np.ndarray:
+    """A hash of the bytes of each span; spans are ascending.
+
+    second: another one, independent of the first. quick: polynomials for long spans too, where bytes are compared later.
+    """
+    out, codes = np.empty(len(starts), dtype=np.uint64), OTHER_CODES if second else BYTE_CODES
     a = 0
     while a < len(starts):
         b = max(a + 1, int(np.searchsorted(ends, starts[a] + _SLICE, side="right")))
         lo, hi = int(starts[a]), int(ends[b - 1])
         up, down = powers(hi - lo + 1)
         sums = np.zeros(hi - lo + 1, dtype=np.uint64)
-        np.cumsum(BYTE_CODES[data[lo:hi]] * up[: hi - lo], out=sums[1:])
+        np.cumsum(codes[data[lo:hi]] * up[: hi - lo], out=sums[1:])
         s = starts[a:b] - lo
         out[a:b] = (sums[ends[a:b] - lo] - sums[s]) * down[s]
         a = b
-    return mix(out)
+    out = mix(out)
+    if not quick and len(long := np.flatnonzero(ends - starts > SHORT)):
+        view = memoryview(np.ascontiguousarray(data))
+        seed = int(second)
+        out[long] = [xxhash.xxh3_64_intdigest(view[s:e], seed) for s, e in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+    return out
 
 
 def grams(codes: np.ndarray, n: int) -> np.ndarray:

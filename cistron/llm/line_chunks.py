@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
-from .common import BLOCK_BYTES, block_count, deltas, in_blocks, is_in, kept_texts, ordered, pack, split_by, summed, unpack, unsigned
+from .common import BLOCK_BYTES, block_count, cogrouped, deltas, grouped, in_blocks, is_in, kept_texts, ordered, pack, split_by, summed, unpack, unsigned
 from .hashing import grams, inner, mix, span_hashes
 from .suffix_dedup import _REPLY, _REPLY_DDL, _ROUTED, _ROUTED_DDL, _rows, _shared
 
@@ -192,12 +193,13 @@ def _deduplicate(docs: DataFrame, cut: Cut, doc_id: str, text: str, block_bytes:
     n = block_count(docs, text, block_bytes)
     whole = in_blocks(docs, n, doc_id, text, whole=True)
     blocks = whole.groupBy("block")
-    units = blocks.applyInArrow(_index(cut, n), _ROUTED_DDL)
-    shared = units.groupBy("bucket").applyInArrow(_shared, _REPLY_DDL)
-    sent = blocks.cogroup(shared.groupBy("block")).applyInArrow(_send(cut, n), _ROUTED_DDL)
-    late = sent.groupBy("bucket").applyInArrow(_compare, _REPLY_DDL)
-    result = f"row {whole.schema['row'].dataType.simpleString()}, text string, n_lines long, n_removed_lines long, n_removed_chunks long, kept_sha256 string"
-    return blocks.cogroup(late.groupBy("block")).applyInArrow(_remove(cut), result)
+    units = blocks.applyInArrow(grouped(_index(cut, n)), _ROUTED_DDL)
+    shared = units.groupBy("bucket").applyInArrow(grouped(_shared), _REPLY_DDL)
+    sent = blocks.cogroup(shared.groupBy("block")).applyInArrow(cogrouped(_send(cut, n)), _ROUTED_DDL)
+    late = sent.groupBy("bucket").applyInArrow(grouped(_compare), _REPLY_DDL)
+    numbers = [T.StructField(c, T.LongType()) for c in ("n_lines", "n_removed_lines", "n_removed_chunks")]
+    result = T.StructType([whole.schema["row"], T.StructField("text", T.StringType()), *numbers, T.StructField("kept_sha256", T.StringType())])
+    return blocks.cogroup(late.groupBy("block")).applyInArrow(cogrouped(_remove(cut)), result)
 
 
 def deduplicate_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -213,7 +215,8 @@ def deduplicate(docs: DataFrame, lines: int = 4, most: int = 64, doc_id: str = "
     """Remove multi-line chunks (`lines` lines on average, `most` at most) whose bytes occur earlier in the corpus.
 
     (row, text, n_lines, n_removed_lines, n_removed_chunks, kept_sha256): `row` is a struct of all columns but the text,
-    as they were. A null text stays null and has no lines; an empty one has one. Single lines are never removed. A null
-    id comes after all others; rows of one id are ordered by text. All chunks of a repeated row but a single last line go.
+    as they were, whatever their names. A null text stays null and has no lines; an empty one has one. Single lines are
+    never removed. A null id comes after all others; rows of one id are ordered by text. All chunks of a repeated row but a
+    single last line go. A text longer than a block is a block of its own. No rows give no rows.
     """
     return _deduplicate(docs, lambda table: _Chunks(table, lines, most), doc_id, text, block_bytes)

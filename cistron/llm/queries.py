@@ -9,14 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from . import cotraining, decontaminate, line_chunks, ngram_join, pii_surrogates, rendezvous, rlz_dedup, sentencepiece_sampling, spotsigs, suffix_dedup
 from .common import read
 
-#: Public vocabulary file, on each machine.
+#: Public vocabulary file, read on the driver alone; the setting spark.cistron.pieceModel names another one.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def model(spark: SparkSession) -> str:
+    return spark.conf.get("spark.cistron.pieceModel", MODEL)
+
+
 def op1_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two different sampled segmentations of each document."""
-    return sentencepiece_sampling.encode(read(spark, sf_dir, "documents"), MODEL, k=2).withColumnRenamed("id", "doc_id")
+    """Two different sampled segmentations of each document, decoded again and compared with the text."""
+    return sentencepiece_sampling.encode(read(spark, sf_dir, "documents"), model(spark), k=2, decoded=True).withColumnRenamed("id", "doc_id")
 
 
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

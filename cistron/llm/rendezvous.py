@@ -24,8 +24,8 @@ def shard_of(key: Column, weights: Sequence[float]) -> Column:
         raise ValueError("one positive weight for each shard is needed")
 
     def score(s: int, w: float) -> Column:
-        # 53 bits of the hash as a number in (0, 1)
-        u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(s)), 11).cast("double") + F.lit(0.5)) * F.lit(2.0**-53)
+        # 52 bits of the hash and a half as a number in (0, 1): no more, or the greatest would round to 1
+        u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(s)), 12).cast("double") + F.lit(0.5)) * F.lit(2.0**-52)
         return F.lit(-float(w)) / F.log(u)
 
     best = F.greatest(*(F.struct(score(s, w).alias("score"), F.lit(-s).alias("shard")) for s, w in enumerate(weights))) if len(weights) > 1 else F.struct(F.lit(0).alias("shard"))
@@ -36,7 +36,8 @@ def assign(docs: DataFrame, weights: Sequence[float], grown: Sequence[float] | N
     """One row for each document: shard, a gapless slot from 0 within the shard, and its shard among `grown`.
 
     A null text counts as empty (checksum 0, 16 bytes); a null id is a key of its own. Equal rows get one slot each, in
-    no fixed order among themselves. Other columns of `docs` are not looked at. No rows give no rows.
+    no fixed order among themselves. A text of any length is only measured. Other columns of `docs` are not looked at. No
+    rows give no rows.
     """
     key = F.col(doc_id)
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
@@ -46,7 +47,7 @@ def assign(docs: DataFrame, weights: Sequence[float], grown: Sequence[float] | N
         F.crc32(body).alias("text_crc32"),
         F.lit("key").alias("law"),
         shard_of(key, weights).alias("shard"),
-        F.pmod(F.xxhash64(key, F.lit("slice")), F.lit(SLICES)).cast("int").alias("slice"),
+        F.pmod(F.xxhash64(key, F.crc32(body), F.length(body)), F.lit(SLICES)).cast("int").alias("slice"),
         (shard_of(key, grown) if grown else F.lit(None).cast("int")).alias("grown_shard"),
     )
     counts = rows.groupBy("shard", "slice").count()

@@ -11,25 +11,34 @@ best can ever come off, so only these are queued.
 
 No piece joins a mark of space to what is before it, so a lattice falls into words; different words of a batch have
 their backward sums taken once. Noise is a hash of (seed, row key, sample, place): it depends on nothing else.
+
+Decoding gives back what was encoded, byte by byte: a mark of space that a text itself has is encoded as its bytes.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .common import release, slices
 from .hashing import mix, powers
 
 SPACE_MARK = "▁"
-#: Characters in one batch (one document at least).
-BATCH_CHARS = 1 << 20
-RESULT_DDL = "id {id}, sample int, n_pieces int, log_prob double, perturbed double, log_inclusion double, ids array<int>"
+#: Stands for a mark of space in a text; no character has this code.
+OWN_MARK = 0x110000
+#: Bytes of text in one batch (one document at least).
+BATCH_BYTES = 1 << 18
+_RESULT = [("sample", T.IntegerType()), ("n_pieces", T.IntegerType()), ("log_prob", T.DoubleType()), ("perturbed", T.DoubleType()), ("log_inclusion", T.DoubleType()), ("ids", T.ArrayType(T.IntegerType()))]
+_CHECKED = [("decoded_sha256", T.StringType()), ("round_trip", T.BooleanType())]
 
 
 @dataclass(frozen=True)
@@ -76,7 +85,7 @@ class Lattice:
         self.v = v
         usual = [i for i, ok in enumerate(v.plain) if ok]
         self.longest = max(len(v.pieces[i]) for i in usual)
-        self.known = np.zeros(0x110000, dtype=bool)
+        self.known = np.zeros(OWN_MARK + 1, dtype=bool)
         self.known[[ord(v.pieces[i]) for i in usual if len(v.pieces[i]) == 1]] = True
         if any(SPACE_MARK in v.pieces[i].lstrip(SPACE_MARK) for i in usual):
             raise ValueError("a piece has a mark of space after another character")
@@ -228,10 +237,13 @@ class _Search:
 
     def __init__(self, lattice: Lattice, texts: list[str], keys: np.ndarray, k: int) -> None:
         self.lattice, self.k, self.keys = lattice, k, keys
-        marked = [SPACE_MARK + t.replace(" ", SPACE_MARK) if t else "" for t in texts]
-        self.text = np.frombuffer("".join(marked).encode("utf-32-le"), dtype=np.uint32)
+        marked = [SPACE_MARK + t if t else "" for t in texts]
+        self.text = np.frombuffer("".join(marked).encode("utf-32-le"), dtype=np.uint32).copy()
         self.offsets = np.concatenate(([0], np.cumsum([len(t) for t in marked]))).astype(np.int64)
         n = len(self.text)
+        self.text[self.text == ord(SPACE_MARK)] = OWN_MARK
+        self.text[self.text == 0x20] = ord(SPACE_MARK)
+        self.text[self.offsets[:-1][np.diff(self.offsets) > 0]] = ord(SPACE_MARK)
         mark, strange = self.text == ord(SPACE_MARK), ~lattice.known[self.text]
         start = strange.copy()
         start[1:] |= (mark[1:] & ~mark[:-1]) | strange[:-1]
@@ -240,7 +252,7 @@ class _Search:
         self.ends = np.append(self.starts[1:], n)
         sums, down = prefix_sums(self.text)
         hashes = (sums[self.ends] - sums[self.starts]) * down[self.starts]
-        _, one, word = np.unique(hashes, return_index=True, return_inverse=True)
+        one, word = self.different(hashes)
         width = (self.ends - self.starts)[one]
         self.word_end = np.cumsum(width)
         self.node_of = (self.word_end - width)[word]  # of the first character of each word
@@ -248,6 +260,22 @@ class _Search:
         self.first, self.length, self.piece, self.run, self.p = lattice.edges(self.text[np.repeat(self.starts[one], width) + within], self.word_end - width, self.word_end)
         self.doc = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(self.starts, self.offsets)))
 
+    def different(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One word of each kind, and each word's kind; equal hashes count only with equal characters."""
+        _, one, word = np.unique(hashes, return_index=True, return_inverse=True)
+        width = self.ends - self.starts
+        alike = width == width[one][word]
+        if alike.all():
+            of = np.flatnonzero(one[word] != np.arange(len(word)))  # the others are their own kind's first ones
+            w = width[of]
+            at = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w - self.starts[of], w)
+            shift = np.repeat(self.starts[one][word[of]] - self.starts[of], w)
+            if (self.text[at] == self.text[at + shift]).all():
+                return one, word
+        kinds: dict[bytes, int] = {}
+        word = np.array([kinds.setdefault(self.text[a:z].tobytes(), len(kinds)) for a, z in zip(self.starts, self.ends, strict=True)], dtype=np.int64)
+        return np.unique(word, return_index=True)[1], word
+
     def walk(self, edge: np.ndarray, at: np.ndarray, node: np.ndarray, end: np.ndarray, doc: np.ndarray, sample: int) -> None:
         """Draw edges from the given places to the ends of their words; edge: by character, the edge taken there."""
         key = self.keys[doc] + place_key(sample, -self.offsets[doc], 0)
@@ -372,7 +400,7 @@ class _Search:
         bounds = np.searchsorted(places, self.offsets)
         strange = np.flatnonzero(out < 0)
         if len(strange):
-            codes = [chr(c).encode() for c in self.text[places[strange]].tolist()]
+            codes = [(SPACE_MARK if c == OWN_MARK else chr(c)).encode() for c in self.text[places[strange]].tolist()]
             width = np.ones(len(out), dtype=np.int64)
             width[strange] = [len(c) for c in codes]
             ends = np.concatenate(([0], np.cumsum(width)))
@@ -390,90 +418,108 @@ def log_inclusion(log_prob: float, bound: float) -> float:
     return x if x < -30 else float(np.log(-np.expm1(-np.exp(min(x, 700.0)))))
 
 
-def _encode(vocabulary, k: int, alpha: float):
+def _encode(vocabulary, k: int, alpha: float, decoded: bool):
+    def sampled(lattice: Lattice, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        texts, keys = batch.column("text").to_pylist(), np.asarray(batch.column("key")).view(np.uint64)
+        rows = [i for i, t in enumerate(texts) if t is not None]
+        if not rows:
+            return
+        search = _Search(lattice, [texts[i] for i in rows], mix(keys[rows]), k)
+        search.run_all()
+        for sample in range(k):
+            has = [j for j in range(len(rows)) if len(search.found[j]) > sample]
+            if not has:
+                continue
+            flat, bounds = search.ids(sample)
+            count = np.diff(bounds)[has]
+            found = [search.found[j][sample] for j in has]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()), pa.array(flat, pa.int32()))
+            out = {
+                "id": batch.column("id").take(pa.array([rows[j] for j in has])),
+                "sample": pa.array([sample + 1] * len(has), pa.int32()),
+                "n_pieces": pa.array(count, pa.int32()),
+                "log_prob": pa.array([f[0] for f in found], pa.float64()),
+                "perturbed": pa.array([f[1] for f in found], pa.float64()),
+                "log_inclusion": pa.array([log_inclusion(f[0], search.bound[j]) for f, j in zip(found, has, strict=True)], pa.float64()),
+                "ids": lists,
+            }
+            if decoded:
+                back = lattice.decoder.texts(lists)
+                out["decoded_sha256"] = pa.array([hashlib.sha256(b).hexdigest() for b in back], pa.string())
+                out["round_trip"] = pa.array([b == texts[rows[j]].encode() for b, j in zip(back, has, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_pydict(out)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         lattice = Lattice(vocabulary.value, alpha)
+        lattice.decoder = Decoder(vocabulary.value)
         for batch in batches:
-            texts, keys = batch.column("text").to_pylist(), np.asarray(batch.column("key")).view(np.uint64)
-            a = 0
-            while a < len(texts):
-                z, size = a, 0
-                while z < len(texts) and (z == a or size + len(texts[z] or "") <= BATCH_CHARS):
-                    size += len(texts[z] or "")
-                    z += 1
-                rows = [i for i in range(a, z) if texts[i] is not None]
-                a = z
-                if not rows:
-                    continue
-                search = _Search(lattice, [texts[i] for i in rows], mix(keys[rows]), k)
-                search.run_all()
-                for sample in range(k):
-                    has = [j for j in range(len(rows)) if len(search.found[j]) > sample]
-                    if not has:
-                        continue
-                    flat, bounds = search.ids(sample)
-                    count = np.diff(bounds)[has]
-                    found = [search.found[j][sample] for j in has]
-                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()), pa.array(flat, pa.int32()))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            batch.column("id").take(pa.array([rows[j] for j in has])),
-                            pa.array([sample + 1] * len(has), pa.int32()),
-                            pa.array(count, pa.int32()),
-                            pa.array([f[0] for f in found], pa.float64()),
-                            pa.array([f[1] for f in found], pa.float64()),
-                            pa.array([log_inclusion(f[0], search.bound[j]) for f, j in zip(found, has, strict=True)], pa.float64()),
-                            lists,
-                        ],
-                        names=["id", "sample", "n_pieces", "log_prob", "perturbed", "log_inclusion", "ids"],
-                    )
+            for part in slices(batch, most=BATCH_BYTES):
+                yield from sampled(lattice, part)
+        del lattice
+        release()
 
     return run
 
 
-def encode(docs: DataFrame, model_file: str, k: int = 2, alpha: float = 0.3, seed: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model_file: str, k: int = 2, alpha: float = 0.3, seed: int = 0, doc_id: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
     """k different sampled segmentations of each text: id, sample from 1, n_pieces, log_prob, perturbed, log_inclusion, ids.
 
     Samples come by falling perturbed log-probability; fewer than k if a text has no more segmentations (an empty one has
     one, without pieces). log_inclusion is the log of the probability that a segmentation is above the first one left
     out. alpha flattens (0) or keeps (1) the distribution. Noise follows from `seed` and the id alone, so rows of one id and
     text get equal samples; a null id is an id. A null text has no rows. Nothing is shuffled; other columns are not read.
+    A long text is searched whole, in memory in proportion to its length. No rows give no rows.
+
+    decoded: each sample's ids are decoded again; decoded_sha256 is of the bytes that come out, round_trip says whether
+    they are the text's.
     """
     if k < 1:
         raise ValueError("k is 1 at least")
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model_file))  # of the model's size, read on the driver
     rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.lit(seed), F.col(doc_id)).alias("key"), F.col(text).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(_encode(vocabulary, k, alpha), RESULT_DDL.format(id=kind))
+    result = T.StructType([rows.schema["id"], *(T.StructField(c, t) for c, t in _RESULT + _CHECKED * decoded)])
+    return rows.mapInArrow(_encode(vocabulary, k, alpha, decoded), result)
 
 
-def decode_ids(pieces: list[bytes], ids) -> str:
-    out = b"".join([pieces[i] for i in ids]).decode("utf-8", "replace").replace(SPACE_MARK, " ")
-    return out[1:] if out.startswith(" ") else out
+class Decoder:
+    """Bytes of each piece: a mark of space is a space, a byte piece its byte, a control piece nothing."""
 
+    def __init__(self, v: Vocabulary) -> None:
+        out = [p.replace(SPACE_MARK, " ").encode() if ok else b"" for p, ok in zip(v.pieces, v.plain, strict=True)]
+        for byte, i in enumerate(v.byte_ids):
+            out[i] = bytes([byte])
+        self.pieces = pa.array(out, pa.large_binary())
 
-def piece_bytes(v: Vocabulary) -> list[bytes]:
-    out = [p.encode() if ok else b"" for p, ok in zip(v.pieces, v.plain, strict=True)]
-    for byte, i in enumerate(v.byte_ids):
-        out[i] = bytes([byte])
-    return out
+    def texts(self, ids: pa.ListArray) -> list[bytes | None]:
+        """The bytes that each list of ids stands for, less the space that encoding put first; null for a null list."""
+        flat = self.pieces.take(ids.flatten())
+        _, where, data = flat.buffers()
+        where = np.frombuffer(where, dtype=np.int64)[: len(flat) + 1] if len(flat) else np.zeros(1, np.int64)
+        count = np.asarray(pc.fill_null(pc.list_value_length(ids), 0), dtype=np.int64)
+        bounds = where[np.concatenate(([0], np.cumsum(count)))].tolist()
+        data, known = data.to_pybytes() if data is not None else b"", np.asarray(pc.is_valid(ids)).tolist()
+        return [data[a + (a < z and data[a : a + 1] == b" ") : z] if ok else None for a, z, ok in zip(bounds[:-1], bounds[1:], known, strict=True)]
 
 
-def _decode(vocabulary):
+def _decode(vocabulary, at: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = piece_bytes(vocabulary.value)
+        decoder = Decoder(vocabulary.value)
         for batch in batches:
-            ids = batch.column("ids")
-            texts = [None if x is None else decode_ids(pieces, x.values.to_numpy(zero_copy_only=False).tolist()) for x in ids]
+            back = decoder.texts(batch.column(at))
+            texts = [None if b is None else b.decode("utf-8", "replace") for b in back]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns)), pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
+        release()
 
     return run
 
 
-def decode(encoded: DataFrame, model_file: str) -> DataFrame:
-    """`encoded` and a column `decoded`, the text of its `ids`. Null ids give null; control pieces give nothing."""
+def decode(encoded: DataFrame, model_file: str, ids: str = "ids") -> DataFrame:
+    """`encoded` and a column `decoded`, the text of its `ids`; an own column of that name is replaced.
+
+    Null ids give null, an empty list the empty text; control pieces give nothing. Bytes that are no UTF-8, which encoding
+    never gives, become replacement characters.
+    """
     vocabulary = encoded.sparkSession.sparkContext.broadcast(Vocabulary.load(model_file))
-    names = [c for c in encoded.columns if c != "decoded"]
-    encoded = encoded.select(*names)
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
-    return encoded.mapInArrow(_decode(vocabulary), f"{ddl}, decoded string")
+    encoded = encoded.drop("decoded")
+    return encoded.mapInArrow(_decode(vocabulary, ids), T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())]))

@@ -8,7 +8,7 @@ triples at places 1 and 2 modulo 3 are named by rank, the names are sorted by re
 merged in, and adjacent prefixes of `length` bytes are compared.
 
 What holds in one block (equal surroundings of an anchor) is settled there and sent once, so that a passage that a third
-of all documents hold costs a task one record for each block.
+of all documents hold costs a task one record for each block. Hashes bring together; bytes are compared before any goes.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_count, deltas, in_blocks, is_in, ordered, pack, split_by, summed, unpack, unsigned
+from .common import block_count, cogrouped, deltas, grouped, in_blocks, is_in, ordered, pack, split_by, summed, unpack, unsigned
 from .hashing import BYTE_CODES, grams, inner, mix, owners, runs, span_hashes
 
 #: Smaller blocks than for words: a block's arrays have several numbers for each byte.
@@ -86,6 +86,33 @@ def equal_prefixes(data: np.ndarray, left: np.ndarray, right: np.ndarray, length
     return np.concatenate(parts) if parts else np.zeros(0, dtype=bool)
 
 
+def same_spans(data: np.ndarray, left: np.ndarray, right: np.ndarray, widths: np.ndarray) -> np.ndarray:
+    """Whether the spans of these widths at `left` and `right` have the same bytes."""
+    out, ends, a = np.ones(len(left), dtype=bool), np.cumsum(widths), 0
+    while a < len(left):
+        z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + (1 << 20), side="right")))
+        w = widths[a:z]
+        within = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
+        differs = data[np.repeat(left[a:z], w) + within] != data[np.repeat(right[a:z], w) + within]
+        out[a:z] = np.add.reduceat(differs, np.cumsum(w) - w) == 0
+        a = z
+    return out
+
+
+def told_apart(around: np.ndarray, data: np.ndarray, begin: np.ndarray, widths: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """Hashes of surroundings, changed for those that differ from the first ones with the same hash."""
+    around = around.copy()
+    while True:
+        _, first, group = np.unique(around, return_index=True, return_inverse=True)
+        leader = first[group]
+        of = np.flatnonzero(leader != np.arange(len(around)))
+        ok = (widths[of] == widths[leader[of]]) & (anchor[of] == anchor[leader[of]])
+        ok[ok] = same_spans(data, begin[of[ok]], begin[leader[of[ok]]], widths[of[ok]])
+        if ok.all():
+            return around
+        around[of[~ok]] = mix(around[of[~ok]] + np.uint64(1))
+
+
 class _Block:
     def __init__(self, table: pa.Table, length: int, gram: int) -> None:
         self.given, self.ids, self.data, self.offsets = ordered(table)
@@ -123,8 +150,9 @@ def _surroundings(length: int, gram: int, buckets: int):
         elsewhere = is_in(b.hashes, np.sort(np.concatenate(shared))) if shared else np.zeros(len(b.hashes), dtype=bool)
         at = np.flatnonzero((count[group] > 1) | elsewhere)
         begin, end = b.first[at], b.last[at] + length
-        around = mix(span_hashes(b.data, begin, end) ^ (b.anchor[at] - begin).astype(np.uint64))
-        _, first, alike = np.unique(around, return_index=True, return_inverse=True)
+        around = mix(span_hashes(b.data, begin, end, quick=True) ^ (b.anchor[at] - begin).astype(np.uint64))
+        around = told_apart(around, b.data, begin, end - begin, b.anchor[at] - begin)
+        first = np.unique(around, return_index=True)[1]
         again = np.ones(len(at), dtype=bool)
         again[first] = False
         here = key[0].as_py()
@@ -140,7 +168,7 @@ def _surroundings(length: int, gram: int, buckets: int):
             widths = end[j] - begin[j]
             within = np.arange(int(widths.sum())) - np.repeat(np.cumsum(widths) - widths, widths)
             text = b.data[np.repeat(begin[j], widths) + within]
-            rows.append((bucket, here, 0, pack(b.hashes[at[j]], *deltas(ids[i]), *deltas(begin[j]), widths, around[j], text)))
+            rows.append((bucket, here, 0, pack(b.hashes[at[j]], *deltas(ids[i]), *deltas(begin[j]), widths, around[j], b.anchor[at[j]] - begin[j], text)))
         return _rows(_ROUTED, rows)
 
     return run
@@ -163,9 +191,11 @@ def _sort(length: int):
         at = np.concatenate([summed(p[3], p[4]).astype(np.int64) for _, p in sent])
         widths = np.concatenate([p[5] for _, p in sent])
         around = np.concatenate([p[6].astype(np.uint64) for _, p in sent])
-        text = np.concatenate([p[7] for _, p in sent]).astype(np.uint8)
+        offset = np.concatenate([p[7] for _, p in sent])
+        text = np.concatenate([p[8] for _, p in sent]).astype(np.uint8)
         of = np.repeat(np.arange(len(sent)), [len(p[0]) for _, p in sent])
         begin = np.cumsum(widths) - widths
+        around = told_apart(around, text, begin, widths, offset)
         # equal surroundings: all but the first of them go
         order = np.lexsort((at, ids, around))
         fresh = np.insert(around[order][1:] != around[order][:-1], 0, True)
@@ -240,16 +270,17 @@ def deduplicate(docs: DataFrame, length: int = 100, gram: int = 32, doc_id: str
     """Remove each byte covered by a `length`-byte string that also starts earlier, in a smaller id or before in the document.
 
     One row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept bytes. A null
-    text is empty. Matches don't cross documents. A null id comes after all others; rows of one id are ordered by text.
-    Other columns are not read.
+    text is empty. Matches don't cross documents. A null id comes after all others; rows of one id are ordered by text, so
+    of equal rows the first one keeps its bytes. A text longer than a block is a block of its own. Other columns are not
+    read. No rows give no rows.
     """
     if not 1 <= gram < length:
         raise ValueError("gram must be shorter than length")
     n = block_count(docs, text, block_bytes)
     blocks = in_blocks(docs, n, doc_id, text).groupBy("block")
-    anchors = blocks.applyInArrow(_index(length, gram, n), _ROUTED_DDL)
-    shared = anchors.groupBy("bucket").applyInArrow(_shared, _REPLY_DDL)
-    around = blocks.cogroup(shared.groupBy("block")).applyInArrow(_surroundings(length, gram, n), _ROUTED_DDL)
-    ranges = around.groupBy("bucket").applyInArrow(_sort(length), _REPLY_DDL)
+    anchors = blocks.applyInArrow(grouped(_index(length, gram, n)), _ROUTED_DDL)
+    shared = anchors.groupBy("bucket").applyInArrow(grouped(_shared), _REPLY_DDL)
+    around = blocks.cogroup(shared.groupBy("block")).applyInArrow(cogrouped(_surroundings(length, gram, n)), _ROUTED_DDL)
+    ranges = around.groupBy("bucket").applyInArrow(grouped(_sort(length)), _REPLY_DDL)
     result = RESULT + (", kept binary" if with_text else "")
-    return blocks.cogroup(ranges.groupBy("block")).applyInArrow(_remove(with_text), result).where(F.col("n_bytes").isNotNull())
+    return blocks.cogroup(ranges.groupBy("block")).applyInArrow(cogrouped(_remove(with_text)), result).where(F.col("n_bytes").isNotNull())

@@ -9,6 +9,12 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LAST = 2**63 - 1
 
 
+def thue_morse(n):
+    """Two different words of n letters that polynomial hashes modulo powers of 2 confuse."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
 def words(text):
     return WORD.findall(text or "")
 

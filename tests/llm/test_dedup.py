@@ -3,10 +3,13 @@ import hashlib
 import numpy as np
 import pytest
 
-from cistron.llm import line_chunks, ngram_join, queries, rlz_dedup, suffix_dedup
+from pyspark.sql import functions as F
+
+from cistron.llm import components, line_chunks, ngram_join, queries, rlz_dedup, suffix_dedup
+from cistron.llm.common import alike, find
 from cistron.llm.hashing import grams, span_hashes
 
-from .conftest import LAST, LOWER, by, words
+from .conftest import LAST, LOWER, by, thue_morse, words
 
 
 def ided(rows):
@@ -188,5 +191,40 @@ def test_join_large_group(spark):
     assert got == root
 
 
+def test_words_that_polynomials_confuse(spark):
+    """Different long words are different in windows, shingles, lines and bytes."""
+    tail = " one two three four five six seven eight nine ten eleven twelve"
+    x, y = thue_morse(2048)
+    frame = spark.createDataFrame([(1, x + tail), (2, y + tail)], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in rlz_dedup.deduplicate(frame).collect()} == {1: 0, 2: 0}
+    pair = spark.createDataFrame([(1, f"{x} b c d"), (2, f"{y} b c d")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_join.cluster(pair, 4, (85, 100)).collect()} == {1: 1, 2: 2}
+    assert len(set(span_hashes(np.frombuffer((x + y).encode(), np.uint8), np.array([0, 2048]), np.array([2048, 4096])).tolist())) == 2
+
+
+def test_pairs_with_one_hash():
+    """Places of pairs (hash, check) when different checks share a hash."""
+    h, c = np.array([5, 7, 5, 5, 7], np.uint64), np.array([1, 1, 2, 1, 1], np.uint64)
+    first, group, count = alike(h, c)
+    assert [(h[first[g]], c[first[g]]) for g in group] == list(zip(h, c, strict=True)) and sorted(count.tolist()) == [1, 2, 2]
+    known, checks = np.array([5, 5, 7], np.uint64), np.array([9, 2, 1], np.uint64)
+    assert find(h, c, known, checks).tolist() == [-1, 2, 1, -1, 2]
+    data = np.frombuffer(b"abcabdabc", np.uint8)
+    told = suffix_dedup.told_apart(np.zeros(3, np.uint64), data, np.array([0, 3, 6]), np.array([3, 3, 3]), np.zeros(3, np.int64))
+    assert told[0] == told[2] != told[1]
+
+
+def test_many_links(spark):
+    """The state of a graph is a sum that doesn't overflow."""
+    edges = spark.range(20_000_000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert components._state(edges)[0] == 20_000_000
+
+
+def test_lines_with_odd_column_names(spark):
+    frame = spark.createDataFrame([(1, "a\nb\nc", 5, 6), (2, "a\nb\nd", 7, 8)], "doc_id long, text string, `my col` int, `a.b` int")
+    got = {r.row.doc_id: (r.text, r.row["my col"], r.row["a.b"]) for r in line_chunks.deduplicate_runs(frame).collect()}
+    assert got == {1: ("a\nb\nc", 5, 6), 2: ("d", 7, 8)}
+
+
 def test_join_empty(empty):
     assert ngram_join.cluster(empty).collect() == []

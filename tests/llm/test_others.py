@@ -15,7 +15,7 @@ from cistron.llm import sentencepiece_sampling as sp
 from cistron.llm.hashing import mix
 from cistron.llm.queries import MODEL
 
-from .conftest import LOWER, by
+from .conftest import LOWER, by, thue_morse
 
 SF = "/root/testdata/sf0.001"
 
@@ -71,10 +71,12 @@ def test_sampling_is_the_distribution():
 
 
 def test_encode_and_decode(spark):
-    rows = [(1, "Hello  wörld\n\t☃𝄞 ok"), (2, None), (3, ""), (None, "a"), (1, "Hello  wörld\n\t☃𝄞 ok"), (5, " "), (6, "x" * 3000)]
+    rows = [(1, "Hello  wörld\n\t☃𝄞 ok"), (2, None), (3, ""), (None, "a"), (1, "Hello  wörld\n\t☃𝄞 ok"), (5, " "), (6, "x" * 3000), (7, "▁a ▁▁ b\n▁"), (8, thue_morse(2048)[0] + " " + thue_morse(2048)[1])]
     docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, ids int")
     out = sp.decode(sp.encode(docs, MODEL, k=3), MODEL).collect()
     assert all(r.decoded == dict(rows)[r.id] for r in out)
+    checked = sp.encode(docs, MODEL, k=3, decoded=True).collect()
+    assert all(r.round_trip and r.decoded_sha256 == hashlib.sha256(dict(rows)[r.id].encode()).hexdigest() for r in checked) and len(checked) == len(out)
     assert {r.id: r.n_pieces for r in out}[3] == 0 and not any(r.id == 2 for r in out)
     assert sum(r.id == 1 for r in out) == 6 and len({tuple(r.ids) for r in out if r.id == 1}) == 3
     again = sp.encode(docs.repartition(5), MODEL, k=3).collect()
