@@ -326,6 +326,16 @@ class Pool:
         return checkpoint(self.rows.mapInArrow(_given(history), "x binary, text int, meta int").repartition(PARTS))
 
 
+_SUMS = "view int, at int, sums binary"
+
+
+def _total(key: tuple, table: pa.Table) -> pa.Table:
+    """Sum of packed arrays; curvatures come in single precision."""
+    kind = np.float32 if key[1].as_py() else np.float64
+    total = sum(np.frombuffer(s.as_buffer(), dtype=kind).astype(np.float64) for s in table.column("sums"))
+    return pa.table({"view": pa.array([key[0].as_py()], pa.int32()), "at": pa.array([key[1].as_py()], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
+
+
 def _added(given: DataFrame, add: Callable[[int, np.ndarray, np.ndarray], tuple[np.ndarray, ...]]) -> list[list[np.ndarray]]:
     """By view the sums of what add(view, features, labels) returns for parts of the given rows."""
 
@@ -345,10 +355,12 @@ def _added(given: DataFrame, add: Callable[[int, np.ndarray, np.ndarray], tuple[
                 yield pa.RecordBatch.from_pydict({"view": pa.array([k], pa.int32()), "at": pa.array([j], pa.int32()), "sums": pa.array([half.tobytes()], pa.binary())})
 
     out: list[dict[int, np.ndarray]] = [{}, {}]
-    rows = given.mapInArrow(run, "view int, at int, sums binary").toArrow()
+    # one task adds up PARTS arrays, so that the driver gets one of each kind
+    rows = given.mapInArrow(run, _SUMS).groupBy("view", "at").applyInArrow(_total, _SUMS).toArrow()
     for k, j, sums in zip(*(rows.column(c) for c in ("view", "at", "sums")), strict=True):
-        a = np.frombuffer(sums.as_buffer(), dtype=np.float32 if j.as_py() else np.float64).astype(np.float64)
-        out[k.as_py()][j.as_py()] = out[k.as_py()].get(j.as_py(), 0) + a
+        out[k.as_py()][j.as_py()] = np.frombuffer(sums.as_buffer(), dtype=np.float64).copy()
+    del rows
+    release()
     for view in out:
         if 1 in view:
             n = (math.isqrt(8 * len(view[1]) + 1) - 1) // 2
