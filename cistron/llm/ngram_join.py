@@ -13,14 +13,14 @@ between different components is lost.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, block_count, checkpoint, pack, release, slices, split_by, unpack, utf8
+from .common import LAST_ID, block_count, checkpoint, grouped, is_in, pack, release, slices, split_by, unpack, utf8
 from .components import components
 from .hashing import ASCII_LOWER, grams, mix, span_hashes, spans
 
@@ -32,29 +32,43 @@ LEAST, MOST, COST = 3, 8, 64
 SMALL, LEADERS = 8, 2
 #: Ids in a broadcast set of wanted documents; beyond, a shuffle join does the same.
 WANTED = 1_000_000
+#: A class of set sizes is as wide as so many steps of the asked-for similarity.
+CLASS_STEPS = 4
 
 
 def ceil_share(n, share: tuple[int, int]):
     return -(-n * share[0] // share[1])
 
 
-class _Batch:
-    """Distinct shingle hashes of each document, ascending, with its key (a hash of the set) and a second hash."""
+#: Distinct 64-bit hashes of the members of each text's set, ascending, from the texts' bytes, their offsets and a seed.
+Sets = Callable[[np.ndarray, np.ndarray, int], list[np.ndarray]]
+
+
+def shingles(size: int) -> Sets:
+    """Sets of `size`-word shingles, A-Z lower-cased; with fewer words, the whole sequence as one."""
 
-    def __init__(self, text: pa.Array, size: int, seed: int) -> None:
-        data, offsets = utf8(text)
+    def sets(data: np.ndarray, offsets: np.ndarray, seed: int) -> list[np.ndarray]:
         data = ASCII_LOWER[data]
         starts, ends, firsts = spans(data, offsets)
         codes = span_hashes(data, starts, ends) ^ np.uint64(seed)
-        shingles = grams(codes, size)
-        self.sets = []
+        hashes, out = grams(codes, size), []
         for a, z in zip(firsts[:-1].tolist(), firsts[1:].tolist(), strict=True):
             if z - a >= size:
-                self.sets.append(np.unique(shingles[a : z - size + 1]))
+                out.append(np.unique(hashes[a : z - size + 1]))
             else:
-                self.sets.append(mix(grams(codes[a:z], z - a)) if z > a else codes[:0])
+                out.append(mix(grams(codes[a:z], z - a)) if z > a else codes[:0])
+        return out
+
+    return sets
+
+
+class _Batch:
+    """Each document's set, with its key (a hash of the set) and a second hash."""
+
+    def __init__(self, text: pa.Array, sets: Sets, seed: int) -> None:
+        self.sets = sets(*utf8(text), seed)
         counts = np.array([len(s) for s in self.sets], dtype=np.int64)
-        self.all = np.concatenate(self.sets) if self.sets else codes[:0]
+        self.all = np.concatenate(self.sets) if self.sets else np.zeros(0, np.uint64)
         sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(self.all ^ np.uint64(c))))) for c in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
         end = np.cumsum(counts)
         self.n = counts
@@ -65,13 +79,13 @@ _FACTS_DDL = "kind int, id long, n long, key long, check long, part int, salt in
 _FACTS = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("check", pa.int64()), ("part", pa.int32()), ("salt", pa.int32()), ("payload", pa.binary())])
 
 
-def _facts(size: int, seed: int):
+def _facts(sets: Sets, seed: int):
     """One row for each document, and each task's counts of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters, salt = np.zeros(COUNTERS, dtype=np.int64), 0
         for batch in (part for whole in batches for part in slices(whole)):
-            b = _Batch(batch.column("text"), size, seed)
+            b = _Batch(batch.column("text"), sets, seed)
             for a in range(0, len(b.all), 1 << 20):
                 counters += np.bincount((b.all[a : a + (1 << 20)] >> np.uint64(44)).astype(np.int64), minlength=COUNTERS)
             if len(b.key):
@@ -82,6 +96,8 @@ def _facts(size: int, seed: int):
             parts = [pack(p) for p in counters.reshape(PARTS, -1)]
             longs = [pa.nulls(PARTS, pa.int64())] * 4
             yield pa.RecordBatch.from_arrays([pa.array([1] * PARTS, pa.int32()), *longs, pa.array(range(PARTS), pa.int32()), pa.array([salt] * PARTS, pa.int32()), pa.array(parts, pa.binary())], schema=_FACTS)
+        del counters
+        release()
 
     return run
 
@@ -102,15 +118,29 @@ def _estimate(facts: DataFrame) -> np.ndarray:
     return np.minimum(out.ravel(), 2**32 - 1).astype(np.uint32)
 
 
-def _prefixes(size: int, seed: int, share: tuple[int, int], buckets: int, estimate):
-    """(bucket, payload): the prefix shingles of each different set, once for each task."""
+def length_class(n: np.ndarray, share: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Class of each set size, and whether larger sets of the next class can be similar.
+
+    Bounds grow by CLASS_STEPS times the share, so sets that are similar lie in one class or in neighbouring ones.
+    """
+    ratio = share[1] / share[0]
+    width = max(ratio**CLASS_STEPS, 2.0)
+    cls = np.floor(np.log(np.maximum(n, 1)) / np.log(width) + 1e-9).astype(np.int64)
+    return cls, n * ratio * (1 + 1e-9) >= width ** (cls + 1)
+
+
+def _prefixes(sets: Sets, seed: int, share: tuple[int, int], buckets: int, estimate, by_length: bool):
+    """(bucket, payload): the prefix members of each different set, once for each task.
+
+    by_length: a member meets only sets of its class of sizes; a set near a class's upper end is a guest in the next one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = estimate.value
         usual = int(np.median(counts))
         seen: set[int] = set()
         for batch in (part for whole in batches for part in slices(whole)):
-            b = _Batch(batch.column("text"), size, seed)
+            b = _Batch(batch.column("text"), sets, seed)
             token, node, n_of, place, asked = [], [], [], [], []
             for s, n, key in zip(b.sets, b.n.tolist(), b.key.tolist(), strict=True):
                 if not n or key in seen:
@@ -130,6 +160,11 @@ def _prefixes(size: int, seed: int, share: tuple[int, int], buckets: int, estima
                 asked.append(np.full(len(take), ask, dtype=np.int64))
             if token:
                 token, node, n_of, place, asked = (np.concatenate(x) for x in (token, node, n_of, place, asked))
+                if by_length:
+                    cls, guest = length_class(n_of, share)
+                    of = np.concatenate([np.arange(len(token)), np.flatnonzero(guest)])
+                    cls = np.concatenate([cls, cls[guest] + 1]).astype(np.uint64)
+                    token, node, n_of, place, asked = mix(token[of] + (cls + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)), node[of], n_of[of], place[of], asked[of]
                 cut = split_by((token >> np.uint64(4)) % np.uint64(buckets), buckets)
                 rows = [pack(token[i], node[i].view(np.uint64), n_of[i], place[i], asked[i]) for _, i in cut]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in cut], pa.int32()), pa.array(rows, pa.binary())], names=["bucket", "payload"])
@@ -207,94 +242,134 @@ def _candidates(share: tuple[int, int]):
     return run
 
 
-def _sets(size: int, seed: int):
+def _sets(sets: Sets, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole)):
-            b = _Batch(batch.column("text"), size, seed)
+            b = _Batch(batch.column("text"), sets, seed)
             yield pa.RecordBatch.from_arrays([pa.array(b.key), pa.array([s.tobytes() for s in b.sets], pa.binary())], names=["node", "members"])
 
     return run
 
 
+def similar(x: np.ndarray, y: np.ndarray, share: tuple[int, int]) -> bool:
+    """Whether two ascending sets have the asked-for Jaccard similarity.
+
+    Their sizes bound it from above, and counting ends where the rest can't make up for what is missing.
+    """
+    few, many = (x, y) if len(x) <= len(y) else (y, x)
+    if len(few) * share[1] < len(many) * share[0]:
+        return False
+    need, inter, step = ceil_share(len(few) + len(many), (share[0], sum(share))), 0, 512
+    for a in range(0, len(few), step):
+        inter += int(is_in(few[a : a + step], many).sum())
+        if inter + max(0, len(few) - a - step) < need:
+            return False
+    return True
+
+
 def _verify(share: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             release()
             ok = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                both = np.concatenate((x, y))
-                both.sort(kind="stable")
-                inter = int((both[1:] == both[:-1]).sum())
-                ok.append(share[1] * inter >= share[0] * (len(both) - inter))
+                ok.append(similar(*(np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y)), share))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
-def _links(docs: DataFrame, homes: DataFrame, pairs: DataFrame, size: int, seed: int, share: tuple[int, int]) -> DataFrame:
+def _links(docs: DataFrame, homes: DataFrame, pairs: DataFrame, of: Sets, seed: int, share: tuple[int, int]) -> DataFrame:
     """Those of the pairs (a, b) whose whole sets are similar; homes: (key, home), a document of each node."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     wanted = checkpoint(nodes.join(homes, "key").select(F.col("home").alias("id"), "key"))
     few = wanted.count() <= WANTED
     ids = wanted.select("id").distinct()
     texts = docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    sets = texts.select("text").mapInArrow(_sets(size, seed), "node long, members binary")
+    sets = texts.select("text").mapInArrow(_sets(of, seed), "node long, members binary")
     sets = checkpoint(sets.join(wanted.select(F.col("key").alias("node")), "node", "left_semi").dropDuplicates(["node"]))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
     return checkpoint(both.select("a", "b", "x", "y").mapInArrow(_verify(share), "a long, b long"))
 
 
+def _split(large: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of the large groups that lie in several components, with their roots."""
+    rooted = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    split = checkpoint(rooted.groupBy("token").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("token"))
+    return checkpoint(rooted.join(split, "token", "left_semi"))
+
+
+def _across(large: DataFrame, share: tuple[int, int]) -> DataFrame | None:
+    """Pairs of one group, of different components, that sizes and places leave possible."""
+    if large.isEmpty():
+        return None
+    x, y = (large.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "place", "root"))) for s in "xy")
+    inter = f"ceil((n_x + n_y) * {share[0]} / {sum(share)})"
+    pairs = x.join(y, "token").where(
+        f"node_x < node_y and root_x <> root_y and least(n_x, n_y) * {share[1]} >= greatest(n_x, n_y) * {share[0]} and place_x <= n_x - {inter} and place_y <= n_y - {inter}"
+    )
+    return checkpoint(pairs.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")))
+
+
+def _between(pairs: DataFrame, members: DataFrame, roots: DataFrame) -> DataFrame | None:
+    """Those of the pairs whose sides both are in large groups, in different components."""
+    for side in "ab":
+        pairs = pairs.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
+    pairs = checkpoint(pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
+    if pairs.isEmpty():
+        return None
+    members = members.distinct()
+    for side in "ab":
+        pairs = pairs.join(members.select(F.col("node").alias(side)), side, "left_semi")
+    return pairs.select("a", "b")
+
+
 def cluster(docs: DataFrame, size: int = 5, share: tuple[int, int] = (80, 100), doc_id: str = "doc_id", text: str = "text", seed: int = 0) -> DataFrame:
     """(doc_id, n_shingles, component_id): documents link when share[1] * intersection >= share[0] * union.
 
     A document's set has its distinct `size`-word shingles, A-Z lower-cased; with fewer words, the whole sequence as one.
     component_id is the smallest id that links reach, its own included. A null or empty text has an empty set and no
     links. A null id is above all others (and stays null if alone); rows of one id are documents of their own. Repeated
-    rows are equal documents. Other columns are not read. No rows give no rows.
+    rows are equal documents. A text of any length is one set, read whole. Other columns are not read. No rows give no
+    rows.
     """
+    return cluster_sets(docs, shingles(size), share, doc_id, text, seed=seed).withColumnRenamed("n_members", "n_shingles")
+
+
+def cluster_sets(docs: DataFrame, of: Sets, share: tuple[int, int], doc_id: str = "doc_id", text: str = "text", by_length: bool = False, seed: int = 0) -> DataFrame:
+    """(doc_id, n_members, component_id) as cluster() gives it, of any sets. by_length: partitioned by set size besides."""
     if not 0 < share[0] <= share[1]:
         raise ValueError("share is a similarity over 0, up to 1")
     docs = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("id"), F.col(text).alias("text"))
-    facts = checkpoint(docs.mapInArrow(_facts(size, seed), _FACTS_DDL))
+    facts = checkpoint(docs.mapInArrow(_facts(of, seed), _FACTS_DDL))
     own = facts.where("kind = 0").select("id", "n", "key", "check")
     nodes = own.where("n > 0").groupBy("key").agg(F.min("id").alias("home"), (F.min("check") != F.max("check")).alias("mixed"))
     nodes = checkpoint(nodes)
     if not nodes.where("mixed").isEmpty():  # two different sets with one 64-bit key
         if seed >= 3:
             raise RuntimeError("different sets have equal keys under four seeds; join fewer documents at once")
-        return cluster(docs, size, share, "id", "text", seed + 1).withColumn("doc_id", F.nullif("doc_id", F.lit(LAST_ID))).withColumn("component_id", F.nullif("component_id", F.lit(LAST_ID)))
+        return cluster_sets(docs, of, share, "id", "text", by_length, seed + 1).withColumn("doc_id", F.nullif("doc_id", F.lit(LAST_ID))).withColumn("component_id", F.nullif("component_id", F.lit(LAST_ID)))
     homes = nodes.select("key", "home")
     estimate = docs.sparkSession.sparkContext.broadcast(_estimate(facts))
     buckets = block_count(docs)
-    prefixes = docs.select("text").mapInArrow(_prefixes(size, seed, share, buckets, estimate), "bucket int, payload binary")
-    found = checkpoint(prefixes.groupBy("bucket").applyInArrow(_candidates(share), _PAIRS_DDL))
+    prefixes = docs.select("text").mapInArrow(_prefixes(of, seed, share, buckets, estimate, by_length), "bucket int, payload binary")
+    found = checkpoint(prefixes.groupBy("bucket").applyInArrow(grouped(_candidates(share)), _PAIRS_DDL))
     sums = found.where("kind = 0").groupBy("a", "b").agg(*(f(c).alias(c) for f, c in ((F.sum, "shared"), (F.min, "need"), (F.sum, "strict"), (F.sum, "lead"))))
     sums = checkpoint(sums)
     # enough in common, or one of the strictly first shingles with the leader of a large group
     tried = F.expr("shared >= need or lead > 0")
-    links = _links(docs, homes, sums.where(tried).select("a", "b"), size, seed, share)
+    links = _links(docs, homes, sums.where(tried).select("a", "b"), of, seed, share)
     roots = components(links)
     # A link that was not tried has a shingle among the strictly first ones of both in common, and at least one of a large
     # group further on. Either the former is of a large group as well, or it is of a small one and both are in large ones.
     large = found.where("kind = 1").select("token", F.col("a").alias("node"), "n", "place")
-    members = found.where("kind = 2").select(F.col("a").alias("node")).distinct()
-    large = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    split = large.groupBy("token").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("token")
-    large = large.join(split, "token", "left_semi")
-    x, y = (large.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "place", "root"))) for s in "xy")
-    inter = f"ceil((n_x + n_y) * {share[0]} / {sum(share)})"
-    rest = x.join(y, "token").where(
-        f"node_x < node_y and root_x <> root_y and least(n_x, n_y) * {share[1]} >= greatest(n_x, n_y) * {share[0]} and place_x <= n_x - {inter} and place_y <= n_y - {inter}"
-    )
-    rest = rest.select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
-    both = sums.where(~tried & (F.col("strict") > 0)).select("a", "b")
-    for side in "ab":
-        both = both.join(members.select(F.col("node").alias(side)), side, "left_semi").join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
-    both = both.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    rest = checkpoint(rest.union(both).distinct())
-    if not rest.isEmpty():
-        links = links.union(_links(docs, homes, rest, size, seed, share))
+    members = found.where("kind = 2").select(F.col("a").alias("node"))
+    # each step is cut off, as what it leaves is little
+    rest = [_across(_split(large, roots), share), _between(sums.where(~tried & (F.col("strict") > 0)).select("a", "b"), members, roots)]
+    rest = [r for r in rest if r is not None]
+    if rest:
+        rest = checkpoint(rest[0].union(rest[1]).distinct() if len(rest) > 1 else rest[0].distinct())
+        links = links.union(_links(docs, homes, rest, of, seed, share))
         roots = components(links)
     reach = roots.join(homes.withColumnRenamed("key", "node"), "node")
     least = reach.groupBy("root").agg(F.min("home").alias("component_id"))

@@ -47,7 +47,9 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_spotsigs_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spotsigs.compare_with_next(read(spark, sf_dir, "documents"))
+    """Fingerprints, their likeness to the edited text's and the next document's, and the group of near copies in the table."""
+    docs = read(spark, sf_dir, "documents")
+    return spotsigs.compare_with_next(docs, spotsigs.near_groups(docs))
 
 
 def op8_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from cistron.llm import cotraining, decontaminate, pii_surrogates, rendezvous, spotsigs
+from cistron.llm import cotraining, decontaminate, ngram_join, pii_surrogates, rendezvous, spotsigs
 from cistron.llm import sentencepiece_sampling as sp
 from cistron.llm.hashing import mix
 from cistron.llm.queries import MODEL
@@ -217,7 +217,7 @@ def plain_signatures(text):
 
 
 @pytest.mark.parametrize("block_bytes", [300, 1 << 20])
-def test_spotsigs(docs, rows, block_bytes):
+def test_spotsigs(docs, rows, block_bytes, monkeypatch):
     order = sorted(((2**63 - 1 if i is None else i), t or "") for i, t in rows)
     likeness = lambda a, b: round(len(a & b) / len(a | b), 9) if a | b else 1.0
     want = []
@@ -226,12 +226,49 @@ def test_spotsigs(docs, rows, block_bytes):
         changed = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
         own, other = plain_signatures(t), plain_signatures(changed)
         want.append((None if i == 2**63 - 1 else i, len(t), hashlib.sha256(changed.encode()).hexdigest(), len(own), len(other), likeness(own, other), likeness(own, plain_signatures(after))))
+    monkeypatch.setattr(spotsigs, "MOST_BOUNDS", 5)  # two steps for small blocks
     out = spotsigs.compare_with_next(docs, block_bytes=block_bytes).collect()
+    assert all(r.near_group is None and r.n_signatures == int(r.fingerprint.split(":")[0], 16) for r in out)
     size = lambda f: int(f.split(":")[0], 16)
     got = [(r.doc_id, r.n_chars, r.edited_sha256, size(r.fingerprint), size(r.edited_fingerprint), round(r.near_edited, 9), round(r.near_next, 9)) for r in out]
     assert by(got) == by(want)
 
 
+@pytest.mark.parametrize("share", [80, 50])
+def test_near_groups(docs, rows, share):
+    """All pairs by brute force: near copies that are no neighbours, sets of very different lengths, texts without words."""
+    ids = [2**63 - 1 if i is None else i for i, _ in rows]
+    sets = [plain_signatures(t or "") for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= share * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    least = {}
+    for k, i in enumerate(ids):
+        least[find(k)] = min(least.get(find(k), i), i)
+    got = [(2**63 - 1 if a is None else a, n, 2**63 - 1 if c is None else c) for a, n, c in map(tuple, spotsigs.near_groups(docs, (share, 100)).collect())]
+    assert by(got) == by((i, len(sets[k]), least[find(k)]) for k, i in enumerate(ids))
+    shown = {r.doc_id: r.near_group for r in spotsigs.compare_with_next(docs, spotsigs.near_groups(docs, (share, 100)), block_bytes=2000).collect()}
+    assert all(shown[i] == min(c for a, _, c in got if a == i) for i, _ in rows if i is not None)
+
+
+def test_length_classes():
+    """Sizes that the asked-for similarity allows are in one class, or the smaller one is a guest in the larger one's."""
+    n = np.arange(1, 3000)
+    for share in ((80, 100), (50, 100), (95, 100), (100, 100)):
+        cls, guest = ngram_join.length_class(n, share)
+        for k in (1, 2, 7, 30, 99, 100, 101, 500, 2400):
+            mates = n[(n >= k) & (k * share[1] >= n * share[0])] - 1
+            assert all(cls[m] == cls[k - 1] or (cls[m] == cls[k - 1] + 1 and guest[k - 1]) for m in mates)
+
+
 def test_likeness_prunes():
     a, b = np.arange(100, dtype=np.uint32), np.arange(50, 150, dtype=np.uint32)
     assert spotsigs.likeness(a, b) == pytest.approx(1 / 3)
