@@ -14,9 +14,13 @@ from .sequence import codons, let
 ALL = ["".join(c) for c in product("ACGT", repeat=3)]
 
 
+#: All codons in order of their numbers; no codon holds the character between them.
+_IN_ORDER = "\x00".join(ALL)
+
+
 def number(codon: Column) -> Column:
-    """0 to 63 of a codon in DNA letters; null if it has others."""
-    return F.when(codon.rlike("^[ACGT]{3}$"), F.conv(F.translate(codon, "ACGT", "0123"), 4, 10).cast("int"))
+    """0 to 63 of a codon in DNA letters; -1 if it has others."""
+    return F.shiftright(F.position(codon, F.lit(_IN_ORDER)) - 1, 2)
 
 
 def table(values: dict[str, object], kind: str) -> Column:
@@ -146,6 +150,13 @@ def codon_features(s: Column) -> dict[str, Column]:
     return {"cai": cai(s), "cai_excl_stop": cai_excl_stop(s), "gc3": gc3(s), "enc": enc(s)}
 
 
+def pair_numbers(s: Column, include_last_pair: bool = False) -> Column:
+    """64 * first + second of each pair of neighbouring codons, -1 if one has other letters; the last pair only if asked for."""
+    n = F.greatest(F.floor(F.length(s) / 3).cast("int") - 1 if include_last_pair else F.ceil((F.length(s) - 6) / 3).cast("int"), F.lit(0))
+    numbers = F.transform(codons(s), number)
+    return let(numbers, lambda c: F.zip_with(F.slice(c, 1, n), F.slice(c, 2, n), lambda x, y: F.when((x < 0) | (y < 0), -1).otherwise(x * 64 + y)))
+
+
 def feature_vector(s: Column, coefficients: dict[str, dict[str, float]]) -> dict[str, Column]:
     """Mean coefficients by name, then cai, gc_global, gc3, enc and cds_len."""
     from .sequence import gc_content

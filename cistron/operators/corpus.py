@@ -1,16 +1,17 @@
 """Corpus statistics: codon pairs, their smoothed log-likelihood, and calibration of metrics against the corpus.
 
-Sequences are unfolded into codon pairs once; a pair table has 4,096 rows at most, so joins with it are broadcast.
+Sequences are unfolded into codon pairs once, to count them. A pair table has 4,096 numbers, so it goes to all rows as one
+array, and what is measured by it needs no shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codon as C
 from ..functions import constants as K
-from ..functions.sequence import codon_pairs
+from ..functions.sequence import codon_pairs, let
 
 
 def pair_rows(seqs: DataFrame, seq: str = "cds") -> DataFrame:
@@ -33,15 +34,40 @@ def mono_frequencies(counts: DataFrame) -> DataFrame:
     return mono.crossJoin(F.broadcast(mono.agg(F.sum("n").alias("all")))).select("codon", "n", (F.col("n") / F.col("all")).alias("f"))
 
 
+def _as_array(values: DataFrame, value: str) -> DataFrame:
+    """One row: `value` of (pair, value) rows as an array by the pair's number, and the sum of n. Null for pairs without."""
+    place = C.number(F.substring("pair", 1, 3)) * 64 + C.number(F.substring("pair", 4, 3))
+    valid = (C.number(F.substring("pair", 1, 3)) >= 0) & (C.number(F.substring("pair", 4, 3)) >= 0)
+    entries = F.collect_list(F.when(valid, F.struct(place.alias("at"), F.col(value).cast("double").alias("v"))))
+    row = values.agg(entries.alias("some"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    # places are distinct; the place of each number among those there are
+    among = lambda some, at: F.transform(F.sequence(F.lit(0), F.lit(64 * 64 - 1)), lambda i: F.get(some, F.array_position(at, i).cast("int") - 1)["v"])
+    dense = let(F.col("some"), lambda some: let(F.transform(some, lambda x: x["at"]), lambda at: among(some, at)))
+    return row.select(dense.alias("dense"), "total")
+
+
+def naturalness_table(counts: DataFrame) -> DataFrame:
+    """One row: smoothed log-probabilities of all pairs by number, and that of a pair never seen."""
+    log = lambda n: F.log((n + 1) / (F.col("total") + K.PAIR_VOCABULARY))
+    return _as_array(counts, "n").select(F.transform("dense", lambda n: log(F.coalesce(n, F.lit(0.0)))).alias("pair_logs"), log(F.lit(0.0)).alias("unseen"))
+
+
+def _mean_by_pair(s: Column, table: str, missing: Column | None) -> Column:
+    """Mean over a sequence's pairs of their values in an array; pairs without one count as `missing`, or not at all."""
+    values = F.transform(C.pair_numbers(s), lambda i: F.coalesce(F.get(table, i), missing) if missing is not None else F.get(table, i))
+    some = values if missing is not None else F.filter(values, lambda v: v.isNotNull())
+    return let(some, lambda v: F.coalesce(F.try_divide(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), F.size(v).cast("double")), F.lit(0.0)))
+
+
+def with_naturalness(seqs: DataFrame, counts: DataFrame, seq: str = "cds") -> DataFrame:
+    """seqs and nat: mean smoothed log-probability of a sequence's pairs; 0 without pairs."""
+    rows = seqs.crossJoin(F.broadcast(naturalness_table(counts)))  # one row of 4,096 numbers
+    return rows.withColumn("nat", _mean_by_pair(F.col(seq), "pair_logs", F.col("unseen"))).drop("pair_logs", "unseen")
+
+
 def naturalness(seqs: DataFrame, counts: DataFrame, seq: str = "cds") -> DataFrame:
-    """(seq_id, nat): mean smoothed log-probability of a sequence's pairs; 0 without pairs."""
-    total = counts.agg(F.sum("n").alias("total"))
-    # 4,096 rows at most and one row
-    logs = counts.crossJoin(F.broadcast(total)).select("pair", F.log((F.col("n") + 1) / (F.col("total") + K.PAIR_VOCABULARY)).alias("lp"))
-    unseen = total.select(F.log(F.lit(1.0) / (F.coalesce("total", F.lit(0)) + K.PAIR_VOCABULARY)).alias("lp0"))
-    rows = pair_rows(seqs, seq).join(F.broadcast(logs), "pair", "left").crossJoin(F.broadcast(unseen))
-    means = rows.groupBy("seq_id").agg(F.avg(F.coalesce("lp", "lp0")).alias("nat"))
-    return seqs.select("seq_id").join(means, "seq_id", "left").select("seq_id", F.coalesce("nat", F.lit(0.0)).alias("nat"))
+    """(seq_id, nat)."""
+    return with_naturalness(seqs.select("seq_id", seq), counts, seq).select("seq_id", "nat")
 
 
 def codon_pair_bias(seqs: DataFrame, counts: DataFrame, seq: str = "cds") -> DataFrame:
@@ -51,16 +77,15 @@ def codon_pair_bias(seqs: DataFrame, counts: DataFrame, seq: str = "cds") -> Dat
     left, right = (mono.select(F.col("codon").alias(c), F.col("f").alias(f)) for c, f in (("a", "fa"), ("b", "fb")))
     scores = counts.select(F.substring("pair", 1, 3).alias("a"), F.substring("pair", 4, 3).alias("b"), "pair", "n")
     scores = scores.join(F.broadcast(left), "a").join(F.broadcast(right), "b").crossJoin(F.broadcast(total))
-    scores = scores.select("pair", F.log((F.col("n") / F.col("total")) / (F.col("fa") * F.col("fb"))).alias("cps"))
-    means = pair_rows(seqs, seq).join(F.broadcast(scores), "pair").groupBy("seq_id").agg(F.avg("cps").alias("cpb"))
-    return seqs.select("seq_id").join(means, "seq_id", "left").select("seq_id", F.coalesce("cpb", F.lit(0.0)).alias("cpb"))
+    scores = scores.select("pair", "n", F.log((F.col("n") / F.col("total")) / (F.col("fa") * F.col("fb"))).alias("cps"))
+    rows = seqs.select("seq_id", seq).crossJoin(F.broadcast(_as_array(scores, "cps").select("dense")))
+    return rows.select("seq_id", _mean_by_pair(F.col(seq), "dense", None).alias("cpb"))
 
 
 def measured(seqs: DataFrame, counts: DataFrame | None = None, seq: str = "cds") -> DataFrame:
     """seqs and cai, tai, nat against the counts (by default of the sequences themselves)."""
     counts = counts if counts is not None else pair_counts(seqs, seq)
-    nat = naturalness(seqs, counts, seq)
-    return seqs.join(nat, "seq_id").withColumn("cai", C.cai(F.col(seq))).withColumn("tai", C.tai(F.col(seq)))
+    return with_naturalness(seqs, counts, seq).withColumn("cai", C.cai(F.col(seq))).withColumn("tai", C.tai(F.col(seq)))
 
 
 def calibration(rows: DataFrame) -> DataFrame:
@@ -69,6 +94,18 @@ def calibration(rows: DataFrame) -> DataFrame:
     return rows.agg(*parts, F.count("tai").alias("tai_n"))
 
 
+def save_calibration(stats: DataFrame, path: str) -> None:
+    """One row of statistics as Parquet, to score other tables with."""
+    stats.coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_calibration(spark: SparkSession, path: str) -> DataFrame:
+    stats = spark.read.parquet(path)
+    if stats.count() != 1:
+        raise ValueError("a calibration is one row")
+    return stats
+
+
 def z_scores(rows: DataFrame, stats: DataFrame) -> DataFrame:
     """rows and z_nat, z_cai, z_tai (an undefined tai counts as 0) against one row of statistics; null where those don't vary."""
     z = lambda x, c: F.try_divide(x - F.col(f"{c}_mean"), F.nullif(F.col(f"{c}_std"), F.lit(0.0)))
@@ -81,7 +118,7 @@ def group_z(rows: DataFrame, group: str, column: str) -> DataFrame:
     """rows and z_<column> within each group, with a floor under the deviation. Means come from one aggregate of each group."""
     stats = rows.groupBy(group).agg(F.avg(column).alias("_mean"), F.stddev_pop(column).alias("_std"))
     z = (F.col(column) - F.col("_mean")) / F.greatest("_std", F.lit(K.LEAST_STD))
-    return rows.join(F.broadcast(stats), group).withColumn(f"z_{column}", z).drop("_mean", "_std")
+    return rows.join(stats, group).withColumn(f"z_{column}", z).drop("_mean", "_std")
 
 
 def codon_histogram(seqs: DataFrame, seq: str = "cds") -> DataFrame:
@@ -100,12 +137,13 @@ def native_starts(corpus: DataFrame, proteins: DataFrame) -> DataFrame:
 
     corpus: (row_id, gene_symbol, cds); proteins: (protein, gene_symbol, aa).
     """
-    best = longest_per_gene(corpus.join(F.broadcast(proteins.select("gene_symbol").distinct()), "gene_symbol", "left_semi"), "gene_symbol", "cds", "row_id")
+    best = longest_per_gene(corpus.join(proteins.select("gene_symbol").distinct(), "gene_symbol", "left_semi"), "gene_symbol", "cds", "row_id")
     trimmed = best.withColumn("seq", F.regexp_replace("cds", f"({'|'.join(K.STOPS)})$", ""))
     return trimmed.join(proteins, "gene_symbol").where(C.check_translate(F.col("seq"), F.col("aa"))).select("protein", "seq")
 
 
 def first_of(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key by `order`."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """The first row of each key by `order`. Keys meet by 128-bit digests, and no group is sorted."""
+    digest = [F.md5(F.col(k).cast("string")).alias(f"_{i}") for i, k in enumerate(keys)]
+    least = rows.groupBy(*digest).agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("_row"))
+    return least.select("_row.*")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import checkpoint
+
 METRICS = ("n", "z_nat", "cai", "gc", "clean", "selfcomp", "mfe", "tai")
 
 
@@ -35,6 +37,18 @@ def repair_report(rows: DataFrame) -> DataFrame:
     return rows.where("n_swaps > 0").agg(F.count(F.lit(1)).alias("n"), F.avg("selfcomp_before").alias("before_mean"), F.avg("selfcomp_after").alias("after_mean"), F.avg(delta).alias("delta_mean"), F.min(delta).alias("delta_min"))
 
 
+def with_columns_appended(rows: DataFrame, added: DataFrame, path: str, key: str) -> DataFrame:
+    """rows with the columns of `added` after their own, written to a new path; never to one that rows come from."""
+    new = [c for c in added.columns if c == key or c not in rows.columns]
+    out = rows.join(added.select(*new), key, "left")
+    out.write.mode("errorifexists").parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
+def of_source(rows: DataFrame, source: str) -> DataFrame:
+    return rows.where(F.col("source") == source)
+
+
 def union_schema(parts: dict[str, DataFrame], label: str) -> DataFrame:
     """Rows of all parts under the union of their columns, with the part's name."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (df.withColumn(label, F.lit(name)) for name, df in parts.items()))
@@ -46,12 +60,19 @@ def write_tsv(rows: DataFrame, path: str, fields: list[str] | None = None) -> No
 
 
 def write_resumable(rows: DataFrame, path: str, keys: list[str]) -> DataFrame:
-    """Add to a Parquet table, partitioned by the keys, what it doesn't have yet; the rows that were written."""
+    """Add to a Parquet table what it doesn't have yet, by the keys (null is a key like others); the rows that were added.
+
+    The rows are fixed by a checkpoint, so that what is returned is what was written. Keys keep their types, as they stay
+    columns of the files.
+    """
     spark = rows.sparkSession
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-        rows = rows.join(spark.read.parquet(path).select(*keys).distinct(), keys, "left_anti")
-    rows.write.mode("append").partitionBy(*keys).parquet(path)
+        known = spark.read.schema(rows.schema).parquet(path).select(*(F.col(k).alias(f"_{k}") for k in keys)).distinct()
+        same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+        rows = rows.join(known, same, "left_anti")
+    rows = checkpoint(rows)
+    rows.write.mode("append").parquet(path)
     return rows
 
 

@@ -217,6 +217,112 @@ def refine(seqs: DataFrame, scorer: Scorer, rounds: int = K.REFINE_ROUNDS, seq:
     return duplex.dealt(seqs, seq).mapInArrow(run, "seq_id long, refined string, score_start double, score_end double, n_moves int")
 
 
+#: Partial sequences that clean_start() carries on, and what a broken constraint costs.
+BEAM, BROKEN = 16, 1000.0
+_STRONG = {c: sum((b in "GC") << (2 - i) for i, b in enumerate(c)) for c in _CODONS}
+_GC_FEWEST, _GC_MOST = int(np.ceil(K.GC_LO * K.GC_WINDOW - 1e-9)), int(K.GC_HI * K.GC_WINDOW + 1e-9)
+
+
+def clean_start(aa: str) -> str | None:
+    """Codons of a protein by usage, without motifs and with the GC of each window of 60 letters within bounds.
+
+    A beam over codons, each partial sequence with its last letters and the strong bases of its last window; a constraint
+    that can't be kept is broken as seldom as the beam finds. Null if a letter is no amino acid.
+    """
+    if any(a not in K.SYNONYMS for a in aa):
+        return None
+    width, full = K.GC_WINDOW, (1 << K.GC_WINDOW) - 1
+    motif: dict[tuple[str, str], int] = {}
+    # score, last letters, strong bases as bits, the codons so far as linked pairs
+    beam: list[tuple[float, str, int, tuple | None]] = [(0.0, "", 0, None)]
+    for k, a in enumerate(aa):
+        best: dict[tuple[str, int], tuple[float, str, int, tuple | None]] = {}
+        n = 3 * k + 3
+        for value, tail, bits, path in beam:
+            for c in K.SYNONYMS[a]:
+                if (tail, c) not in motif:
+                    s = tail + c
+                    motif[tail, c] = sum(m in s and not (m in tail) for m in K.MOTIFS)
+                b = (bits << 3) | _STRONG[c]
+                bad = motif[tail, c]
+                for d in range(3):
+                    if n - d >= width:
+                        bad += not _GC_FEWEST <= (b >> d & full).bit_count() <= _GC_MOST
+                key = ((tail + c)[-7:], b & (full << 2 | 3))
+                v = value + float(C._LOG_W[c]) - BROKEN * bad
+                if key not in best or v > best[key][0]:
+                    best[key] = (v, *key, (path, c))
+        # the best of each number of strong bases first, so that some leave room for what comes
+        each: dict[int, tuple[float, str, int, tuple | None]] = {}
+        for x in sorted(best.values(), key=lambda x: -x[0]):
+            each.setdefault((x[2] & full).bit_count(), x)
+        beam = list(each.values())[:BEAM]
+    out, path = [], beam[0][3]
+    while path:
+        path, c = path
+        out.append(c)
+    return "".join(reversed(out))
+
+
+def clean_starts(proteins: DataFrame, aa: str = "aa") -> DataFrame:
+    """(seq_id, seq) by clean_start(), null for a null protein."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [None if s is None else clean_start(s) for s in batch.column("seq").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("seq_id"), pa.array(made, pa.string())], names=["seq_id", "seq"])
+
+    return duplex.dealt(proteins, aa).mapInArrow(run, "seq_id long, seq string")
+
+
+def start_pool(proteins: DataFrame, native: DataFrame, aa: str = "aa") -> DataFrame:
+    """(seq_id, source, seq): three starts for each protein, clean, native (where there is one) and by the best codons.
+
+    proteins: (seq_id, aa); native: (seq_id, seq), as corpus.native_starts() finds them.
+    """
+    best = proteins.select("seq_id", C.back_translate(F.col(aa)).alias("seq"))
+    parts = {"clean": clean_starts(proteins, aa), "native": native.select("seq_id", "seq"), "cai": best}
+    named = [df.where("seq is not null").select("seq_id", F.lit(name).alias("source"), "seq") for name, df in parts.items()]
+    return named[0].unionByName(named[1]).unionByName(named[2])
+
+
+def refine_records(records: DataFrame, scorer: Scorer, rounds: int = K.REFINE_ROUNDS) -> DataFrame:
+    """Refined records of a folding dump, a row for each different sequence of a protein (without its stop codon).
+
+    records: (protein, lam, seq, row_id). (row_id, protein, lam_start, cds_len, n_moves, score_start, score_end, delta, sites,
+    runs and the hard gate before and after, cds_refined).
+    """
+    from ..functions import sequence as S
+    from . import corpus
+
+    rows = records.withColumn("cds", S.trim_stop(S.to_dna(F.col("seq"))))
+    rows = corpus.first_of(rows, ["protein", "cds"], ["row_id"]).select(F.col("row_id").alias("seq_id"), "protein", "lam", "cds")
+    out = rows.join(refine(rows, scorer, rounds), "seq_id")
+    a, z = F.col("cds"), F.col("refined")
+    counts = {f"{n}_{at}": f(s) for n, f in (("sites", S.motif_count), ("hp4", S.n_hp4), ("hp5", S.n_hp5)) for at, s in (("start", a), ("end", z))}
+    return out.select(
+        F.col("seq_id").alias("row_id"), "protein", F.col("lam").alias("lam_start"), F.length("cds").alias("cds_len"), "n_moves", F.round("score_start", 4).alias("score_start"), F.round("score_end", 4).alias("score_end"),
+        F.round(F.col("score_end") - F.col("score_start"), 4).alias("delta"), *(c.alias(n) for n, c in counts.items()), S.hard_ok(z).alias("hard_pass_end"), z.alias("cds_refined"),
+    )
+
+
+def breaking(seqs: DataFrame, seq: str = "cds") -> DataFrame:
+    """(seq_id, at, alt): swaps of codons at the arms of near-longest duplexes that break a pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, found = [], []
+            for ident, s in zip(batch.column("seq_id").to_pylist(), batch.column("seq").to_pylist(), strict=True):
+                c = codon_numbers(s) if s else None
+                if c is not None and len(c):
+                    some = variants_breaking(c, duplex.spans(_BASES[c].ravel())[1])
+                    ids += [ident] * len(some)
+                    found += some
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([i for i, _ in found], pa.int32()), pa.array([_CODONS[a] for _, a in found], pa.string())], names=["seq_id", "at", "alt"])
+
+    return duplex.dealt(seqs, seq).mapInArrow(run, "seq_id long, at int, alt string")
+
+
 def breaks_any_pair(codes: np.ndarray, arms: np.ndarray, at: int, alt: int) -> bool:
     """Whether the swap leaves a base of some duplex without its complement (or finds it so)."""
     p = at * 3 + np.arange(3)

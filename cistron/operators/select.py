@@ -9,16 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.sequence import let
-
-
-def _checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder of spark.checkpoint.dir; an own one only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+from ..storage import checkpoint
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -41,19 +32,19 @@ def topk_diverse(rows: DataFrame, group: str, score: str, features: list[str], b
     stats = [f(c).alias(f"_{n}_{c}") for c in dict.fromkeys([score, *features]) for f, n in ((F.avg, "m"), (F.stddev_pop, "s"))]
     per_group = rows.groupBy(group).agg(F.max(score).alias("_top"), *stats)
     z = lambda c: (F.col(c) - F.col(f"_m_{c}")) / F.greatest(F.col(f"_s_{c}"), F.lit(K.LEAST_STD))
-    left = rows.join(F.broadcast(per_group), group).select(
+    left = rows.join(per_group, group).select(
         group, F.col(ident).alias("ident"), z(score).alias("z"), F.array(*map(z, features)).alias("v"), F.col(burden).cast("double").alias("burden"), (F.col(score) >= F.col("_top") - K.TIE_BAND).alias("close")
     )
-    left = _checkpoint(left)
-    picked = _checkpoint(_first(left.where("close").select(group, "ident", "burden", "v"), group, [F.col("burden"), F.col("ident")]))
+    left = checkpoint(left)
+    picked = checkpoint(_first(left.where("close").select(group, "ident", "burden", "v"), group, [F.col("burden"), F.col("ident")]))
     out = [picked.select(group, F.lit(1).alias("rank"), F.col("ident").alias(ident))]
     left = left.select(group, "ident", "z", "v", F.lit(float("inf")).alias("near"))
     for rank in range(2, k + 1):
         last = picked.select(group, F.col("v").alias("w"), F.col("ident").alias("taken"))
-        left = left.join(F.broadcast(last), group).where("ident <> taken")
-        left = _checkpoint(left.select(group, "ident", "z", "v", F.least("near", distance(F.col("v"), F.col("w"))).alias("near")))
+        left = left.join(last, group).where("ident <> taken")
+        left = checkpoint(left.select(group, "ident", "z", "v", F.least("near", distance(F.col("v"), F.col("w"))).alias("near")))
         value = F.round(alpha * F.col("z") + (1 - alpha) * F.col("near"), 9)
-        picked = _checkpoint(_first(left.select(group, "ident", "v", value.alias("value")), group, [-F.col("value"), F.col("ident")]))
+        picked = checkpoint(_first(left.select(group, "ident", "v", value.alias("value")), group, [-F.col("value"), F.col("ident")]))
         out.append(picked.select(group, F.lit(rank).alias("rank"), F.col("ident").alias(ident)))
     return reduce(DataFrame.unionByName, out)
 
@@ -65,5 +56,16 @@ def best_quartile(values: Column) -> Column:
     return let(let(values, part), mean)
 
 
+def topk_rows(candidates: DataFrame, features: list[str], group: str = "protein", ident: str = "cand_id", k: int = K.TOP_K, alpha: float = K.ALPHA) -> DataFrame:
+    """The selected candidates with their rank: (group, rank, source, score, z_nat, cai, gc, sites, selfcomp, seq).
+
+    candidates: those columns but rank, `ident` and the features; the first pick has the shortest duplex.
+    """
+    candidates = checkpoint(candidates)
+    picked = topk_diverse(candidates, group, "score", features, "selfcomp", ident, k, alpha)
+    out = candidates.join(picked.select(ident, "rank"), ident)
+    return out.select(group, "rank", "source", "score", "z_nat", "cai", "gc", "sites", "selfcomp", "seq")
+
+
 def not_selected(rows: DataFrame, selected: DataFrame, ident: str) -> DataFrame:
     return rows.join(selected.select(ident), ident, "left_anti")

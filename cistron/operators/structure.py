@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Longest sequence folded whole, local and start windows, and sampled windows of longer ones.
@@ -24,15 +24,12 @@ class Backend(Protocol):
 
 
 def parse_db(structures: DataFrame, column: str = "structure") -> DataFrame:
-    """(seq_id, i, j): paired places from 0, i < j; three kinds of brackets, each nested by itself.
+    """(seq_id, i, j): paired places from 0, i < j, of each dot-bracket string.
 
-    A closing bracket pairs with the last open one at its depth: pairs are neighbours among the places of one kind and
-    depth. An opening bracket without partner is left out; a closing one too.
+    Brackets of one kind and depth pair with their neighbours, so pairs are found by two windows within a sequence.
     """
     chars = structures.select("seq_id", F.posexplode(F.regexp_extract_all(F.coalesce(column, F.lit("")), F.lit("(?s)."), F.lit(0))).alias("at", "c"))
     kind = F.ceil(F.nullif(F.position(F.col("c"), F.lit("()[]{}")), F.lit(0)) / 2)
-    from pyspark.sql import Window
-
     step = chars.select("seq_id", "at", kind.alias("kind"), F.when(F.col("c").isin("(", "[", "{"), 1).otherwise(-1).alias("d")).where("kind is not null")
     within = Window.partitionBy("seq_id", "kind").orderBy("at")
     depth = step.withColumn("depth", F.sum("d").over(within) + F.when(F.col("d") < 0, 1).otherwise(0))
@@ -43,8 +40,6 @@ def parse_db(structures: DataFrame, column: str = "structure") -> DataFrame:
 
 def helix_lengths(pairs: DataFrame) -> DataFrame:
     """(seq_id, i, length): stacks of pairs (i, j), (i + 1, j - 1), ... by their first place."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("seq_id", F.col("i") + F.col("j")).orderBy("i")
     runs = pairs.withColumn("run", F.col("i") - F.row_number().over(w)).withColumn("sum", F.col("i") + F.col("j"))
     return runs.groupBy("seq_id", "sum", "run").agg(F.min("i").alias("i"), F.count(F.lit(1)).cast("int").alias("length")).select("seq_id", "i", "length")
@@ -71,12 +66,46 @@ def mean(values: Column) -> Column:
     return F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values)).otherwise(0.0)
 
 
-def openness(profile: Column) -> dict[str, Column]:
-    """Mean unpaired probability of the start and of all, and of the least quarter; null without a profile."""
+def openness(local: Column, whole: Column, sampled: Column) -> dict[str, Column]:
+    """Mean unpaired probability of the start (of the local fold), of all, and of the least quarter.
+
+    local: profile of the first LOCAL letters; whole: of the sequence, null for one over FOLD_MOST letters; sampled: profiles
+    of the windows of such a longer one. Structs of (values, ensemble), ensemble 0 where values come from one structure.
+    Null without a backend.
+    """
     from .select import best_quartile
 
-    known = lambda c: F.when(profile.isNotNull(), c)
-    return {"open_start45": known(mean(F.slice(profile, 1, START))), "mean_unpaired": known(mean(profile)), "mean_unpaired_q25": known(best_quartile(profile)), "ensemble_ok": profile.isNotNull().cast("int")}
+    every = F.transform(sampled, lambda p: mean(p["values"]))
+    return {
+        "open_start45": F.when(local.isNotNull(), mean(F.slice(local["values"], 1, START))),
+        "mean_unpaired": F.when(whole.isNotNull(), mean(whole["values"])).when(sampled.isNotNull(), mean(every)),
+        "mean_unpaired_q25": F.when(whole.isNotNull(), best_quartile(whole["values"])),
+        "ensemble_ok": F.when(whole.isNotNull(), whole["ensemble"]).when(sampled.isNotNull(), F.lit(0)),
+    }
+
+
+def mfe_features(rows: DataFrame) -> DataFrame:
+    """rows of fold() and mfe_per_nt, paired_fraction, longest_helix, n_helices8; null where nothing is folded."""
+    helices = helix_features(rows.where("structure is not null").select("seq_id", "structure"))
+    out = rows.join(helices, "seq_id", "left")
+    return out.withColumn("mfe_per_nt", F.try_divide(F.col("mfe"), F.length("structure").cast("double")))
+
+
+def structure_features(seqs: DataFrame, backend: Backend | None, seq: str = "cds", fast: bool = False) -> DataFrame:
+    """(seq_id, mfe, mfe_per_nt, paired_fraction, longest_helix, n_helices8, open_start45, ...) of all sequences.
+
+    fast leaves out profiles of whole sequences and the duplex scan.
+    """
+    from . import duplex
+
+    rows = mfe_features(fold(seqs, backend, seq, fast))
+    opened = openness(F.col("local_profile"), F.col("profile"), F.col("sampled_profiles"))
+    names = ["open_start45"] if fast else list(opened)
+    out = rows.select("seq_id", "mfe", "mfe_per_nt", "paired_fraction", "longest_helix", "n_helices8", *(opened[n].alias(n) for n in names))
+    if fast:
+        return out
+    scan = duplex.selfcomp_scan(seqs, seq).select("seq_id", F.col("exact").alias("selfcomp_max_exact"), F.col("near").alias("selfcomp_max_near"))
+    return out.join(scan, "seq_id")
 
 
 def mfe_unpaired(structure: Column) -> Column:
@@ -84,32 +113,50 @@ def mfe_unpaired(structure: Column) -> Column:
     return F.transform(F.regexp_extract_all(structure, F.lit("(?s)."), F.lit(0)), lambda c: (c == ".").cast("double"))
 
 
-def fold(seqs: DataFrame, backend: Backend | None, seq: str = "cds") -> DataFrame:
-    """(seq_id, structure, mfe, unpaired, dg_start45, acc_aug30, structure_backend) by the backend; null without one.
+_PROFILE = "struct<values: array<double>, ensemble: int>"
+_FOLDED = {"structure": "string", "mfe": "double", "dg_start45": "double", "acc_aug30": "double", "unpaired": "double", "local_profile": _PROFILE, "profile": _PROFILE, "sampled_profiles": f"array<{_PROFILE}>"}
+
+
+def fold(seqs: DataFrame, backend: Backend | None, seq: str = "cds", fast: bool = False) -> DataFrame:
+    """(seq_id, structure, mfe, dg_start45, acc_aug30, unpaired, profiles, structure_backend) by the backend; null without one.
 
-    Profiles are of sequences of 5 to FOLD_MOST letters.
+    dg_start45: energy of the first START letters; acc_aug30: mean of the first ACCESS of a profile of the first LOCAL ones;
+    unpaired: mean over windows(). A profile that the backend doesn't give (fewer than 5 letters) is that of the structure,
+    1 for each unpaired place. Whole profiles are of sequences of up to FOLD_MOST letters, longer ones are sampled.
     """
-    ddl = "seq_id long, structure string, mfe double, unpaired array<double>, dg_start45 double, acc_aug30 double, structure_backend string"
     if backend is None:
-        null = {"structure": "string", "mfe": "double", "unpaired": "array<double>", "dg_start45": "double", "acc_aug30": "double"}
-        return seqs.select("seq_id", *(F.lit(None).cast(t).alias(c) for c, t in null.items()), F.lit("none").alias("structure_backend"))
+        return seqs.select("seq_id", *(F.lit(None).cast(t).alias(c) for c, t in _FOLDED.items()), F.lit("none").alias("structure_backend"))
+
+    def of_structure(structure: str) -> list[float]:
+        return [float(c == ".") for c in structure]
+
+    def profile(s: str) -> dict:
+        known = backend.unpaired(s) if 5 <= len(s) <= FOLD_MOST else None
+        return {"values": of_structure(backend.mfe(s)[0]) if known is None else known, "ensemble": int(known is not None)}
+
+    def average(values: list[float]) -> float:
+        return sum(values) / len(values) if values else 0.0
 
     def one(s: str | None) -> tuple:
         if not s:
-            return (None,) * 5
+            return (None,) * len(_FOLDED)
         rna = s.upper().replace("T", "U")
         structure, energy = backend.mfe(rna)
-        head = rna[: max(LOCAL, START)]
-        near = backend.unpaired(head) if len(head) >= 5 else []
-        profile = backend.unpaired(rna) if 5 <= len(rna) <= FOLD_MOST else None
-        return structure, energy, profile, backend.mfe(rna[:START])[1], sum(near[:ACCESS]) / len(near[:ACCESS]) if near else 0.0
+        local = profile(rna[: max(LOCAL, START)])
+        parts = [rna] if len(rna) <= LOCAL else [rna[p : p + WINDOW] for p in range(0, max(1, len(rna) - WINDOW + 1), STRIDE)]
+        sampled = [profile(p) for p in parts] if not fast else []
+        unpaired = average([average(p["values"]) for p in sampled]) if sampled and len(rna) >= 5 and all(p["ensemble"] for p in sampled) else None
+        short = len(rna) <= FOLD_MOST
+        return structure, energy, backend.mfe(rna[:START])[1], average(local["values"][:ACCESS]), unpaired, local, profile(rna) if short and not fast else None, sampled if not short and not fast else None
+
+    profile_type = pa.struct([("values", pa.list_(pa.float64())), ("ensemble", pa.int32())])
+    types = (pa.string(), *(pa.float64(),) * 4, profile_type, profile_type, pa.list_(profile_type))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = (pa.string(), pa.float64(), pa.list_(pa.float64()), pa.float64(), pa.float64())
         for batch in batches:
             rows = [one(s) for s in batch.column("seq").to_pylist()]
             columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
-            names = ["seq_id", "structure", "mfe", "unpaired", "dg_start45", "acc_aug30", "structure_backend"]
-            yield pa.RecordBatch.from_arrays([batch.column("seq_id"), *columns, pa.array([type(backend).__name__] * len(rows))], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("seq_id"), *columns, pa.array([type(backend).__name__] * len(rows))], names=["seq_id", *_FOLDED, "structure_backend"])
 
-    return seqs.select("seq_id", F.col(seq).alias("seq")).mapInArrow(run, ddl)
+    ddl = ", ".join(f"{c} {t}" for c, t in _FOLDED.items())
+    return seqs.select("seq_id", F.col(seq).alias("seq")).mapInArrow(run, f"seq_id long, {ddl}, structure_backend string")

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import codon as C
 from ..functions import constants as K
 from ..functions import sequence as S
-from ..operators import corpus, duplex, report, score, search, select, structure
-from ..sources import ld_dump
+from ..operators import corpus, duplex, features, report, score, search, select, structure
+from ..sources import ld_dump, sequences
 from ..sources.sequences import codon_dimension, from_documents, synonym_dimension
+from ..storage import checkpoint, scratch, write_file
 from . import sql as Q
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,14 +129,14 @@ scalar("codon_gc3", lambda raw, cds: {"gc3": C.gc3(raw)}, {"gc3": "gc3::DOUBLE"}
 scalar("codon_enc", lambda raw, cds: {"enc": C.enc(raw)}, {"enc": "enc::DOUBLE"}, f"{Q.CODON}, {Q.RAW_CODONS}, {Q.ENC}", "JOIN enc USING (seq_id)")
 scalar("codon_tai", lambda raw, cds: {"tai": C.tai(cds)}, {"tai": "tai::DOUBLE"}, f"{Q.WEIGHT}, {Q.CDS_CODONS}, {Q.TAI}", "JOIN tai USING (seq_id)")
 #: Coefficients by a rule, in place of a table of measurements: of codon number k, k * step % 64 / 64, for some codons.
-COEFFICIENTS = {name: {c: k * step % 64 / 64 for k, c in enumerate(C.ALL) if k % 7 != 3} for name, step in (("opt_a", 5), ("opt_b", 11), ("opt_c", 23))}
-_COEF = Q.values("coef", "codon, opt_a, opt_b, opt_c", [(c, *(COEFFICIENTS[n][c] for n in COEFFICIENTS)) for c in sorted(COEFFICIENTS["opt_a"])])
+COEFFICIENTS = {name: {c: k * step % 64 / 64 for k, c in enumerate(C.ALL) if k % 7 != 3} for name, step in (("opt_293T", 5), ("opt_hela", 11), ("opt_rpe", 23), ("opt_293T_orfome", 29), ("opt_k562_orfome", 37), ("opt_k562_slam", 43))}
+_COEF = Q.values("coef", "codon, " + ", ".join(COEFFICIENTS), [(c, *(COEFFICIENTS[n][c] for n in COEFFICIENTS)) for c in sorted(COEFFICIENTS["opt_rpe"])])
 scalar(
     "score_feature_vec",
     lambda raw, cds: C.feature_vector(cds, COEFFICIENTS),
     {n: f"coalesce({n}, 0)::DOUBLE" for n in COEFFICIENTS} | {"cai": "cai::DOUBLE", "gc_global": f"{Q.gc('cds')}::DOUBLE", "gc3": "gc3::DOUBLE", "enc": "enc::DOUBLE", "cds_len": "length(cds)"},
     f"{Q.CODON}, {_COEF}, {Q.CDS_CODONS}, {Q.CDS_CODONS.replace('cc AS', 'rc AS')}, {Q.CAI}, {Q.ENC}, g AS (SELECT seq_id, avg((right(c, 1) IN ('G', 'C'))::INT) AS gc3 FROM cc GROUP BY seq_id), "
-    "o AS (SELECT seq_id, avg(opt_a) AS opt_a, avg(opt_b) AS opt_b, avg(opt_c) AS opt_c FROM cc JOIN coef ON cc.c = coef.codon GROUP BY seq_id)",
+    f"o AS (SELECT seq_id, {', '.join(f'avg({n}) AS {n}' for n in COEFFICIENTS)} FROM cc JOIN coef ON cc.c = coef.codon GROUP BY seq_id)",
     "JOIN cai USING (seq_id) JOIN enc USING (seq_id) LEFT JOIN g USING (seq_id) LEFT JOIN o USING (seq_id)",
 )
 
@@ -216,7 +217,8 @@ def score_design_v1(spark, sf_dir):
 
 @add("score_rank_by_group", f"WITH {Q.SCORED} SELECT seq_id, grp, round(score_v25, 6) AS score_v25, row_number() OVER (PARTITION BY grp ORDER BY round(score_v25, 9) DESC, seq_id)::INT AS place FROM scored")
 def score_rank_by_group(spark, sf_dir):
-    return rounded(score.rank_in_groups(score.with_scores(seqs_of(spark, sf_dir))).select("seq_id", "grp", "score_v25", "place"))
+    rows = score.with_scores(seqs_of(spark, sf_dir).select("seq_id", "grp", "cds")).select("seq_id", "grp", "score_v25")
+    return rounded(score.rank_in_groups(rows).select("seq_id", "grp", "score_v25", "place"))
 
 
 @add(
@@ -229,7 +231,7 @@ def score_gates_ok(spark, sf_dir):
     rows = score.with_scores(seqs_of(spark, sf_dir))
     names = ("score_v2", "z_nat", "cai", "sites", "hp5", "gc")
     base = rows.groupBy("grp").agg(*(F.min_by(c, "seq_id").alias(f"base_{c}") for c in names))
-    both = rows.select("seq_id", "grp", *(F.col(c).alias(f"new_{c}") for c in names)).join(F.broadcast(base), "grp")
+    both = rows.select("seq_id", "grp", *(F.col(c).alias(f"new_{c}") for c in names)).join(base, "grp")
     return both.select("seq_id", score.gates_ok("new_", "base_").alias("ok"))
 
 
@@ -254,8 +256,9 @@ _FEATURES = ["cai", "gc", "enc", "upa", "hp_max", "sites"]
 
 
 def _pool(spark, sf_dir) -> DataFrame:
-    rows = score.with_scores(seqs_of(spark, sf_dir)).where("cds <> ''")
-    return rows.withColumns({"enc": C.enc(F.col("cds")), "upa": S.dinuc_odds(F.col("cds"), "T", "A"), "hp_max": S.max_run(F.col("cds"), "ACGT").cast("double")})
+    rows = score.with_scores(seqs_of(spark, sf_dir).select("seq_id", "grp", "cds")).where("cds <> ''")
+    rows = rows.withColumns({"enc": C.enc(F.col("cds")), "upa": S.dinuc_odds(F.col("cds"), "T", "A"), "hp_max": S.max_run(F.col("cds"), "ACGT").cast("double")})
+    return checkpoint(rows.select("seq_id", "grp", "score_v2", "hp4", *_FEATURES))  # numbers only
 
 
 def _topk_sql() -> str:
@@ -344,9 +347,9 @@ def search_pipeline(spark, sf_dir):
     return rounded(out)
 
 
-@add("search_start_pool", f"WITH {Q.SEQS}, {Q.CODON}, {_BEST}, {Q.CDS_CODONS}, made AS (SELECT seq_id, string_agg(b, '' ORDER BY p) AS seq FROM cc JOIN codon ON cc.c = codon.codon JOIN best USING (aa) GROUP BY seq_id), pool AS (SELECT seq_id, 'native' AS source, cds AS seq FROM seqs WHERE cds <> '' UNION ALL SELECT seq_id, 'cai', seq FROM made) SELECT seq_id, source, length(seq) AS len, round({Q.gc('seq')}, 6) AS gc, {Q.sites('seq')} AS sites, {Q.runs('seq', 5)} AS hp5 FROM pool")
-def search_start_pool(spark, sf_dir):
-    """Two starts for each sequence, as it is and by the most frequent codons, with their measured sites and runs."""
+@add("search_start_two", f"WITH {Q.SEQS}, {Q.CODON}, {_BEST}, {Q.CDS_CODONS}, made AS (SELECT seq_id, string_agg(b, '' ORDER BY p) AS seq FROM cc JOIN codon ON cc.c = codon.codon JOIN best USING (aa) GROUP BY seq_id), pool AS (SELECT seq_id, 'native' AS source, cds AS seq FROM seqs WHERE cds <> '' UNION ALL SELECT seq_id, 'cai', seq FROM made) SELECT seq_id, source, length(seq) AS len, round({Q.gc('seq')}, 6) AS gc, {Q.sites('seq')} AS sites, {Q.runs('seq', 5)} AS hp5 FROM pool")
+def search_start_two(spark, sf_dir):
+    """Two of the starts for each sequence, as it is and by the most frequent codons, with their measured sites and runs."""
     seqs = seqs_of(spark, sf_dir).where("cds <> ''")
     native = seqs.select("seq_id", F.lit("native").alias("source"), F.col("cds").alias("seq"))
     best = seqs.select("seq_id", F.lit("cai").alias("source"), C.back_translate(C.translate_a(F.col("cds"))).alias("seq"))
@@ -354,6 +357,60 @@ def search_start_pool(spark, sf_dir):
     return rounded(native.unionByName(best).select("seq_id", "source", F.length(seq).alias("len"), S.gc_content(seq).alias("gc"), S.motif_count(seq).alias("sites"), S.n_hp5(seq).alias("hp5")))
 
 
+_GENES = f"cdsaa AS (SELECT seqs.seq_id, source, cds, coalesce(string_agg(aa, '' ORDER BY p), '') AS aa FROM seqs LEFT JOIN (SELECT * FROM cc JOIN codon ON cc.c = codon.codon) x USING (seq_id) GROUP BY seqs.seq_id, source, cds)"
+
+
+def _proteins(seqs: DataFrame) -> DataFrame:
+    """(protein, gene_symbol, aa): of each source its longest sequence's protein, of a source of an even length its first one's."""
+    aa = C.translate_a(F.col("cds"))
+    rows = seqs.select("seq_id", "source", "cds", aa.alias("aa"))
+    best = rows.groupBy("source").agg(F.max_by("aa", F.struct(F.length("cds"), -F.col("seq_id"))).alias("longest"), F.min_by("aa", "seq_id").alias("first"))
+    return best.select(F.concat(F.lit("p-"), "source").alias("protein"), F.col("source").alias("gene_symbol"), F.when(F.length("source") % 2 == 0, F.col("first")).otherwise(F.col("longest")).alias("aa"))
+
+
+@add(
+    "join_native",
+    f"WITH {Q.SEQS}, {Q.CODON}, {Q.CDS_CODONS}, {_GENES}, best AS (SELECT source, arg_max(cds, (length(cds), -seq_id)) AS cds, arg_max(aa, (length(cds), -seq_id)) AS longest, arg_min(aa, seq_id) AS first FROM cdsaa GROUP BY source) "
+    "SELECT 'p-' || source AS protein, cds AS seq FROM best WHERE longest = CASE WHEN length(source) % 2 = 0 THEN first ELSE longest END",
+)
+def join_native(spark, sf_dir):
+    """Of each gene the longest sequence, kept if it translates to the gene's protein."""
+    seqs = seqs_of(spark, sf_dir)
+    corpus_rows = seqs.select(F.col("seq_id").alias("row_id"), F.col("source").alias("gene_symbol"), "cds")
+    return corpus.native_starts(corpus_rows, _proteins(seqs))
+
+
+@add("search_start_pool")
+def search_start_pool(spark, sf_dir):
+    """Three starts for each sequence's protein, with their length, GC, sites and runs; no SQL (a beam makes the clean ones)."""
+    seqs = seqs_of(spark, sf_dir).where("cds <> ''")
+    proteins = seqs.select("seq_id", C.translate_a(F.col("cds")).alias("aa"))
+    pool = search.start_pool(proteins, seqs.select("seq_id", F.col("cds").alias("seq")))
+    seq = F.col("seq")
+    return rounded(pool.select("seq_id", "source", F.length(seq).alias("len"), S.gc_content(seq).alias("gc"), S.motif_count(seq).alias("sites"), S.n_hp5(seq).alias("hp5"), F.md5(seq).alias("seq_md5")))
+
+
+@add("search_variants_breaking")
+def search_variants_breaking(spark, sf_dir):
+    """Swaps that break a pair of a near-longest duplex, for every sequence; no SQL (arms come from the scan)."""
+    return search.breaking(seqs_of(spark, sf_dir))
+
+
+@add("sel_topk_candidates")
+def sel_topk_candidates(spark, sf_dir):
+    """Top candidates of each group from two starts of each sequence, first the one with the shortest duplex; no SQL (the scan)."""
+    seqs = seqs_of(spark, sf_dir).where("cds <> ''")
+    native = seqs.select("seq_id", "grp", F.lit("native").alias("source"), "cds")
+    best = seqs.select("seq_id", "grp", F.lit("cai").alias("source"), C.back_translate(C.translate_a(F.col("cds"))).alias("cds"))
+    pool = native.unionByName(best).withColumn("start_id", F.col("seq_id")).withColumn("seq_id", 2 * F.col("seq_id") + F.when(F.col("source") == "cai", 1).otherwise(0))
+    counts = corpus.pair_counts(seqs)
+    scored = score.with_scores(pool, counts, checkpoint(corpus.calibration(corpus.measured(seqs.select("seq_id", "cds"), counts))))
+    scored = checkpoint(scored.withColumns({"enc": C.enc(F.col("cds")), "upa": S.dinuc_odds(F.col("cds"), "T", "A"), "hp_max": S.max_run(F.col("cds"), "ACGT").cast("double")}))
+    rows = scored.join(duplex.selfcomp_scan(scored, "cds").select("seq_id", F.col("near").alias("selfcomp")), "seq_id")
+    rows = rows.select(F.col("grp").alias("protein"), F.col("seq_id").alias("cand_id"), "source", F.col("score_v2").alias("score"), "z_nat", "cai", "gc", "sites", "selfcomp", F.col("cds").alias("seq"), "enc", "upa", "hp_max")
+    return rounded(select.topk_rows(rows, _FEATURES))
+
+
 @add("dup_selfcomp_scan")
 def dup_selfcomp_scan(spark, sf_dir):
     """Longest exact and near-perfect duplex of every sequence; no SQL (stateful extension of each seed)."""
@@ -382,14 +439,38 @@ def rep_scorecard(spark, sf_dir):
     return score.scorecard(score.with_scores(seqs, counts), corpus.codon_pair_bias(seqs, counts), duplex.selfcomp_scan(seqs, "cds"))
 
 
-_IMMUNE = f"((urich * 1000.0 / greatest(length(cds), 1) >= {K.URICH_PER_KB})::INT + ({Q.odds('cds', 'C', 'G')} >= {K.CPG_HIGH})::INT)"
-scalar("rep_immune_flag", lambda raw, cds: {"flag": score.immune_flag(F.lit(0), S.urich_count(cds), F.length(cds), S.dinuc_odds(cds, "C", "G"))}, {"flag": f"{_IMMUNE}::BIGINT"}, Q.urich("cds"), "JOIN urich USING (seq_id)")
+@add("rep_immune_flag_scan")
+def rep_immune_flag_scan(spark, sf_dir):
+    """The flag with each sequence's longest duplex; no SQL (the scan)."""
+    seqs = seqs_of(spark, sf_dir)
+    rows = seqs.select("seq_id", "cds").join(duplex.selfcomp_scan(seqs, "cds").select("seq_id", "near"), "seq_id")
+    s = F.col("cds")
+    return rows.select("seq_id", "near", score.immune_flag(F.col("near"), S.urich_count(s), F.length(s), S.dinuc_odds(s, "C", "G")).alias("flag"))
+
+
+_DUPLEX = "(length(cds) % 40)"
+_IMMUNE = f"(CASE WHEN {_DUPLEX} >= {K.DUPLEX_HIGH} THEN 2 WHEN {_DUPLEX} >= {K.DUPLEX_MED} THEN 1 ELSE 0 END + (urich * 1000.0 / greatest(length(cds), 1) >= {K.URICH_PER_KB})::INT + ({Q.odds('cds', 'C', 'G')} >= {K.CPG_HIGH})::INT)"
+scalar("rep_immune_flag", lambda raw, cds: {"flag": score.immune_flag(F.length(cds) % 40, S.urich_count(cds), F.length(cds), S.dinuc_odds(cds, "C", "G"))}, {"flag": f"{_IMMUNE}::BIGINT"}, Q.urich("cds"), "JOIN urich USING (seq_id)")
 scalar("rep_te_comp", lambda raw, cds: {"te_comp": score.te_composite(C.cai(cds), C.tai(cds))}, {"te_comp": "round(0.6 * cai + 0.4 * coalesce(tai, 0), 3)"}, f"{Q.CODON}, {Q.WEIGHT}, {Q.CDS_CODONS}, {Q.CAI}, {Q.TAI}", "JOIN cai USING (seq_id) JOIN tai USING (seq_id)")
 scalar("rep_init_comp", lambda raw, cds: {"init_comp": score.initiation_composite(cds, S.gc_content(cds), -20.0 * S.gc_content(raw))}, {"init_comp": f"round(0.5 * {Q.gc('cds')} + 0.4 * (1 - {Q.gc('raw')}) + 0.1 * (substr(cds, 7, 1) = 'G')::INT, 3)"})
 
 
+@add("search_refine_main")
+def search_refine_main(spark, sf_dir):
+    """A folding dump refined: records, without repeats and stops, refined and summed up; no SQL (iterated argmax)."""
+    seqs = seqs_of(spark, sf_dir).where("cds <> ''")
+    records = seqs.select(F.col("grp").alias("protein"), (F.col("seq_id") % 5 / 2.0).alias("lam"), F.col("raw").alias("seq"), F.col("seq_id").alias("row_id"))
+    return rounded(search.refine_records(records, _scorer(seqs, True)))
+
+
+@add("rep_m2_refined")
+def rep_m2_refined(spark, sf_dir):
+    """Summary of a refinement of all sequences; no SQL (iterated argmax)."""
+    return report.refine_summary(QUERIES["search_refine_main"](spark, sf_dir))
+
+
 def _refined_like(spark, sf_dir) -> DataFrame:
-    """raw as start and cds as end of a refinement, by language."""
+    """raw as start and cds as end of a refinement, by language: the summary's SQL; rep_m2_refined has a real one."""
     return seqs_of(spark, sf_dir).select(
         F.col("grp").alias("protein"), F.lit(0.0).alias("lam_start"), F.round(S.gc_content(F.col("cds")) - S.gc_content(F.col("raw")), 4).alias("delta"), S.motif_count(F.col("raw")).alias("sites_start"), S.motif_count(F.col("cds")).alias("sites_end"), S.n_hp4(F.col("raw")).alias("hp4_start"), S.n_hp4(F.col("cds")).alias("hp4_end"), S.clean_flag(F.col("cds")).alias("hard_pass_end")
     )
@@ -404,13 +485,17 @@ def rep_m2_summary(spark, sf_dir):
     return report.refine_summary(_refined_like(spark, sf_dir))
 
 
-def _compared(spark, sf_dir) -> DataFrame:
-    rows = score.with_scores(seqs_of(spark, sf_dir))
-    none = F.lit(None).cast("double")
-    return rows.select(F.col("grp").alias("engine"), "z_nat", "cai", "gc", S.clean_flag(F.col("cds")).alias("clean"), none.alias("selfcomp"), none.alias("mfe"), "tai")
+def _compared(spark, sf_dir, scan: bool = False) -> DataFrame:
+    """What is compared, by language. The SQL takes the longest run of one base for the duplex, which it can't scan for."""
+    rows = score.with_scores(seqs_of(spark, sf_dir).select("seq_id", "grp", "cds"))
+    if scan:
+        rows = rows.join(duplex.selfcomp_scan(rows, "cds").select("seq_id", F.col("near").alias("selfcomp")), "seq_id")
+    else:
+        rows = rows.withColumn("selfcomp", S.max_run(F.col("cds"), "ACGT"))
+    return rows.select(F.col("grp").alias("engine"), "z_nat", "cai", "gc", S.clean_flag(F.col("cds")).alias("clean"), "selfcomp", F.lit(None).cast("double").alias("mfe"), "tai")
 
 
-_COMPARED = f"cmp AS (SELECT grp AS engine, count(*) AS n, avg(z_nat) AS z_nat, avg(cai) AS cai, avg(gc) AS gc, 100 * avg((sites = 0 AND hp5 = 0)::INT) AS clean, NULL::DOUBLE AS selfcomp, NULL::DOUBLE AS mfe, avg(tai) AS tai FROM scored GROUP BY grp)"
+_COMPARED = f"cmp AS (SELECT grp AS engine, count(*) AS n, avg(z_nat) AS z_nat, avg(cai) AS cai, avg(gc) AS gc, 100 * avg((sites = 0 AND hp5 = 0)::INT) AS clean, avg({Q.max_run('cds', 'ACGT')}) AS selfcomp, NULL::DOUBLE AS mfe, avg(tai) AS tai FROM scored GROUP BY grp)"
 
 
 @add("rep_compare_stats", f"WITH {Q.SCORED}, {_COMPARED} SELECT engine, n, {', '.join(f'round({c}, 6) AS {c}' for c in report.METRICS[1:])} FROM cmp")
@@ -418,11 +503,24 @@ def rep_compare_stats(spark, sf_dir):
     return rounded(report.compare_stats(_compared(spark, sf_dir)))
 
 
+@add("rep_compare_scan")
+def rep_compare_scan(spark, sf_dir):
+    """The comparison with the mean longest duplex of each engine; no SQL (the scan). mfe takes a folding backend."""
+    return rounded(report.compare_stats(_compared(spark, sf_dir, scan=True)))
+
+
 @add("rep_compare_pivot", f"WITH {Q.SCORED}, {_COMPARED} " + " UNION ALL ".join("SELECT '%s' AS metric, %s FROM cmp" % (m, ", ".join(f"round(max(CASE WHEN engine = '{e}' THEN {m} END), 6)::DOUBLE AS {e}" for e in ("de", "en", "es", "fr"))) for m in report.METRICS))
 def rep_compare_pivot(spark, sf_dir):
     return rounded(report.compare_pivot(report.compare_stats(_compared(spark, sf_dir)), ["de", "en", "es", "fr"]))
 
 
+@add("rep_console_table", f"WITH {Q.SCORED}, {_COMPARED} SELECT engine, format('{{:.3f}}', z_nat) AS z_nat, format('{{:.3f}}', cai) AS cai, '-' AS mfe FROM cmp")
+def rep_console_table(spark, sf_dir):
+    """Three decimals, a dash for null, as text."""
+    stats = report.compare_stats(_compared(spark, sf_dir))
+    return stats.select("engine", *(report.formatted(F.round(c, 6) + F.lit(1e-9) * F.signum(c)).alias(c) if c != "mfe" else report.formatted(F.col(c)).alias(c) for c in ("z_nat", "cai", "mfe")))
+
+
 @add("rep_repair_report")
 def rep_repair_report(spark, sf_dir):
     return rounded(report.repair_report(QUERIES["search_repair"](spark, sf_dir)))
@@ -440,17 +538,26 @@ def _brackets(spark, sf_dir) -> DataFrame:
     return seqs_of(spark, sf_dir).select("seq_id", F.translate(F.regexp_replace(F.regexp_replace("cds", "AC", "["), "GT", "]"), "ACGT", ".().").alias("structure"))
 
 
-@add("struct_parse_db")
+_DB = """db AS (SELECT seq_id, translate(replace(replace(cds, 'AC', '['), 'GT', ']'), 'ACGT', '.().') AS ss FROM seqs),
+ch AS (SELECT seq_id, q - 1 AS p, substr(ss, q, 1) AS c FROM (SELECT seq_id, ss, unnest(range(1, length(ss) + 1)) AS q FROM db)),
+st AS (SELECT seq_id, p, CASE WHEN c IN ('(', ')') THEN 1 ELSE 2 END AS kind, CASE WHEN c IN ('(', '[') THEN 1 ELSE -1 END AS d FROM ch WHERE c <> '.'),
+dp AS (SELECT *, sum(d) OVER (PARTITION BY seq_id, kind ORDER BY p) + (d < 0)::INT AS depth FROM st),
+nx AS (SELECT *, lead(p) OVER w AS j, lead(d) OVER w AS n FROM dp WINDOW w AS (PARTITION BY seq_id, kind, depth ORDER BY p)),
+prs AS (SELECT seq_id, p AS i, j FROM nx WHERE d = 1 AND n = -1),
+hx AS (SELECT seq_id, min(i) AS i, count(*) AS length FROM (SELECT seq_id, i, i + j AS s, i - row_number() OVER (PARTITION BY seq_id, i + j ORDER BY i) AS run FROM prs) GROUP BY seq_id, s, run)"""
+
+
+@add("struct_parse_db", f"WITH {Q.SEQS}, {_DB} SELECT seq_id, i::BIGINT AS i, j::BIGINT AS j FROM prs")
 def struct_parse_db(spark, sf_dir):
     return structure.parse_db(_brackets(spark, sf_dir))
 
 
-@add("struct_helix_lengths")
+@add("struct_helix_lengths", f"WITH {Q.SEQS}, {_DB} SELECT seq_id, i::BIGINT AS i, length FROM hx")
 def struct_helix_lengths(spark, sf_dir):
     return structure.helix_lengths(structure.parse_db(_brackets(spark, sf_dir)))
 
 
-@add("struct_features")
+@add("struct_features", f"WITH {Q.SEQS}, {_DB} SELECT db.seq_id, round(2 * coalesce(sum(h.length), 0) / greatest(length(ss), 1), 6)::DOUBLE AS paired_fraction, coalesce(max(h.length), 0)::BIGINT AS longest_helix, count(CASE WHEN h.length >= 8 THEN 1 END)::BIGINT AS n_helices8 FROM db LEFT JOIN hx h USING (seq_id) GROUP BY db.seq_id, ss")
 def struct_features(spark, sf_dir):
     return rounded(structure.helix_features(_brackets(spark, sf_dir)))
 
@@ -473,16 +580,142 @@ def io_ld_dump(spark, sf_dir):
     return ld_dump.parse(files).select("protein", "seq", "lam", "mfe_reported", "cai_reported")
 
 
-@add("scan_codon_table", f"WITH {Q.CODON} SELECT codon, aa, freq::DOUBLE AS freq, aa_max::DOUBLE AS aa_max FROM codon")
+_TABLE_LINES = "\ufeff#,,\n" + "\n".join(f"{c.replace('T', 'U')},{a},{K.FREQ[c]}" for c, a in sorted(K.AMINO.items())) + "\nbad,line\n"
+
+
+@add("scan_codon_table", f"WITH {Q.CODON} SELECT translate(codon, 'T', 'U') AS codon, aa, freq::DOUBLE AS freq, aa_max::DOUBLE AS aa_max FROM codon")
 def scan_codon_table(spark, sf_dir):
-    return codon_dimension(spark)
+    """A written table of codons, read by the reader."""
+    return sequences.scan_codon_table(spark, write_file(spark, scratch(spark, "codons") + ".csv", _TABLE_LINES))
+
+
+@add("scan_codon_table_2", f"WITH {Q.CODON} SELECT translate(codon, 'T', 'U') AS codon, aa, freq::DOUBLE AS freq, aa_max::DOUBLE AS aa_max FROM codon WHERE aa <> '*'")
+def scan_codon_table_2(spark, sf_dir):
+    return sequences.scan_codon_table(spark, write_file(spark, scratch(spark, "codons") + ".csv", _TABLE_LINES), with_stops=False)
 
 
 @add("scan_trna", f"WITH {Q.values('trna', 'anticodon, copies', sorted(K.COPIES.items()))} SELECT anticodon, copies::DOUBLE AS copies FROM trna")
 def scan_trna(spark, sf_dir):
-    return spark.createDataFrame(sorted(K.COPIES.items()), "anticodon string, copies double")
+    """A written table with comments and the anticodon of a stop, read by the reader."""
+    lines = "\ufeff# gene copies\n# by anticodon\nanticodon\tcopies\n" + "\n".join(f"{a}\t{n}" for a, n in sorted(K.COPIES.items())) + "\nTCA\t1\n"
+    return sequences.scan_trna(spark, write_file(spark, scratch(spark, "trna") + ".tsv", lines))
 
 
-@add("scan_corpus", f"WITH {Q.SEQS} SELECT seq_id, grp, source, raw, cds FROM seqs")
-def scan_corpus(spark, sf_dir):
+@add("scan_coefficients", f"WITH {_COEF} SELECT codon, opt_293T::DOUBLE AS opt_293T, opt_rpe::DOUBLE AS opt_rpe FROM coef")
+def scan_coefficients(spark, sf_dir):
+    """Two of the written columns of coefficients, under other names."""
+    names = {"293T_endo": "opt_293T", "HeLa_endo": "opt_hela", "RPE_endo": "opt_rpe"}
+    lines = "codon," + ",".join(names) + "\n" + "\n".join(f"{c.lower()}," + ",".join(repr(COEFFICIENTS[n][c]) for n in names.values()) for c in sorted(COEFFICIENTS["opt_rpe"]))
+    return sequences.scan_coefficients(spark, write_file(spark, scratch(spark, "coef") + ".csv", lines), {"293T_endo": "opt_293T", "RPE_endo": "opt_rpe"})
+
+
+@add("derived_sequences", f"WITH {Q.SEQS} SELECT seq_id, grp, source, raw, cds FROM seqs")
+def derived_sequences(spark, sf_dir):
     return seqs_of(spark, sf_dir)
+
+
+@add("scan_corpus", f"WITH {Q.SEQS} SELECT source AS gene_symbol, cds FROM seqs WHERE source IS NOT NULL AND cds <> ''")
+def scan_corpus(spark, sf_dir):
+    """The sequences in RNA letters, written as a corpus and read by the reader."""
+    path = scratch(spark, "corpus")
+    rows = seqs_of(spark, sf_dir).where("source is not null and cds <> ''")
+    report.write_tsv(rows.select(F.col("source").alias("gene_symbol"), F.lower(F.translate("cds", "T", "U")).alias("cds"), "seq_id"), path, ["gene_symbol", "cds"])
+    return sequences.scan_corpus(spark, path)
+
+
+@add("scan_tsv", f"WITH {Q.SEQS} SELECT seq_id, grp, round({Q.gc('raw')}, 6) AS gc FROM seqs")
+def scan_tsv(spark, sf_dir):
+    """Written with fixed fields, extra columns left out, and read with a schema."""
+    path = scratch(spark, "rows")
+    report.write_tsv(seqs_of(spark, sf_dir).select("seq_id", "grp", "raw", S.gc_content(F.col("raw")).alias("gc")), path, ["seq_id", "grp", "gc"])
+    return rounded(sequences.scan_tsv(spark, path, "seq_id long, grp string, gc double"))
+
+
+def _protein_files(spark) -> str:
+    folder = scratch(spark, "proteins")
+    for a in sorted(K.SYNONYMS):
+        write_file(spark, f"{folder}/p{a}.txt", f"M{a}\n {a * 3}\t{a}\n")
+    return folder
+
+
+_PROTEIN_ROWS = Q.values("p", "protein, aa", [(f"p{a}", f"M{a * 5}") for a in sorted(K.SYNONYMS)])
+
+
+@add("scan_protein", f"WITH {_PROTEIN_ROWS} SELECT protein, aa FROM p")
+def scan_protein(spark, sf_dir):
+    return sequences.scan_protein(spark, _protein_files(spark))
+
+
+@add("list_proteins", f"WITH {_PROTEIN_ROWS} SELECT protein FROM p")
+def list_proteins(spark, sf_dir):
+    return sequences.list_proteins(spark, _protein_files(spark))
+
+
+@add("scan_demo_limit", f"WITH {_PROTEIN_ROWS} SELECT protein FROM p ORDER BY protein LIMIT 1")
+def scan_demo_limit(spark, sf_dir):
+    """The first protein alone, as a demonstration takes it."""
+    return sequences.list_proteins(spark, _protein_files(spark)).limit(1)
+
+
+@add("io_resumable", f"WITH {Q.SEQS} SELECT seq_id, grp, 1 + (seq_id % 3 <> 0)::INT AS run FROM seqs")
+def io_resumable(spark, sf_dir):
+    """Written in two runs, the second of which adds what the first left out."""
+    rows, path = seqs_of(spark, sf_dir).select("seq_id", "grp"), scratch(spark, "resumed")
+    report.write_resumable(rows.where("seq_id % 3 = 0").withColumn("run", F.lit(1)), path, ["seq_id", "grp"])
+    report.write_resumable(rows.withColumn("run", F.lit(2)), path, ["seq_id", "grp"])
+    return spark.read.parquet(path)
+
+
+@add("io_saved_calibration", f"WITH {Q.SCORED} SELECT seq_id, round(z_nat, 6) AS z_nat, round(z_cai, 6) AS z_cai FROM scored")
+def io_saved_calibration(spark, sf_dir):
+    """Scores by a calibration that was written and read again."""
+    rows, path = corpus.measured(seqs_of(spark, sf_dir).select("seq_id", "cds")), scratch(spark, "calibration")
+    corpus.save_calibration(corpus.calibration(rows), path)
+    return rounded(corpus.z_scores(rows, corpus.load_calibration(spark, path)).select("seq_id", "z_nat", "z_cai"))
+
+
+@add("io_appended_columns", f"WITH {Q.SEQS} SELECT seq_id, grp, length(raw) AS len, round({Q.gc('cds')}, 6) AS gc FROM seqs")
+def io_appended_columns(spark, sf_dir):
+    seqs = seqs_of(spark, sf_dir)
+    added = seqs.select("seq_id", S.gc_content(F.col("cds")).alias("gc"), F.lit("not taken").alias("grp"))
+    return rounded(report.with_columns_appended(seqs.select("seq_id", "grp", F.length("raw").alias("len")), added, scratch(spark, "appended"), "seq_id"))
+
+
+@add("filter_source", f"WITH {Q.SEQS} SELECT seq_id FROM seqs WHERE source = (SELECT min(source) FROM seqs)")
+def filter_source(spark, sf_dir):
+    seqs = seqs_of(spark, sf_dir)
+    return report.of_source(seqs, seqs.agg(F.min("source")).first()[0]).select("seq_id")
+
+
+@add("sel_not_selected", f"WITH {Q.SEQS} SELECT seq_id FROM seqs WHERE seq_id % 7 <> 0")
+def sel_not_selected(spark, sf_dir):
+    seqs = seqs_of(spark, sf_dir)
+    return select.not_selected(seqs.select("seq_id"), seqs.where("seq_id % 7 = 0"), "seq_id")
+
+
+scalar(
+    "codon_features",
+    lambda raw, cds: C.codon_features(cds),
+    {"cai": "cai::DOUBLE", "cai_excl_stop": "cai::DOUBLE", "gc3": "coalesce(gc3, 0)::DOUBLE", "enc": "enc::DOUBLE"},
+    f"{Q.CODON}, {Q.CDS_CODONS}, {Q.CDS_CODONS.replace('cc AS', 'rc AS')}, {Q.CAI}, {Q.ENC}, g AS (SELECT seq_id, avg((right(c, 1) IN ('G', 'C'))::INT) AS gc3 FROM cc GROUP BY seq_id)",
+    "JOIN cai USING (seq_id) JOIN enc USING (seq_id) LEFT JOIN g USING (seq_id)",
+)
+scalar("rule_gc_slide_wide", lambda raw, cds: {"ok": S.rule_features(raw, slide_lo=0.3, slide_hi=0.6)["rule_gc_slide_pass"]}, {"ok": "(lo >= 0.3 AND hi <= 0.6)::INT"}, Q.slide("raw"), "JOIN slide USING (seq_id)")
+scalar("struct_mean", lambda raw, cds: {"m": structure.mean(F.transform(S.pieces(cds, 10), lambda b: S.letters(b, "GC") / F.lit(10.0)))}, {"m": f"coalesce(list_avg(list_transform(regexp_extract_all(cds, '.{{10}}'), lambda b: {Q.letters('b', 'GC')} / 10.0)), 0)::DOUBLE"})
+scalar("struct_mfe_unpaired", lambda raw, cds: {"open": F.aggregate(structure.mfe_unpaired(F.translate(cds, "ACGT", ".().")), F.lit(0.0), lambda a, x: a + x)}, {"open": f"{Q.letters('cds', 'AT')}::DOUBLE"})
+_DECAY = {"decay_293T": {"cai": -1.5, "gc3": 2.0}, "decay_hela": {"gc_global": 4.0}, "decay_rpe": {"cds_len": 0.01}, "decay_k562_slam": {"enc": 0.25}}
+scalar(
+    "score_half_life",
+    lambda raw, cds: {"halflife_pct": score.half_life(C.feature_vector(cds, {}), {n: score.linear_head(w, 1.0) for n, w in _DECAY.items()})},
+    {"halflife_pct": f"round((4 + -1.5 * cai + 2.0 * coalesce(gc3, 0) + 4.0 * {Q.gc('cds')} + 0.01 * length(cds) + 0.25 * enc) / 4.0, 1)"},
+    f"{Q.CODON}, {Q.CDS_CODONS}, {Q.CDS_CODONS.replace('cc AS', 'rc AS')}, {Q.CAI}, {Q.ENC}, g AS (SELECT seq_id, avg((right(c, 1) IN ('G', 'C'))::INT) AS gc3 FROM cc GROUP BY seq_id)",
+    "JOIN cai USING (seq_id) JOIN enc USING (seq_id) LEFT JOIN g USING (seq_id)",
+)
+
+
+@add("features_all")
+def features_all(spark, sf_dir):
+    """The feature table of every sequence; structure needs a folding backend, the duplex scan has no SQL."""
+    none = F.lit(None).cast("double")
+    rows = seqs_of(spark, sf_dir).select("seq_id", "source", none.alias("lam"), C.translate_a(F.col("cds")).alias("aa"), "cds", none.alias("mfe_reported"), F.lit(0.75).alias("cai_reported"))
+    return rounded(features.featurize(rows))

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 
 from cistron import catalog
 from cistron.functions import constants as K
-from cistron.operators import duplex, search
+from cistron.operators import duplex, report, search, select
 from cistron.plans import queries
 
 RNG = np.random.default_rng(5)
@@ -97,3 +97,66 @@ def test_repair_is_registered_and_refines_to_the_end(spark, monkeypatch):
     monkeypatch.setattr(queries, "seqs_of", lambda *_: seqs)
     monkeypatch.setattr(search, "refine", lambda s, scorer, rounds=8, seq="cds": seen.append(rounds) or refine(s, scorer, rounds, seq))
     assert catalog.queries()["search_pipeline"](spark, "").count() == 1 and seen == [25]
+
+
+def test_clean_start():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 5, 300):
+        aa = "".join(rng.choice(sorted(K.SYNONYMS), n))
+        seq = search.clean_start(aa)
+        assert "".join(K.AMINO[seq[i : i + 3]] for i in range(0, len(seq), 3)) == aa
+        assert not any(m in seq for m in K.MOTIFS)
+        assert all(0.3 <= sum(b in "GC" for b in seq[i : i + 60]) / 60 <= 0.7 for i in range(len(seq) - 59))
+    # without constraints in the way it takes the best codons; a constraint that can't be kept is broken
+    assert search.clean_start("MKL") == "ATGAAGCTG" and search.clean_start("M?") is None
+    assert len(search.clean_start("K" * 40)) == 120 and search.clean_start("EF") != "GAATTC"
+
+
+def test_start_pool(spark):
+    proteins = spark.createDataFrame([(1, "MEFK"), (2, None), (3, "M?")], "seq_id long, aa string")
+    native = spark.createDataFrame([(1, "ATGGAATTTAAA"), (2, None)], "seq_id long, seq string")
+    got = {(r.seq_id, r.source): r.seq for r in search.start_pool(proteins, native).collect()}
+    assert set(got) == {(1, "clean"), (1, "native"), (1, "cai")} and got[1, "cai"] == "ATGGAGTTCAAG" and got[1, "native"] == "ATGGAATTTAAA"
+
+
+def test_breaking(spark):
+    """All swaps beside the rule spelt out: codons from an arm's first base to the one before its last, that unpair a base."""
+    half = "ATGGCCAAGCTGTCA"
+    seq = half + "AAACCCAAA" + "".join(PAIR[b] for b in reversed(half))
+    codes = duplex.codes_of(seq)
+    arms = duplex.spans(codes)[1]
+    want = set()
+    for x1, x2, y1, y2 in arms.tolist():
+        for a, b in ((x1, x2), (y1, y2)):
+            for i in range(a // 3, min((b - 1) // 3, len(seq) // 3 - 1) + 1):
+                codon = seq[3 * i : 3 * i + 3]
+                for alt in K.SYNONYMS.get(K.AMINO[codon], []):
+                    new = seq[: 3 * i] + alt + seq[3 * i + 3 :]
+                    for u1, u2, v1, v2 in arms.tolist():
+                        if alt != codon and any(PAIR[new[p]] != seq[u1 + v2 - p] for p in range(3 * i, 3 * i + 3) if u1 <= p <= u2 or v1 <= p <= v2):
+                            want.add((1, i, alt))
+    df = spark.createDataFrame([(1, seq), (2, None), (3, ""), (4, "ATGNNN")], "seq_id long, cds string")
+    assert set(map(tuple, search.breaking(df).collect())) == want and want
+
+
+def test_refined_records(spark):
+    rows = [("p", 0.5, "augaaagcugcu", 1), ("p", 1.0, "AUGAAAGCUGCUUAA", 2), ("p", 2.0, "AUGGCU", 3), ("q", 0.5, "AUGAAAGCUGCU", 4)]
+    df = spark.createDataFrame(rows, "protein string, lam double, seq string, row_id long")
+    got = {r.row_id: r for r in search.refine_records(df, SCORER).collect()}
+    assert set(got) == {1, 3, 4} and got[1].cds_len == 12 and got[1].lam_start == 0.5
+    assert got[1].cds_refined == got[4].cds_refined and got[1].delta == pytest.approx(got[1].score_end - got[1].score_start, abs=2e-4) and got[1].delta >= 0
+
+
+def test_repair_report(spark):
+    rows = [(1, 2, 20, 12, 1.0, 1.5), (2, 0, 9, 9, 0.0, 0.0), (3, 1, 16, 14, 2.0, 1.9)]
+    df = spark.createDataFrame(rows, "seq_id long, n_swaps int, selfcomp_before int, selfcomp_after int, score_before double, score_after double")
+    r = report.repair_report(df).first()
+    assert (r.n, r.before_mean, r.after_mean) == (2, 18.0, 13.0) and r.delta_mean == pytest.approx(0.2) and r.delta_min == pytest.approx(-0.1)
+
+
+def test_topk_candidates(spark):
+    """First the shortest duplex among close scores, then diversity; ranks and fields of the selection."""
+    rows = [("p", i, "s", 5.0 - 0.1 * i, 0.0, 0.5, 0.5, 0, 20 - i, f"ATG{i}", float(i % 3)) for i in range(9)]
+    df = spark.createDataFrame(rows, "protein string, cand_id long, source string, score double, z_nat double, cai double, gc double, sites int, selfcomp int, seq string, x double")
+    got = sorted(select.topk_rows(df, ["x"]).collect(), key=lambda r: r["rank"])
+    assert [r["rank"] for r in got] == [1, 2, 3, 4, 5] and got[0].seq == "ATG5" and got[0].selfcomp == 15 and got[0].__fields__ == ["protein", "rank", "source", "score", "z_nat", "cai", "gc", "sites", "selfcomp", "seq"]

@@ -1,12 +1,14 @@
 """Hand-made cases of the column functions."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
 from cistron.functions import codon as C
 from cistron.functions import constants as K
 from cistron.functions import sequence as S
-from cistron.operators import search, select, structure
+from cistron.operators import corpus, features, report, score, search, select, structure
 from cistron.sources import ld_dump
 from cistron.sources.sequences import scan_codon_table, scan_protein, scan_trna, scan_tsv
 
@@ -99,15 +101,72 @@ def test_structure(spark):
     features = {r.seq_id: r for r in structure.helix_features(df).collect()}
     assert features[5].longest_helix == 8 and features[5].n_helices8 == 1 and features[2].longest_helix == 0
 
-    class Flat:
-        def mfe(self, seq):
-            return "." * len(seq), -float(len(seq))
 
-        def unpaired(self, seq):
-            return [1.0] * len(seq)
 
-    folded = structure.fold(spark.createDataFrame([(1, "ATG" * 20), (2, None)], "seq_id long, cds string"), Flat()).collect()
-    assert folded[0].mfe == -60.0 and folded[0].acc_aug30 == 1.0 and folded[0].dg_start45 == -45.0 and folded[1].mfe is None
+class Flat:
+    """A backend that pairs nothing, and knows no profile of sequences with a G in front."""
+
+    def mfe(self, seq):
+        return "." * len(seq), -float(len(seq))
+
+    def unpaired(self, seq):
+        return None if seq.startswith("G") else [0.25 + 0.5 * (i % 2) for i in range(len(seq))]
+
+
+def test_folding(spark):
+    rows = [(1, "ATG" * 20), (2, None), (3, "ATGC" * 900), (4, "GTG" * 30), (5, "AT")]
+    seqs = spark.createDataFrame(rows, "seq_id long, cds string")
+    folded = {r.seq_id: r for r in structure.fold(seqs, Flat()).collect()}
+    assert folded[1].mfe == -60.0 and folded[1].acc_aug30 == 0.5 and folded[1].dg_start45 == -45.0 and folded[2].mfe is None
+    assert folded[3].profile is None and len(folded[3].sampled_profiles) == 7 and folded[4].unpaired is None and folded[1].unpaired == 0.5
+    got = {r.seq_id: r for r in structure.structure_features(seqs, Flat()).collect()}
+    assert got[1].open_start45 == pytest.approx((22 * 0.75 + 23 * 0.25) / 45) and got[1].mean_unpaired == 0.5 and got[1].mean_unpaired_q25 == 0.25 and got[1].ensemble_ok == 1
+    assert got[3].mean_unpaired == 0.5 and got[3].mean_unpaired_q25 is None and got[3].ensemble_ok == 0 and got[3].mfe_per_nt == -1.0
+    assert got[4].ensemble_ok == 0 and got[4].open_start45 == 1.0 and got[2].open_start45 is None and got[1].longest_helix == 0
+    fast = structure.structure_features(seqs, Flat(), fast=True)
+    assert "mean_unpaired" not in fast.columns and {r.seq_id: r for r in fast.collect()}[1].open_start45 == got[1].open_start45
+    assert {r.seq_id: r.open_start45 for r in structure.structure_features(seqs, None).collect()} == dict.fromkeys(range(1, 6))
+
+
+def test_featurize(spark):
+    rows = [(1, "s", 0.5, "MK", "ATGAAATAA", -3.0, 0.5), (2, None, None, None, "", None, None)]
+    df = spark.createDataFrame(rows, "seq_id long, source string, lam double, aa string, cds string, mfe_reported double, cai_reported double")
+    got = {r.seq_id: r for r in features.featurize(df, Flat()).collect()}
+    assert got[1].translate_ok == 1 and got[1].stop_codon == "TAA" and got[1].protein_len == 2 and got[1].delta_mfe == -6.0 and got[1].delta_cai == pytest.approx(got[1].cai - 0.5)
+    assert got[2].translate_ok is None and got[2].delta_mfe is None and got[2].seq_len == 0 and len(got[1]) == 42
+
+
+def test_numbers(spark):
+    some = ["AAA", "TTT", "ACG", "NNN", "AAN", "acg", "", "\x00AA", "A\x00A"]
+    df = spark.createDataFrame([(c,) for c in some], "c string")
+    assert [r.n for r in df.select(C.number(F.col("c")).alias("n")).collect()][:5] == [0, 63, 6, -1, -1]
+    pairs = df.select(C.pair_numbers(F.lit("AAATTTNNNACGACG")).alias("p")).first().p
+    assert pairs == [63, -1, -1] and df.select(C.pair_numbers(F.lit("AAATTT"), True).alias("p")).first().p == [63]
+
+
+def test_naturalness_of_other_letters(spark):
+    seqs = spark.createDataFrame([(1, "AAATTTAAATTT"), (2, "NNNAAATTTAAA"), (3, ""), (4, "AAA")], "seq_id long, cds string")
+    counts = corpus.pair_counts(seqs.where("seq_id = 1"))  # AAATTT, TTTAAA
+    got = {r.seq_id: r.nat for r in corpus.naturalness(seqs, counts).collect()}
+    seen, none = math.log(2 / 4098), math.log(1 / 4098)
+    assert got[1] == pytest.approx(seen) and got[2] == pytest.approx((none + seen) / 2) and got[3] == got[4] == 0.0
+
+
+def test_ranks_of_a_large_group(spark):
+    df = spark.range(3000).selectExpr("id seq_id", "if(id % 10 = 0, 'b', if(id % 10 = 1, null, 'a')) grp", "double(id % 37) score_v25").repartition(7)
+    got = score.rank_in_groups(df).collect()
+    for g in ("a", "b", None):
+        mine = sorted((r for r in got if r.grp == g), key=lambda r: (-r.score_v25, r.seq_id))
+        assert [r.place for r in mine] == list(range(1, len(mine) + 1)) and mine
+
+
+def test_resumable(spark, tmp_path):
+    path = str(tmp_path / "t")
+    first = spark.createDataFrame([("1", None, 5), (None, "x", 6)], "k string, l string, v int")
+    assert report.write_resumable(first, path, ["k", "l"]).count() == 2
+    more = spark.createDataFrame([("1", None, 9), (None, "x", 9), ("2", "x", 7), (None, None, 8)], "k string, l string, v int")
+    assert sorted(r.v for r in report.write_resumable(more, path, ["k", "l"]).collect()) == [7, 8]
+    assert sorted(r.v for r in spark.read.parquet(path).collect()) == [5, 6, 7, 8] and spark.read.parquet(path).schema["k"].dataType.simpleString() == "string"
 
 
 def test_topk(spark):
