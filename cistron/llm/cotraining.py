@@ -23,15 +23,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, pack, quoted, release, unpack, utf8
+from .common import checkpoint, pack, quoted, release, slices, unpack, utf8
 from .hashing import span_hashes, spans
 
 #: Labelled rows from which the models are fitted, at most; the share of them held out for calibration.
 MOST_LABELLED, HELD_OUT = 6000, 0.25
-#: Weight of a row that the other view labelled; tasks over such rows, each of which sends its sums to the driver.
-GIVEN_WEIGHT, PARTS = 0.3, 24
+#: Weight of a row that the other view labelled; tasks over such rows, at least.
+GIVEN_WEIGHT, PARTS = 0.3, 12
+#: Given rows of one task, at most; so many tasks' sums are added up by one.
+PART_ROWS, FAN_IN = 50_000, 32
 #: Steps of one fit, at most.
-MOST_STEPS = 30
+MOST_STEPS = 60
 ROUNDS, SURE, EACH, RIDGE = 4, 0.95, 0.05, 5.0
 PAIRS, SLOTS, SIZES = 512, 32, 24
 N_STATS = 9
@@ -199,18 +201,19 @@ def _moments(x: np.ndarray) -> np.ndarray:
     return np.concatenate([x.sum(axis=0), (x * x).sum(axis=0), [len(x)]])
 
 
-def _sums(x: np.ndarray, y: np.ndarray, weight: float, mean: np.ndarray, scale: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Gradient of the loss over these rows with the loss at its end, and curvature."""
-    gradient, curve = np.zeros(len(b) + 1), np.zeros((len(b), len(b)))
+def _sums(x: np.ndarray, y: np.ndarray, weight: float, mean: np.ndarray, scale: np.ndarray, b: np.ndarray, curved: bool) -> tuple[np.ndarray, ...]:
+    """Gradient of the loss over these rows with the loss at its end, and, if asked for, curvature."""
+    gradient, curve = np.zeros(len(b) + 1), np.zeros((len(b), len(b)) if curved else (0, 0))
     for i in range(0, len(x), 512):  # no copy of all rows
         z = np.concatenate([(x[i : i + 512] - mean) / scale, np.ones((len(x[i : i + 512]), 1))], axis=1)
         t, labels = z @ b, y[i : i + 512]
         p = _sigmoid(t)
         gradient[:-1] += weight * (z.T @ (p - labels))
         gradient[-1] += weight * float((np.logaddexp(0, t) - labels * t).sum())
-        z = z.astype(np.float32)  # only steers the steps
-        curve += (z.T * (weight * np.maximum(p * (1 - p), 1e-4)).astype(np.float32)) @ z
-    return gradient, curve
+        if curved:
+            z = z.astype(np.float32)  # only steers the steps
+            curve += (z.T * (weight * np.maximum(p * (1 - p), 1e-4)).astype(np.float32)) @ z
+    return (gradient, curve) if curved else (gradient,)
 
 
 def _decoded(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -222,16 +225,15 @@ def _decoded(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([some / np.maximum(some[:, :256].sum(axis=1), 1)[:, None], stats], axis=1), one_hot(slots)
 
 
-@F.arrow_udf(T.BinaryType())
-def _packed(text: pa.Array, lang: pa.Array, source: pa.Array, size: pa.Array) -> pa.Array:
-    release()
-    out, step = [], 1 << 9
-    for i in range(0, len(text), step):
-        data, offsets = utf8(text.slice(i, step))
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, order, x): features of each row, packed, without its text."""
+    for batch in (part for whole in batches for part in slices(whole)):
+        data, offsets = utf8(batch.column("text"))
         stats = statistics(data, offsets).astype(np.float32)
-        slots = meta_slots(lang.slice(i, step), source.slice(i, step), size.slice(i, step))
-        out += [s.tobytes() + m.tobytes() + zlib.compress(pack(c), 1) for s, m, c in zip(stats, slots, counts(data, offsets), strict=True)]
-    return pa.array(out, pa.binary())
+        slots = meta_slots(*(batch.column(c) for c in ("lang", "source", "size")))
+        x = [s.tobytes() + m.tobytes() + zlib.compress(pack(c), 1) for s, m, c in zip(stats, slots, counts(data, offsets), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("order"), pa.array(x, pa.binary())], names=["id", "order", "x"])
+    release()
 
 
 def _sortable(z: np.ndarray) -> np.ndarray:
@@ -262,6 +264,7 @@ def _scored(models: list[Logistic]):
                         keys = _keys(z, order, c)
                         keys = keys[keys >= 0]
                         yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(keys), 2 * k + c), pa.int32()), "key": pa.array(keys, pa.int64())})
+        release()
 
     return run
 
@@ -284,6 +287,7 @@ def _given(history: list[Round]):
                             to[(keys >= 0) & (keys <= last[k][c]) & (to < 0)] = c
                 some = np.flatnonzero((labels >= 0).any(axis=0))
                 yield pa.RecordBatch.from_pydict({"x": part.column("x").take(pa.array(some)), "text": pa.array(labels[0][some]), "meta": pa.array(labels[1][some])})
+        release()
 
     return run
 
@@ -323,16 +327,19 @@ class Pool:
         return [[done[2 * k + c] for c in (0, 1)] for k in (0, 1)]
 
     def given(self, history: list[Round]) -> DataFrame:
-        return checkpoint(self.rows.mapInArrow(_given(history), "x binary, text int, meta int").repartition(PARTS))
+        # a round gives EACH of the rows at most for either view and class
+        most = 2 * 2 * len(history) * EACH * self.size
+        return checkpoint(self.rows.mapInArrow(_given(history), "x binary, text int, meta int").repartition(max(PARTS, math.ceil(most / PART_ROWS))))
 
 
 _SUMS = "view int, at int, sums binary"
 
 
 def _total(key: tuple, table: pa.Table) -> pa.Table:
-    """Sum of packed arrays; curvatures come in single precision."""
+    """Sum of packed arrays; curvatures are in single precision."""
     kind = np.float32 if key[1].as_py() else np.float64
-    total = sum(np.frombuffer(s.as_buffer(), dtype=kind).astype(np.float64) for s in table.column("sums"))
+    total = sum(np.frombuffer(s.as_buffer(), dtype=kind).astype(np.float64) for s in table.column("sums")).astype(kind)
+    release()
     return pa.table({"view": pa.array([key[0].as_py()], pa.int32()), "at": pa.array([key[1].as_py()], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
 
 
@@ -355,10 +362,14 @@ def _added(given: DataFrame, add: Callable[[int, np.ndarray, np.ndarray], tuple[
                 yield pa.RecordBatch.from_pydict({"view": pa.array([k], pa.int32()), "at": pa.array([j], pa.int32()), "sums": pa.array([half.tobytes()], pa.binary())})
 
     out: list[dict[int, np.ndarray]] = [{}, {}]
-    # one task adds up PARTS arrays, so that the driver gets one of each kind
-    rows = given.mapInArrow(run, _SUMS).groupBy("view", "at").applyInArrow(_total, _SUMS).toArrow()
+    # added up in a tree, so that the driver gets one of each kind
+    rows, parts = given.mapInArrow(run, _SUMS), given.rdd.getNumPartitions()
+    while parts > FAN_IN:
+        parts = -(-parts // FAN_IN)
+        rows = rows.groupBy("view", "at", F.pmod(F.xxhash64("sums"), F.lit(parts)).alias("part")).applyInArrow(_total, _SUMS)
+    rows = rows.groupBy("view", "at").applyInArrow(_total, _SUMS).toArrow()
     for k, j, sums in zip(*(rows.column(c) for c in ("view", "at", "sums")), strict=True):
-        out[k.as_py()][j.as_py()] = np.frombuffer(sums.as_buffer(), dtype=np.float64).copy()
+        out[k.as_py()][j.as_py()] = np.frombuffer(sums.as_buffer(), dtype=np.float32 if j.as_py() else np.float64).astype(np.float64)
     del rows
     release()
     for view in out:
@@ -389,24 +400,35 @@ def _fit_views(views: list[np.ndarray], y: np.ndarray, ridge: float, given: Data
         b.append(np.append(w * np.where(varies, deviation, 0.0), start[k].bias + mean[k] @ w))
         penalty.append(np.append(np.full(n, ridge), 1e-6))
     best: list[tuple[float, np.ndarray]] = [(np.inf, v) for v in b]
+    # a curvature is kept as long as steps with it halve; gradients are small, curvatures are not
+    curves: list[np.ndarray | None] = [None, None]
+    size = [np.inf, np.inf]
     for _ in range(MOST_STEPS):
-        now = list(going)
+        now, curved = list(going), [c is None for c in curves]
 
-        def add(k, x, labels, weight, now=now):
-            return _sums(x, labels, weight, mean[k], scale[k], b[k]) if now[k] else (np.zeros(1), np.zeros((1, 1)))
+        def add(k, x, labels, weight, now=now, curved=curved):
+            return _sums(x, labels, weight, mean[k], scale[k], b[k], curved[k]) if now[k] else (np.zeros(1),)
 
-        for k, (gradient, curve) in enumerate(total(add)):
+        for k, sums in enumerate(total(add)):
             if not now[k]:
                 continue
+            gradient = sums[0]
+            if curved[k]:
+                curves[k] = sums[1]
             loss = gradient[-1] + 0.5 * float(penalty[k] @ (b[k] * b[k]))
             least, at = best[k]
             if loss > least + 1e-9 * abs(least):  # too far
                 step = (b[k] - at) / 2
                 b[k] = at + step
+                curves[k] = None
             else:
                 best[k] = (loss, b[k])
-                step = -np.linalg.solve(curve + np.diag(penalty[k]), gradient[:-1] + penalty[k] * b[k])
-                b[k] = b[k] + step * min(1.0, 10.0 / max(1e-12, float(np.abs(step).max())))
+                step = -np.linalg.solve(curves[k] + np.diag(penalty[k]), gradient[:-1] + penalty[k] * b[k])
+                step *= min(1.0, 10.0 / max(1e-12, float(np.abs(step).max())))
+                b[k] = b[k] + step
+                if np.abs(step).max() > 0.5 * size[k]:
+                    curves[k] = None
+                size[k] = float(np.abs(step).max())
             going[k] = np.abs(step).max() >= 1e-4
         if not any(going):
             break
@@ -466,8 +488,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, lang: str, s
     def pool() -> Pool:
         # rows without id, which no label can have, are dealt by their order; packed before the join, so that no text moves
         order = F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("id", F.lit("order")))
-        packed = rows.select("id", order.alias("order"), _packed("text", F.col("lang").cast("string"), F.col("source").cast("string"), "size").alias("x"))
-        packed = packed.mapInArrow(lambda batches: batches, "id long, order long, x binary").withColumn("key", F.coalesce("id", "order"))
+        packed = rows.select(F.col("id").cast("long").alias("id"), order.alias("order"), "text", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), "size")
+        packed = packed.mapInArrow(_packed, "id long, order long, x binary").withColumn("key", F.coalesce("id", "order"))
         mine = known.select(F.col("id").cast("long").alias("key"), F.lit(True).alias("has_id"))
         out = packed.select("key", F.col("id").isNotNull().alias("has_id"), "order", "x").join(mine, ["key", "has_id"], "left_anti").select("order", "x")
         out = checkpoint(out)
