@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cotraining, decontaminate, line_chunks, ngram_join, pii_surrogates, rendezvous, rlz_dedup, sentencepiece_sampling, spotsigs, suffix_dedup
+from . import conversation_repair, cotraining, decontaminate, line_chunks, ngram_join, pii_surrogates, rendezvous, rlz_dedup, sentencepiece_sampling, spotsigs, suffix_dedup, token_counts
 from .common import read
 
 #: Public vocabulary file, read on the driver alone; the setting spark.cistron.pieceModel names another one.
@@ -66,6 +66,15 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), size=10)
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(read(spark, sf_dir, "documents"), model(spark), limit=4096).withColumnRenamed("id", "doc_id")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read(spark, sf_dir, "conversations")
+    return conversation_repair.summarize(conversation_repair.damage(conversations), conversations)
+
+
 def queries() -> dict[str, Query]:
     own = (
         op1_sentencepiece_sampling,
@@ -78,6 +87,8 @@ def queries() -> dict[str, Query]:
         op8_line_chunk_dedup,
         op9_ngram_jaccard_join,
         op10_benchmark_decontamination,
+        op11_token_counts,
+        op12_conversation_repair,
     )
     return {f.__name__: f for f in own}
 

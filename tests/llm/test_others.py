@@ -22,7 +22,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_registered():
     names = entry.queries()
-    assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if re.match(r"op\d", n)} == set(range(1, 11))
+    assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if re.match(r"op\d", n)} == set(range(1, 13))
 
 
 # --- 1
