@@ -9,6 +9,7 @@ repetitive sequences are many and each needs its own walk.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,10 @@ for _i, _b in enumerate("ACGT"):
 _CODE[ord("U")] = 3
 #: Seeds extended at once.
 CHUNK = 1 << 18
+#: Steps that seeds are walked; what grows on is found from its mismatches, for so many totals of opposite places at once.
+STEPS, TOTALS = 48, 256
+#: Runs whose duplexes are followed together after swaps, by rank.
+PHASES = (2, 8, 32, 128)
 
 
 def kmers(seqs: DataFrame, k: int = K.SEED, seq: str = "raw") -> DataFrame:
@@ -87,34 +92,35 @@ def telling(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return i[pick], j[pick]
 
 
-def seeds_on(codes: np.ndarray, sums: np.ndarray, k: int, gap: int = K.GAP) -> tuple[np.ndarray, np.ndarray]:
-    """All seeds whose places add up, with those of their last bases, to one of `sums` (of i + j)."""
-    n, out = len(codes), []
-    for s in sums.tolist():
-        # bases p and s + k - 1 - p are opposite; seeds start at p where k in a row match
-        low, high = max(0, s + k - n), (s - k - gap) // 2
-        if high < low:
-            continue
-        p = np.arange(low, high + k)
-        match = np.concatenate(([0], np.cumsum((codes[p] < 4) & (codes[p] + codes[s + k - 1 - p] == 3))))
-        at = low + np.flatnonzero(match[k:] - match[:-k] == k)
-        out.append(np.stack([at, s - at]))
-    i, j = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-    return i, j
-
-
-def extend(codes: np.ndarray, i: np.ndarray, j: np.ndarray, k: int = K.SEED, budget: int = K.MISMATCHES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Arms (x1, x2, y1, y2) that each seed grows into."""
+def extend(
+    codes: np.ndarray, i: np.ndarray, j: np.ndarray, k: int = K.SEED, budget: int = K.MISMATCHES, swapped: tuple[np.ndarray, np.ndarray] | None = None, limit: int | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Arms (x1, x2, y1, y2) that each seed grows into; a seed whose arms are longer than `limit` may stop early.
+
+    swapped: for each seed a place, and three bases that stand there in place of the sequence's.
+    """
     n = len(codes)
     padded = np.concatenate([codes, np.array([4, 4], dtype=np.int64)])
     x1, x2, y1, y2 = i.copy(), i + k - 1, j.copy(), j + k - 1
     spent = np.zeros(len(i), dtype=np.int64)
     live = np.arange(len(i))
 
+    def base(p: np.ndarray) -> np.ndarray:
+        if swapped is None:
+            return padded[p]
+        inside = p - swapped[0][live]
+        own = (inside >= 0) & (inside < 3)
+        out = padded[p]
+        out[own] = swapped[1][live[own], inside[own]]
+        return out
+
     def pairs(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        return (padded[p] < 4) & (padded[p] + padded[q] == 3)
+        one = base(p)
+        return (one < 4) & (one + base(q) == 3)
 
-    while len(live):
+    for _ in range(STEPS if limit is None or limit <= 2 * STEPS else 0):
+        if not len(live):
+            break
         a, b = x2[live] + 1, y1[live] - 1
         room = (b > a) & (a < n)
         match = room & pairs(np.where(room, a, n), np.where(room, b, n))
@@ -131,10 +137,76 @@ def extend(codes: np.ndarray, i: np.ndarray, j: np.ndarray, k: int = K.SEED, bud
         x1[live[outward]] -= 1
         y2[live[outward]] += 1
         spent[live[pay]] += 1
-        live = live[inward | outward]
+        go = inward | outward
+        if limit is not None:
+            go &= x2[live] - x1[live] < limit
+        live = live[go]
+    if len(live):
+        some = None if swapped is None else (swapped[0][live], swapped[1][live])
+        x1[live], x2[live] = reach(codes, i[live], j[live], k, budget, some)
+        total = i[live] + j[live] + k - 1
+        y1[live], y2[live] = total - x2[live], total - x1[live]
     return x1, x2, y1, y2
 
 
+def reach(codes: np.ndarray, i: np.ndarray, j: np.ndarray, k: int, budget: int, swapped: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+    """The same arms without walking: (x1, x2) from the next mismatches on either side, for seeds that grow long.
+
+    A walk meets them in order of their distances, those towards the loop first among equals, and pays for the first ones.
+    """
+    n, none = len(codes), np.int64(1) << 40
+    total = i + j + k - 1
+    totals, of = np.unique(total, return_inverse=True)
+    x1, x2 = np.empty_like(i), np.empty_like(i)
+    for a in range(0, len(totals), TOTALS):
+        part = totals[a : a + TOTALS]
+        seed = np.flatnonzero((of >= a) & (of < a + TOTALS))
+        row, t, at = of[seed] - a, total[seed], i[seed]
+        lows, highs = np.maximum(0, part - n + 1), (part - 1) // 2
+        found = []
+        for r, (s, low, high) in enumerate(zip(part.tolist(), lows.tolist(), highs.tolist(), strict=True)):
+            one, other = codes[low : high + 1], codes[s - high : s - low + 1][::-1]
+            found.append(r * (n + 1) + low + np.flatnonzero((one > 3) | (one + other != 3)))
+        bounds = np.concatenate(([0], np.cumsum([len(f) for f in found])))
+        misses = np.concatenate(found)
+        low, high = lows[row], highs[row]
+        sides = []
+        for inward in (True, False):
+            # distances to the next mismatches from the seed's last or first place
+            begin = np.searchsorted(misses, row * (n + 1) + (at + k if inward else at))
+            want = begin[:, None] + (np.arange(budget + 7) if inward else -1 - np.arange(budget + 7))
+            ok = (want >= bounds[row, None]) & (want < bounds[row + 1, None])
+            p = misses[np.clip(want, 0, max(0, len(misses) - 1))] - row[:, None] * (n + 1) if len(misses) else np.zeros(want.shape, np.int64)
+            if swapped is not None:
+                first, bases = swapped[0][seed, None], swapped[1][seed]
+                for cell in (p, t[:, None] - p):
+                    ok &= (cell < first) | (cell > first + 2)
+                own = np.concatenate([first + np.arange(3), t[:, None] - first - np.arange(3)], axis=1)
+                fits = (own >= low[:, None]) & (own <= high[:, None])
+
+                def base(cell, fits=fits, first=first, bases=bases):
+                    inside = cell - first
+                    new = np.take_along_axis(bases, np.clip(inside, 0, 2), 1)
+                    return np.where((inside >= 0) & (inside < 3), new, codes[np.where(fits, cell, 0)])
+
+                one = base(own)
+                p, ok = np.concatenate([p, own], axis=1), np.concatenate([ok, fits & ((one > 3) | (one + base(t[:, None] - own) != 3))], axis=1)
+            gap = p - (at + k - 1)[:, None] if inward else at[:, None] - p
+            gap = np.sort(np.where(ok & (gap > 0), gap, none), axis=1)
+            gap[:, 1:][gap[:, 1:] == gap[:, :-1]] = none  # a cell on both arms of the swap
+            sides.append(np.sort(gap, axis=1)[:, : budget + 1])
+        towards, outwards = sides
+        times = np.concatenate([2 * towards[:, :budget], 2 * outwards[:, :budget] + 1], axis=1)
+        paid = np.argsort(times, axis=1)[:, :budget]
+        fair = np.take_along_axis(times, paid, 1) < none
+        inside = ((paid < budget) & fair).sum(axis=1)
+        outside = ((paid >= budget) & fair).sum(axis=1)
+        rows = np.arange(len(seed))
+        x2[seed] = np.minimum(at + k - 1 + towards[rows, inside], high + 1) - 1
+        x1[seed] = np.maximum(at - outwards[rows, outside], low - 1) + 1
+    return x1, x2
+
+
 def longest(codes: np.ndarray, k: int = K.SEED, budget: int = K.MISMATCHES) -> tuple[int, int, int]:
     """Number of seeds, longest exact and longest near-perfect duplex; zeros without seeds."""
     count = exact = near = 0
@@ -165,58 +237,143 @@ def dealt(seqs: DataFrame, seq: str) -> DataFrame:
     return seqs.select("seq_id", F.col(seq).alias("seq")).repartition(n, "seq_id")
 
 
+def merged(*runs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs (..., first, last) with those joined that overlap or touch and are alike in all else."""
+    *keys, first, last = runs
+    if not len(first):
+        return runs
+    order = np.lexsort((first, *keys[::-1]))
+    keys, first, last = [k[order] for k in keys], first[order], last[order]
+    fresh = np.insert(np.logical_or.reduce([k[1:] != k[:-1] for k in keys]), 0, True)
+    # the furthest end so far, within equal keys: keys lifted above any place
+    lift = (np.cumsum(fresh) - 1) * (int(last.max()) + 2)
+    reach = np.maximum.accumulate(last + lift)
+    head = np.flatnonzero(fresh | np.insert(first[1:] + lift[1:] > reach[:-1] + 1, 0, True))
+    return *(k[head] for k in keys), first[head], np.maximum.reduceat(last, head)
+
+
+def without(runs: tuple[np.ndarray, ...], low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs (..., first, last) less the places from `low` to `high`, one of each for each run."""
+    *keys, first, last = runs
+    apart = (high < low) | (high < first) | (low > last)
+    parts = [(apart, first, last), (~apart & (first < low), first, low - 1), (~apart & (last > high), high + 1, last)]
+    return *(np.concatenate([k[m] for m, _, _ in parts]) for k in keys), np.concatenate([a[m] for m, a, _ in parts]), np.concatenate([b[m] for m, _, b in parts])
+
+
 class Scan:
-    """All duplexes of a sequence, kept so that the effect of a swap costs what it touches."""
+    """All duplexes of a sequence, kept so that the effects of many swaps are found together.
+
+    Bases p and total - p are opposite. A run is a stretch of seeds with one total, by the places of its first and last; it is
+    told by three of them, see telling(). What a run's duplexes read are two stretches of the sequence; a swap elsewhere
+    leaves them as they are.
+    """
 
     def __init__(self, codes: np.ndarray, k: int = K.SEED, budget: int = K.MISMATCHES) -> None:
         self.codes, self.k, self.budget = codes, k, budget
-        found = [telling(i, j) for i, j in seeds(codes, k)]
-        self.i, self.j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*found, strict=True)) if found else np.zeros((2, 0), np.int64)
-        self.arms = np.stack(extend(codes, self.i, self.j, k, budget), axis=1)
+        found = [(i + j, i, i) for i, j in seeds(codes, k)]
+        self.total, self.first, self.last = merged(*(np.concatenate(x) for x in zip(*found, strict=True))) if found else np.zeros((3, 0), np.int64)
+        runs = len(self.total)
+        i = np.concatenate([self.first, (self.first + self.last) // 2, self.last])
+        self.arms = np.stack(extend(codes, i, np.tile(self.total, 3) - i, k, budget), axis=1)
         self.length = self.arms[:, 1] - self.arms[:, 0] + 1
-        self.best = int(self.length.max()) if len(self.length) else 0
+        self.best = int(self.length.max()) if runs else 0
+        by_run = self.arms.reshape(3, runs, 4)
+        self.longest = self.length.reshape(3, runs).max(axis=0, initial=0)
+        low, high = by_run.min(axis=0, initial=len(codes)), by_run.max(axis=0, initial=-1)
+        self.read = low[:, 0] - 1, high[:, 1] + 1, low[:, 2] - 1, high[:, 3] + 1
 
     def near_best(self, near: int = K.REPAIR_NEAR) -> np.ndarray:
         """The different arms of duplexes at most `near` shorter than the longest."""
         return np.unique(self.arms[self.length >= max(self.k, self.best - near)], axis=0)
 
-    def after(self, p: int, bases: np.ndarray) -> int:
-        """Longest duplex with other bases at the places from p on.
-
-        A seed's walk reads one base beyond each end of its arms; seeds that read none of the places stay as they are.
+    def untouched(self) -> np.ndarray:
+        """For each codon, the longest duplex that a swap of it leaves as it is."""
+        n = len(self.codes) // 3
+        out, left = np.zeros(n, dtype=np.int64), np.arange(n)
+        for r in np.argsort(-self.longest, kind="stable").tolist():
+            if not len(left):
+                break
+            a1, z1, a2, z2 = (x[r] for x in self.read)
+            hit = ((3 * left + 2 >= a1) & (3 * left <= z1)) | ((3 * left + 2 >= a2) & (3 * left <= z2))
+            out[left[~hit]] = self.longest[r]
+            left = left[hit]
+        return out
+
+    def after(self, at: np.ndarray, bases: np.ndarray, untouched: np.ndarray, limit: int) -> np.ndarray:
+        """Longest duplex after each swap of codon `at` for `bases` (swap, 3); of those beyond `limit` any value beyond it.
+
+        untouched: by swap, what it leaves as it is.
         """
-        q, k = p + len(bases) - 1, self.k
-        x1, x2, y1, y2 = self.arms.T
-        read = ((x1 - 1 <= q) & (x2 + 1 >= p)) | ((y1 - 1 <= q) & (y2 + 1 >= p))
-        best = int(self.length[~read].max()) if not read.all() else 0
-        if best >= self.best:
-            return best
-        codes = self.codes.copy()
-        codes[p : q + 1] = bases
-        sums = [(self.i + self.j)[read]]
-        n = len(codes) - k + 1
-        windows = np.lib.stride_tricks.sliding_window_view(codes, k) if n > 0 else np.zeros((0, k), np.int64)
-        for at in range(max(0, p - k + 1), min(n - 1, q) + 1):
-            if (windows[at] > 3).any():
-                continue
-            other = np.arange(n)
-            for d in range(k):  # narrowed base by base
-                other = other[codes[other + d] == 3 - codes[at + k - 1 - d]]
-            sums.append(other[np.abs(other - at) >= k + K.GAP] + at)
-        # the longest so far first, until one is no shorter than before
-        order = np.argsort(-self.length[read], kind="stable")
-        sums[0] = sums[0][order]
-        every = np.concatenate(sums)
-        _, first = np.unique(every, return_index=True)
-        every = every[np.sort(first)]
-        for a in range(0, len(every), 16):
-            i, j = telling(*seeds_on(codes, every[a : a + 16], k))
-            if len(i):
-                x1, x2, _, _ = extend(codes, i, j, k, self.budget)
-                best = max(best, int((x2 - x1).max()) + 1)
-                if best >= self.best:
-                    break
-        return best
+        n, k = len(self.codes), self.k
+        out = untouched.copy()
+        # runs that read the codon
+        a1, z1, a2, z2 = self.read
+        p = 3 * at[:, None]
+        swap, run = np.nonzero(((p + 2 >= a1) & (p <= z1)) | ((p + 2 >= a2) & (p <= z2)))
+        runs: tuple[np.ndarray, ...] = (swap, self.total[run], self.first[run], self.last[run])
+        # less the seeds on the codon, on either arm
+        for arm in (0, 1):
+            p = 3 * at[runs[0]]
+            low, high = (p - k + 1, p + 2) if arm == 0 else (runs[1] - p - 2, runs[1] - p + k - 1)
+            runs = without(runs, low, high)
+        # and those on it as it is now
+        w = (3 * at[:, None] + np.arange(1 - k, 3)).ravel()
+        swap = np.repeat(np.arange(len(at)), k + 2)
+        fits = (w >= 0) & (w + k <= n)
+        w, swap = w[fits], swap[fits]
+        cells = w[:, None] + np.arange(k)
+        inside = cells - 3 * at[swap, None]
+        new = np.where((inside >= 0) & (inside < 3), bases[swap[:, None], np.clip(inside, 0, 2)], self.codes[cells])
+        places, keys = self.index
+        back = ((3 - new) * 4 ** np.arange(k)).sum(axis=1)
+        a, z = (np.searchsorted(keys, back, side=s) for s in ("left", "right"))
+        count = np.where((new > 3).any(axis=1), 0, z - a)
+        own = np.repeat(np.arange(len(w)), count)
+        other = places[np.repeat(a, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)]
+        far = np.abs(other - w[own]) >= k + K.GAP
+        own, other = own[far], other[far]
+        i = np.minimum(w[own], other)
+        runs = merged(*(np.concatenate(x) for x in zip(runs, (swap[own], w[own] + other, i, i), strict=True)))
+        if not len(runs[0]):
+            return out
+        # on the totals that have the longest duplexes first: few swaps get further
+        rank = self.rank_of(runs[1])
+        for low, high in zip((0, *PHASES), (*PHASES, len(self.codes) * 2), strict=True):
+            swap, total, first, last = (x[(rank >= low) & (rank < high) & (out[runs[0]] <= limit)] for x in runs)
+            i = np.concatenate([first, (first + last) // 2, last])
+            swap = np.tile(swap, 3)
+            x1, x2, _, _ = extend(self.codes, i, np.tile(total, 3) - i, k, self.budget, (3 * at[swap], bases[swap]), limit)
+            np.maximum.at(out, swap, x2 - x1 + 1)
+        return out
+
+    def rank_of(self, total: np.ndarray) -> np.ndarray:
+        """Places of totals by their longest duplex; those without any come last."""
+        known, at = self.totals
+        if not len(known):
+            return np.zeros(len(total), dtype=np.int64)
+        j = np.minimum(np.searchsorted(known, total), len(known) - 1)
+        return np.where(known[j] == total, at[j], len(known))
+
+    @cached_property
+    def totals(self) -> tuple[np.ndarray, np.ndarray]:
+        known, group = np.unique(self.total, return_inverse=True)
+        most = np.zeros(len(known), dtype=np.int64)
+        np.maximum.at(most, group, self.longest)
+        at = np.empty(len(known), dtype=np.int64)
+        at[np.argsort(-most, kind="stable")] = np.arange(len(known))
+        return known, at
+
+    @cached_property
+    def index(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places of all k-mers, ordered by their numbers, and these."""
+        n = max(0, len(self.codes) - self.k + 1)
+        number, clean = np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)
+        for d in range(self.k):
+            number = number * 4 + self.codes[d : d + n]
+            clean &= self.codes[d : d + n] < 4
+        places = np.flatnonzero(clean)
+        places = places[np.argsort(number[places], kind="stable")]
+        return places, number[places]
 
 
 def selfcomp_scan(seqs: DataFrame, seq: str = "raw", k: int = K.SEED, budget: int = K.MISMATCHES) -> DataFrame:

@@ -355,6 +355,64 @@ def _metrics(c: np.ndarray, scorer: Scorer) -> tuple[float, float, float, int, i
     return score(c, scorer), z_nat, 2 ** (cai / n) if n else 0.0, _sites(s), _runs(s)[1], float(np.isin(s, (1, 2)).sum() / max(1, len(s)))
 
 
+def _within_gates(m: tuple, base: tuple, slack: float = 0.0) -> bool:
+    return m[0] >= base[0] - K.GATE_SCORE - slack and m[1] >= base[1] - K.GATE_NAT - slack and m[2] >= base[2] - K.GATE_CAI - slack and m[3] <= base[3] and m[4] <= base[4] and K.GC_LO - slack <= m[5] <= K.GC_HI + slack
+
+
+#: Swaps that are looked at together: first so many, then more, with a run of seeds each up to so many pairs.
+FIRST, TOGETHER = 16, 1 << 20
+
+
+def best_swap(c: np.ndarray, scorer: Scorer, scan: duplex.Scan, base: tuple) -> tuple[int, np.ndarray] | None:
+    """Longest duplex and codons after the swap, within the gates, that leaves the shortest one; then the best score, then the first.
+
+    Only swaps that shorten the longest duplex count. Those of codons that leave one of that length as it is are out at
+    once; the gates are tried before any duplex is followed, on scores that are taken from differences, and on full ones
+    for those that are left.
+    """
+    now, rest = scan.best, scan.untouched()
+    some = variants_breaking(c, scan.near_best(), rest < now)
+    if not some:
+        return None
+    chosen = np.array(some, dtype=np.int64)
+    limit = int(np.flatnonzero(~_SENSE[c])[0]) if not _SENSE[c].all() else len(c)
+    at, alt, value = all_scores(c, scorer, limit)
+    number = {x: n for n, x in enumerate(zip(at.tolist(), alt.tolist(), strict=True))}
+    known = np.array([number.get(x, -1) for x in some], dtype=np.int64)
+    # swaps behind a stop codon have no score from differences
+    keep = (known < 0) | (np.append(value, 0.0)[known] >= base[0] - K.GATE_SCORE - 1e-6)
+    chosen = chosen[keep]
+    chosen = chosen[np.argsort(rest[chosen[:, 0]], kind="stable")]
+    best, most = None, now - 1
+    a, step = 0, FIRST
+    while a < len(chosen):
+        part = chosen[a : a + min(step, max(1, TOGETHER // max(1, len(scan.total))))]
+        a, step = a + len(part), 4 * step
+        part = part[rest[part[:, 0]] <= most]
+        if not len(part):
+            break
+        length = scan.after(part[:, 0], _BASES[part[:, 1]], rest[part[:, 0]], most)
+        # the shortest that the gates let pass bounds the rest
+        for n in np.unique(length):
+            if n > most:
+                break
+            passed = []
+            for i, x in part[length == n].tolist():
+                d = c.copy()
+                d[i] = x
+                m = _metrics(d, scorer)
+                if _within_gates(m, base):
+                    passed.append((-m[0], i, x, d))
+            if passed:
+                _, i, x, d = min(passed, key=lambda y: y[:3])
+                found = (int(n), min(passed, key=lambda y: y[:3])[0], i, x)
+                if best is None or found < best[0]:
+                    best = (found, d)
+                most = int(n)
+                break
+    return (best[0][0], best[1]) if best else None
+
+
 def repair_one(c: np.ndarray, scorer: Scorer, rounds: int = K.REPAIR_ROUNDS) -> tuple[np.ndarray, int, int, int, float, float]:
     """Break the longest duplex swap by swap within the gates, until it is short enough.
 
@@ -362,37 +420,19 @@ def repair_one(c: np.ndarray, scorer: Scorer, rounds: int = K.REPAIR_ROUNDS) ->
     """
     base = _metrics(c, scorer)
     scan = duplex.Scan(_BASES[c].ravel())
-    before, arms = scan.best, scan.near_best()
+    before = now = scan.best
     if before < K.REPAIR_LEAST:
         return c, 0, before, before, base[0], base[0]
-    now, swaps = before, 0
+    swaps = 0
     for _ in range(rounds):
-        best = None
-        # a duplex of the greatest length that a swap doesn't touch stays as long
-        top = arms[arms[:, 1] - arms[:, 0] + 1 >= now]
-        first = np.arange(len(c)) * 3
-        useful = np.ones(len(c), dtype=bool)
-        for x1, x2, y1, y2 in top.tolist():
-            useful &= ((first + 2 >= x1) & (first <= x2)) | ((first + 2 >= y1) & (first <= y2))
-            if not useful.any():
-                break
-        for i, alt in variants_breaking(c, arms, useful):
-            length = scan.after(i * 3, _BASES[alt])
-            if length >= now or (best is not None and length > best[0][0]):
-                continue
-            d = c.copy()
-            d[i] = alt
-            m = _metrics(d, scorer)
-            ok = m[0] >= base[0] - K.GATE_SCORE and m[1] >= base[1] - K.GATE_NAT and m[2] >= base[2] - K.GATE_CAI and m[3] <= base[3] and m[4] <= base[4] and K.GC_LO <= m[5] <= K.GC_HI
-            if ok and (best is None or (length, -m[0]) < best[0]):
-                best = ((length, -m[0]), d, length)
-        if best is None:
+        found = best_swap(c, scorer, scan, base)
+        if found is None:
             break
-        c, now, swaps = best[1], best[2], swaps + 1
+        now, c = found
+        swaps += 1
         if now <= K.REPAIR_AIM:
             break
         scan = duplex.Scan(_BASES[c].ravel())
-        arms = scan.near_best()
     return c, swaps, before, now, base[0], score(c, scorer)
 
 

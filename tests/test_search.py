@@ -52,6 +52,70 @@ def test_scan_is_all_extensions(half, loop, flip):
     assert near == best and near >= exact and (exact == 0 or exact >= 10)
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.sampled_from(["AT", "GC", "ACGT", "AAAT", "CAG", "G"]), min_size=8, max_size=30), st.text("ACGTN", min_size=20, max_size=40), st.integers(0, 30), st.integers(0, 2))
+def test_reach_is_the_walk(parts, rest, place, budget):
+    """Arms found from mismatches are those of the walk, with and without three bases replaced."""
+    half = "".join(parts)
+    codes = duplex.codes_of(half + rest[:5] + "".join(PAIR[c] for c in reversed(half)) + rest)
+    found = list(duplex.seeds(codes, 6))
+    if not found:
+        return
+    i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+    bases = np.tile(np.array([0, 2, 1]), (len(i), 1))
+    new = codes.copy()
+    new[place : place + 3] = [0, 2, 1]
+    fits = (new[i[:, None] + np.arange(6)] + new[j[:, None] + 5 - np.arange(6)] == 3).all(axis=1) & (new[i[:, None] + np.arange(6)] < 4).all(axis=1)
+    for now, some, swapped in ((codes, np.ones(len(i), bool), None), (new, fits, (np.full(int(fits.sum()), place), bases[fits]))):
+        if some.any():
+            walked = [grown("".join("ACGTN"[b] for b in now), a, b, 6, budget) for a, b in zip(i[some].tolist(), j[some].tolist(), strict=True)]
+            x1, x2 = duplex.reach(codes, i[some], j[some], 6, budget, swapped)
+            assert list(zip(x1.tolist(), x2.tolist(), strict=True)) == [w[:2] for w in walked]
+
+
+def test_merged_runs():
+    runs = duplex.merged(np.array([1, 1, 0, 1, 1]), np.array([5, 0, 0, 3, 9]), np.array([6, 4, 9, 3, 9]))
+    assert [r.tolist() for r in runs] == [[0, 1, 1], [0, 0, 9], [9, 6, 9]]
+    cut = duplex.without((np.array([0, 1]), np.array([0, 5]), np.array([9, 6])), np.array([3, 8]), np.array([4, 9]))
+    assert sorted(zip(*(c.tolist() for c in cut), strict=True)) == [(0, 0, 2), (0, 5, 9), (1, 5, 6)]
+
+
+@pytest.mark.parametrize("kind", ["hairpin", "periodic", "stop", "two"])
+def test_best_swap_is_the_rule(kind, monkeypatch):
+    """Among all swaps that break a pair: gates, then the shortest duplex, then the score, then the first."""
+    monkeypatch.setattr(search, "FIRST", 2)
+    plain = search.Scorer(SCORER.pair_log, (-9.0, 3.0), (0.7, 0.5), None)
+    rng = np.random.default_rng(len(kind))
+    sense = [x for x in range(64) if search._SENSE[x]]
+    compared = 0
+    for _ in range(6):
+        half = rng.choice(sense, 9)
+        back = lambda h: search.codon_numbers("".join(PAIR[b] for b in reversed(search._letters(h))))
+        c = np.concatenate([half, rng.choice(sense, 3), back(half), rng.choice(sense, 20)])
+        if kind == "periodic":
+            c = search.codon_numbers("AT" * 36 + search._letters(rng.choice(sense, 10)) + "GCAT" * 6)
+        elif kind == "stop":
+            c = np.insert(c, 5, search._NUMBER["TAA"])
+        elif kind == "two":
+            c = np.concatenate([c, c])
+        scan = duplex.Scan(search._BASES[c].ravel())
+        base = search._metrics(c, plain)
+        options = []
+        for i, x in search.variants_breaking(c, scan.near_best()):
+            d = c.copy()
+            d[i] = x
+            m, length = search._metrics(d, plain), duplex.Scan(search._BASES[d].ravel()).best
+            if length < scan.best and search._within_gates(m, base):
+                options.append(((length, -m[0], i, x), d))
+        got = search.best_swap(c, plain, scan, base)
+        want = min(options, key=lambda o: o[0], default=None)
+        assert (got is None) == (want is None)
+        if want:
+            compared += 1
+            assert got[0] == want[0][0] and got[1].tolist() == want[1].tolist()
+    assert compared or kind == "periodic"
+
+
 def test_spacing():
     arm = "ACGTTGCAAC"
     back = "".join(PAIR[c] for c in reversed(arm))
