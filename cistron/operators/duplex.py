@@ -26,8 +26,8 @@ _CODE[ord("U")] = 3
 CHUNK = 1 << 18
 #: Steps that seeds are walked; what grows on is found from its mismatches, for so many totals of opposite places at once.
 STEPS, TOTALS = 48, 256
-#: Runs whose duplexes are followed together after swaps, by rank.
-PHASES = (2, 8, 32, 128)
+#: Runs whose duplexes are followed first after swaps, by rank.
+FIRST_RUNS = (2, 16, 128)
 
 
 def kmers(seqs: DataFrame, k: int = K.SEED, seq: str = "raw") -> DataFrame:
@@ -304,19 +304,33 @@ class Scan:
 
         untouched: by swap, what it leaves as it is.
         """
-        n, k = len(self.codes), self.k
         out = untouched.copy()
-        # runs that read the codon
-        a1, z1, a2, z2 = self.read
+        # what is left of the longest duplexes is enough to rule most swaps out
+        for most in FIRST_RUNS:
+            if most < len(self.total):
+                left = np.flatnonzero(out <= limit)
+                self._follow(at[left], bases[left], self._cut(at[left], self.by_length[:most]), limit, left, out)
+        left = np.flatnonzero(out <= limit)
+        runs = self._cut(at[left], np.arange(len(self.total)))
+        made = self._made(at[left], bases[left])
+        self._follow(at[left], bases[left], merged(*(np.concatenate(x) for x in zip(runs, made, strict=True))), limit, left, out)
+        return out
+
+    def _cut(self, at: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(swap, total, first, last): of the runs that read a swap's codon, the seeds beside it."""
+        a1, z1, a2, z2 = (x[among] for x in self.read)
         p = 3 * at[:, None]
         swap, run = np.nonzero(((p + 2 >= a1) & (p <= z1)) | ((p + 2 >= a2) & (p <= z2)))
+        run = among[run]
         runs: tuple[np.ndarray, ...] = (swap, self.total[run], self.first[run], self.last[run])
-        # less the seeds on the codon, on either arm
-        for arm in (0, 1):
-            p = 3 * at[runs[0]]
-            low, high = (p - k + 1, p + 2) if arm == 0 else (runs[1] - p - 2, runs[1] - p + k - 1)
-            runs = without(runs, low, high)
-        # and those on it as it is now
+        p = 3 * at[swap]
+        runs = without(runs, p - self.k + 1, p + 2)
+        p = 3 * at[runs[0]]
+        return without(runs, runs[1] - p - 2, runs[1] - p + self.k - 1)
+
+    def _made(self, at: np.ndarray, bases: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The seeds on each swap's codon as it is afterwards, as runs of one."""
+        n, k = len(self.codes), self.k
         w = (3 * at[:, None] + np.arange(1 - k, 3)).ravel()
         swap = np.repeat(np.arange(len(at)), k + 2)
         fits = (w >= 0) & (w + k <= n)
@@ -333,35 +347,19 @@ class Scan:
         far = np.abs(other - w[own]) >= k + K.GAP
         own, other = own[far], other[far]
         i = np.minimum(w[own], other)
-        runs = merged(*(np.concatenate(x) for x in zip(runs, (swap[own], w[own] + other, i, i), strict=True)))
-        if not len(runs[0]):
-            return out
-        # on the totals that have the longest duplexes first: few swaps get further
-        rank = self.rank_of(runs[1])
-        for low, high in zip((0, *PHASES), (*PHASES, len(self.codes) * 2), strict=True):
-            swap, total, first, last = (x[(rank >= low) & (rank < high) & (out[runs[0]] <= limit)] for x in runs)
-            i = np.concatenate([first, (first + last) // 2, last])
-            swap = np.tile(swap, 3)
-            x1, x2, _, _ = extend(self.codes, i, np.tile(total, 3) - i, k, self.budget, (3 * at[swap], bases[swap]), limit)
-            np.maximum.at(out, swap, x2 - x1 + 1)
-        return out
+        return swap[own], w[own] + other, i, i
 
-    def rank_of(self, total: np.ndarray) -> np.ndarray:
-        """Places of totals by their longest duplex; those without any come last."""
-        known, at = self.totals
-        if not len(known):
-            return np.zeros(len(total), dtype=np.int64)
-        j = np.minimum(np.searchsorted(known, total), len(known) - 1)
-        return np.where(known[j] == total, at[j], len(known))
+    def _follow(self, at: np.ndarray, bases: np.ndarray, runs: tuple[np.ndarray, ...], limit: int, rows: np.ndarray, out: np.ndarray) -> None:
+        """Raise out[rows] to the longest duplexes of these runs."""
+        swap, total, first, last = runs
+        i = np.concatenate([first, (first + last) // 2, last])
+        swap = np.tile(swap, 3)
+        x1, x2, _, _ = extend(self.codes, i, np.tile(total, 3) - i, self.k, self.budget, (3 * at[swap], bases[swap]), limit)
+        np.maximum.at(out, rows[swap], x2 - x1 + 1)
 
     @cached_property
-    def totals(self) -> tuple[np.ndarray, np.ndarray]:
-        known, group = np.unique(self.total, return_inverse=True)
-        most = np.zeros(len(known), dtype=np.int64)
-        np.maximum.at(most, group, self.longest)
-        at = np.empty(len(known), dtype=np.int64)
-        at[np.argsort(-most, kind="stable")] = np.arange(len(known))
-        return known, at
+    def by_length(self) -> np.ndarray:
+        return np.argsort(-self.longest, kind="stable")
 
     @cached_property
     def index(self) -> tuple[np.ndarray, np.ndarray]:

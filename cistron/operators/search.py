@@ -148,10 +148,15 @@ def score(c: np.ndarray, scorer: Scorer) -> float:
 
 def all_scores(c: np.ndarray, scorer: Scorer, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Place, other codon and score of each single swap before codon `limit`, by place, then codon."""
+    return all_metrics(c, scorer, limit)[:3]
+
+
+def all_metrics(c: np.ndarray, scorer: Scorer, limit: int) -> tuple[np.ndarray, ...]:
+    """Place, other codon, score, scaled naturalness, codon adaptation, sites and GC of each single swap before codon `limit`."""
     at = np.concatenate([np.full(len(_ALT[x]), i) for i, x in enumerate(c[:limit].tolist())] or [np.zeros(0)]).astype(np.int64)
     alt = np.concatenate([_ALT[x] for x in c[:limit].tolist()] or [np.zeros(0)]).astype(np.int64)
     if not len(at):
-        return at, alt, np.zeros(0)
+        return at, alt, *np.zeros((5, 0))
     s = _BASES[c].ravel()
     nat, pairs, cai, nc, tai, nt = scorer.parts(c)
     old = c[at]
@@ -166,7 +171,8 @@ def all_scores(c: np.ndarray, scorer: Scorer, limit: int) -> tuple[np.ndarray, n
     gc = (np.isin(s, (1, 2)).sum() + strong[alt] - strong[old]) / len(s)
     z = scorer.z(nat / max(1, pairs), 2 ** (cai / nc), np.exp(tai / max(1, nt)))
     value = z - K.W_SITE * (_sites(s) + sites) - (K.W_HP4 * hp4 + K.W_HP5 * hp5 + runs) - _gc_penalty(gc)
-    return at, alt, value
+    z_nat = (nat / max(1, pairs) - scorer.nat[0]) / scorer.nat[1] if scorer.nat[1] else np.zeros_like(value)
+    return at, alt, value, z_nat, 2 ** (cai / nc), _sites(s) + sites, gc
 
 
 def refine_one(c: np.ndarray, scorer: Scorer, rounds: int) -> tuple[np.ndarray, float, float, int]:
@@ -355,8 +361,9 @@ def _metrics(c: np.ndarray, scorer: Scorer) -> tuple[float, float, float, int, i
     return score(c, scorer), z_nat, 2 ** (cai / n) if n else 0.0, _sites(s), _runs(s)[1], float(np.isin(s, (1, 2)).sum() / max(1, len(s)))
 
 
-def _within_gates(m: tuple, base: tuple, slack: float = 0.0) -> bool:
-    return m[0] >= base[0] - K.GATE_SCORE - slack and m[1] >= base[1] - K.GATE_NAT - slack and m[2] >= base[2] - K.GATE_CAI - slack and m[3] <= base[3] and m[4] <= base[4] and K.GC_LO - slack <= m[5] <= K.GC_HI + slack
+def _within_gates(m: tuple, base: tuple, slack: float = 0.0):
+    kept = (m[0] >= base[0] - K.GATE_SCORE - slack) & (m[1] >= base[1] - K.GATE_NAT - slack) & (m[2] >= base[2] - K.GATE_CAI - slack)
+    return kept & (m[3] <= base[3]) & (m[4] <= base[4]) & (K.GC_LO - slack <= m[5]) & (m[5] <= K.GC_HI + slack)
 
 
 #: Swaps that are looked at together: first so many, then more, with a run of seeds each up to so many pairs.
@@ -364,11 +371,11 @@ FIRST, TOGETHER = 16, 1 << 20
 
 
 def best_swap(c: np.ndarray, scorer: Scorer, scan: duplex.Scan, base: tuple) -> tuple[int, np.ndarray] | None:
-    """Longest duplex and codons after the swap, within the gates, that leaves the shortest one; then the best score, then the first.
+    """Longest duplex and codons after the swap, within the gates, that leaves the shortest one.
 
-    Only swaps that shorten the longest duplex count. Those of codons that leave one of that length as it is are out at
-    once; the gates are tried before any duplex is followed, on scores that are taken from differences, and on full ones
-    for those that are left.
+    Among equals the best score wins (to nine decimals), then the first. Only swaps that shorten the longest duplex count. Those
+    of codons that leave one of that length as it is are out at once. Gates are tried before any duplex is followed, on
+    numbers that are taken from differences; swaps come by falling score, so each must be shorter than the best before.
     """
     now, rest = scan.best, scan.untouched()
     some = variants_breaking(c, scan.near_best(), rest < now)
@@ -376,41 +383,37 @@ def best_swap(c: np.ndarray, scorer: Scorer, scan: duplex.Scan, base: tuple) ->
         return None
     chosen = np.array(some, dtype=np.int64)
     limit = int(np.flatnonzero(~_SENSE[c])[0]) if not _SENSE[c].all() else len(c)
-    at, alt, value = all_scores(c, scorer, limit)
+    at, alt, *parts = all_metrics(c, scorer, limit)
     number = {x: n for n, x in enumerate(zip(at.tolist(), alt.tolist(), strict=True))}
     known = np.array([number.get(x, -1) for x in some], dtype=np.int64)
-    # swaps behind a stop codon have no score from differences
-    keep = (known < 0) | (np.append(value, 0.0)[known] >= base[0] - K.GATE_SCORE - 1e-6)
-    chosen = chosen[keep]
-    chosen = chosen[np.argsort(rest[chosen[:, 0]], kind="stable")]
+    value, z_nat, cai, sites, gc = (np.append(x, 0.0)[known] for x in parts)
+    passed = _within_gates((value, z_nat, cai, sites, base[4], gc), base, 1e-6)
+
+    def swapped(i: int, x: int) -> np.ndarray:
+        d = c.copy()
+        d[i] = x
+        return d
+
+    for j in np.flatnonzero(known < 0).tolist():  # behind a stop codon: no scores from differences
+        m = _metrics(swapped(*some[j]), scorer)
+        value[j], passed[j] = m[0], _within_gates(m, base)
+    chosen, value = chosen[passed], np.round(value[passed], 9)
+    chosen = chosen[np.lexsort((chosen[:, 1], chosen[:, 0], -value))]
     best, most = None, now - 1
     a, step = 0, FIRST
     while a < len(chosen):
         part = chosen[a : a + min(step, max(1, TOGETHER // max(1, len(scan.total))))]
         a, step = a + len(part), 4 * step
         part = part[rest[part[:, 0]] <= most]
-        if not len(part):
-            break
         length = scan.after(part[:, 0], _BASES[part[:, 1]], rest[part[:, 0]], most)
-        # the shortest that the gates let pass bounds the rest
-        for n in np.unique(length):
-            if n > most:
+        # the shortest that all gates let pass, the first of these; later ones must be shorter
+        for j in np.argsort(length, kind="stable").tolist():
+            if length[j] > most:
                 break
-            passed = []
-            for i, x in part[length == n].tolist():
-                d = c.copy()
-                d[i] = x
-                m = _metrics(d, scorer)
-                if _within_gates(m, base):
-                    passed.append((-m[0], i, x, d))
-            if passed:
-                _, i, x, d = min(passed, key=lambda y: y[:3])
-                found = (int(n), min(passed, key=lambda y: y[:3])[0], i, x)
-                if best is None or found < best[0]:
-                    best = (found, d)
-                most = int(n)
+            if _within_gates(_metrics(d := swapped(*part[j].tolist()), scorer), base):
+                best, most = (int(length[j]), d), int(length[j]) - 1
                 break
-    return (best[0][0], best[1]) if best else None
+    return best
 
 
 def repair_one(c: np.ndarray, scorer: Scorer, rounds: int = K.REPAIR_ROUNDS) -> tuple[np.ndarray, int, int, int, float, float]:
