@@ -53,9 +53,9 @@ def op7_spotsigs_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's text without repeated runs of lines."""
-    out = line_chunks.deduplicate_runs(read(spark, sf_dir, "documents"))
-    return out.select("row.doc_id", "text", "n_lines", "n_removed_lines", "n_removed_chunks", "kept_sha256")
+    """Each document's text without repeated chunks of lines."""
+    out = line_chunks.deduplicate(read(spark, sf_dir, "documents"))
+    return out.select("row.doc_id", "text", "n_lines", "n_removed_lines", "n_removed_chunks", "n_removed_runs", "kept_sha256")
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

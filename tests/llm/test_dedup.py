@@ -102,7 +102,7 @@ def test_lines(docs, rows, block_bytes):
                 if len(c) > 1:
                     seen.add(tuple(c))
         want.append((i, "\n".join(kept), len(lines), gone))
-    got = [(back(r.row.doc_id), r.text, r.n_lines, r.n_removed_lines) for r in line_chunks.deduplicate(docs, block_bytes=block_bytes).collect()]
+    got = [(back(r.row.doc_id), r.text, r.n_lines, r.n_removed_lines) for r in line_chunks.deduplicate(docs, fine=False, block_bytes=block_bytes).collect()]
     assert by(got) == by(want) and sum(w[3] for w in want) > 0
 
 
@@ -121,11 +121,23 @@ def test_line_runs(docs, rows, block_bytes):
                 gone |= {k, k + 1}
         kept = "\n".join(x for k, x in enumerate(lines) if k not in gone)
         want.append((i, t if t is None else kept, len(lines), len(gone), sum(k - 1 not in gone for k in gone), hashlib.sha256(kept.encode()).hexdigest()))
-    out = line_chunks.deduplicate_runs(docs, block_bytes=block_bytes).collect()
-    got = [(back(r.row.doc_id), r.text, r.n_lines, r.n_removed_lines, r.n_removed_chunks, r.kept_sha256) for r in out]
+    out = line_chunks.deduplicate(docs, block_bytes=block_bytes).collect()
+    got = [(back(r.row.doc_id), r.text, r.n_lines, r.n_removed_lines, r.n_removed_runs, r.kept_sha256) for r in out]
     assert by(got) == by(want) and sum(w[3] for w in want) > 0
 
 
+def test_most_lines_go_by_their_chunks(spark):
+    """Of long copies whole chunks go; lines that are left only at their ends."""
+    copy = [f"line {k}" for k in range(400)]
+    rows = [(d, "\n".join([f"own {d}", *copy, f"end {d}"])) for d in range(5)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in line_chunks.deduplicate(frame, block_bytes=2000).collect():
+        assert (r.n_removed_lines, r.n_removed_runs) == ((400, 1) if r.row.doc_id else (0, 0))
+        assert r.n_removed_chunks > 50 if r.row.doc_id else r.n_removed_chunks == 0
+    some = {r.row.doc_id: r.n_removed_lines for r in line_chunks.deduplicate(frame, fine=False, block_bytes=2000).collect()}
+    assert all(380 < some[d] <= 400 for d in range(1, 5))
+
+
 def test_lines_of_a_passage(spark):
     """Passages of two to four lines in foreign text, which hold no whole chunk as a rule."""
     passages = {n: [f"passage {n} line {k}" for k in range(n)] for n in (2, 3, 4)}
@@ -139,7 +151,7 @@ def test_lines_of_a_passage(spark):
 
 
 def test_line_runs_empty(empty):
-    assert line_chunks.deduplicate_runs(empty).collect() == []
+    assert line_chunks.deduplicate(empty).collect() == []
 
 
 def test_lines_empty(empty):
@@ -222,7 +234,7 @@ def test_many_links(spark):
 
 def test_lines_with_odd_column_names(spark):
     frame = spark.createDataFrame([(1, "a\nb\nc", 5, 6), (2, "a\nb\nd", 7, 8)], "doc_id long, text string, `my col` int, `a.b` int")
-    got = {r.row.doc_id: (r.text, r.row["my col"], r.row["a.b"]) for r in line_chunks.deduplicate_runs(frame).collect()}
+    got = {r.row.doc_id: (r.text, r.row["my col"], r.row["a.b"]) for r in line_chunks.deduplicate(frame).collect()}
     assert got == {1: ("a\nb\nc", 5, 6), 2: ("d", 7, 8)}
 
 
