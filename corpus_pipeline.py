@@ -24,7 +24,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null text stays null with its n_chars; a document all of whose lines occur earlier stays, with what is left of it.
     """
-    out, row = line_chunks.deduplicate_runs(docs), F.col("row")
+    out, row = line_chunks.deduplicate(docs), F.col("row")
     made = {"text": F.col("text"), "n_chars": F.coalesce(F.length("text").cast("long"), row["n_chars"].cast("long"))}
     return out.select(*((made[c] if c in made else row.getField(c)).alias(c) for c in docs.columns))
 
