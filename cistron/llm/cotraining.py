@@ -3,7 +3,7 @@
 One view is the content (shares of bytes and of pairs of bytes, and a few numbers about words and lines), the other what
 is known about a document apart from its text (language, source, recorded size). Each view's logistic regression starts
 from the labelled rows; over the rounds each gives the documents of which it is surest, with its guess as label, to the
-other's training rows. Held-out labelled rows then calibrate either view and the combination, which scores all documents.
+other's training rows. Of held-out labelled rows one half then calibrates either view, the other half the combination, which scores all documents.
 
 Labelled rows are a bounded sample on the driver (MOST_LABELLED, the least hashes of their ids). Unlabelled ones are all
 of the table: their features are counted once and kept packed, each round scores them all, the surest are found by counts
@@ -13,6 +13,7 @@ over the whole table, and models are fitted from sums of moments, gradients and
 from __future__ import annotations
 
 import math
+import warnings
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -28,12 +29,14 @@ from .hashing import span_hashes, spans
 
 #: Labelled rows from which the models are fitted, at most; the share of them held out for calibration.
 MOST_LABELLED, HELD_OUT = 6000, 0.25
+#: Labelled rows of either class without which nothing is told apart.
+LEAST = 5
 #: Weight of a row that the other view labelled; tasks over such rows, at least.
 GIVEN_WEIGHT, PARTS = 0.3, 12
 #: Given rows of one task, at most; so many tasks' sums are added up by one.
 PART_ROWS, FAN_IN = 50_000, 32
-#: Steps of one fit, at most.
-MOST_STEPS = 60
+#: Steps of one fit, at most; it has converged when a step promises less than this share of the loss (of 1 at least).
+MOST_STEPS, CONVERGED = 60, 1e-5
 ROUNDS, SURE, EACH, RIDGE = 4, 0.95, 0.05, 5.0
 PAIRS, SLOTS, SIZES = 512, 32, 24
 N_STATS = 9
@@ -402,7 +405,7 @@ def _fit_views(views: list[np.ndarray], y: np.ndarray, ridge: float, given: Data
     best: list[tuple[float, np.ndarray]] = [(np.inf, v) for v in b]
     # a curvature is kept as long as steps with it halve; gradients are small, curvatures are not
     curves: list[np.ndarray | None] = [None, None]
-    size = [np.inf, np.inf]
+    size, promised = [np.inf, np.inf], [np.inf, np.inf]
     for _ in range(MOST_STEPS):
         now, curved = list(going), [c is None for c in curves]
 
@@ -421,30 +424,40 @@ def _fit_views(views: list[np.ndarray], y: np.ndarray, ridge: float, given: Data
                 step = (b[k] - at) / 2
                 b[k] = at + step
                 curves[k] = None
+                promised[k] /= 2
             else:
                 best[k] = (loss, b[k])
-                step = -np.linalg.solve(curves[k] + np.diag(penalty[k]), gradient[:-1] + penalty[k] * b[k])
+                slope = gradient[:-1] + penalty[k] * b[k]
+                step = -np.linalg.solve(curves[k] + np.diag(penalty[k]), slope)
+                promised[k] = -0.5 * float(slope @ step)
                 step *= min(1.0, 10.0 / max(1e-12, float(np.abs(step).max())))
                 b[k] = b[k] + step
                 if np.abs(step).max() > 0.5 * size[k]:
                     curves[k] = None
                 size[k] = float(np.abs(step).max())
-            going[k] = np.abs(step).max() >= 1e-4
+            going[k] = np.abs(step).max() >= 1e-4 and promised[k] > CONVERGED * max(1.0, best[k][0])
         if not any(going):
             break
+    else:
+        warnings.warn(f"a fit of the quality classifier stopped after {MOST_STEPS} steps", stacklevel=2)
+    b = [at for _, at in best]  # never a step that was too far
     weights = [v[:-1] / s for v, s in zip(b, scale, strict=True)]
     return [Logistic(w, float(v[-1] - m @ w)) for w, v, m in zip(weights, b, mean, strict=True)]
 
 
 def train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool: Callable[[], Pool], rounds: int = ROUNDS) -> Model:
     """Fit both views in turns. y: 0 or 1; the rows of the pool have no label."""
-    if len(y) < 8 or len(set(y.tolist())) < 2:
+    if min((y == 0).sum(), (y == 1).sum()) < LEAST:
         share = (float(y.sum()) + 1) / (len(y) + 1)  # no two classes to tell apart: all get the prior
         flat = float(np.log(share / max(1 - share, 1e-3)))
         return Model(Logistic(np.zeros(N_TEXT), 0.0), Logistic(np.zeros(N_META), 0.0), (0.0, flat), (0.0, flat), (0.5, 0.5, 0.0))
     held = np.zeros(len(y), dtype=bool)
     for c in (0, 1):  # of either class; rows come in order of a hash
         held[np.flatnonzero(y == c)[:: round(1 / HELD_OUT)]] = True
+    mixing = np.zeros(len(y), dtype=bool)  # every other one of these
+    for c in (0, 1):
+        mixing[np.flatnonzero(held & (y == c))[1::2]] = True
+    calibrating = held & ~mixing
     views, more = [text[~held], meta[~held]], pool()
     models = _fit_views(views, y[~held], RIDGE, None, [Logistic(np.zeros(N_TEXT), 0.0), Logistic(np.zeros(N_META), 0.0)])
     most = [math.ceil(EACH * share * more.size) for share in (1 - y.mean(), y.mean())]
@@ -452,10 +465,9 @@ def train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool: Callable[[],
     for _ in range(rounds):
         history.append((models, more.surest(models, [most, most])))
         models = _fit_views(views, y[~held], RIDGE, more.given(history), models)
-    logits = [m.logit(x[held]) for m, x in zip(models, (text, meta), strict=True)]
-    scales = [_platt(z, y[held]) for z in logits]
-    both = np.stack([a * z + b for (a, b), z in zip(scales, logits, strict=True)], axis=1)
-    mix = Logistic.fit(both, y[held], 1.0)
+    scales = [_platt(m.logit(x[calibrating]), y[calibrating]) for m, x in zip(models, (text, meta), strict=True)]
+    both = np.stack([a * m.logit(x[mixing]) + b for (a, b), m, x in zip(scales, models, (text, meta), strict=True)], axis=1)
+    mix = Logistic.fit(both, y[mixing], 1.0)
     return Model(models[0], models[1], scales[0], scales[1], (float(mix.weights[0]), float(mix.weights[1]), mix.bias))
 
 
@@ -504,8 +516,8 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     A document is kept if its probability of good quality is `threshold` or more. A null text counts as empty, nulls of
     the other view are values of their own. Labels other than 0 and 1 and without id don't count, of several for one id
     the least does; of several rows with one labelled id one counts, that with the least hash. Of documents of which a
-    view is equally sure the one with the smaller hash of its id is handed over first. Without labels of both classes all
-    documents get the labels' share. Repeated rows get equal scores. A text of any length is read whole. No rows give no
+    view is equally sure the one with the smaller hash of its id is handed over first. Without `LEAST` labels of either class
+    all documents get the labels' share. Repeated rows get equal scores. A text of any length is read whole. No rows give no
     rows. `into` and `keep` name the new columns.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, doc_id, text, lang, source, size, label, rounds))
