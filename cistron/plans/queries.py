@@ -261,12 +261,13 @@ def _pool(spark, sf_dir) -> DataFrame:
     return checkpoint(rows.select("seq_id", "grp", "score_v2", "hp4", *_FEATURES))  # numbers only
 
 
-def _topk_sql() -> str:
+def topk_sql(score: str = "score_v2", where: str = "cds <> ''", more: str = "", final: str = f"SELECT grp, rank, seq_id FROM s{K.TOP_K}") -> str:
+    """The selection of topk_diverse() by `score` from sequences of which `where` holds; `more` CTEs for the final SELECT."""
     z = ", ".join(f"({c} - avg({c}) OVER w) / greatest(stddev_pop({c}) OVER w, {K.LEAST_STD})" for c in _FEATURES)
     text = (
         f"WITH {Q.SCORED}, {Q.CDS_CODONS.replace('cc AS', 'rc AS')}, {Q.ENC}, "
-        f"pool AS MATERIALIZED (SELECT seq_id, grp, score_v2, hp4, cai, gc, sites, enc, {Q.odds('cds', 'T', 'A')} AS upa, {Q.max_run('cds', 'ACGT')} AS hp_max FROM scored JOIN enc USING (seq_id) WHERE cds <> ''), "
-        f"zz AS MATERIALIZED (SELECT seq_id, grp, hp4, score_v2 >= max(score_v2) OVER w - {K.TIE_BAND} AS close, (score_v2 - avg(score_v2) OVER w) / greatest(stddev_pop(score_v2) OVER w, {K.LEAST_STD}) AS z, [{z}] AS v FROM pool WINDOW w AS (PARTITION BY grp)), "
+        f"pool AS MATERIALIZED (SELECT seq_id, grp, {score}, hp4, cai, gc, sites, enc, {Q.odds('cds', 'T', 'A')} AS upa, {Q.max_run('cds', 'ACGT')} AS hp_max FROM scored JOIN enc USING (seq_id) WHERE {where}), "
+        f"zz AS MATERIALIZED (SELECT seq_id, grp, hp4, {score} >= max({score}) OVER w - {K.TIE_BAND} AS close, ({score} - avg({score}) OVER w) / greatest(stddev_pop({score}) OVER w, {K.LEAST_STD}) AS z, [{z}] AS v FROM pool WINDOW w AS (PARTITION BY grp)), "
         "p1 AS MATERIALIZED (SELECT grp, arg_min(seq_id, (hp4, seq_id)) AS seq_id FROM zz WHERE close GROUP BY grp), s1 AS MATERIALIZED (SELECT grp, seq_id, 1::BIGINT AS rank FROM p1)"
     )
     for k in range(2, K.TOP_K + 1):
@@ -274,10 +275,10 @@ def _topk_sql() -> str:
             f", d{k} AS MATERIALIZED (SELECT a.grp, a.seq_id, round({K.ALPHA} * a.z + {1 - K.ALPHA} * min(list_distance(a.v, b.v)), 9) AS val FROM zz a JOIN s{k - 1} s ON s.grp = a.grp JOIN zz b ON b.seq_id = s.seq_id AND b.grp = s.grp "
             f"WHERE NOT EXISTS (FROM s{k - 1} t WHERE t.seq_id = a.seq_id) GROUP BY a.grp, a.seq_id, a.z), s{k} AS MATERIALIZED (FROM s{k - 1} UNION ALL SELECT grp, arg_min(seq_id, (-val, seq_id)), {k} FROM d{k} GROUP BY grp)"
         )
-    return text + f" SELECT grp, rank, seq_id FROM s{K.TOP_K}"
+    return f"{text}{', ' + more if more else ''} {final}"
 
 
-@add("sel_topk_diverse", _topk_sql())
+@add("sel_topk_diverse", topk_sql())
 def sel_topk_diverse(spark, sf_dir):
     return select.topk_diverse(_pool(spark, sf_dir), "grp", "score_v2", _FEATURES, "hp4", "seq_id")
 

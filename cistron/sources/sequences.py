@@ -17,7 +17,11 @@ def from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ASCII letters become bases cyclically; cds has no stop codon (TAA, TAG, TGA become CAA, CAG, CGA).
     """
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return derived(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def derived(docs: DataFrame) -> DataFrame:
+    """The sequences of from_documents() for documents at hand, also for those of a stream; a null text is an empty sequence."""
     dna = F.translate(F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")), ALPHABET, BASES)
     raw = docs.select(F.col("doc_id").alias("seq_id"), F.col("lang").alias("grp"), "source", dna.alias("dna"))
     raw = raw.withColumn("raw", F.expr("left(dna, length(dna) - length(dna) % 3)")).drop("dna")

@@ -7,10 +7,12 @@ import pytest
 
 import __spark_entry__ as entry
 from cistron import catalog
+from jobs import queries as jobs
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
-CHECKED = sorted(catalog.oracle_sql())
+QUERIES, SQL = catalog.queries() | jobs.queries(), catalog.oracle_sql() | jobs.oracle_sql()
+CHECKED = sorted(SQL)
 
 
 @pytest.fixture(scope="module")
@@ -29,10 +31,10 @@ def plain(v):
 
 @pytest.mark.parametrize("name", CHECKED)
 def test_query(spark, con, name):
-    df = catalog.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
     got = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=str)
-    result = con.execute(catalog.oracle_sql()[name])
+    result = con.execute(SQL[name])
     names = [d[0] for d in result.description]
     assert sorted(names) == columns
     want = sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in result.fetchall()), key=str)
