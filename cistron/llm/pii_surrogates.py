@@ -39,8 +39,8 @@ SYLLABLES = {
     "greek": "βα γα δα θε κα κο λα λι μα μι να νο πα πε ρα σα στα τα φα χα",
 }
 TYPES = ("email", "key", "iban", "secret", "card", "ssn", "phone", "ipv6", "ip", "person")
-#: Draws for one entity before the surrogate is made longer, and at most.
-REDRAWS, MOST_DRAWS = 8, 200
+#: Draws for one entity before names, e-mail and IP addresses are made longer, and before any other surrogate is.
+REDRAWS, LONGER = 8, 24
 
 
 def _any(words: str) -> str:
@@ -198,9 +198,11 @@ def _draw() -> Column:
 
     def octet(x: Column, i: Column) -> Column:
         drawn = F.conv(F.substr(digest, i * F.lit(4) + F.lit(1), F.lit(4)), 16, 10).cast("int")
-        return F.when(F.length(x) == 3, 100 + drawn % 156).when(F.length(x) == 2, 10 + drawn % 90).otherwise(1 + drawn % 9).cast("string")
+        return F.when((F.length(x) == 3) | (F.col("turn") >= REDRAWS), 100 + drawn % 156).when(F.length(x) == 2, 10 + drawn % 90).otherwise(1 + drawn % 9).cast("string")
 
-    ip = F.array_join(F.transform(F.split("plain", r"\."), octet), ".")
+    # a format of which all values are in use gets digits at its end
+    more = F.when(F.col("turn") >= LONGER, F.lpad((_number(digest, 100) % 10**7).cast("string"), 7, "0")).otherwise(F.lit(""))
+    ip = F.concat(F.array_join(F.transform(F.split("plain", r"\."), octet), "."), F.when(F.col("turn") >= LONGER, F.concat(F.lit(":"), more)).otherwise(F.lit("")))
     country = F.substring("plain", 1, 2)
 
     def account(made: Column) -> Column:
@@ -231,30 +233,30 @@ def _draw() -> Column:
     t = F.col("type")
     names = F.when(t == "given-m", given("m")).when(t == "given-f", given("f")).when(t == "given-x", given("x")).when(t == "family", family())
     numbers = F.when(t == "iban", let(filled(F.substr("plain", F.lit(3))), account)).when(t == "card", let(filled(F.col("plain")), card)).when(t == "key", key_like)
-    return F.when(t == "email", email).when(t == "ip", ip).when(t.rlike("^(given|family)"), names).when(t.isin("iban", "card", "key"), numbers).otherwise(filled(F.col("plain")))
+    other = F.concat(F.when(t.isin("iban", "card", "key"), numbers).otherwise(filled(F.col("plain"))), more)
+    return F.when(t == "email", email).when(t == "ip", ip).when(t.rlike("^(given|family)"), names).otherwise(other)
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """(type, script, plain, surrogate) for distinct (type, script, plain): distinct ones, none of which is an entity itself.
 
-    Each round, of the entities that drew one surrogate the least keeps it and the others draw again.
+    Each round, of the entities that drew one surrogate the least keeps it and the others draw again. Surrogates of formats
+    with few values grow: after `REDRAWS` draws addresses and names, after `LONGER` draws all others get more digits.
+    So an entity draws from ever more values, and rounds end however many entities there are.
     """
     waiting = checkpoint(entities.select("type", "script", "plain").distinct().withColumn("turn", F.lit(0)))
-    originals = waiting.select("type", F.col("plain").alias("surrogate"))
+    taken = waiting.select("type", F.col("plain").alias("surrogate"))
     done: list[DataFrame] = []
-    for turn in range(MOST_DRAWS):
-        if waiting.isEmpty():
-            break
+    turn = 0
+    while not waiting.isEmpty():
         drawn = waiting.withColumn("digest", _digest(key)).withColumn("surrogate", _draw()).drop("digest")
-        free = drawn.join(originals, ["type", "surrogate"], "left_anti")
-        for d in done:
-            free = free.join(d.select("type", "surrogate"), ["type", "surrogate"], "left_anti")
+        free = drawn.join(taken, ["type", "surrogate"], "left_anti")
         won = free.groupBy("type", "surrogate").agg(F.min(F.struct("script", "plain")).alias("by")).select("type", "surrogate", "by.script", "by.plain")
         won = checkpoint(won)
         done.append(won)
-        waiting = checkpoint(waiting.join(won, ["type", "script", "plain"], "left_anti").withColumn("turn", F.lit(turn + 1)))
-    else:
-        raise RuntimeError(f"no free surrogate for some entities after {MOST_DRAWS} draws")
+        taken = taken.unionByName(won.select("type", "surrogate"))  # of checkpoints, one for each round
+        turn += 1
+        waiting = checkpoint(waiting.join(won, ["type", "script", "plain"], "left_anti").withColumn("turn", F.lit(turn)))
     empty = entities.select("type", "script", "plain", F.col("plain").alias("surrogate")).limit(0)
     return reduce(DataFrame.unionByName, done, empty)
 
@@ -268,7 +270,8 @@ def _written() -> Column:
         c, s = F.substr(raw, i, F.lit(1)), F.substr(new, before(i), F.lit(1))
         return F.when(c.rlike(_LETTER_ONLY), c).when(c.rlike(r"\p{Lu}"), F.upper(s)).otherwise(s)
 
-    shaped = F.array_join(F.transform(F.sequence(F.lit(1), F.length(raw)), char), "")
+    rest = F.substr(new, before(F.length(raw)) + 1)  # of a surrogate that had to be longer
+    shaped = F.concat(F.array_join(F.transform(F.sequence(F.lit(1), F.length(raw)), char), ""), rest)
     loud = (F.length(raw) > 1) & (raw == F.upper(raw)) & (raw != F.lower(raw))
     name = F.when(loud, F.upper(new)).otherwise(F.array_join(F.transform(F.split(new, "-"), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substr(p, F.lit(2), F.length(p)))), "-"))
     t = F.col("type")

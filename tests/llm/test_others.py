@@ -1,11 +1,13 @@
 import collections
 import hashlib
+import itertools
 import math
 import re
 import zlib
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -156,6 +158,39 @@ def test_no_entity_is_left(spark):
         assert r.n_entities > 0 or r.text == texts[r.doc_id]
 
 
+def test_a_format_that_is_used_up(spark):
+    """All 6,561 addresses of one-digit octets, and all phone numbers of a form with few digits: distinct ones, none an original."""
+    ips = [("ip", "latin", ".".join(d)) for d in itertools.product("123456789", repeat=4)]
+    phones = [("phone", "latin", f"1{k:03}") for k in range(0, 1000)] + [("phone", "latin", f"{k}{n:03}") for k in range(2, 10) for n in range(1000)]
+    some = ips + phones
+    out = pii_surrogates.surrogates(spark.createDataFrame(some, "type string, script string, plain string"), "k").collect()
+    assert {(r.type, r.script, r.plain) for r in out} == set(some)
+    new = {(r.type, r.surrogate) for r in out}
+    assert len(new) == len(some) and not new & {(t, p) for t, _, p in some}
+    docs = spark.createDataFrame([(0, "+1 234 and 1.2.3.4")], "doc_id long, text string")
+    assert pii_surrogates.replace(docs, "k").first().text != "+1 234 and 1.2.3.4"
+
+
+def test_surrogates_of_the_table(spark):
+    """Beside a plain pass over all texts: equal entities have equal surrogates, different ones different ones, everywhere."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    new = {r.doc_id: r.text for r in pii_surrogates.replace(docs, "k").collect()}
+    found, back = {}, {}
+    for kind in ("email", "ssn", "ip", "secret"):
+        shape = regex.compile(pii_surrogates.PATTERNS[kind])
+        for i, t in texts.items():
+            if kind == "email":
+                a, b = shape.findall(t), shape.findall(new[i])
+                assert len(a) == len(b)
+                for x, y in zip(a, b, strict=True):
+                    assert found.setdefault(x.lower(), y.lower()) == y.lower() and back.setdefault(y.lower(), x.lower()) == x.lower()
+                    assert x.lower() != y.lower()
+            else:
+                assert not set(shape.findall(t)) & set(shape.findall(new[i]))
+    assert found
+
+
 # --- 3
 
 
