@@ -1,7 +1,7 @@
 """Secondary structure: pair maps and helices from dot-bracket strings, and profiles from unpaired probabilities.
 
-Folding energies and probabilities come from a backend, an object with mfe(seq) -> (structure, energy) and
-unpaired(seq) -> list of probabilities. Without one, what depends on them is null.
+Whole sequences are folded by a backend, an object with mfe(seq) -> (structure, energy) and unpaired(seq) -> list of
+probabilities; without one, what depends on whole folds is null. Windows are folded by `folding`.
 """
 
 from __future__ import annotations
@@ -94,7 +94,8 @@ def mfe_features(rows: DataFrame) -> DataFrame:
 def structure_features(seqs: DataFrame, backend: Backend | None, seq: str = "cds", fast: bool = False) -> DataFrame:
     """(seq_id, mfe, mfe_per_nt, paired_fraction, longest_helix, n_helices8, open_start45, ...) of all sequences.
 
-    fast leaves out profiles of whole sequences and the duplex scan.
+    fast leaves out profiles of whole sequences and the duplex scan. Without a backend the start's openness, the mean over
+    all and the energy for each base come from folded windows.
     """
     from . import duplex
 
@@ -102,6 +103,11 @@ def structure_features(seqs: DataFrame, backend: Backend | None, seq: str = "cds
     opened = openness(F.col("local_profile"), F.col("profile"), F.col("sampled_profiles"))
     names = ["open_start45"] if fast else list(opened)
     out = rows.select("seq_id", "mfe", "mfe_per_nt", "paired_fraction", "longest_helix", "n_helices8", *(opened[n].alias(n) for n in names))
+    if backend is None:
+        from . import folding  # windows are folded here; whole sequences need a backend
+
+        near = folding.folding(seqs, seq).select(F.col("seq_id").alias("_id"), F.col("open_start45").alias("_open"), F.col("unpaired").alias("_mean"), F.col("mfe_per_nt").alias("_energy"))
+        out = out.join(near, F.col("seq_id") == F.col("_id"), "left").withColumns({"open_start45": F.col("_open"), "mfe_per_nt": F.col("_energy")} | ({} if fast else {"mean_unpaired": F.col("_mean")})).drop("_id", "_open", "_mean", "_energy")
     if fast:
         return out
     scan = duplex.selfcomp_scan(seqs, seq).select("seq_id", F.col("exact").alias("selfcomp_max_exact"), F.col("near").alias("selfcomp_max_near"))

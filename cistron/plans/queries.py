@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import codon as C
 from ..functions import constants as K
 from ..functions import sequence as S
-from ..operators import corpus, duplex, features, report, score, search, select, structure
+from ..operators import corpus, duplex, features, folding, report, score, search, select, structure
 from ..sources import ld_dump, sequences
 from ..sources.sequences import codon_dimension, from_documents, synonym_dimension
 from ..storage import checkpoint, scratch, write_file
@@ -434,10 +434,10 @@ def dup_join_seed_rc(spark, sf_dir):
 
 @add("rep_scorecard")
 def rep_scorecard(spark, sf_dir):
-    """The scorecard; columns of the folding backend and of absent models are null."""
+    """The scorecard of every sequence; the half-life, which needs a model, is null."""
     seqs = seqs_of(spark, sf_dir).where("cds <> ''")
     counts = corpus.pair_counts(seqs)
-    return score.scorecard(score.with_scores(seqs, counts), corpus.codon_pair_bias(seqs, counts), duplex.selfcomp_scan(seqs, "cds"))
+    return score.scorecard(score.with_scores(seqs, counts), corpus.codon_pair_bias(seqs, counts), duplex.selfcomp_scan(seqs, "cds"), folding.folding(seqs))
 
 
 @add("rep_immune_flag_scan")
@@ -563,6 +563,19 @@ def struct_features(spark, sf_dir):
     return rounded(structure.helix_features(_brackets(spark, sf_dir)))
 
 
+@add("struct_fold_windows")
+def struct_fold_windows(spark, sf_dir):
+    """Least energy, structure and mean unpaired probability of every window of every sequence; no SQL (dynamic programming)."""
+    rows = folding.fold_windows(folding.cut(seqs_of(spark, sf_dir)))
+    return rounded(rows.withColumn("unpaired", structure.mean(F.col("unpaired"))))
+
+
+@add("struct_folding")
+def struct_folding(spark, sf_dir):
+    """What the scorecard takes from the folded windows of each sequence; no SQL."""
+    return rounded(folding.folding(seqs_of(spark, sf_dir)))
+
+
 @add("struct_fold_none", f"WITH {Q.SEQS} SELECT seq_id, NULL::DOUBLE AS mfe, 'none' AS structure_backend FROM seqs")
 def struct_fold_none(spark, sf_dir):
     return structure.fold(seqs_of(spark, sf_dir), None).select("seq_id", "mfe", "structure_backend")
