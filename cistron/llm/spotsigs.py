@@ -16,6 +16,7 @@ document of the range after it; a text is shuffled once, compressed.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,6 +40,8 @@ ANCHORS = (
 CHAIN = 3
 #: Ranges of ids cut by one list of bounds; the ranges of a larger table are cut within those.
 MOST_BOUNDS = 1000
+#: First ids of ranges that are broadcast; more are joined by a shuffle.
+MOST_HEADS = 100_000
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[[b for b in range(128) if not chr(b).isalnum()]] = True
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_signatures long, near_group long"
@@ -215,6 +218,21 @@ def _cut(rows: DataFrame, ranges: int) -> Callable[[DataFrame], DataFrame]:
     return lambda df: by_first(df).join(F.broadcast(second), "part").withColumn("part", F.col("part") * fine + place).drop("bounds")
 
 
+def _ranges_before(heads: DataFrame) -> DataFrame:
+    """(id, to): of each range's first id, the range before it; of the first range the last one.
+
+    Ranges are numbered within groups of as many as there are groups, so that no task has all of them.
+    """
+    last = heads.agg(F.max("part").alias("last"))
+    most = last.first()["last"]
+    group = F.floor(F.col("part") / (math.isqrt(most) + 1)).alias("group")
+    within = Window.partitionBy("group").orderBy("part")
+    rows = heads.select("id", "part", group).withColumn("to", F.lag("part").over(within))
+    ends = rows.groupBy("group").agg(F.max("part").alias("end"))  # the root of the number of ranges
+    ends = ends.select("group", F.coalesce(F.lag("end").over(Window.orderBy("group")), F.lit(most)).alias("end"))
+    return rows.join(ends, "group").select("id", F.coalesce("to", "end").alias("to"))
+
+
 def compare_with_next(docs: DataFrame, groups: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Fingerprints of each document and of its edited text, and their likeness, and that to the next document.
 
@@ -234,10 +252,9 @@ def compare_with_next(docs: DataFrame, groups: DataFrame | None = None, doc_id:
     heads = checkpoint(rows.groupBy("part").agg(F.min("id").alias("id")))
     if heads.isEmpty():
         return docs.sparkSession.createDataFrame([], RESULT)
-    around = Window.orderBy("part")  # a row for each range
-    last = heads.agg(F.max("part").alias("last"))
-    to = heads.crossJoin(F.broadcast(last)).select("id", F.coalesce(F.lag("part").over(around), F.col("last")).alias("to"))
-    firsts = rows.select("id", "text", "part").join(F.broadcast(heads.select("id")), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    few = heads.count() <= MOST_HEADS
+    firsts = rows.select("id", "text", "part").join(F.broadcast(heads.select("id")) if few else heads.select("id"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    to = _ranges_before(heads)
     copies = firsts.join(to, "id").select("id", "text", F.col("to").alias("part"), F.lit(1).alias("copy"))
     both = rows.select("id", "text", "part", F.lit(0).alias("copy")).unionByName(copies)
     both = both.mapInArrow(_packed, "part long, id long, copy int, size long, body binary").withColumn("near", F.lit(None).cast("long"))

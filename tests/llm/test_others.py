@@ -3,11 +3,13 @@ import hashlib
 import itertools
 import math
 import re
+import struct
 import zlib
 
 import numpy as np
 import pytest
 import regex
+import xxhash
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -256,6 +258,22 @@ def test_rendezvous(docs, rows, empty):
         rendezvous.assign(docs, [1.0, 0.0])
 
 
+def test_rendezvous_is_the_best_score(docs, rows):
+    """Each key's shard by its scores, one after another, with the hashes as the checksum library gives them."""
+    weights = [1.0, 2.0, 0.5, 4.0, 1.0]
+
+    def score(key, shard):
+        h = 42  # Spark's seed; a null leaves it as it is
+        if key is not None:
+            h = xxhash.xxh64_intdigest(struct.pack("<q", key), h)
+        h = xxhash.xxh64_intdigest(struct.pack("<i", shard), h)
+        return -weights[shard] / math.log(((h >> 12) + 0.5) * 2.0**-52)
+
+    best = lambda key, n: max(range(n), key=lambda s: (score(key, s), -s))
+    out = rendezvous.assign(docs, weights[:4], weights).collect()
+    assert len(out) == len(rows) and all((r.shard, r.grown_shard) == (best(r.doc_id, 4), best(r.doc_id, 5)) for r in out)
+
+
 def test_rendezvous_weights(spark):
     ids = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))
     sizes = collections.Counter(r.shard for r in rendezvous.assign(ids, [1.0, 2.0, 5.0]).collect())
