@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import codon as C
 from ..functions import constants as K
 from ..functions import sequence as S
-from ..operators import corpus, duplex, features, folding, report, score, search, select, structure
+from ..operators import corpus, duplex, features, folding, report, score, search, select, structure, validate
 from ..sources import ld_dump, sequences
 from ..sources.sequences import codon_dimension, from_documents, synonym_dimension
 from ..storage import checkpoint, scratch, write_file
@@ -235,6 +236,30 @@ def score_gates_ok(spark, sf_dir):
     return both.select("seq_id", score.gates_ok("new_", "base_").alias("ok"))
 
 
+def _spearman_sql() -> str:
+    u = "('0x' || left(md5(seq_id || ':' || b), 8))::BIGINT / 4294967296.0"
+    times = " + ".join(f"({u} >= {sum(math.exp(-1) / math.factorial(k) for k in range(n + 1))!r})::INT" for n in range(validate.MOST))
+    n = lambda w: f"nullif(sum({w}), 0)"
+    both = lambda w, p, q: f"(sum({w} * {p} * {q}) - sum({w} * {p}) * sum({w} * {q}) / {n(w)})"
+    r = lambda w: f"CASE WHEN {both(w, 'x', 'x')} * {both(w, 'y', 'y')} > 1e-9 THEN {both(w, 'x', 'y')} / sqrt({both(w, 'x', 'x')} * {both(w, 'y', 'y')}) END"
+    edge = max(1, round(validate.REPLICATES * validate.OUTSIDE / 2))
+    rank = lambda c: f"rank() OVER (PARTITION BY grp ORDER BY {c}) + (count(*) OVER (PARTITION BY grp, {c}) - 1) / 2.0"
+    return (
+        f"WITH {Q.SCORED}, v AS (SELECT seq_id, grp, round(score_v25, 6) AS s, quality FROM scored JOIN labels ON doc_id = seq_id WHERE quality IS NOT NULL), k AS (SELECT seq_id, grp, {rank('s')} AS x, {rank('quality')} AS y FROM v), "
+        f"e AS (SELECT grp, count(*) AS n, {r('1.0')} AS spearman FROM k GROUP BY grp), d AS (SELECT *, ({times})::DOUBLE AS w FROM k, range({validate.REPLICATES}) AS t(b)), "
+        f"p AS (SELECT grp, b, {r('w')} AS r FROM d GROUP BY grp, b), l AS (SELECT grp, list_sort(list(r) FILTER (r IS NOT NULL)) AS r FROM p GROUP BY grp) "
+        f"SELECT grp, n, round(spearman, 6) AS spearman, CASE WHEN len(r) >= {2 * edge} THEN round(list_avg(r[1:{2 * edge}]), 6) END AS low, CASE WHEN len(r) >= {2 * edge} THEN round(list_avg(r[len(r) - {2 * edge - 1}:len(r)]), 6) END AS high FROM e JOIN l USING (grp)"
+    )
+
+
+@add("val_spearman", _spearman_sql())
+def val_spearman(spark, sf_dir):
+    """Rank correlation of the design score with the label of each language's sequences, and its interval."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("seq_id"), F.col("quality").cast("double").alias("quality"))
+    rows = score.with_scores(seqs_of(spark, sf_dir).select("seq_id", "grp", "cds")).select("seq_id", "grp", F.round("score_v25", 6).alias("s"))
+    return rounded(validate.rank_correlation(rows.join(labels, "seq_id"), "grp", "seq_id", "s", "quality"))
+
+
 @add("sel_zscore_group", f"WITH {Q.SCORED} SELECT seq_id, grp, round((score_v2 - avg(score_v2) OVER w) / greatest(stddev_pop(score_v2) OVER w, {K.LEAST_STD}), 6) AS z FROM scored WINDOW w AS (PARTITION BY grp)")
 def sel_zscore_group(spark, sf_dir):
     rows = score.with_scores(seqs_of(spark, sf_dir)).select("seq_id", "grp", "score_v2")
