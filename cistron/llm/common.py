@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import math
 import struct
 from collections.abc import Callable, Iterator
@@ -42,6 +43,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def tidy(spark: SparkSession) -> None:
+    """Between rounds: what no round needs any more becomes garbage, on which Spark's cleaner removes shuffle files and checkpoints."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def columns(df: DataFrame) -> list[Column]:
     """All columns, whatever their names hold."""
     return [F.col(quoted(c)) for c in df.columns]

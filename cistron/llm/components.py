@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, tidy
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -32,4 +32,6 @@ def components(links: DataFrame) -> DataFrame:
         if now == state:
             break
         state = now
+        del both, least, large, small
+        tidy(edges.sparkSession)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b"), F.col("b")).distinct())

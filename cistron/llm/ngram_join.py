@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, block_count, checkpoint, grouped, is_in, pack, release, slices, split_by, unpack, utf8
+from .common import LAST_ID, block_count, checkpoint, grouped, is_in, pack, release, slices, split_by, tidy, unpack, utf8
 from .components import components
 from .hashing import ASCII_LOWER, grams, mix, span_hashes, spans
 
@@ -356,6 +356,7 @@ def cluster_sets(docs: DataFrame, of: Sets, share: tuple[int, int], doc_id: str
     found = checkpoint(prefixes.groupBy("bucket").applyInArrow(grouped(_candidates(share)), _PAIRS_DDL))
     sums = found.where("kind = 0").groupBy("a", "b").agg(*(f(c).alias(c) for f, c in ((F.sum, "shared"), (F.min, "need"), (F.sum, "strict"), (F.sum, "lead"))))
     sums = checkpoint(sums)
+    tidy(docs.sparkSession)
     # enough in common, or one of the strictly first shingles with the leader of a large group
     tried = F.expr("shared >= need or lead > 0")
     links = _links(docs, homes, sums.where(tried).select("a", "b"), of, seed, share)
@@ -364,6 +365,7 @@ def cluster_sets(docs: DataFrame, of: Sets, share: tuple[int, int], doc_id: str
     # group further on. Either the former is of a large group as well, or it is of a small one and both are in large ones.
     large = found.where("kind = 1").select("token", F.col("a").alias("node"), "n", "place")
     members = found.where("kind = 2").select(F.col("a").alias("node"))
+    tidy(docs.sparkSession)
     # each step is cut off, as what it leaves is little
     rest = [_across(_split(large, roots), share), _between(sums.where(~tried & (F.col("strict") > 0)).select("a", "b"), members, roots)]
     rest = [r for r in rest if r is not None]
@@ -371,6 +373,7 @@ def cluster_sets(docs: DataFrame, of: Sets, share: tuple[int, int], doc_id: str
         rest = checkpoint(rest[0].union(rest[1]).distinct() if len(rest) > 1 else rest[0].distinct())
         links = links.union(_links(docs, homes, rest, of, seed, share))
         roots = components(links)
+    tidy(docs.sparkSession)
     reach = roots.join(homes.withColumnRenamed("key", "node"), "node")
     least = reach.groupBy("root").agg(F.min("home").alias("component_id"))
     named = reach.join(least, "root").select(F.col("node").alias("key"), "component_id")
