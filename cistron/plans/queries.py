@@ -595,12 +595,6 @@ def struct_fold_windows(spark, sf_dir):
     return rounded(rows.withColumn("unpaired", structure.mean(F.col("unpaired"))))
 
 
-@add("struct_folding")
-def struct_folding(spark, sf_dir):
-    """What the scorecard takes from the folded windows of each sequence; no SQL."""
-    return rounded(folding.folding(seqs_of(spark, sf_dir)))
-
-
 @add("struct_fold_none", f"WITH {Q.SEQS} SELECT seq_id, NULL::DOUBLE AS mfe, 'none' AS structure_backend FROM seqs")
 def struct_fold_none(spark, sf_dir):
     return structure.fold(seqs_of(spark, sf_dir), None).select("seq_id", "mfe", "structure_backend")
