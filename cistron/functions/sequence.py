@@ -1,15 +1,18 @@
-"""Column expressions on nucleotide strings. All are linear in the length: pieces come from one regular expression."""
+"""Column expressions on nucleotide strings. All are linear in the length: pieces come from one regular expression.
+
+What looks at each letter goes over Arrow arrays, many sequences at once (see `letters`).
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
-from itertools import combinations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import constants as K
+from . import letters as L
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -50,13 +53,9 @@ def codon_pairs(s: Column, include_last_pair: bool = False) -> Column:
     return let(codons(s), lambda c: F.zip_with(F.slice(c, 1, n), F.slice(c, 2, n), lambda x, y: F.concat(x, y)))
 
 
-def count_of(s: Column, motif: str) -> Column:
-    """Occurrences of a motif that don't overlap, from the left."""
-    return ((F.length(s) - F.length(F.replace(s, F.lit(motif), F.lit("")))) / len(motif)).cast("int")
-
-
 def motif_count(s: Column, motifs: Sequence[str] = K.MOTIFS) -> Column:
-    return reduce(Column.__add__, (count_of(s, m) for m in motifs))
+    """Occurrences of each motif that don't overlap, from the left."""
+    return L.column("int", lambda t: L.masked(sum(t.count(m) for m in motifs), t.null))(s)
 
 
 def donor_count(s: Column) -> Column:
@@ -67,38 +66,60 @@ def letters(s: Column, some: str) -> Column:
     return F.length(s) - F.length(F.translate(s, some, ""))
 
 
+def _gc(t: L.Texts) -> np.ndarray:
+    return t.total(t.of("GC")) / np.maximum(t.length, 1)
+
+
 def gc_content(s: Column) -> Column:
     """0 for an empty sequence."""
-    return F.when(F.length(s) == 0, 0.0).otherwise(F.try_divide(letters(s, "GC").cast("double"), F.length(s)))
+    return L.column("double", lambda t: L.masked(_gc(t), t.null))(s)
 
 
-def gc_windows(s: Column, window: int = K.GC_WINDOW, step: int = K.GC_STEP) -> Column:
-    """GC content of each whole window; the whole sequence if it isn't longer than one."""
+def _gc_slide(s: Column, window: int, step: int, best: np.ufunc) -> Column:
+    """Greatest or least GC content of the whole windows; of the whole sequence if it isn't longer than one."""
     if window % step:
         raise ValueError("the step divides the window")
-    per = window // step
-    counts = F.transform(pieces(s, step), lambda x: letters(x, "GC"))
-    sums = let(counts, lambda c: F.transform(F.slice(c, 1, F.greatest(F.size(c) - (per - 1), F.lit(0))), lambda x, i: F.aggregate(F.slice(c, i + 1, per), F.lit(0), lambda a, b: a + b) / F.lit(float(window))))
-    return F.when(F.length(s) <= window, F.array(gc_content(s))).otherwise(sums)
+
+    def slide(t: L.Texts) -> np.ma.MaskedArray:
+        out, long = _gc(t), np.flatnonzero(t.length > window)
+        if len(long):
+            upto = np.concatenate(([0], np.cumsum(t.of("GC"))))
+            many = t.length[long] // step - (window // step - 1)
+            at = L.spread(t.start[long], many, step)
+            out[long] = best.reduceat(upto[at + window] - upto[at], np.cumsum(many) - many) / float(window)
+        return L.masked(out, t.null)
+
+    return L.column("double", slide)(s)
 
 
 def gc_slide_max(s: Column, window: int = K.GC_WINDOW, step: int = K.GC_STEP) -> Column:
-    return F.array_max(gc_windows(s, window, step))
+    return _gc_slide(s, window, step, np.maximum)
 
 
 def gc_slide_min(s: Column, window: int = K.GC_WINDOW, step: int = K.GC_STEP) -> Column:
-    return F.array_min(gc_windows(s, window, step))
+    return _gc_slide(s, window, step, np.minimum)
 
 
 def max_run(s: Column, bases: str) -> Column:
     """Longest run of one of the bases."""
-    runs = F.regexp_extract_all(s, F.lit("|".join(f"{b}+" for b in bases)), F.lit(0))
-    return F.coalesce(F.array_max(F.transform(runs, F.length)), F.lit(0))
+
+    def longest(t: L.Texts) -> np.ndarray:
+        row, letter, length = t.runs
+        out, some = np.zeros(t.n, np.int64), np.isin(letter, list(bases.encode()))
+        np.maximum.at(out, row[some], length[some])
+        return out
+
+    return L.column("int", longest)(s)
 
 
 def run_count(s: Column, least: int) -> Column:
     """Number of maximal runs of one base with `least` letters or more."""
-    return F.regexp_count(s, F.lit("|".join(f"{b}{{{least},}}" for b in "ACGT")))
+
+    def many(t: L.Texts) -> np.ma.MaskedArray:
+        row, letter, length = t.runs
+        return L.masked(np.bincount(row[(length >= least) & (L.CODE[letter] < 4)], minlength=t.n), t.null)
+
+    return L.column("int", many)(s)
 
 
 def n_hp4(s: Column) -> Column:
@@ -111,14 +132,25 @@ def n_hp5(s: Column) -> Column:
 
 def urich_count(s: Column, k: int = 6, least: int = 4) -> Column:
     """Windows of k letters with `least` U (or T) or more."""
-    shapes = ("".join("[UT]" if i in at else "." for i in range(k)) for at in combinations(range(k), least))
-    return F.regexp_count(s, F.lit(f"(?s)(?=(?:{'|'.join(shapes)}))"))
+
+    def rich(t: L.Texts) -> np.ma.MaskedArray:
+        upto = np.concatenate(([0], np.cumsum(t.of("UT"))))
+        many = np.maximum(t.length - k + 1, 0)
+        at = L.spread(t.start, many)
+        return L.masked(np.bincount(np.repeat(np.arange(t.n), many)[upto[at + k] - upto[at] >= least], minlength=t.n), t.null)
+
+    return L.column("int", rich)(s)
 
 
 def dinuc_odds(s: Column, a: str, b: str) -> Column:
     """Observed over expected number of a followed by b; 0 where none is expected."""
-    expected = letters(s, a).cast("double") * letters(s, b) / F.greatest(F.length(s), F.lit(1))
-    return F.when((F.length(s) < 2) | (expected == 0), 0.0).otherwise(F.try_divide(count_of(s, a + b).cast("double"), expected))
+
+    def odds(t: L.Texts) -> np.ma.MaskedArray:
+        expected = t.total(t.of(a)).astype(float) * t.total(t.of(b)) / np.maximum(t.length, 1)
+        none = (t.length < 2) | (expected == 0)
+        return L.masked(np.where(none, 0.0, t.count(a + b) / np.where(none, 1.0, expected)), t.null)
+
+    return L.column("double", odds)(s)
 
 
 def trim_stop(s: Column) -> Column:

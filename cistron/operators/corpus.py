@@ -1,17 +1,24 @@
 """Corpus statistics: codon pairs, their smoothed log-likelihood, and calibration of metrics against the corpus.
 
-Sequences are unfolded into codon pairs once, to count them. A pair table has 4,096 numbers, so it goes to all rows as one
-array, and what is measured by it needs no shuffle.
+Codon pairs are counted within each task before they are added up. A pair table has 4,096 numbers, so it goes to all tasks
+as one array, and what is measured by it needs no shuffle.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codon as C
 from ..functions import constants as K
-from ..functions.sequence import codon_pairs, let
+from ..functions import letters as L
+from ..functions.sequence import codon_pairs
+from ..storage import checkpoint
 
 
 def pair_rows(seqs: DataFrame, seq: str = "cds") -> DataFrame:
@@ -20,7 +27,24 @@ def pair_rows(seqs: DataFrame, seq: str = "cds") -> DataFrame:
 
 
 def pair_counts(seqs: DataFrame, seq: str = "cds") -> DataFrame:
-    return pair_rows(seqs, seq).groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
+    """(pair, n) over all sequences: counts of each task, added up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, other = np.zeros(64 * 64, np.int64), Counter()
+        for batch in batches:
+            for part in L.portions(batch.column(0)):
+                t = L.Texts(part)
+                row, pair = t.pairs()
+                known += np.bincount(pair[pair >= 0], minlength=64 * 64)
+                # pairs with other letters, which a coding sequence doesn't have
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                for r, p in zip(row[pair < 0].tolist(), place[pair < 0].tolist(), strict=True):
+                    other[part[r].as_py()[3 * p : 3 * p + 6]] += 1
+        at = np.flatnonzero(known).tolist()
+        pairs = [C.ALL[i // 64] + C.ALL[i % 64] for i in at] + list(other)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs, pa.string()), pa.array([*known[at].tolist(), *other.values()], pa.int64())], names=["pair", "n"])
+
+    return seqs.select(F.col(seq).alias("seq")).mapInArrow(run, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 def total_pairs(counts: DataFrame) -> DataFrame:
@@ -34,35 +58,23 @@ def mono_frequencies(counts: DataFrame) -> DataFrame:
     return mono.crossJoin(F.broadcast(mono.agg(F.sum("n").alias("all")))).select("codon", "n", (F.col("n") / F.col("all")).alias("f"))
 
 
-def _as_array(values: DataFrame, value: str) -> DataFrame:
-    """One row: `value` of (pair, value) rows as an array by the pair's number, and the sum of n. Null for pairs without."""
+def _as_array(values: DataFrame, value: str) -> tuple[np.ndarray, int]:
+    """`value` of (pair, n, value) rows, 4,096 at most, by the pair's number, NaN for pairs without; and the sum of n over all rows."""
     place = C.number(F.substring("pair", 1, 3)) * 64 + C.number(F.substring("pair", 4, 3))
     valid = (C.number(F.substring("pair", 1, 3)) >= 0) & (C.number(F.substring("pair", 4, 3)) >= 0)
-    entries = F.collect_list(F.when(valid, F.struct(place.alias("at"), F.col(value).cast("double").alias("v"))))
-    row = values.agg(entries.alias("some"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
-    # places are distinct; the place of each number among those there are
-    among = lambda some, at: F.transform(F.sequence(F.lit(0), F.lit(64 * 64 - 1)), lambda i: F.get(some, F.array_position(at, i).cast("int") - 1)["v"])
-    dense = let(F.col("some"), lambda some: let(F.transform(some, lambda x: x["at"]), lambda at: among(some, at)))
-    return row.select(dense.alias("dense"), "total")
-
-
-def naturalness_table(counts: DataFrame) -> DataFrame:
-    """One row: smoothed log-probabilities of all pairs by number, and that of a pair never seen."""
-    log = lambda n: F.log((n + 1) / (F.col("total") + K.PAIR_VOCABULARY))
-    return _as_array(counts, "n").select(F.transform("dense", lambda n: log(F.coalesce(n, F.lit(0.0)))).alias("pair_logs"), log(F.lit(0.0)).alias("unseen"))
-
-
-def _mean_by_pair(s: Column, table: str, missing: Column | None) -> Column:
-    """Mean over a sequence's pairs of their values in an array; pairs without one count as `missing`, or not at all."""
-    values = F.transform(C.pair_numbers(s), lambda i: F.coalesce(F.get(table, i), missing) if missing is not None else F.get(table, i))
-    some = values if missing is not None else F.filter(values, lambda v: v.isNotNull())
-    return let(some, lambda v: F.coalesce(F.try_divide(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), F.size(v).cast("double")), F.lit(0.0)))
+    rows = values.groupBy(F.when(valid, place).alias("at")).agg(F.sum("n").alias("n"), F.first(F.col(value).cast("double")).alias("v")).collect()
+    out = np.full(64 * 64, np.nan)
+    for r in rows:
+        if r["at"] is not None:
+            out[r["at"]] = np.nan if r["v"] is None else r["v"]
+    return out, sum(r["n"] for r in rows)
 
 
 def with_naturalness(seqs: DataFrame, counts: DataFrame, seq: str = "cds") -> DataFrame:
     """seqs and nat: mean smoothed log-probability of a sequence's pairs; 0 without pairs."""
-    rows = seqs.crossJoin(F.broadcast(naturalness_table(counts)))  # one row of 4,096 numbers
-    return rows.withColumn("nat", _mean_by_pair(F.col(seq), "pair_logs", F.col("unseen"))).drop("pair_logs", "unseen")
+    n, total = _as_array(counts, "n")
+    logs = np.log((np.nan_to_num(n) + 1) / (total + K.PAIR_VOCABULARY))
+    return seqs.withColumn("nat", C.mean_by_pair(F.col(seq), logs, float(np.log(1 / (total + K.PAIR_VOCABULARY)))))
 
 
 def naturalness(seqs: DataFrame, counts: DataFrame, seq: str = "cds") -> DataFrame:
@@ -72,20 +84,20 @@ def naturalness(seqs: DataFrame, counts: DataFrame, seq: str = "cds") -> DataFra
 
 def codon_pair_bias(seqs: DataFrame, counts: DataFrame, seq: str = "cds") -> DataFrame:
     """(seq_id, cpb): mean log ratio of a pair's frequency and its codons'; pairs that the corpus lacks don't count."""
+    counts = checkpoint(counts)
     mono = mono_frequencies(counts)
     total = counts.agg(F.sum("n").alias("total"))
     left, right = (mono.select(F.col("codon").alias(c), F.col("f").alias(f)) for c, f in (("a", "fa"), ("b", "fb")))
     scores = counts.select(F.substring("pair", 1, 3).alias("a"), F.substring("pair", 4, 3).alias("b"), "pair", "n")
     scores = scores.join(F.broadcast(left), "a").join(F.broadcast(right), "b").crossJoin(F.broadcast(total))
     scores = scores.select("pair", "n", F.log((F.col("n") / F.col("total")) / (F.col("fa") * F.col("fb"))).alias("cps"))
-    rows = seqs.select("seq_id", seq).crossJoin(F.broadcast(_as_array(scores, "cps").select("dense")))
-    return rows.select("seq_id", _mean_by_pair(F.col(seq), "dense", None).alias("cpb"))
+    return seqs.select("seq_id", C.mean_by_pair(F.col(seq), _as_array(scores, "cps")[0]).alias("cpb"))
 
 
 def measured(seqs: DataFrame, counts: DataFrame | None = None, seq: str = "cds") -> DataFrame:
     """seqs and cai, tai, nat against the counts (by default of the sequences themselves)."""
     counts = counts if counts is not None else pair_counts(seqs, seq)
-    return with_naturalness(seqs, counts, seq).withColumn("cai", C.cai(F.col(seq))).withColumn("tai", C.tai(F.col(seq)))
+    return with_naturalness(seqs, counts, seq).withColumns({"cai": C.cai(F.col(seq)), "tai": C.tai(F.col(seq))})
 
 
 def calibration(rows: DataFrame) -> DataFrame:

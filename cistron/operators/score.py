@@ -15,12 +15,11 @@ from . import corpus
 
 def with_scores(seqs: DataFrame, counts: DataFrame | None = None, stats: DataFrame | None = None, seq: str = "cds") -> DataFrame:
     """seqs and nat, cai, tai, their z scores, sites, hp4, hp5, gc, penalty, score_v2 and score_v25."""
-    rows = corpus.measured(seqs, counts, seq)
+    s = F.col(seq)
+    rows = corpus.measured(seqs, counts, seq).withColumns({"sites": S.motif_count(s), "hp4": S.n_hp4(s), "hp5": S.n_hp5(s), "gc": S.gc_content(s)})
     if stats is None:
         rows = checkpoint(rows)  # measured once, for the calibration and for the scores
     rows = corpus.z_scores(rows, stats if stats is not None else corpus.calibration(rows))
-    s = F.col(seq)
-    rows = rows.withColumns({"sites": S.motif_count(s), "hp4": S.n_hp4(s), "hp5": S.n_hp5(s), "gc": S.gc_content(s)})
     rows = rows.withColumn("penalty", K.W_SITE * F.col("sites") + K.W_HP4 * F.col("hp4") + K.W_HP5 * F.col("hp5") + S.gc_penalty(F.col("gc")))
     rows = rows.withColumn("score_v2", F.col("z_nat") + F.col("z_cai") - F.col("penalty"))
     return rows.withColumn("score_v25", F.col("score_v2") + K.W_TAI * F.col("z_tai"))

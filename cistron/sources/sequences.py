@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.sequence import codons
+from ..functions import letters as L
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BASES = ("ACGT" * 7)[:26]
@@ -22,11 +24,34 @@ def from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def derived(docs: DataFrame) -> DataFrame:
     """The sequences of from_documents() for documents at hand, also for those of a stream; a null text is an empty sequence."""
-    dna = F.translate(F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")), ALPHABET, BASES)
-    raw = docs.select(F.col("doc_id").alias("seq_id"), F.col("lang").alias("grp"), "source", dna.alias("dna"))
-    raw = raw.withColumn("raw", F.expr("left(dna, length(dna) - length(dna) % 3)")).drop("dna")
-    sense = F.transform(codons(F.col("raw")), lambda c: F.when(c.isin(*K.STOPS), F.concat(F.lit("C"), F.substring(c, 2, 2))).otherwise(c))
-    return raw.withColumn("cds", F.array_join(sense, ""))
+    rows = docs.select(F.col("doc_id").alias("seq_id"), F.col("lang").alias("grp"), "source", L.column("string", _bases)(F.col("text")).alias("raw"))
+    return rows.withColumn("cds", L.column("string", _sense)(F.col("raw")))
+
+
+_TABLE = np.zeros(256, dtype=np.uint8)
+for _letter, _base in zip(ALPHABET, BASES, strict=True):
+    _TABLE[[ord(_letter), ord(_letter.lower())]] = ord(_base)
+_STOPS = np.array([c in K.STOPS for c in [*L.CODONS, ""]])
+
+
+def _bases(t: L.Texts) -> pa.Array:
+    """ASCII letters as bases, less what is over whole codons."""
+    made = _TABLE[t.letters]
+    keep = made > 0
+    upto = np.concatenate(([0], np.cumsum(keep)))
+    start, end = upto[t.start], upto[t.start + t.length]
+    made, over = made[keep], (end - start) % 3
+    whole = np.ones(len(made), dtype=bool)
+    whole[L.spread(end - over, over)] = False
+    return t.strings(whole, made, np.zeros(t.n, dtype=bool), start, end - start)
+
+
+def _sense(t: L.Texts) -> pa.Array:
+    """Whole codons, stop codons with C in front."""
+    letters = t.letters.copy()
+    stop = L.spread(t.start, t.n_codons, 3)[_STOPS[t.numbers]]
+    letters[stop] = ord("C")
+    return t.strings(np.ones(len(letters), dtype=bool), letters)
 
 
 def codon_dimension(spark: SparkSession) -> DataFrame:
