@@ -146,6 +146,22 @@ def test_refine_and_repair_keep_the_protein():
     assert after <= before and protein(fixed) == protein(back) and (swaps == 0 or s1 >= s0 - K.GATE_SCORE - 1e-9)
 
 
+@pytest.mark.parametrize("scorer", [SCORER, search.Scorer(SCORER.pair_log, (-9.0, 0.0), (0.7, 0.5), None)])
+def test_refined_side_by_side(scorer):
+    """Sequences together are each as by itself: lengths down to none, stops, motifs, runs over codons, other rounds."""
+    rng = np.random.default_rng(8)
+    some = [rng.integers(0, 64, n) if n % 2 else rng.choice(np.flatnonzero(search._SENSE), n) for n in (0, 1, 2, 3, 4, 7, 30, 61, 200, 64)]
+    some += [search.codon_numbers(s) for s in ("GAATTCGAATTC" * 5, "GCGGCCGCGGCCGCA", "AAAAAAAAATTTTTTGGG" * 4, "TAA", "GGTCTCAAAAAAAGGATCC")]
+    n = np.array([len(c) for c in some])
+    for rounds in (1, 25):
+        out, start, end, moves = search.refine_many(np.concatenate(some), n, scorer, rounds)
+        for c, z, m, s, e, k in zip(some, np.cumsum(n), n, start, end, moves, strict=True):
+            want = search.refine_one(c, scorer, rounds)
+            assert out[z - m : z].tolist() == want[0].tolist() and k == want[3]
+            assert (s, e) == (pytest.approx(want[1], abs=1e-9), pytest.approx(want[2], abs=1e-9))
+    assert moves.max() > 3
+
+
 def test_refine_frame(spark):
     df = spark.createDataFrame([(1, "ATGAAACCC"), (2, None), (3, "ATGNNN"), (4, "")], "seq_id long, cds string")
     got = {r.seq_id: r for r in search.refine(df, SCORER).collect()}
