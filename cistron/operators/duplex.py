@@ -1,7 +1,7 @@
 """Self-complementary duplexes within a sequence.
 
-A seed is a k-mer whose reverse complement starts at least k + 3 further on. Seeds come from an equi-join of k-mers
-(`seed_pairs`, columns only). Extension goes alternately one base towards the loop and one outwards, matches for free and
+A seed is a k-mer whose reverse complement starts at least k + 3 further on. Sequences lie side by side in a task, so their
+seeds come from one sort. Extension goes alternately one base towards the loop and one outwards, matches for free and
 mismatches on one shared budget; it is one vectorised loop over all seeds of a sequence (Arrow batches), as seeds of
 repetitive sequences are many and each needs its own walk.
 """
@@ -13,17 +13,19 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..functions import letters as L
 
 _CODE = np.full(256, 4, dtype=np.int64)
 for _i, _b in enumerate("ACGT"):
     _CODE[ord(_b)] = _i
 _CODE[ord("U")] = 3
-#: Seeds extended at once.
-CHUNK = 1 << 18
+#: Seeds extended at once; letters of sequences side by side.
+CHUNK, BESIDE = 1 << 18, 1 << 18
 #: Steps that seeds are walked; what grows on is found from its mismatches, for so many totals of opposite places at once.
 STEPS, TOTALS = 48, 256
 #: Runs whose duplexes are followed first after swaps, by rank.
@@ -37,10 +39,78 @@ def kmers(seqs: DataFrame, k: int = K.SEED, seq: str = "raw") -> DataFrame:
 
 
 def seed_pairs(seqs: DataFrame, k: int = K.SEED, gap: int = K.GAP, seq: str = "raw") -> DataFrame:
-    """(seq_id, i, j): places of a k-mer and of its reverse complement, i < j, at least k + gap apart."""
-    a = kmers(seqs, k, seq)
-    b = a.select("seq_id", F.reverse(F.translate("kmer", "ACGT", "TGCA")).alias("kmer"), F.col("at").alias("j"))
-    return a.join(b, ["seq_id", "kmer"]).where(F.col("j") - F.col("at") >= k + gap).select("seq_id", F.col("at").alias("i"), "j")
+    """(seq_id, i, j): places of a k-mer and of its reverse complement, i < j, at least k + gap apart.
+
+    Rows with one id, where there are some, count as one sequence's, each with places of its own. Only sequences are shuffled.
+    """
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """Rows in order of their ids, such that none parts from others of its id."""
+        rest = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            ids = rows.column("seq_id").to_numpy()
+            size = np.cumsum(pa.compute.binary_length(rows.column("seq")).to_numpy())
+            fresh = np.flatnonzero(np.insert(ids[1:] != ids[:-1], 0, True))
+            a = 0
+            for z in fresh[1:].tolist():
+                if z == fresh[-1] or size[z - 1] - (size[a - 1] if a else 0) >= BESIDE:
+                    yield rows.slice(a, z - a)
+                    a = z
+            rest = rows.slice(a)
+        if rest is not None:
+            yield rest
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in held(batch for batch in batches if len(batch)):
+            ids = rows.column("seq_id").to_numpy()
+            t = L.Texts(rows.column("seq").combine_chunks())
+            group = np.cumsum(np.insert(ids[1:] != ids[:-1], 0, False))
+            for row, i, j in seeds_of(t.codes, t.start, t.length, group, k, gap):
+                for a in range(0, len(i), CHUNK):
+                    z = slice(a, a + CHUNK)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[row[z]]), pa.array(i[z].astype(np.int32)), pa.array(j[z].astype(np.int32))], names=["seq_id", "i", "j"])
+
+    n = int(seqs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = seqs.select(F.col("seq_id").cast("long").alias("seq_id"), F.col(seq).alias("seq")).where("seq_id is not null and seq is not null")
+    return rows.repartition(n, "seq_id").sortWithinPartitions("seq_id").mapInArrow(run, "seq_id long, i int, j int")
+
+
+def seeds_of(codes: np.ndarray, start: np.ndarray, length: np.ndarray, group: np.ndarray, k: int = K.SEED, gap: int = K.GAP) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, i, j) of all seeds of sequences side by side, places within their rows, in chunks; rows of one group meet each other."""
+    many = np.maximum(length - k + 1, 0)
+    if not many.any():
+        return
+    at, row = L.spread(start, many), np.repeat(np.arange(len(start)), many)
+    n = len(codes) - k + 1
+    forward, back, clean = np.zeros(n, np.int64), np.zeros(n, np.int64), np.ones(n, dtype=bool)
+    for d in range(k):
+        now = codes[d : d + n].astype(np.int64)
+        forward = forward * 4 + now
+        back += (3 - now) << (2 * d)
+        clean &= now < 4
+    some = clean[at]
+    at, row = at[some], row[some]
+    own = group[row] << (2 * k)
+    place = at - start[row]
+    order = np.argsort(own + forward[at], kind="stable")
+    keys = (own + forward[at])[order]
+    # sought in order of the keys of what is sought, so that neighbours are near in memory
+    seek = own + back[at]
+    ranked = np.argsort(seek, kind="stable")
+    first, last = (np.empty(len(at), np.int64) for _ in range(2))
+    first[ranked], last[ranked] = (np.searchsorted(keys, seek[ranked], side=s) for s in ("left", "right"))
+    count = last - first
+    ends = np.cumsum(count)
+    a = 0
+    while a < len(at):
+        z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + CHUNK, side="right")))
+        one = np.repeat(np.arange(a, z), count[a:z])
+        other = order[L.spread(first[a:z], count[a:z])]
+        far = place[other] - place[one] >= k + gap
+        if far.any():
+            yield row[one[far]], place[one[far]], place[other[far]]
+        a = z
 
 
 def codes_of(seq: str) -> np.ndarray:
@@ -93,13 +163,15 @@ def telling(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def extend(
-    codes: np.ndarray, i: np.ndarray, j: np.ndarray, k: int = K.SEED, budget: int = K.MISMATCHES, swapped: tuple[np.ndarray, np.ndarray] | None = None, limit: int | None = None
+    codes: np.ndarray, i: np.ndarray, j: np.ndarray, k: int = K.SEED, budget: int = K.MISMATCHES, swapped: tuple[np.ndarray, np.ndarray] | None = None, limit: int | None = None, within: tuple[np.ndarray, np.ndarray] | None = None
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Arms (x1, x2, y1, y2) that each seed grows into; a seed whose arms are longer than `limit` may stop early.
 
-    swapped: for each seed a place, and three bases that stand there in place of the sequence's.
+    swapped: for each seed a place, and three bases that stand there in place of the sequence's. within: for each seed the first
+    and the last place of its sequence, if several lie side by side.
     """
     n = len(codes)
+    low, high = within if within is not None else (np.zeros(len(i), np.int64), np.full(len(i), n - 1))
     padded = np.concatenate([codes, np.array([4, 4], dtype=np.int64)])
     x1, x2, y1, y2 = i.copy(), i + k - 1, j.copy(), j + k - 1
     spent = np.zeros(len(i), dtype=np.int64)
@@ -130,7 +202,7 @@ def extend(
         y1[live[inward]] -= 1
         spent[live[pay]] += 1
         a, b = x1[live] - 1, y2[live] + 1
-        room = (a >= 0) & (b < n)
+        room = (a >= low[live]) & (b <= high[live])
         match = room & pairs(np.where(room, a, n), np.where(room, b, n))
         pay = room & ~match & (spent[live] < budget)
         outward = match | pay
@@ -143,7 +215,11 @@ def extend(
         live = live[go]
     if len(live):
         some = None if swapped is None else (swapped[0][live], swapped[1][live])
-        x1[live], x2[live] = reach(codes, i[live], j[live], k, budget, some)
+        if within is None:
+            x1[live], x2[live] = reach(codes, i[live], j[live], k, budget, some)
+        for a, z in sorted(set(zip(low[live].tolist(), high[live].tolist(), strict=True))) if within is not None else ():
+            own = live[low[live] == a]
+            x1[own], x2[own] = (x + a for x in reach(codes[a : z + 1], i[own] - a, j[own] - a, k, budget, None))
         total = i[live] + j[live] + k - 1
         y1[live], y2[live] = total - x2[live], total - x1[live]
     return x1, x2, y1, y2
@@ -220,6 +296,38 @@ def longest(codes: np.ndarray, k: int = K.SEED, budget: int = K.MISMATCHES) -> t
     return count, exact, near
 
 
+def grown(codes: np.ndarray, start: np.ndarray, length: np.ndarray, budgets: tuple[int, ...], k: int = K.SEED) -> Iterator[tuple[np.ndarray, int, list[tuple[np.ndarray, ...]]]]:
+    """(row, number of seeds, arms by budget) of sequences side by side, in chunks: of the telling seeds, places within all codes."""
+    for row, i, j in seeds_of(codes, start, length, np.arange(len(start)), k):
+        count = np.bincount(row, minlength=len(start))
+        # totals of opposite places differ between sequences, as those are apart
+        i, j = telling(i + start[row], j + start[row])
+        row = np.searchsorted(start + length, i, side="right")
+        within = start[row], start[row] + length[row] - 1
+        yield row, count, [extend(codes, i, j, k, b, within=within) for b in budgets]
+
+
+def longest_of(codes: np.ndarray, start: np.ndarray, length: np.ndarray, k: int = K.SEED, budget: int = K.MISMATCHES) -> np.ndarray:
+    """longest() of sequences side by side: (3, sequence)."""
+    out = np.zeros((3, len(start)), np.int64)
+    for row, count, arms in grown(codes, start, length, (0, budget), k):
+        out[0] += count
+        for best, (x1, x2, _, _) in zip(out[1:], arms, strict=True):
+            np.maximum.at(best, row, x2 - x1 + 1)
+    return out
+
+
+def spans_of(codes: np.ndarray, start: np.ndarray, length: np.ndarray, k: int = K.SEED, budget: int = K.MISMATCHES, near: int = K.REPAIR_NEAR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """spans() of sequences side by side: longest duplex of each; row and arms of those near it, in order."""
+    best, kept = np.zeros(len(start), np.int64), np.zeros((0, 5), np.int64)
+    for row, _, ((x1, x2, y1, y2),) in grown(codes, start, length, (budget,), k):
+        np.maximum.at(best, row, x2 - x1 + 1)
+        kept = np.concatenate([kept, np.stack([row, *(x - start[row] for x in (x1, x2, y1, y2))], axis=1)])
+        kept = np.unique(kept[kept[:, 2] - kept[:, 1] + 1 >= np.maximum(k, best[kept[:, 0]] - near)], axis=0)
+    kept = kept[kept[:, 2] - kept[:, 1] + 1 >= np.maximum(k, best[kept[:, 0]] - near)]
+    return best, kept[:, 0], kept[:, 1:]
+
+
 def spans(codes: np.ndarray, k: int = K.SEED, budget: int = K.MISMATCHES, near: int = K.REPAIR_NEAR) -> tuple[int, np.ndarray]:
     """Longest duplex, and the different arms (x1, x2, y1, y2) of those at most `near` shorter."""
     best, kept = 0, np.zeros((0, 4), dtype=np.int64)
@@ -374,14 +482,25 @@ class Scan:
         return places, number[places]
 
 
+def side_by_side(strings: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, rows, codes, start, length) of portions of an array, codes as codes_of() gives them; null is empty."""
+    a = 0
+    for part in L.portions(strings, BESIDE):
+        t = L.Texts(part)
+        codes = np.where(t.letters < 64, 4, _CODE[t.letters & 0xDF])
+        yield a, t.n, codes, t.start, t.length
+        a += t.n
+
+
 def selfcomp_scan(seqs: DataFrame, seq: str = "raw", k: int = K.SEED, budget: int = K.MISMATCHES) -> DataFrame:
     """(seq_id, n_seed_pairs, exact, near): a null or short sequence has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [longest(codes_of(s or ""), k, budget) for s in batch.column("seq").to_pylist()]
-            columns = [pa.array([f[c] for f in found], t) for c, t in enumerate((pa.int64(), pa.int32(), pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column("seq_id"), *columns], names=["seq_id", "n_seed_pairs", "exact", "near"])
+            for a, n, *some in side_by_side(batch.column("seq")):
+                found = longest_of(*some, k, budget)
+                columns = [pa.array(found[c].astype(t.to_pandas_dtype()), t) for c, t in enumerate((pa.int64(), pa.int32(), pa.int32()))]
+                yield pa.RecordBatch.from_arrays([batch.column("seq_id").slice(a, n), *columns], names=["seq_id", "n_seed_pairs", "exact", "near"])
 
     return dealt(seqs, seq).mapInArrow(run, "seq_id long, n_seed_pairs long, exact int, near int")
 
@@ -391,13 +510,11 @@ def scan_duplexes(seqs: DataFrame, seq: str = "raw") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, rows = [], []
-            for s, ident in zip(batch.column("seq").to_pylist(), batch.column("seq_id").to_pylist(), strict=True):
-                best, arms = spans(codes_of(s or ""))
-                ids += [ident] * len(arms)
-                rows.append(np.column_stack([np.full(len(arms), best), arms[:, 1] - arms[:, 0] + 1, arms]))
-            table = np.concatenate(rows).astype(np.int32) if rows else np.zeros((0, 6), np.int32)
-            names = ["seq_id", "best", "length", "x1", "x2", "y1", "y2"]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(table[:, c]) for c in range(6))], names=names)
+            for a, n, *some in side_by_side(batch.column("seq")):
+                best, row, arms = spans_of(*some)
+                table = np.column_stack([best[row], arms[:, 1] - arms[:, 0] + 1, arms]).astype(np.int32)
+                names = ["seq_id", "best", "length", "x1", "x2", "y1", "y2"]
+                ids = batch.column("seq_id").slice(a, n).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(table[:, c]) for c in range(6))], names=names)
 
     return dealt(seqs, seq).mapInArrow(run, "seq_id long, best int, length int, x1 int, x2 int, y1 int, y2 int")

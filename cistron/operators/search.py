@@ -476,41 +476,54 @@ def breaking(seqs: DataFrame, seq: str = "cds") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, found = [], []
-            for ident, s in zip(batch.column("seq_id").to_pylist(), batch.column("seq").to_pylist(), strict=True):
-                c = codon_numbers(s) if s else None
-                if c is not None and len(c):
-                    some = variants_breaking(c, duplex.spans(_BASES[c].ravel())[1])
-                    ids += [ident] * len(some)
-                    found += some
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([i for i, _ in found], pa.int32()), pa.array([_CODONS[a] for _, a in found], pa.string())], names=["seq_id", "at", "alt"])
+            a = 0
+            for part in L.portions(batch.column("seq"), duplex.BESIDE):
+                c, n, _ = _parsed(part)
+                first = np.cumsum(n) - n
+                _, row, arms = duplex.spans_of(_BASES[c].ravel(), 3 * first, 3 * n)
+                place, alt = _breaking(c, arms + 3 * first[row, None])
+                own = np.searchsorted(first + n, place, side="right")
+                ids = batch.column("seq_id").slice(a, len(n)).take(pa.array(own))
+                yield pa.RecordBatch.from_arrays([ids, pa.array((place - first[own]).astype(np.int32)), pa.array(_CODONS).take(pa.array(alt))], names=["seq_id", "at", "alt"])
+                a += len(n)
 
     return duplex.dealt(seqs, seq).mapInArrow(run, "seq_id long, at int, alt string")
 
 
-def breaks_any_pair(codes: np.ndarray, arms: np.ndarray, at: int, alt: int) -> bool:
-    """Whether the swap leaves a base of some duplex without its complement (or finds it so)."""
-    p = at * 3 + np.arange(3)
-    x1, x2, y1, y2 = (arms[:, k, None] for k in range(4))
-    q = x1 + y2 - p
-    inside = ((x1 <= p) & (p <= x2) & (y1 <= q) & (q <= y2)) | ((y1 <= p) & (p <= y2) & (x1 <= q) & (q <= x2))
-    partner = codes[np.where(inside, q, 0)]
-    return bool((inside & (partner + _BASES[alt] != 3)).any())
-
-
-def variants_breaking(c: np.ndarray, arms: np.ndarray, only: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Swaps of codons at the arms that break a pair. The codon of an arm's last base counts unless it starts there.
-
-    only: whether each codon is of interest.
-    """
+def _breaking(c: np.ndarray, arms: np.ndarray, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """variants_breaking() as places and codons; also of sequences side by side, with places among all letters."""
     codes = _BASES[c].ravel()
     edge = np.zeros(len(c) + 2, dtype=np.int64)
     for a, b in ((arms[:, 0], arms[:, 1]), (arms[:, 2], arms[:, 3])):
         np.add.at(edge, np.maximum(a // 3, 0), 1)
         np.add.at(edge, np.minimum((b - 1) // 3, len(c) - 1) + 1, -1)
     touched = np.cumsum(edge)[: len(c)] > 0
-    places = np.flatnonzero(touched & only if only is not None else touched).tolist()
-    return [(i, alt) for i in places for alt in _ALT[c[i]] if breaks_any_pair(codes, arms, i, alt)]
+    touched = touched & only if only is not None else touched
+    found = [np.zeros(0, np.int64)]
+    for some in np.array_split(arms, max(1, -(-int((arms[:, 1] - arms[:, 0] + 1).sum()) // duplex.CHUNK))):
+        for low, high in ((some[:, 0], some[:, 1]), (some[:, 2], some[:, 3])):
+            many = high // 3 - low // 3 + 1
+            at, arm = L.spread(low // 3, many), np.repeat(np.arange(len(some)), many)
+            arm, at = arm[touched[at]], at[touched[at]]
+            x1, x2, y1, y2 = (some[arm, k, None] for k in range(4))
+            p = 3 * at[:, None] + np.arange(3)
+            q = x1 + y2 - p
+            inside = ((x1 <= p) & (p <= x2) & (y1 <= q) & (q <= y2)) | ((y1 <= p) & (p <= y2) & (x1 <= q) & (q <= x2))
+            partner = codes[np.where(inside, q, 0)]
+            for slot in range(_ALTS.shape[1]):
+                alt = _ALTS[c[at], slot]
+                broken = (alt >= 0) & (inside & (partner + _BASES[alt] != 3)).any(axis=1)
+                found.append(np.unique(at[broken]) * 8 + slot)
+    keys = np.unique(np.concatenate(found))
+    return keys // 8, _ALTS[c[keys // 8], keys % 8]
+
+
+def variants_breaking(c: np.ndarray, arms: np.ndarray, only: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Swaps of codons at the arms that break a pair (or find it broken). The codon of an arm's last base counts unless it starts there.
+
+    only: whether each codon is of interest.
+    """
+    return list(zip(*(x.tolist() for x in _breaking(c, arms, only)), strict=True))
 
 
 def _metrics(c: np.ndarray, scorer: Scorer) -> tuple[float, float, float, int, int, float]:

@@ -1,9 +1,11 @@
 """Search and duplexes beside plain versions of their rules."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from cistron import catalog
 from cistron.functions import constants as K
@@ -73,6 +75,40 @@ def test_reach_is_the_walk(parts, rest, place, budget):
             assert list(zip(x1.tolist(), x2.tolist(), strict=True)) == [w[:2] for w in walked]
 
 
+@pytest.mark.parametrize("chunk", [8, 1 << 18])
+def test_sequences_side_by_side(chunk, monkeypatch):
+    """Scans of sequences together are each as by itself, with seeds in small chunks too."""
+    monkeypatch.setattr(duplex, "CHUNK", chunk)
+    rng = np.random.default_rng(12)
+    arm = lambda n: "".join(rng.choice(list("ACGT"), n))
+    back = lambda s: "".join(PAIR[c] for c in reversed(s))
+    halves = [arm(n) for n in (10, 12, 40, 90)]
+    some = [h + arm(d) + back(h) for h in halves for d in (0, 3, 7)] + ["", "ACG", "AT" * 60, "N" * 30, "GC" * 20 + "n" + "at" * 15, arm(400), arm(9) + halves[0]]
+    for _, n, codes, start, length in duplex.side_by_side(pa.array([*some, None])):
+        assert n == len(some) + 1
+        found = duplex.longest_of(codes, start, length)
+        best, row, arms = duplex.spans_of(codes, start, length)
+        for r, s in enumerate(some):
+            assert tuple(found[:, r].tolist()) == duplex.longest(duplex.codes_of(s))
+            one = duplex.spans(duplex.codes_of(s))
+            assert best[r] == one[0] and arms[row == r].tolist() == one[1].tolist()
+
+
+def test_seed_pairs_of_repeated_ids(spark, monkeypatch):
+    """Rows with one id meet as the join of their k-mers has them, nulls and other letters have none; only sequences are shuffled."""
+    monkeypatch.setattr(duplex, "BESIDE", 64)
+    one = "ACGTTGCAACTTTAAAGTTGCAACGT"
+    rows = [(1, one), (2, "GGGGGGGGGGAAA"), (2, "A" * 20 + "CCCCCCCCCC"), (None, one), (3, None), (4, one.lower()), (5, "AT" * 30), (6, "ACGTNNNNNN" * 4)]
+    df = spark.createDataFrame(rows, "seq_id long, raw string")
+    a = duplex.kmers(df)
+    b = a.select("seq_id", F.reverse(F.translate("kmer", "ACGT", "TGCA")).alias("kmer"), F.col("at").alias("j"))
+    want = sorted(tuple(r) for r in a.join(b, ["seq_id", "kmer"]).where("j - at >= 13").select("seq_id", "at", "j").collect())
+    got = duplex.seed_pairs(df)
+    assert sorted(map(tuple, got.collect())) == want and {r[0] for r in want} == {1, 2, 5}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+
+
 def test_merged_runs():
     runs = duplex.merged(np.array([1, 1, 0, 1, 1]), np.array([5, 0, 0, 3, 9]), np.array([6, 4, 9, 3, 9]))
     assert [r.tolist() for r in runs] == [[0, 1, 1], [0, 0, 9], [9, 6, 9]]
