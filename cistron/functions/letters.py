@@ -148,7 +148,7 @@ def portions(strings: pa.Array, most: int | None = None) -> Iterator[pa.Array]:
         a = z
 
 
-_KINDS = {"string": pa.string(), "double": pa.float64(), "int": pa.int32()}
+_KINDS = {"string": pa.string(), "double": pa.float64(), "int": pa.int32(), "struct<pairs: int, longest: int, n8: int>": pa.struct([(c, pa.int32()) for c in ("pairs", "longest", "n8")])}
 
 
 def column(kind: str, f: Callable[[Texts], pa.Array | np.ndarray | np.ma.MaskedArray]) -> Callable[[Column], Column]:

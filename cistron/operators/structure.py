@@ -9,10 +9,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Protocol
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import letters as L
+
 #: Longest sequence folded whole, local and start windows, and sampled windows of longer ones.
 FOLD_MOST, LOCAL, START, ACCESS, WINDOW, STRIDE = 3000, 150, 45, 30, 200, 500
 
@@ -45,13 +48,41 @@ def helix_lengths(pairs: DataFrame) -> DataFrame:
     return runs.groupBy("seq_id", "sum", "run").agg(F.min("i").alias("i"), F.count(F.lit(1)).cast("int").alias("length")).select("seq_id", "i", "length")
 
 
+def _helices(t: L.Texts) -> pa.Array:
+    """Number of pairs, longest helix and helices of eight or more of each dot-bracket string, by the rules of the two functions above."""
+    kind = np.zeros(256, np.int64)
+    for k, both in enumerate(("()", "[]", "{}"), 1):
+        kind[list(both.encode())] = k
+    at = np.flatnonzero(kind[t.letters])
+    row, step = np.searchsorted(t.start + t.length, at, side="right"), np.where(np.isin(t.letters[at], list(b"([{")), 1, -1)
+    found = [np.zeros((3, 0), np.int64)]
+    for k in (1, 2, 3):
+        own = kind[t.letters[at]] == k
+        p, r, d = at[own], row[own], step[own]
+        upto = np.cumsum(d)
+        before = np.concatenate(([0], upto))[np.searchsorted(p, t.start)]
+        depth = upto - before[r] + (d < 0)
+        order = np.lexsort((p, depth, r))
+        p, r, d, depth = p[order], r[order], d[order], depth[order]
+        pair = np.flatnonzero((d[:-1] == 1) & (d[1:] == -1) & (r[:-1] == r[1:]) & (depth[:-1] == depth[1:]))
+        found.append(np.stack([r[pair], p[pair], p[pair] + p[pair + 1]]))
+    r, i, total = np.concatenate(found, axis=1)
+    order = np.lexsort((i, total, r))
+    r, i, total = r[order], i[order], total[order]
+    head = np.flatnonzero(np.insert((np.diff(r) != 0) | (np.diff(total) != 0) | (np.diff(i) != 1), 0, True)) if len(r) else r
+    length = np.diff(np.append(head, len(r))) if len(r) else r
+    longest = np.zeros(t.n, np.int64)
+    np.maximum.at(longest, r[head], length)
+    columns = (np.bincount(r, minlength=t.n), longest, np.bincount(r[head][length >= 8], minlength=t.n))
+    return pa.StructArray.from_arrays([pa.array(c.astype(np.int32)) for c in columns], ["pairs", "longest", "n8"])
+
+
 def helix_features(structures: DataFrame, column: str = "structure") -> DataFrame:
-    """(seq_id, paired_fraction, longest_helix, n_helices8)."""
-    pairs = parse_db(structures, column)
-    by_seq = helix_lengths(pairs).groupBy("seq_id").agg(F.max("length").alias("longest"), F.sum(F.when(F.col("length") >= 8, 1).otherwise(0)).alias("n8"), F.sum("length").alias("pairs"))
+    """(seq_id, paired_fraction, longest_helix, n_helices8) of each row, without a shuffle; zeros for a row without id."""
     n = F.greatest(F.length(F.coalesce(column, F.lit(""))), F.lit(1))
-    out = structures.select("seq_id", n.alias("n")).join(by_seq, "seq_id", "left")
-    return out.select("seq_id", (2 * F.coalesce("pairs", F.lit(0)) / F.col("n")).alias("paired_fraction"), F.coalesce("longest", F.lit(0)).alias("longest_helix"), F.coalesce("n8", F.lit(0)).cast("int").alias("n_helices8"))
+    rows = structures.select("seq_id", n.alias("n"), L.column("struct<pairs: int, longest: int, n8: int>", _helices)(F.col(column)).alias("h"))
+    of = lambda c: F.when(F.col("seq_id").isNotNull(), F.col(f"h.{c}")).otherwise(0)
+    return rows.select("seq_id", (2 * of("pairs") / F.col("n")).alias("paired_fraction"), of("longest").alias("longest_helix"), of("n8").alias("n_helices8"))
 
 
 def windows(seq: Column, longest: int = LOCAL) -> Column:

@@ -102,6 +102,21 @@ def test_structure(spark):
     assert features[5].longest_helix == 8 and features[5].n_helices8 == 1 and features[2].longest_helix == 0
 
 
+def test_helices_of_rows_are_those_of_pairs(spark):
+    """Beside pairs and helices as rows; nothing is shuffled."""
+    some = ["((..[))]", "", None, "(()", ".((((((((...)))))))).", "))((", "()()(((...)))", "([{}])" * 9, "((((((((((..))))))))))[[..]]", "((é..))"]
+    df = spark.createDataFrame(list(enumerate(some)), "seq_id long, structure string").repartition(2)
+    pairs = structure.parse_db(df)
+    lengths: dict[int, list[int]] = {}
+    for r in structure.helix_lengths(pairs).collect():
+        lengths.setdefault(r.seq_id, []).append(r.length)
+    made = structure.helix_features(df)
+    for r in made.collect():
+        own = lengths.get(r.seq_id, [])
+        assert r.paired_fraction == pytest.approx(2 * sum(own) / max(1, len(some[r.seq_id] or ""))) and r.longest_helix == max(own, default=0) and r.n_helices8 == sum(n >= 8 for n in own)
+    assert "Window" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert structure.helix_features(spark.createDataFrame([(None, "(...)")], "seq_id long, structure string")).first().longest_helix == 0
+
 
 class Flat:
     """A backend that pairs nothing, and knows no profile of sequences with a G in front."""
