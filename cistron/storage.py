@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,8 +17,6 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    import tempfile
-
     return tempfile.mkdtemp(prefix="checkpoint-")
 
 
@@ -41,3 +42,9 @@ def write_file(spark: SparkSession, path: str, text: str) -> str:
     finally:
         out.close()
     return path
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to all executors, for a session whose executors may not have it installed."""
+    package = Path(__file__).resolve().parent
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='package-')}/{package.name}", "zip", package.parent, package.name))

@@ -34,6 +34,7 @@ from cistron.functions import constants as K
 from cistron.functions import sequence as S
 from cistron.operators import corpus
 from cistron.sources.sequences import derived
+from cistron.storage import ship
 
 log = logging.getLogger("corpus_intake")
 
@@ -168,6 +169,7 @@ def main(arguments: list[str] | None = None) -> None:
     config = json.loads(Path(given.config).read_text())
     spark = SparkSession.builder.appName("corpus_intake").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     try:
+        ship(spark)
         run(spark, given.documents, given.out, given.checkpoint, config)
     finally:
         spark.stop()

@@ -31,7 +31,7 @@ from cistron.functions import constants as K
 from cistron.functions import sequence as S
 from cistron.operators import corpus, score, select
 from cistron.sources.sequences import derived
-from cistron.storage import checkpoint
+from cistron.storage import checkpoint, ship
 
 log = logging.getLogger("delivery")
 
@@ -105,6 +105,7 @@ def main(arguments: list[str] | None = None) -> None:
     config = json.loads(Path(given.config).read_text())
     spark = SparkSession.builder.appName("delivery").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     try:
+        ship(spark)
         run(spark, given.documents, given.out, config)
     finally:
         spark.stop()
