@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 from itertools import product
 
 import numpy as np
@@ -389,60 +390,134 @@ def refine(seqs: DataFrame, scorer: Scorer, rounds: int = K.REFINE_ROUNDS, seq:
     return duplex.dealt(seqs, seq).mapInArrow(run, "seq_id long, refined string, score_start double, score_end double, n_moves int")
 
 
-#: Partial sequences that clean_start() carries on, and what a broken constraint costs.
-BEAM, BROKEN = 16, 1000.0
-_STRONG = {c: sum((b in "GC") << (2 - i) for i, b in enumerate(c)) for c in _CODONS}
+#: Partial sequences that clean_starts() carries on, and what a broken constraint costs; codons of proteins side by side.
+BEAM, BROKEN, ABREAST = 16, 1000.0, 1 << 21
 _GC_FEWEST, _GC_MOST = int(np.ceil(K.GC_LO * K.GC_WINDOW - 1e-9)), int(K.GC_HI * K.GC_WINDOW + 1e-9)
+_AMINOS = np.full(256, -1, dtype=np.int8)
+_AMINOS[[ord(a) for a in K.SYNONYMS]] = range(len(K.SYNONYMS))
+#: Codons of each amino acid, 64 beyond the last one; by codon, 64 among them: share in the score, strong bases as bits.
+_SYN = np.array([([_NUMBER[c] for c in v] + [64] * 6)[:6] for v in K.SYNONYMS.values()])
+_N_SYN = (_SYN < 64).sum(axis=1)
+_SHARE = np.append(_LOG_W, -np.inf)
+_STRONG = np.append(np.isin(_BASES, (1, 2)) @ np.array([4, 2, 1]), 0).astype(np.uint64)
+_LAST, _WINDOW, _HELD = 7, np.uint64((1 << K.GC_WINDOW) - 1), np.uint64((1 << K.GC_WINDOW + 2) - 1)
+#: Proteins from which on those of like codons are taken by themselves; before, one step serves all.
+_APART = 256
+
+
+@cache
+def _new_motifs(n: int) -> np.ndarray:
+    """Motifs that a codon after `n` letters (the last `_LAST` at most) brings, by the number of those letters and the codon's."""
+    s = np.arange(1 << 2 * (_LAST + 3))
+    out = np.zeros(len(s), np.uint8)
+    for m in _MOTIFS:
+        code = int(m @ 4 ** np.arange(len(m))[::-1])
+        at = [p for p in range(_LAST - n, _LAST + 4 - len(m))]
+        hit = [(s >> 2 * (_LAST + 3 - p - len(m)) & (1 << 2 * len(m)) - 1) == code for p in at]
+        none = np.zeros(len(s), bool)
+        within = np.logical_or.reduce([none, *(h for h, p in zip(hit, at, strict=True) if p + len(m) <= _LAST)])
+        out += np.logical_or.reduce([none, *hit]) & ~within
+    return out
+
+
+def clean_codons(aa: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Codon numbers of proteins side by side, `n` amino acids each, by usage, without motifs and with the GC of each window within bounds.
+
+    A beam over codons for each protein, each partial sequence with its last letters and the strong bases of its last window; a
+    constraint that can't be kept is broken as seldom as the beam finds. All proteins that reach so far take a codon together.
+    Of equal last letters and strong bases the best goes on; then the best of each number of strong bases first, so that
+    some leave room for what comes. Equal scores go by the first that had those letters and bases.
+    """
+    begin, rows = np.cumsum(n) - n, np.argsort(-n, kind="stable")
+    begin, lengths = begin[rows], n[rows]
+    value = np.full((len(n), BEAM), -np.inf)
+    value[:, 0] = 0.0
+    tail, bits = np.zeros((len(n), BEAM), np.int32), np.zeros((len(n), BEAM), np.uint64)
+    parents, codons = [], []
+    for k in range(int(lengths[0]) if len(n) else 0):
+        active = int(np.searchsorted(-lengths, -k))
+        own = aa[begin[:active] + k]
+        many = _N_SYN[own]
+        groups = [(np.flatnonzero(many == m), m) for m in np.unique(many).tolist()] if active >= _APART else [(np.arange(active), int(many.max()))]
+        parent, codon = np.zeros((2, active, BEAM), np.uint8)
+        for g, m in groups:
+            syn = _SYN[own[g], :m]
+            letters = (tail[g][:, :, None] << 6) | (syn & 63).astype(np.int32)[:, None, :]
+            strong = ((bits[g][:, :, None] << np.uint64(3)) | _STRONG[syn][:, None, :]) & _HELD
+            broken = _new_motifs(min(3 * k, _LAST))[letters]
+            in_window = np.bitwise_count(strong & _WINDOW)
+            for d in range(3):
+                if 3 * k + 3 - d >= K.GC_WINDOW:
+                    some = np.bitwise_count(strong >> np.uint64(d) & _WINDOW) if d else in_window
+                    broken += (some < _GC_FEWEST) | (some > _GC_MOST)
+            v = value[g][:, :, None] + _SHARE[syn][:, None, :] - BROKEN * broken
+            order = _by_value(v, value[g], tail[g], bits[g])
+            v, letters, strong, in_window = (x.reshape(len(g), -1) for x in (v, letters & (1 << 2 * _LAST) - 1, strong, in_window))
+            sorted_v, number = np.take_along_axis(v, order, 1), np.take_along_axis(in_window, order, 1).astype(np.uint64)
+            seen = np.bitwise_or.accumulate(np.uint64(1) << number, axis=1)
+            kept = sorted_v > -np.inf
+            kept[:, 1:] &= seen[:, :-1] >> number[:, 1:] & np.uint64(1) == 0
+            rank = np.cumsum(kept, axis=1)
+            row, at = np.nonzero(kept & (rank <= BEAM))
+            slot, from_, to = rank[row, at] - 1, order[row, at], g[row]
+            value[g] = -np.inf
+            value[to, slot], tail[to, slot], bits[to, slot] = v[row, from_], letters[row, from_], strong[row, from_]
+            parent[to, slot], codon[to, slot] = from_ // m, syn[row, from_ % m]
+        parents.append(parent)
+        codons.append(codon)
+    out, slot = np.zeros(len(aa), np.uint8), np.zeros(len(n), np.int64)
+    for k in range(len(parents) - 1, -1, -1):
+        at = np.arange(len(parents[k]))
+        out[begin[at] + k] = codons[k][at, slot[at]]
+        slot[at] = parents[k][at, slot[at]]
+    return out
+
+
+def _by_value(v: np.ndarray, value: np.ndarray, tail: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Places of each row by falling score; equal ones by the first place with the same last letters and strong bases, then by place.
+
+    v: scores by partial sequence and codon; the others are those of the partial sequences. With one codon more, those are alike
+    that have four last letters and the bases of a window in common: bases tell half of a letter.
+    """
+    alike = bits & np.uint64((1 << K.GC_WINDOW - 1) - 1)
+    for k in range(4):
+        alike |= ((tail >> 2 * k + 1) & 1).astype(np.uint64) << np.uint64(K.GC_WINDOW - 1 + k)
+    alike[value == -np.inf] = 1 << 63
+    first = (alike[:, :, None] == alike[:, None, :]).argmax(axis=2)
+    flat = -v.reshape(len(v), -1)
+    order = np.argsort(flat, axis=1, kind="stable")
+    rows = np.flatnonzero(((first < np.arange(BEAM)) & (value > -np.inf)).any(axis=1))
+    if len(rows):
+        key = (first[rows, :, None] * v.shape[2] + np.arange(v.shape[2])).reshape(len(rows), -1)
+        order[rows] = np.lexsort((key, flat[rows]), axis=1)
+    return order
+
+
+def _clean(strings: pa.Array) -> pa.Array:
+    t = L.Texts(strings)
+    aa = _AMINOS[t.letters]
+    bad = t.null | (t.total(aa < 0) > 0)
+    n = np.where(bad, 0, t.length)
+    codons = clean_codons(aa[L.spread(t.start, n)], n)
+    offsets = np.append(0, 3 * np.cumsum(n)).astype(np.int64)
+    made = pa.LargeStringArray.from_buffers(len(n), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(_CODON_LETTERS[codons])))
+    return pa.compute.if_else(pa.array(~bad), made, None).cast(pa.string())
 
 
 def clean_start(aa: str) -> str | None:
-    """Codons of a protein by usage, without motifs and with the GC of each window of 60 letters within bounds.
-
-    A beam over codons, each partial sequence with its last letters and the strong bases of its last window; a constraint
-    that can't be kept is broken as seldom as the beam finds. Null if a letter is no amino acid.
-    """
-    if any(a not in K.SYNONYMS for a in aa):
-        return None
-    width, full = K.GC_WINDOW, (1 << K.GC_WINDOW) - 1
-    motif: dict[tuple[str, str], int] = {}
-    # score, last letters, strong bases as bits, the codons so far as linked pairs
-    beam: list[tuple[float, str, int, tuple | None]] = [(0.0, "", 0, None)]
-    for k, a in enumerate(aa):
-        best: dict[tuple[str, int], tuple[float, str, int, tuple | None]] = {}
-        n = 3 * k + 3
-        for value, tail, bits, path in beam:
-            for c in K.SYNONYMS[a]:
-                if (tail, c) not in motif:
-                    s = tail + c
-                    motif[tail, c] = sum(m in s and not (m in tail) for m in K.MOTIFS)
-                b = (bits << 3) | _STRONG[c]
-                bad = motif[tail, c]
-                for d in range(3):
-                    if n - d >= width:
-                        bad += not _GC_FEWEST <= (b >> d & full).bit_count() <= _GC_MOST
-                key = ((tail + c)[-7:], b & (full << 2 | 3))
-                v = value + float(C._LOG_W[c]) - BROKEN * bad
-                if key not in best or v > best[key][0]:
-                    best[key] = (v, *key, (path, c))
-        # the best of each number of strong bases first, so that some leave room for what comes
-        each: dict[int, tuple[float, str, int, tuple | None]] = {}
-        for x in sorted(best.values(), key=lambda x: -x[0]):
-            each.setdefault((x[2] & full).bit_count(), x)
-        beam = list(each.values())[:BEAM]
-    out, path = [], beam[0][3]
-    while path:
-        path, c = path
-        out.append(c)
-    return "".join(reversed(out))
+    """clean_codons() of one protein. Null if a letter is no amino acid."""
+    return _clean(pa.array([aa], pa.string()))[0].as_py()
 
 
 def clean_starts(proteins: DataFrame, aa: str = "aa") -> DataFrame:
-    """(seq_id, seq) by clean_start(), null for a null protein."""
+    """(seq_id, seq) by clean_codons(), null for a null protein."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [None if s is None else clean_start(s) for s in batch.column("seq").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("seq_id"), pa.array(made, pa.string())], names=["seq_id", "seq"])
+            a = 0
+            for part in L.portions(batch.column("seq"), ABREAST):
+                yield pa.RecordBatch.from_arrays([batch.column("seq_id").slice(a, len(part)), _clean(part)], names=["seq_id", "seq"])
+                a += len(part)
 
     return duplex.dealt(proteins, aa).mapInArrow(run, "seq_id long, seq string")
 

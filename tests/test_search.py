@@ -276,3 +276,38 @@ def test_topk_candidates(spark):
     df = spark.createDataFrame(rows, "protein string, cand_id long, source string, score double, z_nat double, cai double, gc double, sites int, selfcomp int, seq string, x double")
     got = sorted(select.topk_rows(df, ["x"]).collect(), key=lambda r: r["rank"])
     assert [r["rank"] for r in got] == [1, 2, 3, 4, 5] and got[0].seq == "ATG5" and got[0].selfcomp == 15 and got[0].__fields__ == ["protein", "rank", "source", "score", "z_nat", "cai", "gc", "sites", "selfcomp", "seq"]
+
+
+def plain_clean(aa):
+    """The beam for one protein, partial sequences one by one."""
+    full, beam = (1 << K.GC_WINDOW) - 1, [(0.0, "", 0, "")]
+    for k, a in enumerate(aa):
+        best = {}
+        for value, tail, bits, made in beam:
+            for c in K.SYNONYMS[a]:
+                b = (bits << 3) | sum((x in "GC") << (2 - i) for i, x in enumerate(c))
+                bad = sum(m in tail + c and m not in tail for m in K.MOTIFS)
+                bad += sum(3 * k + 3 - d >= K.GC_WINDOW and not 18 <= (b >> d & full).bit_count() <= 42 for d in range(3))
+                key, v = ((tail + c)[-7:], b & (full << 2 | 3)), value + float(search.C._LOG_W[c]) - search.BROKEN * bad
+                if key not in best or v > best[key][0]:
+                    best[key] = (v, *key, made + c)
+        each = {}
+        for x in sorted(best.values(), key=lambda x: -x[0]):
+            each.setdefault((x[2] & full).bit_count(), x)
+        beam = list(each.values())[: search.BEAM]
+    return beam[0][3]
+
+
+@pytest.mark.parametrize("apart", [1, 1000])
+def test_clean_starts_side_by_side(spark, monkeypatch, apart):
+    """Many proteins beside the plain beam, ties and broken constraints included; a step serves all of them."""
+    monkeypatch.setattr(search, "_APART", apart)
+    rng = np.random.default_rng(8)
+    made = ["".join(rng.choice(list(letters), n)) for letters in (sorted(K.SYNONYMS), "SRLAPG", "KNFIY") for n in (1, 2, 3, 19, 20, 21, 64, 90)]
+    made += ["K" * 70, "G" * 70, "EF" * 30, "", "", "SR" * 40]
+    steps, by_value = [], search._by_value
+    monkeypatch.setattr(search, "_by_value", lambda *x: steps.append(1) or by_value(*x))
+    got = search._clean(search.pa.array([*made, None, "M?", "é"])).to_pylist()
+    assert got == [*map(plain_clean, made), None, None, None]
+    assert apart == 1 or len(steps) == max(map(len, made))
+    assert search._clean(search.pa.array([], search.pa.string())).to_pylist() == []
