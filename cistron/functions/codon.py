@@ -141,7 +141,7 @@ def back_translate(aa: Column) -> Column:
         unknown = t.total(letters[:, 0] == 0) > 0
         return t.strings(np.ones(letters.size, dtype=bool), letters.ravel(), t.null | unknown, 3 * t.start, 3 * t.length)
 
-    return L.column("string", best)(aa)
+    return L.column("string", best, once=True)(aa)
 
 
 def mean_coefficient(s: Column, values: dict[str, float]) -> Column:

@@ -121,7 +121,8 @@ class Texts:
         fresh = np.concatenate(([True], self.letters[1:] != self.letters[:-1]))
         fresh[self.start[self.length > 0]] = True
         at = np.flatnonzero(fresh)
-        return np.searchsorted(self.start, at, side="right") - 1, self.letters[at], np.diff(np.append(at, len(self.letters)))
+        many = np.diff(np.searchsorted(at, np.append(self.start, len(self.letters))))
+        return np.repeat(np.arange(self.n), many), self.letters[at], np.diff(np.append(at, len(self.letters)))
 
     def strings(self, keep: np.ndarray, letters: np.ndarray, null: np.ndarray | None = None, start: np.ndarray | None = None, length: np.ndarray | None = None) -> pa.Array:
         """Of the letters side by side those to keep, as strings of their rows."""
@@ -151,8 +152,12 @@ def portions(strings: pa.Array, most: int | None = None) -> Iterator[pa.Array]:
 _KINDS = {"string": pa.string(), "double": pa.float64(), "int": pa.int32(), "struct<pairs: int, longest: int, n8: int>": pa.struct([(c, pa.int32()) for c in ("pairs", "longest", "n8")])}
 
 
-def column(kind: str, f: Callable[[Texts], pa.Array | np.ndarray | np.ma.MaskedArray]) -> Callable[[Column], Column]:
-    """f as a function of a column: what it gives for each row, with masked values as null."""
+def column(kind: str, f: Callable[[Texts], pa.Array | np.ndarray | np.ma.MaskedArray], once: bool = False) -> Callable[[Column], Column]:
+    """f as a function of a column: what it gives for each row, with masked values as null.
+
+    once: not computed anew in each column made of it, nor by a filter before rows are dealt out. Spark counts a Python
+    function as cheap and does both, unless it is declared not to be deterministic.
+    """
 
     def run(strings: pa.Array) -> pa.Array:
         parts = []
@@ -163,7 +168,8 @@ def column(kind: str, f: Callable[[Texts], pa.Array | np.ndarray | np.ma.MaskedA
             parts.append((out if isinstance(out, pa.Array) else pa.array(out)).cast(_KINDS[kind]))
         return pa.concat_arrays(parts) if parts else pa.array([], _KINDS[kind])
 
-    return F.arrow_udf(run, kind)
+    made = F.arrow_udf(run, kind)
+    return made.asNondeterministic() if once else made
 
 
 def masked(values: np.ndarray, null: np.ndarray) -> np.ma.MaskedArray:

@@ -23,9 +23,14 @@ def from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def derived(docs: DataFrame) -> DataFrame:
-    """The sequences of from_documents() for documents at hand, also for those of a stream; a null text is an empty sequence."""
-    rows = docs.select(F.col("doc_id").alias("seq_id"), F.col("lang").alias("grp"), "source", L.column("string", _bases)(F.col("text")).alias("raw"))
-    return rows.withColumn("cds", L.column("string", _sense)(F.col("raw")))
+    """The sequences of from_documents() for documents at hand, also for those of a stream; a null text is an empty sequence.
+
+    Rows are dealt anew, as a file's row group, however large, is read by one task. The text deals as well as the id, so
+    that rows without an id are spread, too.
+    """
+    rows, text = docs.repartition("doc_id", "text"), F.col("text")
+    made = {"raw": L.column("string", _bases, once=True)(text), "cds": L.column("string", lambda t: _sense(L.Texts(_bases(t))), once=True)(text)}
+    return rows.select(F.col("doc_id").alias("seq_id"), F.col("lang").alias("grp"), "source", *(c.alias(n) for n, c in made.items()))
 
 
 _TABLE = np.zeros(256, dtype=np.uint8)

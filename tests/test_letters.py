@@ -4,13 +4,14 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from cistron.functions import codon as C
 from cistron.functions import letters as L
 from cistron.functions import sequence as S
 from cistron.operators import corpus, score
-from cistron.sources.sequences import BASES, derived
+from cistron.sources.sequences import BASES, derived, from_documents
 from pyspark.sql import functions as F
 
 TEXTS = ["ATGAAACCCTAAGG", "", None, "é\U0001f600ATGNAA", "acgtACGT", "A" * 70, "GTAAGTAAGT" * 9, "GAATTCGAATTC", "GCGGCCGCGGCCGC", "TTTTTTTAATT", "TAATAGTGA", "GC" * 45 + "AT" * 40]
@@ -59,6 +60,26 @@ def test_derived_sequences_and_pairs(rows, spark):
     assert dict(map(tuple, corpus.pair_counts(rows, "s").collect())) == want
 
 
+def test_rows_of_one_row_group_are_dealt_out(spark, tmp_path):
+    """A file of one row group is read by one task, but not measured by one, whether its rows have ids or not."""
+    letters = np.random.default_rng(5).choice(list("ACGTacgtxyz"), (400, 20_000))
+    for ids in (range(400), [None] * 400):
+        docs = pa.table({"doc_id": pa.array(ids, pa.int64()), "text": ["".join(r) for r in letters], "lang": ["x"] * 400, "source": ["y"] * 400})
+        pq.write_table(docs, tmp_path / "documents.parquet", row_group_size=400)
+        dealt = from_documents(spark, str(tmp_path)).where("length(cds) > 0").groupBy(F.spark_partition_id()).count().collect()
+        assert sum(n for _, n in dealt) == 400 and len(dealt) > 1 and max(n for _, n in dealt) < 200
+
+
+def test_sequences_are_derived_once(spark):
+    """What is measured of a sequence, or filters by it, doesn't derive it again, and no filter goes before the dealing."""
+    docs = spark.createDataFrame([(1, "acgt" * 9, "x", "y")], "doc_id long, text string, lang string, source string")
+    rows = derived(docs).where("cds <> ''").select("seq_id", *C.codon_features(F.col("cds")).values(), S.n_hp5(F.col("raw")), S.gc_content(F.col("raw")))
+    best = derived(docs).select(C.back_translate(C.translate_a(F.col("cds"))).alias("s")).select(S.gc_content(F.col("s")), S.n_hp5(F.col("s")))
+    for made, nested in ((rows, "run(run("), (best, "run(run(run(")):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert nested not in plan and plan.index("hashpartitioning") > plan.rindex("run(")
+
+
 def test_slices_of_arrays():
     some = pa.array(["xx", "ATG", None, "ATGé", ""]).slice(1)
     t = L.Texts(some)
