@@ -149,10 +149,47 @@ def portions(strings: pa.Array, most: int | None = None) -> Iterator[pa.Array]:
         a = z
 
 
+#: What a function gives for the strings of a portion, one value for each.
+Measure = Callable[[Texts], pa.Array | np.ndarray | np.ma.MaskedArray]
 _KINDS = {"string": pa.string(), "double": pa.float64(), "int": pa.int32(), "struct<pairs: int, longest: int, n8: int>": pa.struct([(c, pa.int32()) for c in ("pairs", "longest", "n8")])}
 
 
-def column(kind: str, f: Callable[[Texts], pa.Array | np.ndarray | np.ma.MaskedArray], once: bool = False) -> Callable[[Column], Column]:
+def _array(kind: str, out: pa.Array | np.ndarray | np.ma.MaskedArray) -> pa.Array:
+    if isinstance(out, np.ma.MaskedArray):
+        out = pa.array(out.data, mask=np.ma.getmaskarray(out))
+    return (out if isinstance(out, pa.Array) else pa.array(out)).cast(_KINDS[kind])
+
+
+class Together:
+    """A column of which several measures are taken at once: functions made by column() take it in a column's place, in together()."""
+
+    def __init__(self) -> None:
+        self.measures: list[tuple[str, Measure]] = []
+
+    def add(self, kind: str, f: Measure) -> int:
+        self.measures.append((kind, f))
+        return len(self.measures) - 1
+
+
+def together(s: Column, measures: Callable[[Together], dict[str, int]]) -> dict[str, Column]:
+    """The named measures as columns, all from one look at each portion: what one finds of the letters serves the others."""
+    some = Together()
+    names = measures(some)
+    kinds = [kind for kind, _ in some.measures]
+    fields = [f"_{i}" for i in range(len(kinds))]
+
+    def run(strings: pa.Array) -> pa.Array:
+        parts = []
+        for part in portions(strings):
+            t = Texts(part)
+            parts.append(pa.StructArray.from_arrays([_array(kind, f(t)) for kind, f in some.measures], fields))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([(n, _KINDS[k]) for n, k in zip(fields, kinds, strict=True)]))
+
+    made = F.arrow_udf(run, f"struct<{', '.join(f'{n}: {k}' for n, k in zip(fields, kinds, strict=True))}>")(s)
+    return {name: made.getField(fields[i]) for name, i in names.items()}
+
+
+def column(kind: str, f: Measure, once: bool = False) -> Callable[[Column], Column]:
     """f as a function of a column: what it gives for each row, with masked values as null.
 
     once: not computed anew in each column made of it, nor by a filter before rows are dealt out. Spark counts a Python
@@ -160,16 +197,16 @@ def column(kind: str, f: Callable[[Texts], pa.Array | np.ndarray | np.ma.MaskedA
     """
 
     def run(strings: pa.Array) -> pa.Array:
-        parts = []
-        for part in portions(strings):
-            out = f(Texts(part))
-            if isinstance(out, np.ma.MaskedArray):
-                out = pa.array(out.data, mask=np.ma.getmaskarray(out))
-            parts.append((out if isinstance(out, pa.Array) else pa.array(out)).cast(_KINDS[kind]))
+        parts = [_array(kind, f(Texts(part))) for part in portions(strings)]
         return pa.concat_arrays(parts) if parts else pa.array([], _KINDS[kind])
 
-    made = F.arrow_udf(run, kind)
-    return made.asNondeterministic() if once else made
+    def of(s: Column) -> Column:
+        if isinstance(s, Together):
+            return s.add(kind, f)
+        made = F.arrow_udf(run, kind)
+        return (made.asNondeterministic() if once else made)(s)
+
+    return of
 
 
 def masked(values: np.ndarray, null: np.ndarray) -> np.ma.MaskedArray:

@@ -7,7 +7,7 @@ as one array, and what is measured by it needs no shuffle.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -70,11 +70,16 @@ def _as_array(values: DataFrame, value: str) -> tuple[np.ndarray, int]:
     return out, sum(r["n"] for r in rows)
 
 
-def with_naturalness(seqs: DataFrame, counts: DataFrame, seq: str = "cds") -> DataFrame:
-    """seqs and nat: mean smoothed log-probability of a sequence's pairs; 0 without pairs."""
+def mean_log_probability(counts: DataFrame) -> Callable[[Column], Column]:
+    """Of a sequence: the mean smoothed log-probability of its pairs by the counts; 0 without pairs."""
     n, total = _as_array(counts, "n")
     logs = np.log((np.nan_to_num(n) + 1) / (total + K.PAIR_VOCABULARY))
-    return seqs.withColumn("nat", C.mean_by_pair(F.col(seq), logs, float(np.log(1 / (total + K.PAIR_VOCABULARY)))))
+    return lambda s: C.mean_by_pair(s, logs, float(np.log(1 / (total + K.PAIR_VOCABULARY))))
+
+
+def with_naturalness(seqs: DataFrame, counts: DataFrame, seq: str = "cds") -> DataFrame:
+    """seqs and nat, as mean_log_probability() gives it."""
+    return seqs.withColumn("nat", mean_log_probability(counts)(F.col(seq)))
 
 
 def naturalness(seqs: DataFrame, counts: DataFrame, seq: str = "cds") -> DataFrame:
@@ -94,10 +99,10 @@ def codon_pair_bias(seqs: DataFrame, counts: DataFrame, seq: str = "cds") -> Dat
     return seqs.select("seq_id", C.mean_by_pair(F.col(seq), _as_array(scores, "cps")[0]).alias("cpb"))
 
 
-def measured(seqs: DataFrame, counts: DataFrame | None = None, seq: str = "cds") -> DataFrame:
-    """seqs and cai, tai, nat against the counts (by default of the sequences themselves)."""
-    counts = counts if counts is not None else pair_counts(seqs, seq)
-    return with_naturalness(seqs, counts, seq).withColumns({"cai": C.cai(F.col(seq)), "tai": C.tai(F.col(seq))})
+def measured(seqs: DataFrame, counts: DataFrame | None = None, seq: str = "cds", more: Callable[[L.Together], dict[str, int]] = lambda s: {}) -> DataFrame:
+    """seqs and cai, tai, nat against the counts (by default of the sequences themselves), and `more` measures of the same look."""
+    nat = mean_log_probability(counts if counts is not None else pair_counts(seqs, seq))
+    return seqs.withColumns(L.together(F.col(seq), lambda s: {"nat": nat(s), "cai": C.cai(s), "tai": C.tai(s)} | more(s)))
 
 
 def calibration(rows: DataFrame) -> DataFrame:

@@ -8,15 +8,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..functions import letters as L
 from ..functions import sequence as S
 from ..storage import checkpoint
 from . import corpus
 
 
-def with_scores(seqs: DataFrame, counts: DataFrame | None = None, stats: DataFrame | None = None, seq: str = "cds") -> DataFrame:
-    """seqs and nat, cai, tai, their z scores, sites, hp4, hp5, gc, penalty, score_v2 and score_v25."""
-    s = F.col(seq)
-    rows = corpus.measured(seqs, counts, seq).withColumns({"sites": S.motif_count(s), "hp4": S.n_hp4(s), "hp5": S.n_hp5(s), "gc": S.gc_content(s)})
+def with_scores(seqs: DataFrame, counts: DataFrame | None = None, stats: DataFrame | None = None, seq: str = "cds", more: Callable[[L.Together], dict[str, int]] = lambda s: {}, keep: bool = True) -> DataFrame:
+    """seqs and nat, cai, tai, their z scores, sites, hp4, hp5, gc, penalty, score_v2 and score_v25, and `more` measures.
+
+    keep: with the sequences, which are most of what is written where the scores are calibrated against the rows themselves.
+    """
+    rows = corpus.measured(seqs, counts, seq, lambda s: {"sites": S.motif_count(s), "hp4": S.n_hp4(s), "hp5": S.n_hp5(s), "gc": S.gc_content(s)} | more(s))
+    rows = rows if keep else rows.drop(seq)
     if stats is None:
         rows = checkpoint(rows)  # measured once, for the calibration and for the scores
     rows = corpus.z_scores(rows, stats if stats is not None else corpus.calibration(rows))

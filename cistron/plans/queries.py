@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codon as C
 from ..functions import constants as K
+from ..functions import letters as L
 from ..functions import sequence as S
 from ..operators import corpus, duplex, features, folding, report, score, search, select, structure, validate
 from ..sources import ld_dump, sequences
@@ -207,19 +208,19 @@ _METRICS = ("z_nat", "z_cai", "cai", "gc", "penalty", "score_v2", "score_v25")
 
 @add("score_metrics", f"WITH {Q.SCORED} SELECT seq_id, sites, hp4, hp5, {', '.join(f'round({c}, 6) AS {c}' for c in _METRICS)} FROM scored")
 def score_metrics(spark, sf_dir):
-    return rounded(score.with_scores(seqs_of(spark, sf_dir).select("seq_id", "cds")).select("seq_id", "sites", "hp4", "hp5", *_METRICS))
+    return rounded(score.with_scores(seqs_of(spark, sf_dir).select("seq_id", "cds"), keep=False).select("seq_id", "sites", "hp4", "hp5", *_METRICS))
 
 
 @add("score_design_v1", f"WITH {Q.SCORED} SELECT seq_id, round({K.W_EXPR} * nat + {K.W_STAB} * cai - penalty, 6) AS score FROM scored")
 def score_design_v1(spark, sf_dir):
     """Two heads stand in for models that aren't at hand."""
-    rows = score.with_scores(seqs_of(spark, sf_dir).select("seq_id", "cds"))
+    rows = score.with_scores(seqs_of(spark, sf_dir).select("seq_id", "cds"), keep=False)
     return rounded(rows.select("seq_id", score.design_score(rows, "v1", F.col("nat"), F.col("cai")).alias("score")))
 
 
 @add("score_rank_by_group", f"WITH {Q.SCORED} SELECT seq_id, grp, round(score_v25, 6) AS score_v25, row_number() OVER (PARTITION BY grp ORDER BY round(score_v25, 9) DESC, seq_id)::INT AS place FROM scored")
 def score_rank_by_group(spark, sf_dir):
-    rows = score.with_scores(seqs_of(spark, sf_dir).select("seq_id", "grp", "cds")).select("seq_id", "grp", "score_v25")
+    rows = score.with_scores(seqs_of(spark, sf_dir).select("seq_id", "grp", "cds"), keep=False).select("seq_id", "grp", "score_v25")
     return rounded(score.rank_in_groups(rows).select("seq_id", "grp", "score_v25", "place"))
 
 
@@ -230,7 +231,7 @@ def score_rank_by_group(spark, sf_dir):
 )
 def score_gates_ok(spark, sf_dir):
     """Each sequence beside the first of its group."""
-    rows = score.with_scores(seqs_of(spark, sf_dir).select("seq_id", "grp", "cds"))
+    rows = score.with_scores(seqs_of(spark, sf_dir).select("seq_id", "grp", "cds"), keep=False)
     names = ("score_v2", "z_nat", "cai", "sites", "hp5", "gc")
     base = rows.groupBy("grp").agg(*(F.min_by(c, "seq_id").alias(f"base_{c}") for c in names))
     both = rows.select("seq_id", "grp", *(F.col(c).alias(f"new_{c}") for c in names)).join(base, "grp")
@@ -257,13 +258,13 @@ def _spearman_sql() -> str:
 def val_spearman(spark, sf_dir):
     """Rank correlation of the design score with the label of each language's sequences, and its interval."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("seq_id"), F.col("quality").cast("double").alias("quality"))
-    rows = score.with_scores(seqs_of(spark, sf_dir).select("seq_id", "grp", "cds")).select("seq_id", "grp", F.round("score_v25", 6).alias("s"))
+    rows = score.with_scores(seqs_of(spark, sf_dir).select("seq_id", "grp", "cds"), keep=False).select("seq_id", "grp", F.round("score_v25", 6).alias("s"))
     return rounded(validate.rank_correlation(rows.join(labels, "seq_id"), "grp", "seq_id", "s", "quality"))
 
 
 @add("sel_zscore_group", f"WITH {Q.SCORED} SELECT seq_id, grp, round((score_v2 - avg(score_v2) OVER w) / greatest(stddev_pop(score_v2) OVER w, {K.LEAST_STD}), 6) AS z FROM scored WINDOW w AS (PARTITION BY grp)")
 def sel_zscore_group(spark, sf_dir):
-    rows = score.with_scores(seqs_of(spark, sf_dir).select("seq_id", "grp", "cds")).select("seq_id", "grp", "score_v2")
+    rows = score.with_scores(seqs_of(spark, sf_dir).select("seq_id", "grp", "cds"), keep=False).select("seq_id", "grp", "score_v2")
     return rounded(corpus.group_z(rows, "grp", "score_v2").select("seq_id", "grp", F.col("z_score_v2").alias("z")))
 
 
@@ -282,9 +283,10 @@ _FEATURES = ["cai", "gc", "enc", "upa", "hp_max", "sites"]
 
 
 def _pool(spark, sf_dir) -> DataFrame:
-    rows = score.with_scores(seqs_of(spark, sf_dir).select("seq_id", "grp", "cds")).where("cds <> ''")
-    rows = rows.withColumns({"enc": C.enc(F.col("cds")), "upa": S.dinuc_odds(F.col("cds"), "T", "A"), "hp_max": S.max_run(F.col("cds"), "ACGT").cast("double")})
-    return checkpoint(rows.select("seq_id", "grp", "score_v2", "hp4", *_FEATURES))  # numbers only
+    more = lambda s: {"enc": C.enc(s), "upa": S.dinuc_odds(s, "T", "A"), "hp_max": S.max_run(s, "ACGT")}
+    seqs = seqs_of(spark, sf_dir).select("seq_id", "grp", "cds", (F.col("cds") != "").alias("full"))
+    rows = score.with_scores(seqs, more=more, keep=False).where("full").withColumn("hp_max", F.col("hp_max").cast("double"))
+    return rows.select("seq_id", "grp", "score_v2", "hp4", *_FEATURES)
 
 
 def topk_sql(score: str = "score_v2", where: str = "cds <> ''", more: str = "", final: str = f"SELECT grp, rank, seq_id FROM s{K.TOP_K}") -> str:
@@ -514,12 +516,13 @@ def rep_m2_summary(spark, sf_dir):
 
 def _compared(spark, sf_dir, scan: bool = False) -> DataFrame:
     """What is compared, by language. The SQL takes the longest run of one base for the duplex, which it can't scan for."""
-    rows = score.with_scores(seqs_of(spark, sf_dir).select("seq_id", "grp", "cds"))
+    more = lambda s: {"run": S.max_run(s, "ACGT")}
+    rows = score.with_scores(seqs_of(spark, sf_dir).select("seq_id", "grp", "cds"), more=more, keep=scan)
     if scan:
         rows = rows.join(duplex.selfcomp_scan(rows, "cds").select("seq_id", F.col("near").alias("selfcomp")), "seq_id")
     else:
-        rows = rows.withColumn("selfcomp", S.max_run(F.col("cds"), "ACGT"))
-    return rows.select(F.col("grp").alias("engine"), "z_nat", "cai", "gc", S.clean_flag(F.col("cds")).alias("clean"), "selfcomp", F.lit(None).cast("double").alias("mfe"), "tai")
+        rows = rows.withColumn("selfcomp", F.col("run"))
+    return rows.select(F.col("grp").alias("engine"), "z_nat", "cai", "gc", ((F.col("sites") == 0) & (F.col("hp5") == 0)).cast("int").alias("clean"), "selfcomp", F.lit(None).cast("double").alias("mfe"), "tai")
 
 
 _COMPARED = f"cmp AS (SELECT grp AS engine, count(*) AS n, avg(z_nat) AS z_nat, avg(cai) AS cai, avg(gc) AS gc, 100 * avg((sites = 0 AND hp5 = 0)::INT) AS clean, avg({Q.max_run('cds', 'ACGT')}) AS selfcomp, NULL::DOUBLE AS mfe, avg(tai) AS tai FROM scored GROUP BY grp)"

@@ -92,3 +92,24 @@ def test_scores_walk_no_array_letter_by_letter(spark):
     rows = spark.createDataFrame([(1, "g", "ATGAAACCC"), (2, "g", "ATGGGGCCCAAA")], "seq_id long, grp string, cds string")
     made = score.with_scores(rows, corpus.pair_counts(rows), corpus.calibration(corpus.measured(rows)))
     assert "lambda" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_measures_taken_together_are_those_taken_alone(rows):
+    """One look at the letters gives what each measure gives by itself, nulls and all."""
+    every = lambda s: {"gc": S.gc_content(s), "hi": S.gc_slide_max(s), "hp4": S.n_hp4(s), "sites": S.motif_count(s), "odds": S.dinuc_odds(s, "T", "A"), "cai": C.cai(s), "tai": C.tai(s), "enc": C.enc(s), "aa": C.translate_b(s)}
+    made = [rows.select("seq_id", *(c.alias(n) for n, c in f(F.col("s"), every).items())) for f in (L.together, lambda s, f: f(s))]
+    assert made[0].schema == made[1].schema and sorted(map(str, made[0].collect())) == sorted(map(str, made[1].collect()))
+    assert rows.where("false").select(L.together(F.col("s"), every)["gc"].alias("gc")).collect() == []
+
+
+def test_scores_look_at_a_sequence_once_and_leave_it(spark):
+    """Scores come from one function over the letters; where no one asks for the sequences, they aren't written with the scores."""
+    rows = spark.createDataFrame([(1, "g", "ATGAAACCC"), (2, "g", "ATGGGGCCCAAA")], "seq_id long, grp string, cds string")
+    counts = corpus.pair_counts(rows)
+    made = score.with_scores(rows, counts, corpus.calibration(corpus.measured(rows)), more=lambda s: {"enc": C.enc(s)}, keep=False)
+    looks = [p for p in made._jdf.queryExecution().executedPlan().toString().splitlines() if "ArrowEvalPython" in p and "cds" in p]
+    assert looks and all(p.count("run(cds") == 1 for p in looks)
+    scored = score.with_scores(rows, counts, keep=False)
+    assert "cds" not in scored.columns and "cds" not in scored._jdf.queryExecution().executedPlan().toString()
+    kept = score.with_scores(rows, counts).orderBy("seq_id")
+    assert "cds" in kept.columns and kept.drop("cds").collect() == scored.orderBy("seq_id").collect()
