@@ -203,5 +203,8 @@ def feature_vector(s: Column, coefficients: dict[str, dict[str, float]]) -> dict
     """Mean coefficients by name, then cai, gc_global, gc3, enc and cds_len."""
     from .sequence import gc_content
 
-    out = {name: mean_coefficient(s, values) for name, values in coefficients.items()}
-    return out | {"cai": cai(s), "gc_global": gc_content(s), "gc3": gc3(s), "enc": enc(s), "cds_len": F.length(s)}
+    def measures(t: L.Together) -> dict[str, int]:
+        out = {name: mean_coefficient(t, values) for name, values in coefficients.items()}
+        return out | {"cai": cai(t), "gc_global": gc_content(t), "gc3": gc3(t), "enc": enc(t)}
+
+    return L.together(s, measures) | {"cds_len": F.length(s)}
