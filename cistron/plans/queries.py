@@ -380,10 +380,12 @@ def search_pipeline(spark, sf_dir):
 def search_start_two(spark, sf_dir):
     """Two of the starts for each sequence, as it is and by the most frequent codons, with their measured sites and runs."""
     seqs = seqs_of(spark, sf_dir).where("cds <> ''")
-    native = seqs.select("seq_id", F.lit("native").alias("source"), F.col("cds").alias("seq"))
-    best = seqs.select("seq_id", F.lit("cai").alias("source"), C.back_translate(C.translate_a(F.col("cds"))).alias("seq"))
-    seq = F.col("seq")
-    return rounded(native.unionByName(best).select("seq_id", "source", F.length(seq).alias("len"), S.gc_content(seq).alias("gc"), S.motif_count(seq).alias("sites"), S.n_hp5(seq).alias("hp5")))
+    seqs = seqs.select("seq_id", F.col("cds").alias("native"), C.back_translate(C.translate_a(F.col("cds"))).alias("cai"))
+    # both are measured as columns of one row, so that a sequence is derived once
+    kinds = ("native", "cai")
+    sides = [{"len": F.length(c)} | L.together(F.col(c), lambda s: {"gc": S.gc_content(s), "sites": S.motif_count(s), "hp5": S.n_hp5(s)}) for c in kinds]
+    both = F.array(*(F.struct(F.lit(c).alias("source"), *(v.alias(n) for n, v in side.items())) for c, side in zip(kinds, sides, strict=True)))
+    return rounded(seqs.select("seq_id", F.explode(both).alias("x")).select("seq_id", "x.*"))
 
 
 _GENES = f"cdsaa AS (SELECT seqs.seq_id, source, cds, coalesce(string_agg(aa, '' ORDER BY p), '') AS aa FROM seqs LEFT JOIN (SELECT * FROM cc JOIN codon ON cc.c = codon.codon) x USING (seq_id) GROUP BY seqs.seq_id, source, cds)"

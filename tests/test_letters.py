@@ -11,6 +11,7 @@ from cistron.functions import codon as C
 from cistron.functions import letters as L
 from cistron.functions import sequence as S
 from cistron.operators import corpus, score
+from cistron.plans import queries
 from cistron.sources.sequences import BASES, derived, from_documents
 from pyspark.sql import functions as F
 
@@ -113,3 +114,11 @@ def test_scores_look_at_a_sequence_once_and_leave_it(spark):
     assert "cds" not in scored.columns and "cds" not in scored._jdf.queryExecution().executedPlan().toString()
     kept = score.with_scores(rows, counts).orderBy("seq_id")
     assert "cds" in kept.columns and kept.drop("cds").collect() == scored.orderBy("seq_id").collect()
+
+
+def test_both_starts_come_from_one_derivation(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "acgt" * 9, "x", "y"), (2, "", "x", "y")], "doc_id long, text string, lang string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    made = queries.QUERIES["search_start_two"](spark, str(tmp_path))
+    assert made._jdf.queryExecution().executedPlan().toString().count("hashpartitioning") == 1
+    assert sorted((r.seq_id, r.source, r.len) for r in made.collect()) == [(1, "cai", 36), (1, "native", 36)]
