@@ -279,15 +279,20 @@ def _verify(share: tuple[int, int]):
     return run
 
 
-def _links(docs: DataFrame, homes: DataFrame, pairs: DataFrame, of: Sets, seed: int, share: tuple[int, int]) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets are similar; homes: (key, home), a document of each node."""
+def _links(docs: DataFrame, homes: DataFrame, pairs: DataFrame, of: Sets, seed: int, share: tuple[int, int], single: bool) -> DataFrame:
+    """Those of the pairs (a, b) whose whole sets are similar; homes: (key, home), a document of each node.
+
+    single: no two rows have one id, so the rows of the wanted ids are the wanted sets, each once.
+    """
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     wanted = checkpoint(nodes.join(homes, "key").select(F.col("home").alias("id"), "key"))
     few = wanted.count() <= WANTED
     ids = wanted.select("id").distinct()
     texts = docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
     sets = texts.select("text").mapInArrow(_sets(of, seed), "node long, members binary")
-    sets = checkpoint(sets.join(wanted.select(F.col("key").alias("node")), "node", "left_semi").dropDuplicates(["node"]))
+    if not single:
+        sets = sets.join(wanted.select(F.col("key").alias("node")), "node", "left_semi").dropDuplicates(["node"])
+    sets = checkpoint(sets)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
     return checkpoint(both.select("a", "b", "x", "y").mapInArrow(_verify(share), "a long, b long"))
 
@@ -350,6 +355,7 @@ def cluster_sets(docs: DataFrame, of: Sets, share: tuple[int, int], doc_id: str
             raise RuntimeError("different sets have equal keys under four seeds; join fewer documents at once")
         return cluster_sets(docs, of, share, "id", "text", by_length, seed + 1).withColumn("doc_id", F.nullif("doc_id", F.lit(LAST_ID))).withColumn("component_id", F.nullif("component_id", F.lit(LAST_ID)))
     homes = nodes.select("key", "home")
+    single = own.groupBy("id").count().where("count > 1").isEmpty()
     estimate = docs.sparkSession.sparkContext.broadcast(_estimate(facts))
     buckets = block_count(docs)
     prefixes = docs.select("text").mapInArrow(_prefixes(of, seed, share, buckets, estimate, by_length), "bucket int, payload binary")
@@ -359,7 +365,8 @@ def cluster_sets(docs: DataFrame, of: Sets, share: tuple[int, int], doc_id: str
     tidy(docs.sparkSession)
     # enough in common, or one of the strictly first shingles with the leader of a large group
     tried = F.expr("shared >= need or lead > 0")
-    links = _links(docs, homes, sums.where(tried).select("a", "b"), of, seed, share)
+    first = sums.where(tried).select("a", "b")
+    links = _links(docs, homes, first, of, seed, share, single)
     roots = components(links)
     # A link that was not tried has a shingle among the strictly first ones of both in common, and at least one of a large
     # group further on. Either the former is of a large group as well, or it is of a small one and both are in large ones.
@@ -370,8 +377,9 @@ def cluster_sets(docs: DataFrame, of: Sets, share: tuple[int, int], doc_id: str
     rest = [_across(_split(large, roots), share), _between(sums.where(~tried & (F.col("strict") > 0)).select("a", "b"), members, roots)]
     rest = [r for r in rest if r is not None]
     if rest:
-        rest = checkpoint(rest[0].union(rest[1]).distinct() if len(rest) > 1 else rest[0].distinct())
-        links = links.union(_links(docs, homes, rest, of, seed, share))
+        rest = (rest[0].union(rest[1]) if len(rest) > 1 else rest[0]).distinct()
+        rest = checkpoint(rest.join(first, ["a", "b"], "left_anti"))  # what was tried in vain isn't tried again
+        links = links.union(_links(docs, homes, rest, of, seed, share, single))
         roots = components(links)
     tidy(docs.sparkSession)
     reach = roots.join(homes.withColumnRenamed("key", "node"), "node")

@@ -203,6 +203,32 @@ def test_join_large_group(spark):
     assert got == root
 
 
+def test_join_sends_sets_of_single_ids_once(spark, monkeypatch):
+    """With no id twice, sets aren't dealt out to find repeats, and a pair is held against its sets once."""
+    base = [f"w{k}" for k in range(100)]
+    rows = [(k, " ".join(base[:3] + [f"n{k}"] * (k % 30) + base[3 + k % 30 :])) for k in range(90)]
+    links, cut, seen, plans = ngram_join._links, ngram_join.checkpoint, [], []
+
+    def checkpoint(df):
+        if df.columns == ["node", "members"]:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    def recorded(docs, homes, pairs, *rest):
+        seen.extend(map(tuple, pairs.collect()))
+        return links(docs, homes, pairs, *rest)
+
+    monkeypatch.setattr(ngram_join, "checkpoint", checkpoint)
+    monkeypatch.setattr(ngram_join, "_links", recorded)
+    got = {r.doc_id: r.component_id for r in ngram_join.cluster(spark.createDataFrame(rows, "doc_id long, text string"), 4, (85, 100)).collect()}
+    assert len(got) == 90 and seen and len(seen) == len(set(seen))
+    assert plans and not any("first(members" in p for p in plans)
+    plans.clear()
+    twice = [*rows, (7, rows[8][1]), (7, rows[7][1])]
+    again = ngram_join.cluster(spark.createDataFrame(twice, "doc_id long, text string"), 4, (85, 100)).collect()
+    assert len(again) == 92 and all("first(members" in p for p in plans)
+
+
 def test_words_that_polynomials_confuse(spark):
     """Different long words are different in windows, shingles, lines and bytes."""
     tail = " one two three four five six seven eight nine ten eleven twelve"
