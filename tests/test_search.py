@@ -311,3 +311,39 @@ def test_clean_starts_side_by_side(spark, monkeypatch, apart):
     assert got == [*map(plain_clean, made), None, None, None]
     assert apart == 1 or len(steps) == max(map(len, made))
     assert search._clean(search.pa.array([], search.pa.string())).to_pylist() == []
+
+
+def test_like_sequences_are_repaired_once(spark, monkeypatch, tmp_path):
+    """Rows with one sequence go to one task and are walked once there; each row has its result."""
+    half = "ATGGCCAAGCTGTCA"
+    long = half + "AAACCCAAA" + "".join(PAIR[b] for b in reversed(half))
+    repair_one = search.repair_one
+
+    def counted(c, *more):
+        import uuid
+
+        (tmp_path / uuid.uuid4().hex).write_text(search._letters(c))
+        return repair_one(c, *more)
+
+    monkeypatch.setattr(search, "repair_one", counted)
+    rows = [(i, (long, long + "GCT", "ATGAAACCC", "", None, "ATGNNN")[i % 6]) for i in range(60)]
+    plain = search.Scorer(SCORER.pair_log, (-9.0, 3.0), (0.7, 0.5), None)
+    got = {r.seq_id: r for r in search.repair(spark.createDataFrame(rows, "seq_id long, cds string"), plain).collect()}
+    assert sorted(f.read_text() for f in tmp_path.iterdir()) == [long, long + "GCT"] and len(got) == 60
+    for i, s in rows:
+        if s in (None, "ATGNNN"):
+            assert got[i].repaired is None and got[i].n_swaps is None
+        else:
+            want = repair_one(search.codon_numbers(s), plain)
+            assert (got[i].repaired, *got[i][2:5]) == (search._letters(want[0]), *want[1:4]) and (got[i].score_before, got[i].score_after) == (pytest.approx(want[4]), pytest.approx(want[5]))
+
+
+def test_stretches_of_seeds():
+    """Runs of seeds from sorted numbers are those of merged()."""
+    rng = np.random.default_rng(6)
+    i, j = rng.integers(0, 20, 150), rng.integers(20, 40, 150)
+    seeds = np.unique(np.stack([i + j, i], axis=1), axis=0)
+    want = duplex.merged(seeds[:, 0], seeds[:, 1], seeds[:, 1])
+    mixed = rng.permutation(seeds[:, 0] * 40 + seeds[:, 1])
+    assert [x.tolist() for x in duplex.stretches([mixed[:70], mixed[70:]], 40)] == [x.tolist() for x in want]
+    assert [len(x) for x in duplex.stretches([], 40)] == [0, 0, 0]
