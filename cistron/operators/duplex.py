@@ -46,28 +46,10 @@ def seed_pairs(seqs: DataFrame, k: int = K.SEED, gap: int = K.GAP, seq: str = "r
     Rows with one id, where there are some, count as one sequence's, each with places of its own. Only sequences are shuffled.
     """
 
-    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        """Rows in order of their ids, such that none parts from others of its id."""
-        rest = None
-        for batch in batches:
-            rows = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            ids = rows.column("seq_id").to_numpy()
-            size = np.cumsum(pa.compute.binary_length(rows.column("seq")).to_numpy())
-            fresh = np.flatnonzero(np.insert(ids[1:] != ids[:-1], 0, True))
-            a = 0
-            for z in fresh[1:].tolist():
-                if z == fresh[-1] or size[z - 1] - (size[a - 1] if a else 0) >= BESIDE:
-                    yield rows.slice(a, z - a)
-                    a = z
-            rest = rows.slice(a)
-        if rest is not None:
-            yield rest
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in held(batch for batch in batches if len(batch)):
+        for rows, group in by_id(batches):
             ids = rows.column("seq_id").to_numpy()
             t = L.Texts(rows.column("seq").combine_chunks())
-            group = np.cumsum(np.insert(ids[1:] != ids[:-1], 0, False))
             for row, i, j in seeds_of(t.codes, t.start, t.length, group, k, gap):
                 for a in range(0, len(i), CHUNK):
                     z = slice(a, a + CHUNK)
@@ -78,6 +60,32 @@ def seed_pairs(seqs: DataFrame, k: int = K.SEED, gap: int = K.GAP, seq: str = "r
     return rows.repartition(n, "seq_id").sortWithinPartitions("seq_id").mapInArrow(run, "seq_id long, i int, j int")
 
 
+def by_id(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows (seq_id, seq) in order of their ids, such that none parts from others of its id, and the number of each row's id; null is an id, too."""
+
+    def numbers(rows: pa.Table) -> np.ndarray:
+        ids = rows.column("seq_id")
+        null, ids = ids.is_null().to_numpy(), ids.fill_null(0).to_numpy()
+        return np.cumsum(np.insert((ids[1:] != ids[:-1]) | (null[1:] != null[:-1]), 0, False))
+
+    rest = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        rows = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        group = numbers(rows)
+        size = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(rows.column("seq")), 0).to_numpy())
+        fresh = np.flatnonzero(np.insert(group[1:] != group[:-1], 0, True))
+        a = 0
+        for z in fresh[1:].tolist():
+            if z == fresh[-1] or size[z - 1] - (size[a - 1] if a else 0) >= BESIDE:
+                yield rows.slice(a, z - a), group[a:z] - group[a]
+                a = z
+        rest = rows.slice(a)
+    if rest is not None:
+        yield rest, numbers(rest)
+
+
 def seeds_of(codes: np.ndarray, start: np.ndarray, length: np.ndarray, group: np.ndarray, k: int = K.SEED, gap: int = K.GAP) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(row, i, j) of all seeds of sequences side by side, places within their rows, in chunks; rows of one group meet each other."""
     many = np.maximum(length - k + 1, 0)

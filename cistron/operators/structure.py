@@ -6,7 +6,7 @@ probabilities; without one, what depends on whole folds is null. Windows are fol
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import letters as L
+from .duplex import by_id
 
 #: Longest sequence folded whole, local and start windows, and sampled windows of longer ones.
 FOLD_MOST, LOCAL, START, ACCESS, WINDOW, STRIDE = 3000, 150, 45, 30, 200, 500
@@ -29,16 +30,43 @@ class Backend(Protocol):
 def parse_db(structures: DataFrame, column: str = "structure") -> DataFrame:
     """(seq_id, i, j): paired places from 0, i < j, of each dot-bracket string.
 
-    Brackets of one kind and depth pair with their neighbours, so pairs are found by two windows within a sequence.
+    Brackets of one kind and depth pair with their neighbours. Rows with one id, where there are some, count as one string's,
+    each with places of its own. Only strings are shuffled.
     """
-    chars = structures.select("seq_id", F.posexplode(F.regexp_extract_all(F.coalesce(column, F.lit("")), F.lit("(?s)."), F.lit(0))).alias("at", "c"))
-    kind = F.ceil(F.nullif(F.position(F.col("c"), F.lit("()[]{}")), F.lit(0)) / 2)
-    step = chars.select("seq_id", "at", kind.alias("kind"), F.when(F.col("c").isin("(", "[", "{"), 1).otherwise(-1).alias("d")).where("kind is not null")
-    within = Window.partitionBy("seq_id", "kind").orderBy("at")
-    depth = step.withColumn("depth", F.sum("d").over(within) + F.when(F.col("d") < 0, 1).otherwise(0))
-    same = Window.partitionBy("seq_id", "kind", "depth").orderBy("at")
-    pairs = depth.withColumn("j", F.lead("at").over(same)).withColumn("next", F.lead("d").over(same))
-    return pairs.where("d = 1 and next = -1").select("seq_id", F.col("at").alias("i"), "j")
+    return _by_id(structures, column, "j", lambda g, i, j: (g, i, j))
+
+
+def helices(structures: DataFrame, column: str = "structure") -> DataFrame:
+    """helix_lengths() of parse_db(), without pairs as rows between them."""
+
+    def stacked(g: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.lexsort((i, i + j, g))
+        g, i, total = g[order], i[order], (i + j)[order]
+        head = np.flatnonzero(np.insert((np.diff(g) != 0) | (np.diff(total) != 0), 0, True)) if len(g) else g
+        run = i - (np.arange(len(g)) - np.repeat(head, np.diff(np.append(head, len(g)))))
+        order = np.lexsort((i, run, total, g))
+        g, i, total, run = (x[order] for x in (g, i, total, run))
+        head = np.flatnonzero(np.insert((np.diff(g) != 0) | (np.diff(total) != 0) | (np.diff(run) != 0), 0, True)) if len(g) else g
+        return g[head], i[head], np.diff(np.append(head, len(g))) if len(g) else g
+
+    return _by_id(structures, column, "length", stacked)
+
+
+def _by_id(structures: DataFrame, column: str, last: str, of: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, ...]]) -> DataFrame:
+    """(seq_id, i, `last`): what `of` makes of the pairs (number of the id, i, j) of dot-bracket strings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, group in by_id(batches):
+            t = L.Texts(rows.column("seq").combine_chunks())
+            found = _pairs(t, group)
+            g, i, value = of(*found)
+            first = np.flatnonzero(np.insert(group[1:] != group[:-1], 0, True))
+            ids = rows.column("seq_id").combine_chunks().take(pa.array(first[g]))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(i.astype(np.int32)), pa.array(value.astype(np.int32))], names=["seq_id", "i", last])
+
+    n = int(structures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = structures.select(F.col("seq_id").cast("long").alias("seq_id"), F.col(column).alias("seq"))
+    return rows.repartition(n, "seq_id").sortWithinPartitions("seq_id").mapInArrow(run, f"seq_id long, i int, {last} int")
 
 
 def helix_lengths(pairs: DataFrame) -> DataFrame:
@@ -48,25 +76,38 @@ def helix_lengths(pairs: DataFrame) -> DataFrame:
     return runs.groupBy("seq_id", "sum", "run").agg(F.min("i").alias("i"), F.count(F.lit(1)).cast("int").alias("length")).select("seq_id", "i", "length")
 
 
-def _helices(t: L.Texts) -> pa.Array:
-    """Number of pairs, longest helix and helices of eight or more of each dot-bracket string, by the rules of the two functions above."""
+def _pairs(t: L.Texts, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group, i, j) of dot-bracket strings, places within their rows; rows of one group, which follow each other, count as one string's."""
     kind = np.zeros(256, np.int64)
     for k, both in enumerate(("()", "[]", "{}"), 1):
         kind[list(both.encode())] = k
     at = np.flatnonzero(kind[t.letters])
     row, step = np.searchsorted(t.start + t.length, at, side="right"), np.where(np.isin(t.letters[at], list(b"([{")), 1, -1)
+    several = len(group) > 0 and int(group[-1]) + 1 < len(group)
     found = [np.zeros((3, 0), np.int64)]
     for k in (1, 2, 3):
         own = kind[t.letters[at]] == k
-        p, r, d = at[own], row[own], step[own]
+        p, g, d = at[own] - t.start[row[own]], group[row[own]], step[own]
+        if several:
+            order = np.lexsort((p, g))
+            p, g, d = p[order], g[order], d[order]
         upto = np.cumsum(d)
-        before = np.concatenate(([0], upto))[np.searchsorted(p, t.start)]
-        depth = upto - before[r] + (d < 0)
-        order = np.lexsort((p, depth, r))
-        p, r, d, depth = p[order], r[order], d[order], depth[order]
-        pair = np.flatnonzero((d[:-1] == 1) & (d[1:] == -1) & (r[:-1] == r[1:]) & (depth[:-1] == depth[1:]))
-        found.append(np.stack([r[pair], p[pair], p[pair] + p[pair + 1]]))
-    r, i, total = np.concatenate(found, axis=1)
+        if several and len(p):  # equal places of a group count together
+            end = np.flatnonzero(np.append((np.diff(p) != 0) | (np.diff(g) != 0), True))
+            upto = np.repeat(upto[end], np.diff(end, prepend=-1))
+        before = np.concatenate(([0], np.cumsum(d)))[np.searchsorted(g, g)]
+        depth = upto - before + (d < 0)
+        order = np.lexsort((p, depth, g))
+        p, g, d, depth = p[order], g[order], d[order], depth[order]
+        pair = np.flatnonzero((d[:-1] == 1) & (d[1:] == -1) & (g[:-1] == g[1:]) & (depth[:-1] == depth[1:]))
+        found.append(np.stack([g[pair], p[pair], p[pair + 1]]))
+    return tuple(np.concatenate(found, axis=1))
+
+
+def _helices(t: L.Texts) -> pa.Array:
+    """Number of pairs, longest helix and helices of eight or more of each dot-bracket string, by the rules of the two functions above."""
+    r, i, j = _pairs(t, np.arange(t.n))
+    total = i + j
     order = np.lexsort((i, total, r))
     r, i, total = r[order], i[order], total[order]
     head = np.flatnonzero(np.insert((np.diff(r) != 0) | (np.diff(total) != 0) | (np.diff(i) != 1), 0, True)) if len(r) else r

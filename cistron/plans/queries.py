@@ -586,7 +586,7 @@ def struct_parse_db(spark, sf_dir):
 
 @add("struct_helix_lengths", f"WITH {Q.SEQS}, {_DB} SELECT seq_id, i::BIGINT AS i, length FROM hx")
 def struct_helix_lengths(spark, sf_dir):
-    return structure.helix_lengths(structure.parse_db(_brackets(spark, sf_dir)))
+    return structure.helices(_brackets(spark, sf_dir))
 
 
 @add("struct_features", f"WITH {Q.SEQS}, {_DB} SELECT db.seq_id, round(2 * coalesce(sum(h.length), 0) / greatest(length(ss), 1), 6)::DOUBLE AS paired_fraction, coalesce(max(h.length), 0)::BIGINT AS longest_helix, count(CASE WHEN h.length >= 8 THEN 1 END)::BIGINT AS n_helices8 FROM db LEFT JOIN hx h USING (seq_id) GROUP BY db.seq_id, ss")

@@ -3,6 +3,7 @@
 import math
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cistron.functions import codon as C
@@ -118,6 +119,25 @@ def test_helices_of_rows_are_those_of_pairs(spark):
     assert structure.helix_features(spark.createDataFrame([(None, "(...)")], "seq_id long, structure string")).first().longest_helix == 0
 
 
+def test_pairs_and_helices_of_repeated_ids(spark):
+    """As windows over rows of an id have them, ids repeated and null included; strings are shuffled, no row for a letter is."""
+    some = [(1, "((..[))]"), (2, "(((...)))"), (2, "(((...)))"), (3, "(((..)))"), (3, ".[[..]]."), (None, "((..))"), (4, None), (5, ""), (6, "((((..))))((..))"), (7, "([{}])")]
+    df = spark.createDataFrame(some, "seq_id long, structure string")
+    chars = df.select("seq_id", F.posexplode(F.regexp_extract_all(F.coalesce("structure", F.lit("")), F.lit("(?s)."), F.lit(0))).alias("at", "c"))
+    kind = F.ceil(F.nullif(F.position(F.col("c"), F.lit("()[]{}")), F.lit(0)) / 2)
+    step = chars.select("seq_id", "at", kind.alias("kind"), F.when(F.col("c").isin("(", "[", "{"), 1).otherwise(-1).alias("d")).where("kind is not null")
+    depth = step.withColumn("depth", F.sum("d").over(Window.partitionBy("seq_id", "kind").orderBy("at")) + F.when(F.col("d") < 0, 1).otherwise(0))
+    same = Window.partitionBy("seq_id", "kind", "depth").orderBy("at")
+    pairs = depth.withColumn("j", F.lead("at").over(same)).withColumn("next", F.lead("d").over(same)).where("d = 1 and next = -1").select("seq_id", F.col("at").alias("i"), "j")
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    assert rows(structure.parse_db(df)) == rows(pairs) and pairs.count() > 12
+    made = structure.helices(df)
+    assert rows(made) == rows(structure.helix_lengths(pairs))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Generate" not in plan
+    assert structure.helices(df.where("seq_id > 99")).collect() == []
+
+
 class Flat:
     """A backend that pairs nothing, and knows no profile of sequences with a G in front."""
 
