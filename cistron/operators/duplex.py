@@ -416,11 +416,11 @@ def spans(codes: np.ndarray, k: int = K.SEED, budget: int = K.MISMATCHES, near:
 def dealt(seqs: DataFrame, seq: str, alike: bool = False) -> DataFrame:
     """(seq_id, seq) over all shuffle partitions: what follows is much work on little data, so they aren't coalesced.
 
-    alike: rows with one sequence are next to each other, for work that is done once for all of them.
+    alike: by length, rows with one sequence next to each other, for work that is done once for all of them.
     """
     n = int(seqs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = seqs.select("seq_id", F.col(seq).alias("seq"))
-    return rows.repartition(n, "seq").sortWithinPartitions("seq") if alike else rows.repartition(n, "seq_id")
+    return rows.repartition(n, "seq").sortWithinPartitions(F.length("seq"), "seq") if alike else rows.repartition(n, "seq_id")
 
 
 def merged(*runs: np.ndarray) -> tuple[np.ndarray, ...]:

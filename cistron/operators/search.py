@@ -375,6 +375,8 @@ _N_SYN = (_SYN < 64).sum(axis=1)
 _SHARE = np.append(_LOG_W, -np.inf)
 _STRONG = np.append(np.isin(_BASES, (1, 2)) @ np.array([4, 2, 1]), 0).astype(np.uint64)
 _LAST, _WINDOW, _HELD = 7, np.uint64((1 << K.GC_WINDOW) - 1), np.uint64((1 << K.GC_WINDOW + 2) - 1)
+#: By four letters, half of each as bits beside those of a window.
+_HALVES = sum((np.arange(256) >> 2 * k + 1 & 1).astype(np.uint64) << np.uint64(K.GC_WINDOW - 1 + k) for k in range(4))
 #: Proteins from which on those of like codons are taken by themselves; before, one step serves all.
 _APART = 256
 
@@ -426,17 +428,24 @@ def clean_codons(aa: np.ndarray, n: np.ndarray) -> np.ndarray:
                     broken += (some < _GC_FEWEST) | (some > _GC_MOST)
             v = value[g][:, :, None] + _SHARE[syn][:, None, :] - BROKEN * broken
             order = _by_value(v, value[g], tail[g], bits[g])
-            v, letters, strong, in_window = (x.reshape(len(g), -1) for x in (v, letters & (1 << 2 * _LAST) - 1, strong, in_window))
-            sorted_v, number = np.take_along_axis(v, order, 1), np.take_along_axis(in_window, order, 1).astype(np.uint64)
+            # as one row of numbers for all proteins, which is quicker to take from
+            cells = order.shape[1]
+            order += cells * np.arange(len(g))[:, None]
+            v, letters, strong = (x.ravel() for x in (v, letters & (1 << 2 * _LAST) - 1, strong))
+            sorted_v, number = v.take(order), in_window.ravel().take(order).astype(np.uint64)
             seen = np.bitwise_or.accumulate(np.uint64(1) << number, axis=1)
             kept = sorted_v > -np.inf
             kept[:, 1:] &= seen[:, :-1] >> number[:, 1:] & np.uint64(1) == 0
             rank = np.cumsum(kept, axis=1)
-            row, at = np.nonzero(kept & (rank <= BEAM))
-            slot, from_, to = rank[row, at] - 1, order[row, at], g[row]
+            kept &= rank <= BEAM
+            from_ = order[kept]
+            row = from_ // cells
+            slot, from_in = g[row] * BEAM + rank[kept] - 1, from_ - row * cells
             value[g] = -np.inf
-            value[to, slot], tail[to, slot], bits[to, slot] = v[row, from_], letters[row, from_], strong[row, from_]
-            parent[to, slot], codon[to, slot] = from_ // m, syn[row, from_ % m]
+            for to, made in ((value, v), (tail, letters), (bits, strong)):
+                to.ravel()[slot] = made.take(from_)
+            parent.ravel()[slot] = from_in // m
+            codon.ravel()[slot] = syn.ravel().take(row * m + from_in % m)
         parents.append(parent)
         codons.append(codon)
     out, slot = np.zeros(len(aa), np.uint8), np.zeros(len(n), np.int64)
@@ -453,16 +462,15 @@ def _by_value(v: np.ndarray, value: np.ndarray, tail: np.ndarray, bits: np.ndarr
     v: scores by partial sequence and codon; the others are those of the partial sequences. With one codon more, those are alike
     that have four last letters and the bases of a window in common: bases tell half of a letter.
     """
-    alike = bits & np.uint64((1 << K.GC_WINDOW - 1) - 1)
-    for k in range(4):
-        alike |= ((tail >> 2 * k + 1) & 1).astype(np.uint64) << np.uint64(K.GC_WINDOW - 1 + k)
+    alike = bits & np.uint64((1 << K.GC_WINDOW - 1) - 1) | _HALVES.take(tail & 255)
     alike[value == -np.inf] = 1 << 63
-    first = (alike[:, :, None] == alike[:, None, :]).argmax(axis=2)
     flat = -v.reshape(len(v), -1)
     order = np.argsort(flat, axis=1, kind="stable")
-    rows = np.flatnonzero(((first < np.arange(BEAM)) & (value > -np.inf)).any(axis=1))
+    same = np.sort(alike, axis=1)
+    rows = np.flatnonzero(((same[:, 1:] == same[:, :-1]) & (same[:, 1:] < 1 << 63)).any(axis=1))
     if len(rows):
-        key = (first[rows, :, None] * v.shape[2] + np.arange(v.shape[2])).reshape(len(rows), -1)
+        first = (alike[rows, :, None] == alike[rows, None, :]).argmax(axis=2)
+        key = (first[:, :, None] * v.shape[2] + np.arange(v.shape[2])).reshape(len(rows), -1)
         order[rows] = np.lexsort((key, flat[rows]), axis=1)
     return order
 
@@ -484,16 +492,21 @@ def clean_start(aa: str) -> str | None:
 
 
 def clean_starts(proteins: DataFrame, aa: str = "aa") -> DataFrame:
-    """(seq_id, seq) by clean_codons(), null for a null protein."""
+    """(seq_id, seq) by clean_codons(), null for a null protein.
+
+    As a step serves all proteins that reach so far, those of like length are taken together, and like ones once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a = 0
             for part in L.portions(batch.column("seq"), ABREAST):
-                yield pa.RecordBatch.from_arrays([batch.column("seq_id").slice(a, len(part)), _clean(part)], names=["seq_id", "seq"])
+                part = part.dictionary_encode()
+                made = _clean(part.dictionary).take(part.indices)
+                yield pa.RecordBatch.from_arrays([batch.column("seq_id").slice(a, len(part)), made], names=["seq_id", "seq"])
                 a += len(part)
 
-    return duplex.dealt(proteins, aa).mapInArrow(run, "seq_id long, seq string")
+    return duplex.dealt(proteins, aa, alike=True).mapInArrow(run, "seq_id long, seq string")
 
 
 def start_pool(proteins: DataFrame, native: DataFrame, aa: str = "aa") -> DataFrame:

@@ -418,7 +418,8 @@ def search_start_pool(spark, sf_dir):
     proteins = seqs.select("seq_id", C.translate_a(F.col("cds")).alias("aa"))
     pool = search.start_pool(proteins, seqs.select("seq_id", F.col("cds").alias("seq")))
     seq = F.col("seq")
-    return rounded(pool.select("seq_id", "source", F.length(seq).alias("len"), S.gc_content(seq).alias("gc"), S.motif_count(seq).alias("sites"), S.n_hp5(seq).alias("hp5"), F.md5(seq).alias("seq_md5")))
+    measured = L.together(seq, lambda s: {"gc": S.gc_content(s), "sites": S.motif_count(s), "hp5": S.n_hp5(s)})
+    return rounded(pool.select("seq_id", "source", F.length(seq).alias("len"), *(c.alias(n) for n, c in measured.items()), F.md5(seq).alias("seq_md5")))
 
 
 @add("search_variants_breaking")

@@ -347,3 +347,28 @@ def test_stretches_of_seeds():
     mixed = rng.permutation(seeds[:, 0] * 40 + seeds[:, 1])
     assert [x.tolist() for x in duplex.stretches([mixed[:70], mixed[70:]], 40)] == [x.tolist() for x in want]
     assert [len(x) for x in duplex.stretches([], 40)] == [0, 0, 0]
+
+
+def test_proteins_of_like_length_are_taken_together(spark, monkeypatch, tmp_path):
+    """A portion has proteins of like length, so that few steps serve a long one alone; like proteins are walked once."""
+    rng = np.random.default_rng(3)
+    made = ["".join(rng.choice(sorted(K.SYNONYMS), n)) for n in [3, 90, 5, 80, 4, 85, 6, 95] * 4]
+    rows = [(i, (made + made[:8] + [None, "M?", ""])[i]) for i in range(43)]
+    clean = search._clean
+
+    def counted(strings):
+        import uuid
+
+        (tmp_path / uuid.uuid4().hex).write_text(" ".join(s for s in strings.to_pylist() if s and s != "M?"))
+        return clean(strings)
+
+    monkeypatch.setattr(search, "_clean", counted)
+    monkeypatch.setattr(search, "ABREAST", 100)
+    got = {r.seq_id: r.seq for r in search.clean_starts(spark.createDataFrame(rows, "seq_id long, aa string").repartition(3)).collect()}
+    assert got == {i: None if s in (None, "M?") else clean(search.pa.array([s]))[0].as_py() for i, s in rows}
+    portions = [f.read_text().split() for f in tmp_path.iterdir()]
+    # once in a portion; a portion's end may part like ones
+    assert {p for some in portions for p in some} == set(made) and all(len(some) == len(set(some)) for some in portions)
+    # short ones are together, and a long one is with no shorter ones but its task's last short ones
+    assert all([len(p) for p in some] == sorted(len(p) for p in some) for some in portions)
+    assert sum(min(map(len, some)) < 7 and max(map(len, some)) > 79 for some in portions if some) <= 4
